@@ -518,3 +518,141 @@ def q_event_text_agg(spark, d):
     grid = time_grid(table(spark, d, "customer").select("c_custkey"), "year", lo, hi)
     return text_panel(grid, o, ["c_custkey", "year"], F.concat_ws(": ", "o_orderpriority", "o_orderstatus"),
                       ["o_orderdate", "o_orderkey"], default=NO_TEXT)
+
+
+# ---------------------------------------------------------------------------------------------
+# S14, W7 -- block segmentation of conversations (start = a role followed by its partner role)
+# ---------------------------------------------------------------------------------------------
+
+# block-start dimension: (line value, value that must follow it)
+TURN_STARTS = [("user", "assistant"), ("system", "user")]
+
+
+@register("block_segments", """
+WITH c AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM conversations),
+f AS (SELECT *, CASE WHEN (role = 'user' AND next_role = 'assistant') OR (role = 'system' AND next_role = 'user')
+                     THEN 1 ELSE 0 END AS st FROM c),
+b AS (SELECT *, sum(st) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS block_no FROM f)
+SELECT conv_id, CAST(block_no AS BIGINT) AS block_no, arg_min(role, turn) AS block_name,
+       min(turn) AS first_turn, max(turn) AS last_turn, CAST(count(*) AS BIGINT) AS n_turns,
+       CAST(sum(length(text)) AS BIGINT) AS n_chars
+FROM b WHERE block_no > 0 GROUP BY conv_id, block_no
+""")
+def q_block_segments(spark, d):
+    from panelcraft.operators.segment import segment_blocks
+    conv = table(spark, d, "conversations")
+    names = spark.createDataFrame(TURN_STARTS, "name string, code string")
+    b = segment_blocks(conv, ["conv_id"], "turn", "role", names, bucket=F.floor(F.col("turn") / 4096))
+    return b.groupBy("conv_id", "block_no", "block_name").agg(
+        F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"),
+        F.count(F.lit(1)).alias("n_turns"), F.sum(F.length("text")).cast("bigint").alias("n_chars")) \
+        .select("conv_id", F.col("block_no").cast("bigint").alias("block_no"), "block_name", "first_turn",
+                "last_turn", "n_turns", "n_chars")
+
+
+# ---------------------------------------------------------------------------------------------
+# S14 -- clean line tokens of whole documents
+# ---------------------------------------------------------------------------------------------
+
+_WS_SQL = "[\\s ]"
+
+
+@register("token_lines", f"""
+WITH l AS (SELECT doc_id, regexp_replace(x, '^{_WS_SQL}+|{_WS_SQL}+$', '', 'g') AS line
+           FROM (SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS x FROM documents)),
+k AS (SELECT doc_id, line, line <> '' AND NOT regexp_full_match(line, '[|\\-: ]+') AND NOT starts_with(line, '![') AS keep
+      FROM l)
+SELECT doc_id, CAST(count(*) FILTER (WHERE keep) AS BIGINT) AS n_tokens,
+       CAST(coalesce(sum(length(line)) FILTER (WHERE keep), 0) AS BIGINT) AS chars_kept,
+       CAST(count(*) FILTER (WHERE line <> '' AND regexp_full_match(line, '[|\\-: ]+')) AS BIGINT) AS n_rules
+FROM k GROUP BY doc_id
+""")
+def q_token_lines(spark, d):
+    from panelcraft.functions.clean import TABLE_RULE_PATTERN
+    from panelcraft.operators.segment import LINE_SPLIT, _strip, clean_line_array
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    kept = clean_line_array(F.col("text"))
+    lines = F.transform(F.split(F.col("text"), LINE_SPLIT), _strip)
+    rules = F.filter(lines, lambda x: (x != "") & x.rlike(TABLE_RULE_PATTERN))
+    return docs.select(
+        "doc_id", F.size(kept).cast("bigint").alias("n_tokens"),
+        F.aggregate(kept, F.lit(0).cast("bigint"), lambda acc, x: acc + F.length(x)).alias("chars_kept"),
+        F.size(rules).cast("bigint").alias("n_rules"))
+
+
+# ---------------------------------------------------------------------------------------------
+# F5, F6 -- regex fields of whole documents
+# ---------------------------------------------------------------------------------------------
+
+@register("regex_fields", r"""
+SELECT doc_id,
+       CASE WHEN regexp_extract(text, '\$\s*([0-9]+(?:\.[0-9]+)?)', 1) <> ''
+            THEN TRY_CAST(regexp_extract(text, '\$\s*([0-9]+(?:\.[0-9]+)?)', 1) AS DOUBLE) END AS first_amount,
+       CAST(len(regexp_extract_all(text, '\$\s*([0-9]+(?:\.[0-9]+)?)', 0)) AS BIGINT) AS n_amounts,
+       split_part(text, ' ', 1) AS first_word,
+       CAST(len(regexp_extract_all(text, '[0-9]+', 0)) AS BIGINT) AS n_numbers,
+       contains(lower(text), 'license') AS mentions_license
+FROM documents
+""")
+def q_regex_fields(spark, d):
+    from panelcraft.functions.clean import DOLLAR_PATTERN, first_dollar_amount
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return docs.select(
+        "doc_id", first_dollar_amount("text").alias("first_amount"),
+        F.size(F.regexp_extract_all("text", F.lit(DOLLAR_PATTERN), 0)).cast("bigint").alias("n_amounts"),
+        F.split_part("text", F.lit(" "), F.lit(1)).alias("first_word"),
+        F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), 0)).cast("bigint").alias("n_numbers"),
+        F.lower("text").contains("license").alias("mentions_license"))
+
+
+# ---------------------------------------------------------------------------------------------
+# F8, S16 -- JSON field pick and filtered totals
+# ---------------------------------------------------------------------------------------------
+
+@register("json_pick", """
+WITH e AS (SELECT event_type, TRY_CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)
+SELECT event_type, CAST(count(*) AS BIGINT) AS n_events, CAST(sum(k) AS BIGINT) AS sum_k,
+       CAST(count(*) FILTER (WHERE k > 50) AS BIGINT) AS n_k_over_50, CAST(count(k) AS BIGINT) AS n_with_k
+FROM e GROUP BY event_type
+""")
+def q_json_pick(spark, d):
+    e = table(spark, d, "events").select("event_type", F.from_json("props", "k int")["k"].alias("k"))
+    return e.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n_events"), F.sum("k").cast("bigint").alias("sum_k"),
+        F.count_if(F.col("k") > 50).alias("n_k_over_50"), F.count("k").alias("n_with_k"))
+
+
+# ---------------------------------------------------------------------------------------------
+# P5 -- clean numeric text: format amounts with $ and thousands separators, '-' for missing, parse back
+# ---------------------------------------------------------------------------------------------
+
+@register("clean_numeric", """
+WITH f AS (SELECT o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN '-'
+                                      ELSE '$' || format('{:,.2f}', o_totalprice) END AS txt FROM orders),
+p AS (SELECT o_orderstatus, TRY_CAST(nullif(nullif(regexp_replace(txt, '[,$% ]', '', 'g'), '-'), '') AS DOUBLE) AS v
+      FROM f)
+SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n, CAST(count(v) AS BIGINT) AS n_parsed,
+       round(coalesce(sum(v), 0), 2) AS sum_parsed
+FROM p GROUP BY o_orderstatus
+""")
+def q_clean_numeric(spark, d):
+    from panelcraft.functions.clean import clean_numeric
+    o = table(spark, d, "orders").select(
+        "o_orderstatus", F.when(F.col("o_orderstatus") == "P", F.lit("-"))
+        .otherwise(F.concat(F.lit("$"), F.format_number("o_totalprice", 2))).alias("txt"))
+    p = o.withColumn("v", clean_numeric("txt"))
+    return p.groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"), F.count("v").alias("n_parsed"),
+        r(F.coalesce(F.sum("v"), F.lit(0.0))).alias("sum_parsed"))
+
+
+# ---------------------------------------------------------------------------------------------
+# S17, F9 -- content manifest: size and SHA-256 of every whole document
+# ---------------------------------------------------------------------------------------------
+
+@register("file_manifest", """
+SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS sha256 FROM documents
+""")
+def q_file_manifest(spark, d):
+    from panelcraft.sources.landed import content_manifest
+    return content_manifest(table(spark, d, "documents"), "doc_id", "text")
