@@ -656,3 +656,502 @@ SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS sha256 FRO
 def q_file_manifest(spark, d):
     from panelcraft.sources.landed import content_manifest
     return content_manifest(table(spark, d, "documents"), "doc_id", "text")
+
+
+# ---------------------------------------------------------------------------------------------
+# G2 (one regressor), W8 -- two-way fixed-effects slope
+# ---------------------------------------------------------------------------------------------
+
+def nation_year_covariates(spark, d) -> DataFrame:
+    return orders_by_nation(spark, d).groupBy("n_nationkey", "year").agg(
+        F.count(F.lit(1)).alias("n_orders"), F.avg("o_totalprice").alias("mean_price"),
+        F.avg((F.col("o_orderpriority") == "1-URGENT").cast("double")).alias("urgent_share"))
+
+
+COVARIATES_SQL = f"""
+SELECT n_nationkey, year, count(*) AS n_orders, avg(o_totalprice) AS mean_price,
+       avg(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS urgent_share
+FROM ({ORDERS_NATION_SQL}) GROUP BY 1, 2
+"""
+
+
+@register("twfe_within", f"""
+WITH p AS ({COVARIATES_SQL}),
+d AS (SELECT mean_price - avg(mean_price) OVER (PARTITION BY n_nationkey) - avg(mean_price) OVER (PARTITION BY year)
+             + avg(mean_price) OVER () AS yy,
+             urgent_share - avg(urgent_share) OVER (PARTITION BY n_nationkey) - avg(urgent_share) OVER (PARTITION BY year)
+             + avg(urgent_share) OVER () AS xx FROM p)
+SELECT 'urgent_share' AS term, round(sum(xx * yy) / sum(xx * xx), 2) AS coef, CAST(count(*) AS BIGINT) AS nobs FROM d
+""")
+def q_twfe_within(spark, d):
+    from panelcraft.operators.regression import fit_twfe
+    fit = fit_twfe(nation_year_covariates(spark, d), "mean_price", ["urgent_share"], ["n_nationkey"], "year")
+    return spark.createDataFrame([("urgent_share", round(float(fit.coef[0]), 2), fit.nobs)],
+                                 "term string, coef double, nobs bigint")
+
+
+# ---------------------------------------------------------------------------------------------
+# G2-G6 -- event study with clustered standard errors (numpy-checked in tests; rows only here)
+# ---------------------------------------------------------------------------------------------
+
+def treated_covariate_panel(spark, d) -> DataFrame:
+    cov = nation_year_covariates(spark, d).select("n_nationkey", "year", "urgent_share")
+    return treated_panel(spark, d).join(cov, on=["n_nationkey", "year"], how="left")
+
+
+@register("event_study")
+def q_event_study(spark, d):
+    from panelcraft.operators.regression import event_study
+    p = treated_covariate_panel(spark, d)
+    table, _ = event_study(p, "mean_price", ["urgent_share"], ["n_nationkey"], "year",
+                           "event_time", "treatment_year")
+    return table
+
+
+@register("event_plot_data")
+def q_event_plot_data(spark, d):
+    """Error-bar data of the event study (coef, lower and upper bar lengths)."""
+    t = q_event_study(spark, d)
+    return t.select("event_time", "coef", (F.col("coef") - F.col("ci_low")).alias("err_low"),
+                    (F.col("ci_high") - F.col("coef")).alias("err_high"))
+
+
+# ---------------------------------------------------------------------------------------------
+# G7, R5 -- placebo distribution (integer-hash draws) and its histogram
+# ---------------------------------------------------------------------------------------------
+
+N_DRAWS = 100
+PLACEBO_SEED = 42
+
+
+def placebo_draws(spark, d) -> DataFrame:
+    from panelcraft.operators.regression import hash_assignments, placebo_coefficients
+    p = treated_panel(spark, d)
+    treated = p.where(F.col("treatment_year").isNotNull()).select("n_nationkey")
+    a = hash_assignments(treated, "n_nationkey", p.select("year"), "year", N_DRAWS, PLACEBO_SEED)
+    c = placebo_coefficients(p, "mean_price", [], "n_nationkey", "year", a)
+    return c.select("draw", r("coef").alias("coef"))
+
+
+PLACEBO_SQL = f"""
+WITH t AS ({TREATED_SQL}),
+tr AS (SELECT DISTINCT n_nationkey FROM t WHERE treatment_year IS NOT NULL),
+yrs AS (SELECT year, row_number() OVER (ORDER BY year) - 1 AS pi FROM (SELECT DISTINCT year FROM t)),
+dr AS (SELECT CAST(x AS INT) AS draw FROM range(0, {N_DRAWS}) r(x)),
+a AS (SELECT dr.draw, tr.n_nationkey, yrs.year AS g FROM tr CROSS JOIN dr JOIN yrs
+      ON yrs.pi = (({PLACEBO_SEED} * 1000003 + (CAST(dr.draw AS BIGINT) + 1) * 2654435761
+                   + CAST(tr.n_nationkey AS BIGINT) * 40503) % 2147483647) % (SELECT count(*) FROM yrs)),
+x AS (SELECT dr.draw, t.n_nationkey, t.year, t.mean_price AS y,
+             CASE WHEN a.g IS NOT NULL AND t.year >= a.g THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS d
+      FROM t CROSS JOIN dr LEFT JOIN a ON a.draw = dr.draw AND a.n_nationkey = t.n_nationkey),
+m AS (SELECT draw,
+             y - avg(y) OVER (PARTITION BY draw, n_nationkey) - avg(y) OVER (PARTITION BY draw, year)
+               + avg(y) OVER (PARTITION BY draw) AS yy,
+             d - avg(d) OVER (PARTITION BY draw, n_nationkey) - avg(d) OVER (PARTITION BY draw, year)
+               + avg(d) OVER (PARTITION BY draw) AS dd FROM x)
+SELECT draw, round(sum(dd * yy) / sum(dd * dd), 2) AS coef FROM m GROUP BY draw
+"""
+
+
+@register("placebo_distribution", PLACEBO_SQL)
+def q_placebo_distribution(spark, d):
+    return placebo_draws(spark, d)
+
+
+@register("placebo_hist", f"""
+WITH c AS ({PLACEBO_SQL}), mm AS (SELECT min(coef) AS lo, max(coef) AS hi FROM c)
+SELECT CAST(CASE WHEN hi = lo THEN 1 ELSE least(floor((coef - lo) / (hi - lo) * 20.0::DOUBLE) + 1, 20) END AS INT) AS bin,
+       CAST(count(*) AS BIGINT) AS n, lo, hi
+FROM c, mm GROUP BY 1, lo, hi
+""")
+def q_placebo_hist(spark, d):
+    from panelcraft.operators.regression import histogram
+    return histogram(placebo_draws(spark, d), "coef", 20)
+
+
+@register("causal_summary")
+def q_causal_summary(spark, d):
+    """G6 + A13: nobs, R^2, pre-trend p and placebo mean / sample sd of one outcome."""
+    from panelcraft.operators.regression import event_study
+    p = treated_covariate_panel(spark, d)
+    _, s = event_study(p, "mean_price", ["urgent_share"], ["n_nationkey"], "year", "event_time", "treatment_year")
+    pl = placebo_draws(spark, d).agg(F.avg("coef").alias("placebo_mean"),
+                                     F.stddev_samp("coef").alias("placebo_std")).first()
+    return spark.createDataFrame([("mean_price", s["nobs"], s["r2"], s["pretrend_pvalue"], pl["placebo_mean"],
+                                   pl["placebo_std"])],
+                                 "outcome string, nobs double, r2 double, pretrend_pvalue double, "
+                                 "placebo_mean double, placebo_std double")
+
+
+# ---------------------------------------------------------------------------------------------
+# G8 -- group-time ATT (never-treated controls, varying base) and dynamic aggregation
+# ---------------------------------------------------------------------------------------------
+
+ATT_SQL = f"""
+WITH t AS ({TREATED_SQL}),
+bal AS (SELECT * FROM t WHERE n_nationkey IN (
+          SELECT n_nationkey FROM t GROUP BY 1 HAVING count(DISTINCT year) = (SELECT count(DISTINCT year) FROM t))),
+cm AS (SELECT CAST(coalesce(treatment_year, 0) AS INT) AS g, year AS t, avg(mean_price) AS m, count(*) AS n
+       FROM bal WHERE mean_price IS NOT NULL GROUP BY 1, 2),
+tr AS (SELECT *, CASE WHEN t >= g THEN g - 1 ELSE t - 1 END AS b FROM cm WHERE g > 0),
+c AS (SELECT t, m AS mc, n AS nc FROM cm WHERE g = 0)
+SELECT tr.g, tr.t, tr.b AS base_t, (tr.m - tb.m) - (c.mc - cb.mc) AS att, CAST(tr.n AS BIGINT) AS n_treated,
+       CAST(c.nc AS BIGINT) AS n_control
+FROM tr JOIN cm tb ON tb.g = tr.g AND tb.t = tr.b JOIN c ON c.t = tr.t JOIN c cb ON cb.t = tr.b
+"""
+
+
+def att_table(spark, d) -> DataFrame:
+    from panelcraft.operators.did import att_gt
+    return att_gt(treated_panel(spark, d), ["n_nationkey"], "year", "mean_price", "treatment_year")
+
+
+@register("att_gt", f"SELECT g, t, base_t, round(att, 4) AS att, n_treated, n_control FROM ({ATT_SQL})")
+def q_att_gt(spark, d):
+    return att_table(spark, d).select("g", "t", "base_t", r("att", 4).alias("att"), "n_treated", "n_control")
+
+
+ATT_DYN_SQL = f"""
+SELECT CAST(t - g AS INT) AS event_time, sum(att * n_treated) / sum(n_treated) AS att,
+       CAST(count(*) AS BIGINT) AS n_cohorts FROM ({ATT_SQL}) GROUP BY 1
+"""
+
+
+@register("att_dynamic", f"SELECT event_time, round(att, 4) AS att, n_cohorts FROM ({ATT_DYN_SQL})")
+def q_att_dynamic(spark, d):
+    from panelcraft.operators.did import att_dynamic
+    return att_dynamic(att_table(spark, d)).select("event_time", r("att", 4).alias("att"), "n_cohorts")
+
+
+# ---------------------------------------------------------------------------------------------
+# M1, M2, A17 -- splits
+# ---------------------------------------------------------------------------------------------
+
+TRAIN, VAL, TEST = (1995, 1998), (1999, 1999), (2000, 2001)
+
+
+@register("time_split", f"""
+WITH p AS ({PRICES_SQL}),
+s AS (SELECT *, CASE WHEN year BETWEEN {TRAIN[0]} AND {TRAIN[1]} THEN 'train'
+                     WHEN year BETWEEN {VAL[0]} AND {VAL[1]} THEN 'val'
+                     WHEN year BETWEEN {TEST[0]} AND {TEST[1]} THEN 'test' END AS split FROM p)
+SELECT split, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT n_nationkey) AS BIGINT) AS n_units,
+       min(year) AS first_year, max(year) AS last_year FROM s WHERE split IS NOT NULL GROUP BY split
+""")
+def q_time_split(spark, d):
+    from panelcraft.operators.predict import split_with_fallback
+    s = split_with_fallback(nation_year_prices(spark, d), "year", TRAIN, VAL, TEST)
+    return s.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("n_nationkey").alias("n_units"),
+                                  F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+
+
+@register("quantile_split", """
+WITH p AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events),
+d AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i FROM (SELECT DISTINCT day FROM p)),
+c AS (SELECT (SELECT day FROM d WHERE i = CAST(floor((SELECT count(*) FROM d) * 0.6) AS BIGINT)) AS c1,
+             (SELECT day FROM d WHERE i = CAST(floor((SELECT count(*) FROM d) * 0.8) AS BIGINT)) AS c2)
+SELECT split, CAST(count(*) AS BIGINT) AS n, min(day) AS first_day, max(day) AS last_day FROM (
+  SELECT p.*, CASE WHEN day <= c1 THEN 'train' WHEN day <= c2 THEN 'val' ELSE 'test' END AS split FROM p, c)
+GROUP BY split
+""")
+def q_quantile_split(spark, d):
+    from panelcraft.operators.predict import quantile_split
+    p = user_day_panel(spark, d).select("user_id", "day")
+    s = quantile_split(p, "day")
+    return s.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("day").alias("first_day"),
+                                  F.max("day").alias("last_day"))
+
+
+# ---------------------------------------------------------------------------------------------
+# M3, M4 -- train-fitted exact-median imputation and population-sd scaling
+# ---------------------------------------------------------------------------------------------
+
+FEATURES = ["mean_price_lag1", "n_orders_lag1", "urgent_big_avg"]
+
+
+def feature_panel(spark, d) -> DataFrame:
+    from panelcraft.operators.features import add_lags
+    p = nation_year_covariates(spark, d)
+    p = add_lags(p, ["n_nationkey"], "year", ["mean_price", "n_orders"], [1])
+    g = panel_grid(spark, d).select("n_nationkey", "year", "urgent_big_avg")
+    return p.join(g, on=["n_nationkey", "year"], how="left")
+
+
+FEATURE_SQL = f"""
+SELECT p.*, lag(p.mean_price) OVER (PARTITION BY p.n_nationkey ORDER BY p.year) AS mean_price_lag1,
+       lag(p.n_orders) OVER (PARTITION BY p.n_nationkey ORDER BY p.year) AS n_orders_lag1, g.urgent_big_avg
+FROM ({COVARIATES_SQL}) p LEFT JOIN ({PANEL_GRID_SQL}) g USING (n_nationkey, year)
+"""
+
+_TRAIN_PRED = f"year BETWEEN {TRAIN[0]} AND {TRAIN[1]}"
+
+
+@register("impute_scale", f"""
+WITH b AS ({FEATURE_SQL}),
+med AS (SELECT {", ".join(f"median(CAST({c} AS DOUBLE)) AS med_{c}" for c in FEATURES)} FROM b WHERE {_TRAIN_PRED}),
+i AS (SELECT b.n_nationkey, b.year, b.year BETWEEN {TRAIN[0]} AND {TRAIN[1]} AS is_train,
+             {", ".join(f"coalesce(CAST({c} AS DOUBLE), med_{c}) AS i_{c}" for c in FEATURES)} FROM b, med),
+st AS (SELECT {", ".join(f"avg(i_{c}) AS m_{c}, stddev_pop(i_{c}) AS s_{c}" for c in FEATURES)} FROM i WHERE is_train)
+SELECT n_nationkey, year,
+       {", ".join(f"round((i_{c} - m_{c}) / CASE WHEN s_{c} IS NULL OR s_{c} = 0 THEN 1.0::DOUBLE ELSE s_{c} END, 6) AS z_{c}"
+                  for c in FEATURES)}
+FROM i, st
+""")
+def q_impute_scale(spark, d):
+    from panelcraft.operators.predict import apply_preprocess, fit_preprocess
+    p = feature_panel(spark, d)
+    pp = fit_preprocess(p.where(F.col("year").between(*TRAIN)), FEATURES)
+    z = apply_preprocess(p, pp, scale=True, suffix="__z")
+    return z.select("n_nationkey", "year", *[r(f"{c}__z", 6).alias(f"z_{c}") for c in FEATURES])
+
+
+# ---------------------------------------------------------------------------------------------
+# A16 -- MAE / RMSE / R^2 of two baseline predictors by split; A8 best per split
+# ---------------------------------------------------------------------------------------------
+
+def baseline_predictions(spark, d) -> DataFrame:
+    from panelcraft.operators.predict import fit_preprocess, time_split
+    p = time_split(feature_panel(spark, d), "year", TRAIN, VAL, TEST)
+    train = p.where(F.col("split") == "train")
+    med = fit_preprocess(train, ["mean_price_lag1"], scale=False).medians["mean_price_lag1"]
+    g_mean = train.agg(F.avg("mean_price")).first()[0]
+    unit_mean = train.groupBy("n_nationkey").agg(F.avg("mean_price").alias("um"))
+    p = p.join(unit_mean, on="n_nationkey", how="left")
+    naive = p.select("n_nationkey", "year", "split", F.lit("naive_lag1").alias("model"),
+                     F.col("mean_price").alias("y_true"),
+                     F.coalesce(F.col("mean_price_lag1"), F.lit(med)).alias("y_pred"))
+    um = p.select("n_nationkey", "year", "split", F.lit("unit_mean").alias("model"),
+                  F.col("mean_price").alias("y_true"), F.coalesce(F.col("um"), F.lit(g_mean)).alias("y_pred"))
+    return naive.unionByName(um)
+
+
+EVAL_SQL = f"""
+WITH b AS (SELECT *, CASE WHEN year BETWEEN {TRAIN[0]} AND {TRAIN[1]} THEN 'train'
+                          WHEN year BETWEEN {VAL[0]} AND {VAL[1]} THEN 'val'
+                          WHEN year BETWEEN {TEST[0]} AND {TEST[1]} THEN 'test' END AS split FROM ({FEATURE_SQL})),
+tr AS (SELECT * FROM b WHERE split = 'train'),
+med AS (SELECT median(mean_price_lag1) AS med, avg(mean_price) AS gm FROM tr),
+um AS (SELECT n_nationkey, avg(mean_price) AS um FROM tr GROUP BY 1),
+pr AS (SELECT split, 'naive_lag1' AS model, mean_price AS y_true, coalesce(mean_price_lag1, med) AS y_pred FROM b, med
+       UNION ALL
+       SELECT split, 'unit_mean', mean_price, coalesce(um.um, gm) FROM b LEFT JOIN um USING (n_nationkey), med),
+m AS (SELECT model, split, count(*) AS n, avg(abs(y_true - y_pred)) AS mae,
+             sqrt(avg((y_true - y_pred) * (y_true - y_pred))) AS rmse,
+             1 - sum((y_true - y_pred) * (y_true - y_pred))
+                 / (sum(y_true * y_true) - sum(y_true) * sum(y_true) / count(*)) AS r2
+      FROM pr WHERE split IS NOT NULL GROUP BY 1, 2)
+SELECT model, split, CAST(n AS BIGINT) AS n, round(mae, 4) AS mae, round(rmse, 4) AS rmse, round(r2, 6) AS r2 FROM m
+"""
+
+
+def eval_table(spark, d) -> DataFrame:
+    from panelcraft.operators.predict import regression_metrics
+    m = regression_metrics(baseline_predictions(spark, d).where(F.col("split").isNotNull()),
+                           "y_true", "y_pred", ["model", "split"])
+    return m.select("model", "split", "n", r("mae", 4).alias("mae"), r("rmse", 4).alias("rmse"),
+                    r("r2", 6).alias("r2"))
+
+
+@register("eval_metrics", EVAL_SQL)
+def q_eval_metrics(spark, d):
+    return eval_table(spark, d)
+
+
+@register("best_per_group", f"""
+SELECT split, model, rmse FROM (
+  SELECT *, row_number() OVER (PARTITION BY split ORDER BY rmse, model) AS rn FROM ({EVAL_SQL})) WHERE rn = 1
+""")
+def q_best_per_group(spark, d):
+    from panelcraft.operators.dedupe import keep_first
+    return keep_first(eval_table(spark, d), ["split"], ["rmse", "model"], ["model", "rmse"])
+
+
+# ---------------------------------------------------------------------------------------------
+# M5-M10 -- model ladder (Spark ML; rows only: metric bands, not values, are comparable)
+# ---------------------------------------------------------------------------------------------
+
+@register("model_ladder")
+def q_model_ladder(spark, d):
+    from panelcraft.operators.predict import default_models, model_ladder, time_split
+    p = time_split(feature_panel(spark, d), "year", TRAIN, VAL, TEST)
+    ev, _ = model_ladder(p, ["mean_price_lag1", "n_orders_lag1", "urgent_share"], "mean_price",
+                         ["n_nationkey", "year"], "nation_price", models=default_models(n_trees=30, gbt_iter=20))
+    return ev
+
+
+# ---------------------------------------------------------------------------------------------
+# T2 -- TF-IDF vocabulary of whole documents; T4 -- masked mean pooling; T3 -- SVD projection
+# ---------------------------------------------------------------------------------------------
+
+TOP_TERMS = 200
+
+
+@register("tfidf_terms", rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}') AS toks FROM documents),
+g AS (SELECT doc_id, unnest(toks) AS term FROM t
+      UNION ALL
+      SELECT doc_id, unnest(list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1])) FROM t),
+s AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM g GROUP BY term),
+n AS (SELECT count(*) AS n FROM documents)
+SELECT term, CAST(tf AS BIGINT) AS tf, CAST(df AS BIGINT) AS df,
+       round(ln(CAST(1 + n AS DOUBLE) / CAST(1 + df AS DOUBLE)) + 1, 6) AS idf
+FROM s, n ORDER BY tf DESC, term LIMIT {TOP_TERMS}
+""")
+def q_tfidf_terms(spark, d):
+    from panelcraft.operators.text import tokens, tfidf_vocabulary
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    n = docs.count()
+    v = tfidf_vocabulary(tokens(docs, "doc_id", "text", 2), "doc_id", TOP_TERMS)
+    return v.select("term", F.col("tf").cast("bigint").alias("tf"), F.col("df").cast("bigint").alias("df"),
+                    r(F.log((F.lit(1.0) + F.lit(float(n))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0), 6).alias("idf"))
+
+
+@register("mean_pool", """
+WITH e AS (SELECT label, embedding,
+                  CASE WHEN list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) > 0
+                       THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mask FROM embeddings),
+u AS (SELECT label, mask, unnest(embedding) AS v, unnest(range(len(embedding))) AS dim FROM e)
+SELECT label, CAST(dim AS INT) AS dim, round(sum(CAST(v AS DOUBLE) * mask) / greatest(sum(mask), 1e-9), 6) AS pooled
+FROM u GROUP BY label, dim
+""")
+def q_mean_pool(spark, d):
+    from panelcraft.operators.text import mean_pool
+    e = table(spark, d, "embeddings")
+    sq = F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0),
+                     lambda a, b: a + b)
+    m = mean_pool(e, ["label"], "embedding", mask=F.when(sq > 0, 1.0).otherwise(0.0))
+    return m.select("label", F.col("dim").cast("int").alias("dim"), r("pooled", 6).alias("pooled"))
+
+
+@register("svd_embed")
+def q_svd_embed(spark, d):
+    from panelcraft.operators.regression import svd_project
+    e = table(spark, d, "embeddings")
+    dims = len(e.select("embedding").first()[0])
+    proj, _ = svd_project(e, "embedding", dims)
+    return proj.select("vec_id", "label", "svd")
+
+
+# ---------------------------------------------------------------------------------------------
+# A7, J7, O4 -- first/last non-null change per unit and the top movers
+# ---------------------------------------------------------------------------------------------
+
+CHANGE_SQL = f"""
+WITH p AS ({PANEL_GRID_SQL}), nn AS (SELECT * FROM p WHERE urgent_big_avg IS NOT NULL)
+SELECT n_nationkey, min(year) AS first_year, max(year) AS last_year,
+       arg_min(urgent_big_avg, year) AS first_value, arg_max(urgent_big_avg, year) AS last_value,
+       arg_max(urgent_big_avg, year) - arg_min(urgent_big_avg, year) AS delta
+FROM nn GROUP BY n_nationkey
+"""
+
+
+def change_table(spark, d) -> DataFrame:
+    from panelcraft.operators.dedupe import first_last_non_null
+    f = first_last_non_null(panel_grid(spark, d), ["n_nationkey"], "year", "urgent_big_avg",
+                            first_time="first_year", last_time="last_year")
+    return f.withColumn("delta", F.col("last_value") - F.col("first_value"))
+
+
+@register("first_last_change", f"""
+SELECT n_nationkey, first_year, last_year, round(first_value, 6) AS first_value, round(last_value, 6) AS last_value,
+       round(delta, 6) AS delta FROM ({CHANGE_SQL})
+""")
+def q_first_last_change(spark, d):
+    c = change_table(spark, d)
+    return c.select("n_nationkey", "first_year", "last_year", r("first_value", 6).alias("first_value"),
+                    r("last_value", 6).alias("last_value"), r("delta", 6).alias("delta"))
+
+
+@register("top_movers", f"""
+SELECT * FROM (SELECT 'largest_decrease' AS grp, n_nationkey, round(delta, 6) AS delta FROM ({CHANGE_SQL})
+               ORDER BY delta, n_nationkey LIMIT 5)
+UNION ALL
+SELECT * FROM (SELECT 'largest_increase' AS grp, n_nationkey, round(delta, 6) AS delta FROM ({CHANGE_SQL})
+               ORDER BY delta DESC, n_nationkey LIMIT 5)
+""")
+def q_top_movers(spark, d):
+    c = change_table(spark, d).select("n_nationkey", "delta")
+    low = c.orderBy(F.asc("delta"), "n_nationkey").limit(5).select(F.lit("largest_decrease").alias("grp"), "n_nationkey", "delta")
+    high = c.orderBy(F.desc("delta"), "n_nationkey").limit(5).select(F.lit("largest_increase").alias("grp"), "n_nationkey", "delta")
+    return low.unionByName(high).select("grp", "n_nationkey", r("delta", 6).alias("delta"))
+
+
+# ---------------------------------------------------------------------------------------------
+# A10 coverage stats, P22 + A4 coverage flags, R6 one unit's series, P26 + W6 scenarios
+# ---------------------------------------------------------------------------------------------
+
+@register("coverage_stats", f"""
+WITH p AS ({PANEL_GRID_SQL})
+SELECT metric, value FROM (
+  SELECT 'n_rows' AS metric, CAST(count(*) AS BIGINT) AS value FROM p
+  UNION ALL SELECT 'n_units', CAST(count(DISTINCT n_nationkey) AS BIGINT) FROM p
+  UNION ALL SELECT 'first_year', CAST(min(year) AS BIGINT) FROM p
+  UNION ALL SELECT 'last_year', CAST(max(year) AS BIGINT) FROM p
+  UNION ALL SELECT 'n_observed_urgent_big_avg', CAST(count(urgent_big_avg) AS BIGINT) FROM p)
+""")
+def q_coverage_stats(spark, d):
+    p = panel_grid(spark, d)
+    wide = p.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
+                 F.count_distinct("n_nationkey").cast("bigint").alias("n_units"),
+                 F.min("year").cast("bigint").alias("first_year"), F.max("year").cast("bigint").alias("last_year"),
+                 F.count("urgent_big_avg").cast("bigint").alias("n_observed_urgent_big_avg"))
+    names = ["n_rows", "n_units", "first_year", "last_year", "n_observed_urgent_big_avg"]
+    return wide.selectExpr(f"stack({len(names)}, " + ", ".join(f"'{n}', {n}" for n in names) + ") as (metric, value)")
+
+
+@register("coverage_flags", """
+WITH g AS (SELECT c_custkey, CAST(y AS INT) AS year FROM customer,
+           range((SELECT min(year(o_orderdate)) FROM orders), (SELECT max(year(o_orderdate)) FROM orders) + 1) t(y)),
+o AS (SELECT o_custkey AS c_custkey, CAST(year(o_orderdate) AS INT) AS year, count(*) AS n FROM orders GROUP BY 1, 2),
+any_o AS (SELECT DISTINCT o_custkey AS c_custkey FROM orders),
+f AS (SELECT CASE WHEN o.n IS NOT NULL THEN 'observed'
+                  WHEN a.c_custkey IS NOT NULL THEN 'missing_no_unit_data'
+                  ELSE 'missing_no_code' END AS coverage_flag
+      FROM g LEFT JOIN o USING (c_custkey, year) LEFT JOIN any_o a ON a.c_custkey = g.c_custkey)
+SELECT coverage_flag, CAST(count(*) AS BIGINT) AS n FROM f GROUP BY 1
+""")
+def q_coverage_flags(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.year("o_orderdate").alias("year"))
+    lo, hi = time_bounds(o, "year")
+    grid = time_grid(table(spark, d, "customer").select("c_custkey"), "year", lo, hi)
+    seen = o.groupBy("c_custkey", "year").agg(F.lit(True).alias("obs"))
+    known = o.select("c_custkey").distinct().withColumn("known", F.lit(True))
+    f = grid.join(seen, on=["c_custkey", "year"], how="left").join(known, on="c_custkey", how="left")
+    flag = (F.when(F.col("obs"), "observed").when(F.col("known"), "missing_no_unit_data")
+            .otherwise("missing_no_code"))
+    return f.groupBy(flag.alias("coverage_flag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("unit_series", f"""
+SELECT n_nationkey, year, n_orders, round(revenue, 2) AS revenue FROM ({PANEL_GRID_SQL})
+WHERE n_nationkey = (SELECT n_nationkey FROM nation WHERE n_name = 'NATION_7')
+""")
+def q_unit_series(spark, d):
+    """The time series of one unit, sorted (the sort is the feature of this report)."""
+    nat = table(spark, d, "nation").where(F.col("n_name") == "NATION_7").select("n_nationkey")
+    p = panel_grid(spark, d).join(nat, on="n_nationkey", how="left_semi")
+    return p.select("n_nationkey", "year", "n_orders", r("revenue").alias("revenue")).orderBy("year")
+
+
+SCENARIOS = [("raise", 1), ("hold", 0), ("cut", -1)]
+
+
+@register("scenario", f"""
+WITH p AS ({PRICES_SQL}),
+latest AS (SELECT n_nationkey, max(year) AS latest_year, arg_max(mean_price, year) AS latest FROM p GROUP BY 1),
+eff AS (SELECT sum(att * n_treated) / sum(n_treated) AS effect FROM ({ATT_SQL}) WHERE t >= g),
+s AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {v})" for n, v in SCENARIOS)}) v(scenario, direction))
+SELECT n_nationkey, scenario, latest_year, round(latest, 4) AS latest,
+       round(greatest(0.0::DOUBLE, latest + effect * sign(direction)), 4) AS projected
+FROM latest, eff, s
+""")
+def q_scenario(spark, d):
+    from panelcraft.operators.dedupe import latest_per_unit
+    latest = latest_per_unit(nation_year_prices(spark, d), ["n_nationkey"], "year", ["mean_price"])
+    a = att_table(spark, d).where(F.col("t") >= F.col("g"))
+    effect = a.agg((F.sum(F.col("att") * F.col("n_treated")) / F.sum("n_treated")).alias("e")).first()["e"]
+    scen = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(v).alias("direction")) for n, v in SCENARIOS])
+    s = latest.withColumn("__s", F.explode(scen)).select("n_nationkey", "year", "mean_price", "__s.*")
+    proj = F.greatest(F.lit(0.0), F.col("mean_price") + F.lit(float(effect)) * F.signum(F.col("direction")))
+    return s.select("n_nationkey", "scenario", F.col("year").alias("latest_year"),
+                    r("mean_price", 4).alias("latest"), r(proj, 4).alias("projected"))
