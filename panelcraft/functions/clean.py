@@ -95,7 +95,7 @@ def rate_per(numerator, denominator, per: float = 100000.0, denominator_scale: f
 def parse_mdy(x) -> Column:
     """safe ``%m/%d/%Y`` parse; anything else -> NULL."""
     c = strip_ws(x)
-    return F.when(c.rlike(DATE_MDY_FULL), F.try_to_date(c, F.lit("M/d/yyyy")))
+    return F.when(c.rlike(DATE_MDY_FULL), F.try_to_date(c, "M/d/yyyy"))
 
 
 def jan_first(year) -> Column:

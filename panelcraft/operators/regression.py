@@ -368,3 +368,32 @@ def svd_project(df: DataFrame, vec: str, dims: int, k: int | None = None, out: s
         return pd.Series(list(x @ vb.value))
 
     return df.withColumn(out, project(F.col(vec))), sv
+
+
+def sparse_svd_project(rows: DataFrame, doc: str, index: str, weight: str, n_cols: int, k: int,
+                       out: str = "embedding") -> tuple[DataFrame, np.ndarray]:
+    """T3 for sparse rows (doc, column index, weight), e.g. TF-IDF: truncated, uncentred SVD with
+    ``RowMatrix.computeSVD`` (distributed: Gram by tree aggregation for narrow matrices, ARPACK with
+    distributed products otherwise), then the projection ``X V`` as a join of the sparse entries with the
+    broadcast loadings (n_cols x k rows, bounded by the vocabulary size) and one aggregation per doc."""
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    grouped = rows.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(index, weight))).alias("__e"))
+    vecs = grouped.select("__e").rdd.map(
+        lambda r: Vectors.sparse(n_cols, [int(e[0]) for e in r[0]], [float(e[1]) for e in r[0]]))
+    svd = RowMatrix(vecs, numCols=n_cols).computeSVD(k, computeU=False)
+    v = svd.V.toArray()
+    flip = np.sign(v[np.abs(v).argmax(axis=0), range(v.shape[1])])
+    v = v * np.where(flip == 0, 1, flip)
+    spark = rows.sparkSession
+    loadings = spark.createDataFrame(
+        [(int(i), int(j), float(v[i, j])) for i in range(v.shape[0]) for j in range(v.shape[1]) if v[i, j] != 0.0],
+        f"{index} int, __comp int, __load double")
+    proj = (rows.join(F.broadcast(loadings), on=index, how="inner")
+            .groupBy(doc, "__comp").agg(F.sum(F.col(weight) * F.col("__load")).alias("__x"))
+            .groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("__comp", "__x"))).alias("__m")))
+    kk = v.shape[1]
+    proj = proj.select(doc, F.transform(F.sequence(F.lit(0), F.lit(kk - 1)),
+                                        lambda j: F.coalesce(F.element_at("__m", j), F.lit(0.0))).alias(out))
+    return proj, np.asarray(svd.s.toArray())

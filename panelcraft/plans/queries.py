@@ -902,7 +902,9 @@ def q_impute_scale(spark, d):
     p = feature_panel(spark, d)
     pp = fit_preprocess(p.where(F.col("year").between(*TRAIN)), FEATURES)
     z = apply_preprocess(p, pp, scale=True, suffix="__z")
-    return z.select("n_nationkey", "year", *[r(f"{c}__z", 6).alias(f"z_{c}") for c in FEATURES])
+    # a feature that is entirely missing in train is dropped by the imputer; keep the column, as NULL
+    return z.select("n_nationkey", "year", *[
+        (r(f"{c}__z", 6) if c in pp.medians else F.lit(None).cast("double")).alias(f"z_{c}") for c in FEATURES])
 
 
 # ---------------------------------------------------------------------------------------------

@@ -77,7 +77,7 @@ def series_files(spark: SparkSession, path_glob: str, name_pattern: str,
            .withColumn("__file", F.col("_metadata.file_name")))
     out = raw.select(
         *[F.regexp_extract("__file", name_pattern, g).alias(c) for c, g in name_groups.items()],
-        F.try_to_date(F.col("c0"), F.lit("yyyy-MM-dd")).alias("date"),
+        F.try_to_date(F.col("c0"), "yyyy-MM-dd").alias("date"),
         F.col("c1").try_cast("double").alias("value"))
     return out.where(F.col("date").isNotNull())
 
@@ -200,7 +200,8 @@ def pick_from_json_array(json_col: Column, element_schema: str, predicate, value
 
 
 def file_manifest(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below ``root``: relative path, size, SHA-256 of the content (hashed in tasks)."""
+    """Every file below ``root``: relative path, size, SHA-256 of the content (hashed in tasks).
+    (Spark's file listing skips zero-byte files, so those are not listed.)"""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     prefix = root.rstrip("/") + "/"
     rel = F.regexp_replace(F.col("path"), r"^file:", "")
