@@ -26,18 +26,23 @@ def add_lags(df: DataFrame, unit: Sequence[str], time: str, cols: Sequence[str],
 
 
 def add_diff(df: DataFrame, unit: Sequence[str], time: str, col: str, out: str | None = None,
-             event_out: str | None = None, threshold: float = 0.0) -> DataFrame:
+             event_out: str | None = None, threshold: float = 0.0, threshold_sd: float | None = None) -> DataFrame:
     """W2 (+P15): ``col - lag(col)`` and optionally ``event = coalesce(diff > threshold, false)``.
 
-    NULL difference is no event (the reference's ``NaN > 0`` is False; Spark would order NaN high, so
-    NaN is nulled first).
+    With ``threshold_sd = k`` the event is instead ``diff > k * stddev_samp(diff of the unit)`` -- a
+    scale-free rule (the noise of a cell mean shrinks as cells grow).  NULL difference is no event (the
+    reference's ``NaN > 0`` is False; Spark would order NaN high, so NaN is nulled first).
     """
     out = out or f"{col}_delta"
     w = Window.partitionBy(*unit).orderBy(time)
     x = F.when(~F.isnan(F.col(col)), F.col(col)) if dict(df.dtypes)[col] in ("double", "float") else F.col(col)
     df = df.withColumn(out, x - F.lag(x, 1).over(w))
     if event_out:
-        df = df.withColumn(event_out, indicator(F.col(out) > F.lit(threshold)))
+        if threshold_sd is None:
+            bound = F.lit(threshold)
+        else:
+            bound = F.lit(float(threshold_sd)) * F.stddev_samp(out).over(Window.partitionBy(*unit))
+        df = df.withColumn(event_out, indicator(F.col(out) > bound))
     return df
 
 

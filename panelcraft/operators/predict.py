@@ -174,8 +174,8 @@ def model_ladder(df: DataFrame, features: Sequence[str], target: str, keys: Sequ
                 est = GBTRegressor(featuresCol="__x", labelCol=target, maxDepth=6, maxIter=spec["max_iter"],
                                    stepSize=0.1, minInstancesPerNode=20, seed=seed)
             else:
-                est = FMRegressor(featuresCol="__x", labelCol=target, factorSize=8, seed=seed, maxIter=200,
-                                  stepSize=0.05)
+                est = FMRegressor(featuresCol="__x", labelCol=target, factorSize=8, seed=seed, maxIter=50,
+                                  stepSize=0.1, solver="adamW")
             scored = est.fit(tr).transform(prepared).withColumn("__pred", F.col("prediction"))
         scored = scored.select(*keys, split, F.col(target).alias("y_true"), F.col("__pred").alias("y_pred")).cache()
         met = {r[split]: r for r in regression_metrics(scored.where(F.col(split) != "train"), "y_true", "y_pred",

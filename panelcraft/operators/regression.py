@@ -157,20 +157,23 @@ def fit_twfe(df: DataFrame, y: str, x: Sequence[str], unit: Sequence[str], time:
     """
     unit, x = list(unit), list(x)
     cluster = list(cluster or unit)
-    d = df.select(*set(unit + cluster + ([time] if time else [])), y, *x).dropna(subset=[y, *x])
+    keep = list(dict.fromkeys(unit + cluster + ([time] if time else [])))
+    d = (df.select(*keep, y, *x).dropna(subset=[y, *x])
+         .withColumn(y, F.col(y).cast("double")).withColumn("__yraw", F.col(y)))
+    d = d.persist()  # the estimation sample is read by the period scan and the demeaning pass
     terms = list(x)
     if absorb_time and time:
         periods = [r[0] for r in d.select(time).distinct().orderBy(time).collect()]
-        d, tcols = period_dummies(d, time, periods)
+        d2, tcols = period_dummies(d, time, periods)
         cols = terms + tcols
     else:
-        cols = terms
-    dm = demean_by_unit(d.withColumn(y, F.col(y).cast("double")), unit, [*cols, y], suffix="")
-    dm = dm.cache()
+        d2, cols = d, terms
+    dm = demean_by_unit(d2, unit, [*cols, y], suffix="").persist()
     try:
         stats = dm.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*[F.col(u) for u in unit]).alias("g_units"),
-                       F.count_distinct(*[F.col(c) for c in cluster]).alias("g")).first()
-        totals = d.agg(F.sum(y).alias("sy"), F.sum(F.col(y) * F.col(y)).alias("syy")).first()
+                       F.count_distinct(*[F.col(c) for c in cluster]).alias("g"),
+                       F.sum("__yraw").alias("sy"), F.sum(F.col("__yraw") * F.col("__yraw")).alias("syy")).first()
+        totals = stats
         g_all = gram(dm, [*cols, y])
         p = len(cols)
         xtx, xty, yty = g_all[:p, :p], g_all[:p, p], g_all[p, p]
@@ -186,6 +189,7 @@ def fit_twfe(df: DataFrame, y: str, x: Sequence[str], unit: Sequence[str], time:
         meat = gram(scores, [f"__s{i}" for i in range(p)])
     finally:
         dm.unpersist()
+        d.unpersist()
     g = int(stats["g"])
     scale = (g / (g - 1.0)) * ((n - 1.0) / (n - k)) if g > 1 and n > k else float("nan")
     cov = scale * inv @ meat @ inv
@@ -283,11 +287,11 @@ def placebo_coefficients(df: DataFrame, y: str, covariates: Sequence[str], unit:
     """
     from pyspark.sql import Window
 
-    d = df.select(unit, time, y, *covariates).dropna(subset=[y, *covariates])
-    periods = [r[0] for r in d.select(time).distinct().orderBy(time).collect()]
-    d, tcols = period_dummies(d, time, periods)
+    d0 = df.select(unit, time, y, *covariates).dropna(subset=[y, *covariates]).persist()
+    periods = [r[0] for r in d0.select(time).distinct().orderBy(time).collect()]
+    d, tcols = period_dummies(d0, time, periods)
     wcols = [*covariates, *tcols]
-    dm = demean_by_unit(d.withColumn(y, F.col(y).cast("double")), [unit], [*wcols, y]).cache()
+    dm = demean_by_unit(d.withColumn(y, F.col(y).cast("double")), [unit], [*wcols, y]).persist()
     try:
         g_all = gram(dm, [*wcols, y])
         q = len(wcols)
@@ -317,6 +321,7 @@ def placebo_coefficients(df: DataFrame, y: str, covariates: Sequence[str], unit:
         rows = agg.collect()
     finally:
         dm.unpersist()
+        d0.unpersist()
     out = []
     for r in rows:
         dy = r["__S0"]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from panelcraft.functions.clean import DATE_MDY_FULL, DOLLAR_PATTERN, TABLE_RULE_PATTERN, normalize_name, parse_mdy
 from panelcraft.functions.ordered import running_totals, shift_rows
+from panelcraft.functions.partitioning import spread
 
 # Fixed values of the reference's page formats (markers of the timeline page).
 LINE_SPLIT = r"\r\n|\r|\n"
@@ -38,7 +39,7 @@ def clean_line_array(text: Column) -> Column:
 
 def line_tokens(df: DataFrame, doc: str, text: str, pos: str = "pos", token: str = "token") -> DataFrame:
     """One row per kept line token: (doc, pos 0.., token)."""
-    return df.select(F.col(doc), F.posexplode(clean_line_array(F.col(text))).alias(pos, token))
+    return spread(df).select(F.col(doc), F.posexplode(clean_line_array(F.col(text))).alias(pos, token))
 
 
 def segment_blocks(tokens: DataFrame, part: Sequence[str], pos: str, token: str, names: DataFrame,

@@ -16,6 +16,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcraft.functions.partitioning import spread
+
 # Fixed values matching the reference's vectoriser: a token is a run of 2+ word characters,
 # n-grams join consecutive tokens with one blank, the separator of aggregated texts is " ; ".
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -44,31 +46,48 @@ def text_panel(grid: DataFrame, events: DataFrame, keys: Sequence[str], text: Co
             .withColumn(out, F.coalesce(F.col(out), F.lit(default))))
 
 
-def tokens(df: DataFrame, doc: str, text: str, ngram_max: int = 2, pattern: str = TOKEN_PATTERN) -> DataFrame:
-    """(doc, pos, term) for all 1..n-grams of the lower-cased token sequence of every document.
+def with_grams(df: DataFrame, text: str, out: str = "__g", ngram_max: int = 2,
+               pattern: str = TOKEN_PATTERN) -> DataFrame:
+    """Adds ``out``: all 1..n-grams of the lower-cased token sequence of ``text``, as one array.
 
-    The n-grams are built inside the row (arrays of the whole text), so no window over documents and no
-    shuffle happens before the term aggregation.
+    Built in-row with Spark ML's JVM transformers (``RegexTokenizer`` finds the tokens after lower-casing,
+    ``NGram`` joins consecutive tokens with one blank): no window, no shuffle, no Python, and ~3x faster
+    than the same logic as SQL higher-order functions (interpreted lambdas).
     """
-    toks = F.regexp_extract_all(F.lower(F.col(text)), F.lit(pattern), 0)
-    d = df.select(F.col(doc), toks.alias("__t"))
-    grams = []
-    for n in range(1, ngram_max + 1):
-        if n == 1:
-            grams.append(F.col("__t"))
-        else:
-            # element i joins tokens i..i+n-1 (1-based slice); only full n-grams are kept
-            idx = F.sequence(F.lit(1), F.greatest(F.size("__t") - (n - 1), F.lit(0)))
-            grams.append(F.when(F.size("__t") >= n, F.transform(
-                idx, lambda i: F.array_join(F.slice(F.col("__t"), i, n), NGRAM_JOIN))).otherwise(F.array()))
-    allg = F.concat(*grams) if len(grams) > 1 else grams[0]
-    return d.select(F.col(doc), F.posexplode(allg).alias("pos", "term"))
-
-
-def tfidf_vocabulary(tok: DataFrame, doc: str, max_features: int) -> DataFrame:
+    from pyspark.ml.feature import NGram, RegexTokenizer
+
+    tok = RegexTokenizer(inputCol=text, outputCol="__tok", pattern=pattern, gaps=False, toLowercase=True,
+                         minTokenLength=1)
+    d = tok.transform(df)
+    parts = ["__tok"]
+    for n in range(2, ngram_max + 1):
+        d = NGram(n=n, inputCol="__tok", outputCol=f"__ng{n}").transform(d)
+        parts.append(f"__ng{n}")
+    return d.withColumn(out, F.concat(*parts) if len(parts) > 1 else F.col("__tok")).drop(*parts)
+
+
+def tokens(df: DataFrame, doc: str, text: str, ngram_max: int = 2, pattern: str = TOKEN_PATTERN) -> DataFrame:
+    """(doc, pos, term) for all 1..n-grams of every document."""
+    g = with_grams(spread(df.select(doc, text)), text, "__g", ngram_max, pattern)
+    return g.select(F.col(doc), F.posexplode("__g").alias("pos", "term"))
+
+
+def term_stats(df: DataFrame, doc: str, text: str, ngram_max: int = 2) -> DataFrame:
+    """(term, tf, df): corpus and document frequency with ONE explode and ONE aggregation keyed on the
+    term only.  Each document emits its occurrences (flag 0) and its distinct terms (flag 1, from
+    ``array_distinct`` in-row), so the map-side combine collapses frequent terms before the shuffle;
+    no (term, doc) pairs are shuffled."""
+    g = with_grams(spread(df.select(text)), text, "__g", ngram_max).select("__g")
+    # positions < size(__g) are occurrences, the rest are the document's distinct terms
+    ex = g.select(F.size("__g").alias("__n"),
+                  F.posexplode(F.concat("__g", F.array_distinct("__g"))).alias("__pos", "term"))
+    return ex.groupBy("term").agg(F.count_if(F.col("__pos") < F.col("__n")).alias("tf"),
+                                  F.count_if(F.col("__pos") >= F.col("__n")).alias("df"))
+
+
+def tfidf_vocabulary(df: DataFrame, doc: str, text: str, max_features: int, ngram_max: int = 2) -> DataFrame:
     """(term, term_index, tf, df): the ``max_features`` most frequent terms (ties by term)."""
-    stats = tok.groupBy("term").agg(F.count(F.lit(1)).alias("tf"), F.count_distinct(doc).alias("df"))
-    top = stats.orderBy(F.desc("tf"), F.asc("term")).limit(max_features)
+    top = term_stats(df, doc, text, ngram_max).orderBy(F.desc("tf"), F.asc("term")).limit(max_features)
     w = Window.orderBy(F.asc("term"))  # k rows only (bounded by max_features)
     return top.withColumn("term_index", (F.row_number().over(w) - 1).cast("int"))
 
@@ -80,7 +99,7 @@ def tfidf(df: DataFrame, doc: str, text: str, max_features: int = 2048, ngram_ma
     The vocabulary has at most ``max_features`` rows (a proven bound), so it is broadcast.
     """
     tok = tokens(df, doc, text, ngram_max)
-    vocab = tfidf_vocabulary(tok, doc, max_features)
+    vocab = tfidf_vocabulary(df, doc, text, max_features, ngram_max)
     n = n_docs if n_docs is not None else df.select(doc).count()
     vocab = vocab.withColumn("idf", F.log((F.lit(1.0) + F.lit(float(n))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
     counts = (tok.join(F.broadcast(vocab.select("term", "term_index", "idf")), on="term", how="inner")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcraft.functions.clean import indicator, rate_per
+from panelcraft.functions.partitioning import spread
 from panelcraft.operators.cases import existence_flags, flagged_sums
 from panelcraft.operators.panel import key_qa, left_join_sources, missing_rates, time_bounds, time_grid
 
@@ -254,7 +255,10 @@ def q_lag_diff_features(spark, d):
 # G1, A6, J11, P16, P17 -- treatment cohorts, event time and dummies
 # ---------------------------------------------------------------------------------------------
 
-TREAT_THRESHOLD = 30000.0
+# treatment event: a year-on-year increase of the nation's mean order price above TREAT_SD standard
+# deviations of that nation's own year-on-year changes (scale-free: treated and never-treated nations
+# exist at every scale factor)
+TREAT_SD = 1.2
 EVENT_TERMS = [k for k in range(-5, 6) if k != -1]
 
 
@@ -265,7 +269,7 @@ def _evt_name(k: int) -> str:
 def treated_panel(spark, d) -> DataFrame:
     from panelcraft.operators.features import add_diff, add_event_dummies, add_event_time
     p = nation_year_prices(spark, d)
-    p = add_diff(p, ["n_nationkey"], "year", "mean_price", "mean_price_delta", "increase", TREAT_THRESHOLD)
+    p = add_diff(p, ["n_nationkey"], "year", "mean_price", "mean_price_delta", "increase", threshold_sd=TREAT_SD)
     p = add_event_time(p, ["n_nationkey"], "year", "increase", "treatment_year", "event_time")
     p, _ = add_event_dummies(p, "event_time", "treatment_year")
     return p
@@ -273,8 +277,10 @@ def treated_panel(spark, d) -> DataFrame:
 
 TREATED_SQL = f"""
 WITH p AS ({PRICES_SQL}),
-d AS (SELECT *, mean_price - lag(mean_price) OVER (PARTITION BY n_nationkey ORDER BY year) AS dd FROM p),
-t AS (SELECT n_nationkey, min(year) AS treatment_year FROM d WHERE coalesce(dd > {TREAT_THRESHOLD}, false) GROUP BY 1)
+d0 AS (SELECT *, mean_price - lag(mean_price) OVER (PARTITION BY n_nationkey ORDER BY year) AS dd FROM p),
+d AS (SELECT *, stddev_samp(dd) OVER (PARTITION BY n_nationkey) AS sd FROM d0),
+t AS (SELECT n_nationkey, min(year) AS treatment_year FROM d WHERE coalesce(dd > {TREAT_SD}::DOUBLE * sd, false)
+      GROUP BY 1)
 SELECT d.*, t.treatment_year, CAST(d.year - t.treatment_year AS INT) AS event_time
 FROM d LEFT JOIN t USING (n_nationkey)
 """
@@ -569,12 +575,13 @@ FROM k GROUP BY doc_id
 """)
 def q_token_lines(spark, d):
     from panelcraft.functions.clean import TABLE_RULE_PATTERN
-    from panelcraft.operators.segment import LINE_SPLIT, _strip, clean_line_array
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    kept = clean_line_array(F.col("text"))
-    lines = F.transform(F.split(F.col("text"), LINE_SPLIT), _strip)
-    rules = F.filter(lines, lambda x: (x != "") & x.rlike(TABLE_RULE_PATTERN))
-    return docs.select(
+    from panelcraft.operators.segment import LINE_SPLIT, _strip
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    # the stripped lines are computed once; both filters read them (the projection is not re-inlined)
+    lines = docs.select("doc_id", F.transform(F.split(F.col("text"), LINE_SPLIT), _strip).alias("lines"))
+    kept = F.filter("lines", lambda x: (x != "") & ~x.rlike(TABLE_RULE_PATTERN) & ~x.startswith("!["))
+    rules = F.filter("lines", lambda x: (x != "") & x.rlike(TABLE_RULE_PATTERN))
+    return lines.select(
         "doc_id", F.size(kept).cast("bigint").alias("n_tokens"),
         F.aggregate(kept, F.lit(0).cast("bigint"), lambda acc, x: acc + F.length(x)).alias("chars_kept"),
         F.size(rules).cast("bigint").alias("n_rules"))
@@ -596,7 +603,7 @@ FROM documents
 """)
 def q_regex_fields(spark, d):
     from panelcraft.functions.clean import DOLLAR_PATTERN, first_dollar_amount
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return docs.select(
         "doc_id", first_dollar_amount("text").alias("first_amount"),
         F.size(F.regexp_extract_all("text", F.lit(DOLLAR_PATTERN), 0)).cast("bigint").alias("n_amounts"),
@@ -655,7 +662,7 @@ SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS sha256 FRO
 """)
 def q_file_manifest(spark, d):
     from panelcraft.sources.landed import content_manifest
-    return content_manifest(table(spark, d, "documents"), "doc_id", "text")
+    return content_manifest(spread(table(spark, d, "documents")), "doc_id", "text")
 
 
 # ---------------------------------------------------------------------------------------------
@@ -1000,10 +1007,10 @@ SELECT term, CAST(tf AS BIGINT) AS tf, CAST(df AS BIGINT) AS df,
 FROM s, n ORDER BY tf DESC, term LIMIT {TOP_TERMS}
 """)
 def q_tfidf_terms(spark, d):
-    from panelcraft.operators.text import tokens, tfidf_vocabulary
+    from panelcraft.operators.text import tfidf_vocabulary
     docs = table(spark, d, "documents").select("doc_id", "text")
     n = docs.count()
-    v = tfidf_vocabulary(tokens(docs, "doc_id", "text", 2), "doc_id", TOP_TERMS)
+    v = tfidf_vocabulary(docs, "doc_id", "text", TOP_TERMS)
     return v.select("term", F.col("tf").cast("bigint").alias("tf"), F.col("df").cast("bigint").alias("df"),
                     r(F.log((F.lit(1.0) + F.lit(float(n))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0), 6).alias("idf"))
 
@@ -1144,7 +1151,8 @@ latest AS (SELECT n_nationkey, max(year) AS latest_year, arg_max(mean_price, yea
 eff AS (SELECT sum(att * n_treated) / sum(n_treated) AS effect FROM ({ATT_SQL}) WHERE t >= g),
 s AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {v})" for n, v in SCENARIOS)}) v(scenario, direction))
 SELECT n_nationkey, scenario, latest_year, round(latest, 4) AS latest,
-       round(greatest(0.0::DOUBLE, latest + effect * sign(direction)), 4) AS projected
+       round(CASE WHEN effect IS NOT NULL THEN greatest(0.0::DOUBLE, latest + effect * sign(direction)) END, 4)
+         AS projected
 FROM latest, eff, s
 """)
 def q_scenario(spark, d):
@@ -1152,8 +1160,9 @@ def q_scenario(spark, d):
     latest = latest_per_unit(nation_year_prices(spark, d), ["n_nationkey"], "year", ["mean_price"])
     a = att_table(spark, d).where(F.col("t") >= F.col("g"))
     effect = a.agg((F.sum(F.col("att") * F.col("n_treated")) / F.sum("n_treated")).alias("e")).first()["e"]
+    eff = F.lit(None).cast("double") if effect is None else F.lit(float(effect))
     scen = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(v).alias("direction")) for n, v in SCENARIOS])
     s = latest.withColumn("__s", F.explode(scen)).select("n_nationkey", "year", "mean_price", "__s.*")
-    proj = F.greatest(F.lit(0.0), F.col("mean_price") + F.lit(float(effect)) * F.signum(F.col("direction")))
+    proj = F.when(eff.isNotNull(), F.greatest(F.lit(0.0), F.col("mean_price") + eff * F.signum(F.col("direction"))))
     return s.select("n_nationkey", "scenario", F.col("year").alias("latest_year"),
                     r("mean_price", 4).alias("latest"), r(proj, 4).alias("projected"))
