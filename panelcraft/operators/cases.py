@@ -22,8 +22,10 @@ def existence_flags(detail: DataFrame, case_key: Sequence[str], flags: Mapping[s
     """
     case_key = list(case_key)
     preds = {n: F.coalesce(p, F.lit(False)) for n, p in flags.items()}
+    # the pre-filter uses the raw predicates so that it reaches the scan (PushedFilters / row-group
+    # skipping); a NULL predicate drops the row exactly like false
     any_pred = None
-    for p in preds.values():
+    for p in flags.values():
         any_pred = p if any_pred is None else (any_pred | p)
     return (detail.where(any_pred)
             .groupBy(*case_key)
@@ -32,7 +34,8 @@ def existence_flags(detail: DataFrame, case_key: Sequence[str], flags: Mapping[s
 
 def flagged_sums(cases: DataFrame, case_key: Sequence[str], group: Sequence[str], value: str | Column,
                  flags: DataFrame, flag_names: Sequence[str], total_name: str = "total",
-                 out_names: Mapping[str, str] | None = None, fill_zero: bool = True) -> DataFrame:
+                 out_names: Mapping[str, str] | None = None, fill_zero: bool = True,
+                 count_name: str | None = None) -> DataFrame:
     """A2: per group, total of ``value`` and the totals restricted to flagged cases, side by side.
 
     ``flags`` is the output of :func:`existence_flags` (unique on ``case_key``), so the left join
@@ -42,6 +45,8 @@ def flagged_sums(cases: DataFrame, case_key: Sequence[str], group: Sequence[str]
     v = F.col(value) if isinstance(value, str) else value
     joined = cases.join(flags, on=list(case_key), how="left")
     aggs = [F.sum(v).alias(total_name)]
+    if count_name:
+        aggs.append(F.count(F.lit(1)).alias(count_name))
     for f in flag_names:
         s = F.sum(F.when(F.coalesce(F.col(f), F.lit(False)), v))
         if fill_zero:

@@ -95,12 +95,12 @@ def q_case_flag_totals(spark, d):
         "has_return": F.col("l_returnflag") == "R",
         "has_bulk": F.col("l_quantity").between(45, 50),
     }).withColumnRenamed("l_orderkey", "o_orderkey")
-    cases = orders_by_nation(spark, d).withColumn("one", F.lit(1))
+    cases = orders_by_nation(spark, d)
     out = flagged_sums(cases, ["o_orderkey"], ["n_nationkey", "year"], "o_totalprice", flags,
                        ["has_return", "has_bulk"], total_name="revenue",
-                       out_names={"has_return": "revenue_returned", "has_bulk": "revenue_bulk"})
-    n = cases.groupBy("n_nationkey", "year").agg(F.count(F.lit(1)).alias("n_orders"))
-    return out.join(n, on=["n_nationkey", "year"]).select(
+                       out_names={"has_return": "revenue_returned", "has_bulk": "revenue_bulk"},
+                       count_name="n_orders")
+    return out.select(
         "n_nationkey", "year", "n_orders", r("revenue").alias("revenue"),
         r("revenue_returned").alias("revenue_returned"), r("revenue_bulk").alias("revenue_bulk"))
 
