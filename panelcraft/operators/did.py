@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -66,3 +66,240 @@ def simple_2x2(df: DataFrame, unit: Sequence[str], time: str, y: str, treated: s
         F.first(F.when(F.col("po") == 1, F.col("m")), ignorenulls=True).alias("post"),
         F.first(F.when(F.col("po") == 0, F.col("m")), ignorenulls=True).alias("pre"))
     return p.select(((F.col("1_post") - F.col("1_pre")) - (F.col("0_post") - F.col("0_pre"))).alias("did"))
+
+
+# ------------------------------------------------------------------------------------------------
+# doubly robust ATT(g, t) with covariates
+# ------------------------------------------------------------------------------------------------
+
+
+def _cell_rows(df: DataFrame, unit: str, time: str, y: str, cohort: str, covariates: Sequence[str]):
+    """(cell g/t/b, unit, D, dy, x_1..x_k): every treated-cohort and never-treated unit of every cell,
+    with the outcome change between t and the base b and the covariates at the base period."""
+    spark = df.sparkSession
+    d = (df.select(unit, time, y, cohort, *covariates)
+         .withColumn("__G", F.coalesce(F.col(cohort), F.lit(0)).cast("int"))
+         .dropna(subset=[y, *covariates]))
+    d = balance(d, [unit], time)
+    periods = sorted(r[0] for r in d.select(time).distinct().collect())
+    cohorts = sorted(r[0] for r in d.select("__G").distinct().collect() if r[0] and r[0] > 0)
+    cells = []
+    for g in cohorts:
+        for t in periods:
+            b = g - 1 if t >= g else t - 1
+            if b in periods and t != b:
+                cells.append((len(cells), g, t, b))
+    cell_df = spark.createDataFrame(cells, "cell int, g int, t int, b int")  # #cohorts x #periods rows
+    units = d.select(unit, "__G").distinct()
+    # treated units join their own cohort's cells; never-treated units join every cell
+    tr = units.where(F.col("__G") > 0).join(F.broadcast(cell_df), F.col("__G") == F.col("g"))
+    nv = units.where(F.col("__G") == 0).join(F.broadcast(cell_df.withColumn("__G", F.lit(0))), on="__G")
+    cu = tr.unionByName(nv).withColumn("D", (F.col("__G") > 0).cast("double"))
+    yt = d.select(unit, F.col(time).alias("t"), F.col(y).alias("__yt"))
+    yb = d.select(unit, F.col(time).alias("b"), F.col(y).alias("__yb"),
+                  *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(covariates)])
+    rows = (cu.join(yt, on=[unit, "t"]).join(yb, on=[unit, "b"])
+            .select("cell", unit, "D", (F.col("__yt") - F.col("__yb")).alias("dy"),
+                    F.lit(1.0).alias("__x_c"), *[f"__x{i}" for i in range(len(covariates))]))
+    return rows, cells
+
+
+def _per_cell_sums(rows: DataFrame, exprs: dict) -> dict:
+    out = {}
+    for r in rows.groupBy("cell").agg(*[e.alias(k) for k, e in exprs.items()]).collect():
+        out[r["cell"]] = r
+    return out
+
+
+def att_gt_dr(df: DataFrame, unit: str, time: str, y: str, cohort: str, covariates: Sequence[str],
+              max_iter: int = 50, tol: float = 1e-10, with_influence: bool = False):
+    """Doubly robust ATT(g, t) (Sant'Anna and Zhao 2020, panel case): never-treated controls, varying
+    base period, covariates at the base period, propensity score by logit, outcome regression of the
+    change on the controls; standard errors from the influence function.
+
+    Every fit is a per-cell sum over units: Newton steps of the logit are ``groupBy(cell)`` aggregates of
+    the gradient and Hessian, the outcome regression one aggregate of x x' and x dy, the estimate and
+    its influence function two more.  Only (#cells x k x k) numbers reach the driver.
+    Output: (g, t, base_t, att, se, n_treated, n_control).
+    """
+    import numpy as np
+
+    spark = df.sparkSession
+    rows, cells = _cell_rows(df, unit, time, y, cohort, covariates)
+    if not cells:
+        empty = spark.createDataFrame([], "g int, t int, base_t int, att double, se double, n_treated bigint, "
+                                          "n_control bigint")
+        return (empty, None) if with_influence else empty
+    xs = ["__x_c", *[f"__x{i}" for i in range(len(covariates))]]
+    k = len(xs)
+    rows = rows.persist()
+    try:
+        def param_table(name, vals):
+            return spark.createDataFrame([(c, [float(v) for v in vals[c]]) for c in vals], f"cell int, {name} array<double>")
+
+        def dot(arr_col):
+            return sum((F.col(arr_col)[i] * F.col(x) for i, x in enumerate(xs)), F.lit(0.0))
+
+        # --- propensity score: Newton-Raphson per cell
+        beta = {c[0]: np.zeros(k) for c in cells}
+        for _ in range(max_iter):
+            j = rows.join(F.broadcast(param_table("__b", beta)), on="cell")
+            p = 1.0 / (1.0 + F.exp(-dot("__b")))
+            sums = _per_cell_sums(j.withColumn("__p", p), {
+                **{f"g{a}": F.sum((F.col("D") - F.col("__p")) * F.col(xa)) for a, xa in enumerate(xs)},
+                **{f"h{a}_{b}": F.sum(F.col("__p") * (1 - F.col("__p")) * F.col(xa) * F.col(xb))
+                   for a, xa in enumerate(xs) for b, xb in enumerate(xs) if b >= a}})
+            step_max = 0.0
+            for c in beta:
+                s = sums[c]
+                grad = np.array([s[f"g{a}"] for a in range(k)])
+                h = np.zeros((k, k))
+                for a in range(k):
+                    for b in range(a, k):
+                        h[a, b] = h[b, a] = s[f"h{a}_{b}"]
+                step = np.linalg.lstsq(h, grad, rcond=None)[0]
+                beta[c] = beta[c] + step
+                step_max = max(step_max, float(np.abs(step).max()))
+            if step_max < tol:
+                break
+        # --- outcome regression on controls, and the Hessian of the logit at the solution
+        j = rows.join(F.broadcast(param_table("__b", beta)), on="cell")
+        p = F.least(1.0 / (1.0 + F.exp(-dot("__b"))), F.lit(1 - 1e-16))
+        j = j.withColumn("__p", p)
+        ctl = 1 - F.col("D")
+        s2 = _per_cell_sums(j, {
+            "n": F.count(F.lit(1)), "n1": F.sum("D"),
+            **{f"xx{a}_{b}": F.sum(ctl * F.col(xa) * F.col(xb)) for a, xa in enumerate(xs) for b, xb in enumerate(xs) if b >= a},
+            **{f"xy{a}": F.sum(ctl * F.col(xa) * F.col("dy")) for a, xa in enumerate(xs)},
+            **{f"h{a}_{b}": F.sum(F.col("__p") * (1 - F.col("__p")) * F.col(xa) * F.col(xb))
+               for a, xa in enumerate(xs) for b, xb in enumerate(xs) if b >= a}})
+        gamma, xpx_inv, hess_inv = {}, {}, {}
+        for c in beta:
+            s = s2[c]
+            xx, hh = np.zeros((k, k)), np.zeros((k, k))
+            for a in range(k):
+                for b in range(a, k):
+                    xx[a, b] = xx[b, a] = s[f"xx{a}_{b}"]
+                    hh[a, b] = hh[b, a] = s[f"h{a}_{b}"]
+            xy = np.array([s[f"xy{a}"] for a in range(k)])
+            gamma[c] = np.linalg.lstsq(xx, xy, rcond=None)[0]
+            n = s["n"]
+            xpx_inv[c] = np.linalg.pinv(xx / n)
+            hess_inv[c] = np.linalg.pinv(hh / n)
+        # --- estimate: weights and residual means per cell
+        j = j.join(F.broadcast(param_table("__gm", gamma)), on="cell")
+        j = (j.withColumn("__m", dot("__gm")).withColumn("__r", F.col("dy") - F.col("__m"))
+             .withColumn("__wt", F.col("D")).withColumn("__wc", F.col("__p") * (1 - F.col("D")) / (1 - F.col("__p"))))
+        s3 = _per_cell_sums(j, {
+            "swt": F.sum("__wt"), "swc": F.sum("__wc"), "st": F.sum(F.col("__wt") * F.col("__r")),
+            "sc": F.sum(F.col("__wc") * F.col("__r")), "n": F.count(F.lit(1)),
+            **{f"m1_{a}": F.sum(F.col("__wt") * F.col(xa)) for a, xa in enumerate(xs)},
+            **{f"m3_{a}": F.sum(F.col("__wc") * F.col(xa)) for a, xa in enumerate(xs)}})
+        eta_t = {c: s3[c]["st"] / s3[c]["swt"] for c in beta}
+        eta_c = {c: s3[c]["sc"] / s3[c]["swc"] for c in beta}
+        s4 = _per_cell_sums(j.join(F.broadcast(spark.createDataFrame([(c, float(eta_c[c])) for c in beta],
+                                                                     "cell int, __ec double")), on="cell"), {
+            **{f"m2_{a}": F.sum(F.col("__wc") * (F.col("__r") - F.col("__ec")) * F.col(xa)) for a, xa in enumerate(xs)}})
+        # --- influence function per unit: linear in the unit's own terms with per-cell constants
+        consts = {}
+        for c in beta:
+            n = s3[c]["n"]
+            m1 = np.array([s3[c][f"m1_{a}"] for a in range(k)]) / n
+            m2 = np.array([s4[c][f"m2_{a}"] for a in range(k)]) / n
+            m3 = np.array([s3[c][f"m3_{a}"] for a in range(k)]) / n
+            a_ols_t = xpx_inv[c] @ m1        # wols rep . M1
+            a_ols_c = xpx_inv[c] @ m3        # wols rep . M3
+            a_ps = hess_inv[c] @ m2          # ps rep . M2
+            consts[c] = [eta_t[c], eta_c[c], s3[c]["swt"] / n, s3[c]["swc"] / n, *a_ols_t, *a_ols_c, *a_ps]
+        ct = spark.createDataFrame([(c, [float(v) for v in consts[c]]) for c in consts], "cell int, __k array<double>")
+        j = j.join(F.broadcast(ct), on="cell")
+        K = F.col("__k")
+
+        def lin(offset):
+            return sum((K[offset + i] * F.col(x) for i, x in enumerate(xs)), F.lit(0.0))
+
+        ols_score = (1 - F.col("D")) * F.col("__r")      # wols.eX = w (1-D) (dy - m) x
+        ps_score = F.col("D") - F.col("__p")             # score.ps = (D - p) x
+        inf_t = ((F.col("__wt") * F.col("__r") - F.col("__wt") * K[0]) - ols_score * lin(4)) / K[2]
+        inf_c = ((F.col("__wc") * F.col("__r") - F.col("__wc") * K[1]) + ps_score * lin(4 + 2 * k)
+                 - ols_score * lin(4 + k)) / K[3]
+        inf = (inf_t - inf_c).alias("__if")
+        if_rows = j.select("cell", unit, inf)
+        res = (if_rows.groupBy("cell")
+               .agg(F.stddev_samp("__if").alias("__sd"), F.count(F.lit(1)).alias("__n")).collect())
+        se = {r["cell"]: (r["__sd"] / np.sqrt(r["__n"]) if r["__sd"] is not None else None) for r in res}
+        out = [(g, t, b, float(eta_t[c] - eta_c[c]), None if se.get(c) is None else float(se[c]),
+                int(round(s2[c]["n1"])), int(s2[c]["n"] - round(s2[c]["n1"]))) for c, g, t, b in cells]
+        table = spark.createDataFrame(out, "g int, t int, base_t int, att double, se double, n_treated bigint, "
+                                           "n_control bigint")
+        if with_influence:
+            # cut the lineage of the per-unit influence values (reliable checkpoint, shared folder)
+            from panelcraft.session import cut_lineage
+            cell_map = spark.createDataFrame(cells, "cell int, g int, t int, b int")
+            return table, cut_lineage(if_rows.join(F.broadcast(cell_map), on="cell"))
+    finally:
+        rows.unpersist()
+    return table
+
+
+# Mammen's two-point multiplier weights (mean 0, variance 1): fixed values of the bootstrap.
+_SQ5 = 5 ** 0.5
+MAMMEN_LOW, MAMMEN_HIGH = (1 - _SQ5) / 2, (1 + _SQ5) / 2
+MAMMEN_P_LOW = (_SQ5 + 1) / (2 * _SQ5)
+
+
+def att_dynamic_dr(df: DataFrame, unit: str, time: str, y: str, cohort: str, covariates: Sequence[str],
+                   n_boot: int = 999, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """Event-time aggregation of the doubly robust ATT(g, t): (event_time, att, se, crit_val).
+
+    att(e) = sum_g w_g ATT(g, g+e) / sum_g w_g with w_g the cohort size.  Per-unit influence values of
+    every cell are rescaled to the full sample and combined per unit (one aggregation keyed on
+    (unit, e)); se(e) = sqrt(sum_i IF_i(e)^2) / N (cohort weights treated as known).  The uniform band's
+    critical value comes from a multiplier bootstrap: Mammen weights v_ib drawn by hashing (seed, unit,
+    b), bootstrap draws att*_b(e) = sum_i v_ib IF_i(e) / N as one aggregation keyed on (b, e);
+    crit_val = (1 - alpha) quantile of max_e |att*_b(e)| / se_b(e), se_b from the interquartile range.
+    Bootstrap work is #units x #event times x n_boot rows, generated per unit (no join).
+    """
+    import math
+
+    import numpy as np
+
+    spark = df.sparkSession
+    table, infl = att_gt_dr(df, unit, time, y, cohort, covariates, with_influence=True)
+    if infl is None:
+        return spark.createDataFrame([], "event_time int, att double, se double, crit_val double")
+    cells = table.withColumn("event_time", (F.col("t") - F.col("g")).cast("int"))
+    n_total = infl.select(unit).distinct().count()
+    w = Window.partitionBy("event_time")
+    cw = (cells.withColumn("__w", F.col("n_treated") / F.sum("n_treated").over(w))  # #cells rows only
+          .withColumn("__scale", F.col("__w") * F.lit(float(n_total)) / (F.col("n_treated") + F.col("n_control"))))
+    agg = cw.groupBy("event_time").agg(F.sum(F.col("__w") * F.col("att")).alias("att"))
+    per_unit = (infl.join(F.broadcast(cw.select("g", "t", "event_time", "__scale")), on=["g", "t"])
+                .groupBy(unit, "event_time").agg(F.sum(F.col("__if") * F.col("__scale")).alias("__ife")))
+    per_unit = per_unit.persist()
+    try:
+        se = {r["event_time"]: math.sqrt(r["s"]) / n_total for r in
+              per_unit.groupBy("event_time").agg(F.sum(F.col("__ife") * F.col("__ife")).alias("s")).collect()}
+        # multiplier bootstrap: one weight per (unit, draw), shared by all event times of the unit
+        u = F.xxhash64(F.lit(seed), F.col(unit).cast("string"), F.col("__b"))
+        unif = (F.pmod(u, F.lit(1_000_003)).cast("double") + 0.5) / F.lit(1_000_003.0)
+        v = F.when(unif < F.lit(MAMMEN_P_LOW), F.lit(MAMMEN_LOW)).otherwise(F.lit(MAMMEN_HIGH))
+        boot = (per_unit.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+                .groupBy("__b", "event_time").agg((F.sum(v * F.col("__ife")) / F.lit(float(n_total))).alias("d")))
+        draws = boot.collect()  # n_boot x #event times numbers
+    finally:
+        per_unit.unpersist()
+    es = sorted(se)
+    idx = {e: i for i, e in enumerate(es)}
+    mat = np.zeros((n_boot, len(es)))
+    for r in draws:
+        mat[r["__b"], idx[r["event_time"]]] = r["d"]
+    q75, q25 = np.quantile(mat, 0.75, axis=0), np.quantile(mat, 0.25, axis=0)
+    z = 1.3489795003921634  # interquartile range of the standard normal
+    se_b = (q75 - q25) / z
+    ok = se_b > 1e-12
+    crit = float(np.quantile(np.max(np.abs(mat[:, ok]) / se_b[ok], axis=1), 1 - alpha)) if ok.any() else float("nan")
+    se_df = spark.createDataFrame([(e, float(se[e]), float(se_b[idx[e]])) for e in es],
+                                  "event_time int, se double, se_boot double")
+    return agg.join(se_df, on="event_time").withColumn("crit_val", F.lit(crit)).select(
+        "event_time", "att", "se", "se_boot", "crit_val")

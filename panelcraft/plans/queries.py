@@ -1166,3 +1166,22 @@ def q_scenario(spark, d):
     proj = F.when(eff.isNotNull(), F.greatest(F.lit(0.0), F.col("mean_price") + eff * F.signum(F.col("direction"))))
     return s.select("n_nationkey", "scenario", F.col("year").alias("latest_year"),
                     r("mean_price", 4).alias("latest"), r(proj, 4).alias("projected"))
+
+
+# ---------------------------------------------------------------------------------------------
+# G8 -- doubly robust ATT(g, t) with a covariate, and its event-time aggregation with a bootstrap band
+# (iterative logit fits: numpy-checked in tests, rows only here)
+# ---------------------------------------------------------------------------------------------
+
+@register("att_gt_dr")
+def q_att_gt_dr(spark, d):
+    from panelcraft.operators.did import att_gt_dr
+    return att_gt_dr(treated_covariate_panel(spark, d), "n_nationkey", "year", "mean_price", "treatment_year",
+                     ["urgent_share"])
+
+
+@register("att_dynamic_dr")
+def q_att_dynamic_dr(spark, d):
+    from panelcraft.operators.did import att_dynamic_dr
+    return att_dynamic_dr(treated_covariate_panel(spark, d), "n_nationkey", "year", "mean_price",
+                          "treatment_year", ["urgent_share"], n_boot=999, seed=42)
