@@ -93,7 +93,10 @@ def _cell_rows(df: DataFrame, unit: str, time: str, y: str, cohort: str, covaria
     units = d.select(unit, "__G").distinct()
     # treated units join their own cohort's cells; never-treated units join every cell
     tr = units.where(F.col("__G") > 0).join(F.broadcast(cell_df), F.col("__G") == F.col("g"))
-    nv = units.where(F.col("__G") == 0).join(F.broadcast(cell_df.withColumn("__G", F.lit(0))), on="__G")
+    # (a generator over the #cohorts x #periods cell list, not a join)
+    all_cells = F.array(*[F.struct(F.lit(c).alias("cell"), F.lit(g).alias("g"), F.lit(t).alias("t"),
+                                   F.lit(b).alias("b")) for c, g, t, b in cells])
+    nv = units.where(F.col("__G") == 0).withColumn("__c", F.explode(all_cells)).select(unit, "__G", "__c.*")
     cu = tr.unionByName(nv).withColumn("D", (F.col("__G") > 0).cast("double"))
     yt = d.select(unit, F.col(time).alias("t"), F.col(y).alias("__yt"))
     yb = d.select(unit, F.col(time).alias("b"), F.col(y).alias("__yb"),

@@ -264,16 +264,19 @@ def hash_assignments(treated: DataFrame, unit: str, periods: DataFrame, time: st
     idx_periods = periods.select(time).distinct()
     n_p = idx_periods.count()
     idx_periods = idx_periods.withColumn("__pi", (F.row_number().over(Window.orderBy(time)) - 1).cast("bigint"))
+    integral = dict(treated.dtypes)[unit] in ("tinyint", "smallint", "int", "bigint")
     a = (treated.select(unit).distinct()
          .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
-         .withColumn("__pi", F.pmod(hash_index_expr(F.col("draw"), F.col(unit), seed), F.lit(n_p))))
+         .withColumn("__pi", F.pmod(hash_index_expr(F.col("draw"), F.col(unit), seed, integral), F.lit(n_p))))
     return a.join(F.broadcast(idx_periods), on="__pi").select("draw", unit, F.col(time).alias("placebo_time"))
 
 
-def hash_index_expr(draw, unit, seed: int = 42):
-    """Integer mixing of (seed, draw, unit) with 64-bit wrap-free arithmetic (values stay < 2^62)."""
+def hash_index_expr(draw, unit, seed: int = 42, integral_unit: bool = True):
+    """Integer mixing of (seed, draw, unit) with 64-bit wrap-free arithmetic (values stay < 2^62), so
+    the draws can be reproduced in any SQL engine; units that are not integers are hashed first."""
+    u = unit.cast("bigint") if integral_unit else F.pmod(F.xxhash64(unit.cast("string")), F.lit(2147483647))
     return F.pmod(F.lit(seed) * F.lit(1000003) + (draw.cast("bigint") + F.lit(1)) * F.lit(2654435761)
-                  + unit.cast("bigint") * F.lit(40503), F.lit(2147483647))
+                  + u * F.lit(40503), F.lit(2147483647))
 
 
 def numpy_rng_assignments(spark: SparkSession, treated_units: Sequence, years: Sequence[int], n_draws: int,
