@@ -134,3 +134,8 @@ def decode_event_term(x) -> Column:
 def event_term_name(k: int) -> str:
     """Dummy name of event time ``k``."""
     return f"evt_m{abs(k)}" if k < 0 else f"evt_p{k}"
+
+
+def not_contains_ci(x, needle: str) -> Column:
+    """P10: case-insensitive "does not contain"; a NULL text counts as not containing (false -> kept)."""
+    return ~F.coalesce(F.lower(_c(x)).contains(needle.lower()), F.lit(False))

@@ -86,3 +86,16 @@ def assert_balanced(df: DataFrame, unit: Sequence[str], time: str) -> None:
     r = key_qa(df, unit, time).first()
     if r["n_duplicate_keys"] or r["n_missing_keys"]:
         raise AssertionError(f"panel not balanced: {r.asDict()}")
+
+
+def dimension_lookup(df: DataFrame, key: str, dim: DataFrame, dim_key: str, cols: Sequence[str],
+                     aliases: DataFrame | None = None) -> DataFrame:
+    """Left join of dimension attributes (e.g. code -> name, name -> code), with optional alias rows
+    (alias, canonical key) so that variant spellings resolve; unknown keys get NULL attributes.
+    The dimension is unique on its key (checked by the caller's data model); AQE broadcasts it when its
+    runtime size is small."""
+    d = dim.select(F.col(dim_key).alias("__k"), *cols)
+    if aliases is not None:
+        al = aliases.toDF("__k", "__canon").join(d.withColumnRenamed("__k", "__canon"), on="__canon").drop("__canon")
+        d = d.unionByName(al)
+    return df.join(d, df[key] == d["__k"], "left").drop("__k")

@@ -129,8 +129,28 @@ def causal(feat: DataFrame, unit: str, time: str, event: str, outcomes: Sequence
 
 
 def text_embeddings(grid: DataFrame, events: DataFrame, keys: Sequence[str], text: F.Column, order: Sequence,
-                    default: str, max_features: int = 2048, dims: int = 64) -> DataFrame:
-    """T1 text panel -> T2 TF-IDF (sparse rows) -> T3 SVD (via the vocabulary x vocabulary Gram)."""
+                    default: str, max_features: int = 2048, dims: int = 64, encoder=None,
+                    meta: dict | None = None) -> DataFrame:
+    """T1 text panel -> embedding.  T6: a caller's ``encoder`` (list[str] -> vectors, run per Arrow batch)
+    is tried first; without one, or if it fails, T2 TF-IDF + T3 SVD is the fallback.  ``meta`` (a dict)
+    receives the encoder name and the dimension (S7 writes it with ``write_json_meta``)."""
+    if encoder is not None:
+        from panelcraft.operators.text import encode_batches, text_panel
+        try:
+            tp = text_panel(grid, events, list(keys), text, order, default)
+            out = encode_batches(tp, "policy_text", encoder, dims)
+            out.limit(1).collect()  # surface a broken encoder here, before the fallback decision
+            if meta is not None:
+                meta.update({"encoder": getattr(encoder, "__name__", "custom"), "n_dims": dims})
+            return out
+        except Exception:  # noqa: BLE001 - any encoder failure selects the built-in fallback (T6)
+            pass
+    if meta is not None:
+        meta.update({"encoder": "tfidf_svd_fallback"})
+    return _tfidf_svd_embeddings(grid, events, keys, text, order, default, max_features, dims, meta)
+
+
+def _tfidf_svd_embeddings(grid, events, keys, text, order, default, max_features, dims, meta) -> DataFrame:
     from panelcraft.operators.regression import sparse_svd_project
     from panelcraft.operators.text import text_panel, tfidf
 
@@ -139,6 +159,8 @@ def text_embeddings(grid: DataFrame, events: DataFrame, keys: Sequence[str], tex
     rows, vocab = tfidf(tp, "__doc", "policy_text", max_features)
     p = vocab.count()
     k = min(dims, max(2, p - 1))
+    if meta is not None:
+        meta["n_dims"] = k
     proj, _ = sparse_svd_project(rows, "__doc", "term_index", "weight", p, k)
     return tp.join(proj, on="__doc", how="left").drop("__doc")
 
