@@ -32,10 +32,10 @@ from panelcraft.functions.stats import Z_975, f_sf, normal_two_sided_p
 # ------------------------------------------------------------------------------------------------
 
 
-# Up to this many distinct products the Gram is a single JVM aggregate (no Python worker); wider
-# designs use partial Grams per Arrow batch (BLAS) summed by position -- measured faster from ~20
-# products on (a wide generated aggregate costs more to compile than it saves).
-SQL_GRAM_MAX_TERMS = 10
+# Up to this many distinct products (p <= 9) the Gram is a single JVM aggregate (no Python worker);
+# wider designs use partial Grams per Arrow batch (BLAS) summed by position -- measured faster for
+# ~170 products (a wide generated aggregate costs more to compile than it saves).
+SQL_GRAM_MAX_TERMS = 45
 
 
 def gram(df: DataFrame, cols: Sequence[str]) -> np.ndarray:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from panelcraft.functions.clean import indicator, rate_per
 from panelcraft.functions.partitioning import spread
+from panelcraft.session import persisted
 from panelcraft.operators.cases import existence_flags, flagged_sums
 from panelcraft.operators.panel import key_qa, left_join_sources, missing_rates, time_bounds, time_grid
 
@@ -692,7 +693,8 @@ SELECT 'urgent_share' AS term, round(sum(xx * yy) / sum(xx * xx), 2) AS coef, CA
 """)
 def q_twfe_within(spark, d):
     from panelcraft.operators.regression import fit_twfe
-    fit = fit_twfe(nation_year_covariates(spark, d), "mean_price", ["urgent_share"], ["n_nationkey"], "year")
+    with persisted(nation_year_covariates(spark, d)) as p:
+        fit = fit_twfe(p, "mean_price", ["urgent_share"], ["n_nationkey"], "year")
     return spark.createDataFrame([("urgent_share", round(float(fit.coef[0]), 2), fit.nobs)],
                                  "term string, coef double, nobs bigint")
 
@@ -709,10 +711,10 @@ def treated_covariate_panel(spark, d) -> DataFrame:
 @register("event_study")
 def q_event_study(spark, d):
     from panelcraft.operators.regression import event_study
-    p = treated_covariate_panel(spark, d)
-    table, _ = event_study(p, "mean_price", ["urgent_share"], ["n_nationkey"], "year",
-                           "event_time", "treatment_year")
-    return table
+    with persisted(treated_covariate_panel(spark, d)) as p:
+        table, _ = event_study(p, "mean_price", ["urgent_share"], ["n_nationkey"], "year",
+                               "event_time", "treatment_year")
+        return spark.createDataFrame(table.collect(), table.schema)  # small result, computed while cached
 
 
 @register("event_plot_data")
@@ -733,10 +735,10 @@ PLACEBO_SEED = 42
 
 def placebo_draws(spark, d) -> DataFrame:
     from panelcraft.operators.regression import hash_assignments, placebo_coefficients
-    p = treated_panel(spark, d)
-    treated = p.where(F.col("treatment_year").isNotNull()).select("n_nationkey")
-    a = hash_assignments(treated, "n_nationkey", p.select("year"), "year", N_DRAWS, PLACEBO_SEED)
-    c = placebo_coefficients(p, "mean_price", [], "n_nationkey", "year", a)
+    with persisted(treated_panel(spark, d)) as p:
+        treated = p.where(F.col("treatment_year").isNotNull()).select("n_nationkey")
+        a = hash_assignments(treated, "n_nationkey", p.select("year"), "year", N_DRAWS, PLACEBO_SEED)
+        c = placebo_coefficients(p, "mean_price", [], "n_nationkey", "year", a)  # computed eagerly
     return c.select("draw", r("coef").alias("coef"))
 
 
@@ -780,8 +782,8 @@ def q_placebo_hist(spark, d):
 def q_causal_summary(spark, d):
     """G6 + A13: nobs, R^2, pre-trend p and placebo mean / sample sd of one outcome."""
     from panelcraft.operators.regression import event_study
-    p = treated_covariate_panel(spark, d)
-    _, s = event_study(p, "mean_price", ["urgent_share"], ["n_nationkey"], "year", "event_time", "treatment_year")
+    with persisted(treated_covariate_panel(spark, d)) as p:
+        _, s = event_study(p, "mean_price", ["urgent_share"], ["n_nationkey"], "year", "event_time", "treatment_year")
     pl = placebo_draws(spark, d).agg(F.avg("coef").alias("placebo_mean"),
                                      F.stddev_samp("coef").alias("placebo_std")).first()
     return spark.createDataFrame([("mean_price", s["nobs"], s["r2"], s["pretrend_pvalue"], pl["placebo_mean"],
@@ -1176,12 +1178,14 @@ def q_scenario(spark, d):
 @register("att_gt_dr")
 def q_att_gt_dr(spark, d):
     from panelcraft.operators.did import att_gt_dr
-    return att_gt_dr(treated_covariate_panel(spark, d), "n_nationkey", "year", "mean_price", "treatment_year",
-                     ["urgent_share"])
+    with persisted(treated_covariate_panel(spark, d)) as p:
+        return att_gt_dr(p, "n_nationkey", "year", "mean_price", "treatment_year", ["urgent_share"])
 
 
 @register("att_dynamic_dr")
 def q_att_dynamic_dr(spark, d):
     from panelcraft.operators.did import att_dynamic_dr
-    return att_dynamic_dr(treated_covariate_panel(spark, d), "n_nationkey", "year", "mean_price",
-                          "treatment_year", ["urgent_share"], n_boot=999, seed=42)
+    with persisted(treated_covariate_panel(spark, d)) as p:
+        out = att_dynamic_dr(p, "n_nationkey", "year", "mean_price", "treatment_year", ["urgent_share"],
+                             n_boot=999, seed=42)
+        return spark.createDataFrame(out.collect(), out.schema)  # small result, computed while cached

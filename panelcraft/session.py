@@ -72,3 +72,18 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables written by a job."""
     return os.path.join(checkpoint_dir(spark).rstrip("/"), "tables", name)
+
+
+class persisted:
+    """``with persisted(df) as d:`` -- keep an input that several jobs of one step read (e.g. the panel of
+    a regression: period scan, Gram, scores) for the duration of the step, then release it.  Lost
+    blocks are recomputed from lineage, so executor loss only costs time."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+
+    def __enter__(self) -> DataFrame:
+        return self.df.persist()
+
+    def __exit__(self, *exc) -> None:
+        self.df.unpersist()
