@@ -68,17 +68,27 @@ def block_fields(blocks: DataFrame, part: Sequence[str], pos: str, token: str,
     """per block the first ``n_dates`` full-match dates and the first dollar amount, in order.
 
     Output columns ``date_1..date_n`` (text), ``amount`` (double, may be NULL), ``n_dates_found``.
+    Every field is a ``min_by`` aggregate (the k-th date: the first date after the (k-1)-th), so no
+    block is ever collected into one array -- a huge block is combined map-side like any group.
     """
-    part = list(part)
+    keys = [*part, block]
     is_date = F.col(token).rlike(DATE_MDY_FULL)
     amount = F.regexp_extract(F.col(token), DOLLAR_PATTERN, 1)
-    g = blocks.groupBy(*part, block, "block_name", "block_code").agg(
-        F.array_sort(F.collect_list(F.when(is_date, F.struct(F.col(pos), F.col(token))))).alias("__d"),
+    heads = blocks.groupBy(*keys, "block_name", "block_code").agg(
         F.min_by(F.when(amount != "", amount), F.when(amount != "", F.col(pos))).alias("__a"))
-    cols = [F.col(c) for c in [*part, block, "block_name", "block_code"]]
-    dates = [F.try_element_at("__d", F.lit(i + 1))[token].alias(f"date_{i + 1}") for i in range(n_dates)]
-    return g.select(*cols, *dates, F.col("__a").try_cast("double").alias("amount"),
-                    F.size("__d").alias("n_dates_found"))
+    dates = blocks.where(is_date).select(*keys, pos, token)
+    found = dates.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_dates_found"),
+                                     F.min_by(token, pos).alias("date_1"), F.min(pos).alias("__p1"))
+    out = heads.join(found, on=keys, how="left")
+    prev = found.select(*keys, "__p1")
+    for i in range(2, n_dates + 1):
+        nxt = (dates.join(prev, on=keys).where(F.col(pos) > F.col(f"__p{i - 1}"))
+               .groupBy(*keys).agg(F.min_by(token, pos).alias(f"date_{i}"), F.min(pos).alias(f"__p{i}")))
+        out = out.join(nxt.drop(f"__p{i}"), on=keys, how="left")
+        prev = nxt.select(*keys, f"__p{i}")
+    return out.select(*keys, "block_name", "block_code", *[f"date_{i}" for i in range(1, n_dates + 1)],
+                      F.col("__a").try_cast("double").alias("amount"),
+                      F.coalesce(F.col("n_dates_found"), F.lit(0)).cast("int").alias("n_dates_found"))
 
 
 def current_values(fields: DataFrame) -> DataFrame:
