@@ -116,7 +116,7 @@ def elastic_net(features: str, label: str, alpha: float = 0.1, l1_ratio: float =
     reg = l1 + l2
     return LinearRegression(featuresCol=features, labelCol=label, regParam=reg,
                             elasticNetParam=(l1 / reg) if reg > 0 else 0.0, standardization=False,
-                            tol=1e-12, maxIter=1000, fitIntercept=True)
+                            tol=1e-9, maxIter=500, fitIntercept=True)
 
 
 def default_models(n_trees: int = 50, max_depth: int = 10, gbt_iter: int = 30) -> dict[str, dict]:

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from panelcraft.functions.partitioning import spread
+
 # ------------------------------------------------------------------------------------------------
 # CSV members of zip archives
 # ------------------------------------------------------------------------------------------------
@@ -57,7 +59,7 @@ def zip_csv_members(spark: SparkSession, path: str, member_suffix: str, columns:
             if outs:
                 yield pd.concat(outs, ignore_index=True)
 
-    return files.mapInPandas(read, schema=schema)
+    return spread(files).mapInPandas(read, schema=schema)
 
 
 # ------------------------------------------------------------------------------------------------
@@ -139,7 +141,7 @@ def html_first_table_cells(pages: DataFrame, page: str, html: str) -> DataFrame:
                         recs.append((int(pid), r, c, txt, hdr))
             yield pd.DataFrame(recs, columns=["page", "row", "col", "text", "is_header"])
 
-    return pages.select(F.col(page).cast("long").alias(page), F.col(html)).mapInPandas(parse, schema=schema)
+    return spread(pages.select(F.col(page).cast("long").alias(page), F.col(html))).mapInPandas(parse, schema=schema)
 
 
 def flatten_header(cells: DataFrame, header_rows: int = 1) -> DataFrame:
