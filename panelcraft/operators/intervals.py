@@ -72,12 +72,12 @@ def missing_periods(grid: DataFrame, loaded: DataFrame, keys: Sequence[str]) ->
 def ratio_to_base(series: DataFrame, time: str, value: str, base_time: int, out: str = "ratio") -> DataFrame:
     """Value / value at the base period, per period of a (time, value) series (one row per period).
 
-    The base value is a one-row aggregate joined on a constant key, so the plan stays an equi-join.
+    The base value is one number (a filtered one-row aggregate fetched as a scalar), so the ratio is a
+    projection -- no join at all.
     """
-    base = series.where(F.col(time) == base_time).agg(F.first(value, ignorenulls=True).alias("__base"))
-    return (series.withColumn("__one", F.lit(1))
-            .join(base.withColumn("__one", F.lit(1)), on="__one", how="left")
-            .select(F.col(time), F.try_divide(F.col(value), F.col("__base")).alias(out)))
+    base = series.where(F.col(time) == base_time).agg(F.first(value, ignorenulls=True)).first()[0]
+    b = F.lit(None).cast("double") if base is None else F.lit(float(base))
+    return series.select(F.col(time), F.try_divide(F.col(value).cast("double"), b).alias(out))
 
 
 def impute_from_base(loaded: DataFrame, grid: DataFrame, unit: Sequence[str], time: str, value: str,

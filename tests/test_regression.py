@@ -27,7 +27,7 @@ def _panel(seed=0, units=12, years=range(2000, 2012), drop=0.1):
 
 
 def _ols_dummies(pdf, y, xcols):
-    """Brute force: OLS with unit and year dummies, CR1 cluster covariance by unit (statsmodels' rule)."""
+    """Brute force: OLS with unit and year dummies, CR1 cluster covariance by unit (small-sample factor G/(G-1) (n-1)/(n-k))."""
     units = sorted(pdf.unit.unique())
     years = sorted(pdf.year.unique())
     X = [np.ones(len(pdf))] + [pdf[c].to_numpy(float) for c in xcols]

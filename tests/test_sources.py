@@ -17,13 +17,13 @@ def test_zip_csv_members(spark, tmp_path):
     for year, enc in [(2019, "utf-8"), (2020, "latin-1")]:
         buf = io.BytesIO()
         with zipfile.ZipFile(buf, "w") as zf:
-            zf.writestr(f"FARS{year}/ACCIDENT.CSV", f"STATE,ST_CASE,FATALS,NAME\n1,10001,2,Zoë\n2,20001,1,x\n".encode(enc))
-            zf.writestr(f"FARS{year}/vehicle.csv", "STATE,ST_CASE\n1,1\n")
-        (tmp_path / f"fars{year}.zip").write_bytes(buf.getvalue())
+            zf.writestr(f"cases{year}/ACCIDENT.CSV", f"STATE,ST_CASE,FATALS,NAME\n1,10001,2,Zoë\n2,20001,1,x\n".encode(enc))
+            zf.writestr(f"cases{year}/vehicle.csv", "STATE,ST_CASE\n1,1\n")
+        (tmp_path / f"cases{year}.zip").write_bytes(buf.getvalue())
     df = zip_csv_members(spark, str(tmp_path), "accident.csv", ["STATE", "ST_CASE", "FATALS", "MISSING"])
     rows = sorted(df.collect())
     assert len(rows) == 4
-    assert rows[0]["archive"] == "fars2019.zip" and rows[0]["FATALS"] == "2" and rows[0]["MISSING"] is None
+    assert rows[0]["archive"] == "cases2019.zip" and rows[0]["FATALS"] == "2" and rows[0]["MISSING"] is None
 
 
 def test_series_files_one_scan(spark, tmp_path):
