@@ -89,6 +89,8 @@ def _cell_rows(df: DataFrame, unit: str, time: str, y: str, cohort: str, covaria
             b = g - 1 if t >= g else t - 1
             if b in periods and t != b:
                 cells.append((len(cells), g, t, b))
+    if not cells:  # no treated cohort with a base period: nothing to estimate
+        return None, []
     cell_df = spark.createDataFrame(cells, "cell int, g int, t int, b int")  # #cohorts x #periods rows
     units = d.select(unit, "__G").distinct()
     # treated units join their own cohort's cells; never-treated units join every cell
