@@ -25,6 +25,12 @@ def time_grid(units: DataFrame, time: str, first, last) -> DataFrame:
     return units.withColumn(time, F.explode(F.sequence(lo.cast("int"), hi.cast("int"))))
 
 
+def time_bounds_expr(df: DataFrame, time: str):
+    """(min, max) of the period column as scalar-subquery Columns: the bounds stay inside the plan
+    (Catalyst merges both into one aggregate), no separate job and nothing passes through the driver."""
+    return df.select(F.min(time)).scalar(), df.select(F.max(time)).scalar()
+
+
 def time_bounds(df: DataFrame, time: str) -> tuple[int, int]:
     """Observed (min, max) of the period column: one small aggregate job, two scalars to the driver."""
     row = df.agg(F.min(time).alias("lo"), F.max(time).alias("hi")).first()

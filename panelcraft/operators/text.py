@@ -30,18 +30,31 @@ def _c(x) -> Column:
 
 
 def ordered_concat(df: DataFrame, keys: Sequence[str], text: Column, order: Sequence,
-                   sep: str = TEXT_SEPARATOR, out: str = "policy_text") -> DataFrame:
-    """Per key, the non-NULL texts joined by ``sep`` in ``order`` (ties by the text itself)."""
+                   sep: str = TEXT_SEPARATOR, out: str = "policy_text", bucket: Column | None = None) -> DataFrame:
+    """Per key, the non-NULL texts joined by ``sep`` in ``order`` (ties by the text itself).
+
+    ``bucket`` (non-decreasing in ``order``, e.g. the month of the first order column) makes it
+    two-level for hot keys: each (key, bucket) is sorted and joined on its own, then a key only orders
+    its few bucket strings -- a key with a large share of all rows is never sorted row by row in one
+    task.  The result is identical (the output string itself is, by definition, the whole group).
+    """
     ordered = F.struct(*[_c(o).alias(f"o{i}") for i, o in enumerate(order)], text.alias("t"))
-    return (df.where(text.isNotNull())
-            .groupBy(*keys)
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(ordered)), lambda x: x["t"]), sep).alias(out)))
+    d = df.where(text.isNotNull())
+
+    def joined(col, field):
+        return F.array_join(F.transform(F.array_sort(F.collect_list(col)), lambda x: x[field]), sep)
+
+    if bucket is None:
+        return d.groupBy(*keys).agg(joined(ordered, "t").alias(out))
+    parts = d.withColumn("__bk", bucket).groupBy(*keys, "__bk").agg(joined(ordered, "t").alias("__part"))
+    return parts.groupBy(*keys).agg(joined(F.struct("__bk", "__part"), "__part").alias(out))
 
 
 def text_panel(grid: DataFrame, events: DataFrame, keys: Sequence[str], text: Column, order: Sequence,
-               default: str, sep: str = TEXT_SEPARATOR, out: str = "policy_text") -> DataFrame:
+               default: str, sep: str = TEXT_SEPARATOR, out: str = "policy_text",
+               bucket: Column | None = None) -> DataFrame:
     """Grid left join aggregated texts; cells without any event get ``default``."""
-    agg = ordered_concat(events, keys, text, order, sep, out)
+    agg = ordered_concat(events, keys, text, order, sep, out, bucket)
     return (grid.join(agg, on=list(keys), how="left")
             .withColumn(out, F.coalesce(F.col(out), F.lit(default))))
 

@@ -19,7 +19,7 @@ from panelcraft.functions.clean import indicator, rate_per
 from panelcraft.functions.partitioning import spread
 from panelcraft.session import persisted
 from panelcraft.operators.cases import existence_flags, flagged_sums
-from panelcraft.operators.panel import key_qa, left_join_sources, missing_rates, time_bounds, time_grid
+from panelcraft.operators.panel import key_qa, left_join_sources, missing_rates, time_bounds_expr, time_grid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -58,7 +58,7 @@ def orders_by_nation(spark: SparkSession, d: str) -> DataFrame:
 
 def nation_year_grid(spark: SparkSession, d: str) -> DataFrame:
     """Every nation x every order year between the first and the last order year."""
-    lo, hi = time_bounds(table(spark, d, "orders").select(F.year("o_orderdate").alias("year")), "year")
+    lo, hi = time_bounds_expr(table(spark, d, "orders").select(F.year("o_orderdate").alias("year")), "year")
     return time_grid(table(spark, d, "nation").select("n_nationkey"), "year", lo, hi)
 
 
@@ -498,7 +498,7 @@ def q_topic_counts_pivot(spark, d):
     from panelcraft.operators.series import topic_counts_on_grid
     on = orders_by_nation(spark, d).withColumn(
         "month_idx", (F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1).cast("int"))
-    lo, hi = time_bounds(on.select("month_idx"), "month_idx")
+    lo, hi = time_bounds_expr(on.select("month_idx"), "month_idx")
     grid = time_grid(table(spark, d, "nation").select("n_nationkey"), "month_idx", lo, hi)
     return topic_counts_on_grid(on, grid, ["n_nationkey", "month_idx"], "o_orderpriority",
                                 {"1-URGENT": "n_urgent", "2-HIGH": "n_high"})
@@ -523,10 +523,10 @@ def q_event_text_agg(spark, d):
     from panelcraft.operators.text import text_panel
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.year("o_orderdate").alias("year"),
                                          "o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus")
-    lo, hi = time_bounds(o, "year")
+    lo, hi = time_bounds_expr(o, "year")
     grid = time_grid(table(spark, d, "customer").select("c_custkey"), "year", lo, hi)
     return text_panel(grid, o, ["c_custkey", "year"], F.concat_ws(": ", "o_orderpriority", "o_orderstatus"),
-                      ["o_orderdate", "o_orderkey"], default=NO_TEXT)
+                      ["o_orderdate", "o_orderkey"], default=NO_TEXT, bucket=F.date_trunc("month", "o_orderdate"))
 
 
 # ---------------------------------------------------------------------------------------------
@@ -1125,7 +1125,7 @@ SELECT coverage_flag, CAST(count(*) AS BIGINT) AS n FROM f GROUP BY 1
 """)
 def q_coverage_flags(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.year("o_orderdate").alias("year"))
-    lo, hi = time_bounds(o, "year")
+    lo, hi = time_bounds_expr(o, "year")
     grid = time_grid(table(spark, d, "customer").select("c_custkey"), "year", lo, hi)
     seen = o.groupBy("c_custkey", "year").agg(F.lit(True).alias("obs"))
     known = o.select("c_custkey").distinct().withColumn("known", F.lit(True))
