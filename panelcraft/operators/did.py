@@ -229,7 +229,7 @@ def att_gt_dr(df: DataFrame, unit: str, time: str, y: str, cohort: str, covariat
         inf_c = ((F.col("__wc") * F.col("__r") - F.col("__wc") * K[1]) + ps_score * lin(4 + 2 * k)
                  - ols_score * lin(4 + k)) / K[3]
         inf = (inf_t - inf_c).alias("__if")
-        if_rows = j.select("cell", unit, inf)
+        if_rows = j.select("cell", unit, "D", inf)
         res = (if_rows.groupBy("cell")
                .agg(F.stddev_samp("__if").alias("__sd"), F.count(F.lit(1)).alias("__n")).collect())
         se = {r["cell"]: (r["__sd"] / np.sqrt(r["__n"]) if r["__sd"] is not None else None) for r in res}
@@ -259,7 +259,9 @@ def att_dynamic_dr(df: DataFrame, unit: str, time: str, y: str, cohort: str, cov
 
     att(e) = sum_g w_g ATT(g, g+e) / sum_g w_g with w_g the cohort size.  Per-unit influence values of
     every cell are rescaled to the full sample and combined per unit (one aggregation keyed on
-    (unit, e)); se(e) = sqrt(sum_i IF_i(e)^2) / N (cohort weights treated as known).  The uniform band's
+    (unit, e)); the weights are estimated too (w_g = p_g / S_e, p_g = n_g / N, S_e = sum over the
+    cohorts at e), whose influence term reduces to 1{unit in cohort g} (ATT(g, g+e) - att(e)) / S_e for
+    the treated units of a cell and 0 otherwise; se(e) = sqrt(sum_i IF_i(e)^2) / N.  The uniform band's
     critical value comes from a multiplier bootstrap: Mammen weights v_ib drawn by hashing (seed, unit,
     b), bootstrap draws att*_b(e) = sum_i v_ib IF_i(e) / N as one aggregation keyed on (b, e);
     crit_val = (1 - alpha) quantile of max_e |att*_b(e)| / se_b(e), se_b from the interquartile range.
@@ -277,10 +279,13 @@ def att_dynamic_dr(df: DataFrame, unit: str, time: str, y: str, cohort: str, cov
     n_total = infl.select(unit).distinct().count()
     w = Window.partitionBy("event_time")
     cw = (cells.withColumn("__w", F.col("n_treated") / F.sum("n_treated").over(w))  # #cells rows only
-          .withColumn("__scale", F.col("__w") * F.lit(float(n_total)) / (F.col("n_treated") + F.col("n_control"))))
+          .withColumn("__scale", F.col("__w") * F.lit(float(n_total)) / (F.col("n_treated") + F.col("n_control")))
+          .withColumn("__att_e", F.sum(F.col("__w") * F.col("att")).over(w))
+          .withColumn("__wif", (F.col("att") - F.col("__att_e")) * F.lit(float(n_total)) / F.sum("n_treated").over(w)))
     agg = cw.groupBy("event_time").agg(F.sum(F.col("__w") * F.col("att")).alias("att"))
-    per_unit = (infl.join(F.broadcast(cw.select("g", "t", "event_time", "__scale")), on=["g", "t"])
-                .groupBy(unit, "event_time").agg(F.sum(F.col("__if") * F.col("__scale")).alias("__ife")))
+    per_unit = (infl.join(F.broadcast(cw.select("g", "t", "event_time", "__scale", "__wif")), on=["g", "t"])
+                .groupBy(unit, "event_time")
+                .agg(F.sum(F.col("__if") * F.col("__scale") + F.col("D") * F.col("__wif")).alias("__ife")))
     per_unit = per_unit.persist()
     try:
         se = {r["event_time"]: math.sqrt(r["s"]) / n_total for r in

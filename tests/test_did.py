@@ -22,7 +22,7 @@ def sim(spark):
     return pdf, df
 
 
-def _numpy_dr(pdf, g, t, b):
+def _numpy_dr(pdf, g, t, b, full=False):
     w = pdf.pivot(index="unit", columns="year", values="y")
     meta = pdf.groupby("unit").agg(g=("g", "first"), x=("x", "first"))
     keep = (meta.g == g) | meta.g.isna()
@@ -43,6 +43,8 @@ def _numpy_dr(pdf, g, t, b):
     m1, m3 = (wt[:, None] * X).mean(0), (wc[:, None] * X).mean(0)
     m2 = ((wc * (r - ec))[:, None] * X).mean(0)
     inf = (wt * r - wt * et - lin_ols @ m1) / wt.mean() - (wc * r - wc * ec + lin_ps @ m2 - lin_ols @ m3) / wc.mean()
+    if full:  # per-unit influence values, and the unit ids and cohort flags they belong to
+        return et - ec, inf, meta.index[keep].values, D
     return et - ec, inf.std(ddof=1) / np.sqrt(n)
 
 
@@ -79,3 +81,27 @@ def test_dynamic_dr(spark, sim):
     assert abs(dyn[0]["att"] - exp) < 1e-10
     assert 1.5 < dyn[1]["att"] < 2.5 and dyn[0]["se"] > 0
     assert dyn[0]["crit_val"] > 1.96
+
+
+def test_dynamic_dr_se_includes_weight_estimation(spark, sim):
+    """se(e) from the aggregated influence function: cell terms rescaled to all N units plus the term of
+    the estimated cohort weights (p_g = n_g / N), brute force in numpy."""
+    pdf, df = sim
+    dyn = {r["event_time"]: r for r in att_dynamic_dr(df, "unit", "year", "y", "g", ["x"], n_boot=9).collect()}
+    cells = att_gt_dr(df, "unit", "year", "y", "g", ["x"]).toPandas()
+    units = np.sort(pdf.unit.unique())
+    n_all = len(units)
+    for e in (-2, 0, 1):
+        sub = cells[cells.t - cells.g == e]
+        n_g = sub.n_treated.values.astype(float)
+        w = n_g / n_g.sum()
+        att_e = float((w * sub.att.values).sum())
+        s_e = n_g.sum() / n_all
+        inf = np.zeros(n_all)
+        for (_, c), wk in zip(sub.iterrows(), w):
+            att, inf_c, ids, D = _numpy_dr(pdf, int(c.g), int(c.t), int(c.base_t), full=True)
+            pos = np.searchsorted(units, ids)
+            inf[pos] += wk * inf_c * n_all / len(ids) + D * (att - att_e) / s_e
+        se = np.sqrt((inf ** 2).sum()) / n_all
+        assert abs(dyn[e]["att"] - att_e) < 1e-10
+        assert abs(dyn[e]["se"] - se) < 1e-8, (e, dyn[e]["se"], se)
