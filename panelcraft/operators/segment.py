@@ -44,20 +44,29 @@ def line_tokens(df: DataFrame, doc: str, text: str, pos: str = "pos", token: str
 
 def segment_blocks(tokens: DataFrame, part: Sequence[str], pos: str, token: str, names: DataFrame,
                    name_col: str = "name", code_col: str = "code", block: str = "block_no",
-                   bucket: Column | None = None) -> DataFrame:
+                   bucket: Column | None = None, with_heads: bool = True) -> DataFrame:
     """Block number per token (1, 2, ...); tokens before the first block start are dropped.
 
-    ``names`` is the dimension (name, code): a block starts at token i when token i is a name and token
-    i+1 its code.  The start name/code are kept as ``block_name``/``block_code`` on every token.
+    ``names`` is the dimension (name, code), bounded by the unit dictionary, so it is broadcast: a block
+    starts at token i when token i is a name and token i+1 its code.  The start name/code are kept as
+    ``block_name``/``block_code`` on every token; ``with_heads=False`` skips that join and keeps the
+    start flag ``__start`` for callers that aggregate per block anyway (block_name = min_by(token, pos)).
     """
     part = list(part)
+    if bucket is not None:  # one bucket column for both scans: they share the (part, bucket) partitioning
+        tokens = tokens.withColumn("__seg_b", bucket)
+        bucket = "__seg_b"
     t = shift_rows(tokens, part, [pos], [token], [-1], bucket=bucket,
                    suffix=lambda c, k: "__next")
     dim = names.select(F.col(name_col).alias(token), F.col(code_col).alias("__code"))
-    t = t.join(dim, on=token, how="left")
+    t = t.join(F.broadcast(dim), on=token, how="left")
     t = t.withColumn("__start", F.coalesce(F.col("__next") == F.col("__code"), F.lit(False)).cast("int"))
     t = running_totals(t, part, [pos], {block: F.col("__start")}, bucket=bucket)
     t = t.where(F.col(block) > 0)
+    if bucket is not None:
+        t = t.drop(bucket)
+    if not with_heads:
+        return t.drop("__next", "__code")
     heads = (t.where(F.col("__start") == 1)
              .select(*part, block, F.col(token).alias("block_name"), F.col("__next").alias("block_code")))
     return t.drop("__next", "__code", "__start").join(heads, on=[*part, block], how="inner")

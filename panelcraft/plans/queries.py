@@ -551,9 +551,11 @@ def q_block_segments(spark, d):
     from panelcraft.operators.segment import segment_blocks
     conv = table(spark, d, "conversations")
     names = spark.createDataFrame(TURN_STARTS, "name string, code string")
-    b = segment_blocks(conv, ["conv_id"], "turn", "role", names, bucket=F.floor(F.col("turn") / 4096))
-    return b.groupBy("conv_id", "block_no", "block_name").agg(
-        F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"),
+    b = segment_blocks(conv, ["conv_id"], "turn", "role", names, bucket=F.floor(F.col("turn") / 4096),
+                       with_heads=False)
+    # the block's name is its first token: a partial aggregate, no join back to the block heads
+    return b.groupBy("conv_id", "block_no").agg(
+        F.min_by("role", "turn").alias("block_name"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"),
         F.count(F.lit(1)).alias("n_turns"), F.sum(F.length("text")).cast("bigint").alias("n_chars")) \
         .select("conv_id", F.col("block_no").cast("bigint").alias("block_no"), "block_name", "first_turn",
                 "last_turn", "n_turns", "n_chars")

@@ -37,3 +37,17 @@ def test_running_totals_and_index_bucketed(spark):
     w = Window.partitionBy("k").orderBy("t", "id")
     ref = df.withColumn("rn", F.row_number().over(w))
     assert sorted((r["id"], r["row_idx"]) for r in idx.collect()) == sorted((r["id"], r["rn"]) for r in ref.collect())
+
+
+def test_shift_one_row_bucketed_equals_window(spark):
+    """Lag 1 / lead 1 take the boundary rows from the neighbour buckets (empty buckets skipped, NULL values
+    kept as values), with the bucket as an expression and as an existing column."""
+    df = _events(spark).withColumn("v", F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.col("v")))
+    plain = shift_rows(df, ["k"], ["t", "id"], ["v", "id"], [1, -1])
+    cols = ["id", "v_lag1", "v_lead1", "id_lag1", "id_lead1"]
+    want = sorted(plain.select(*cols).collect())
+    for bucket in (F.floor(F.col("t") / 37), F.floor(F.col("t") / 3)):
+        buck = shift_rows(df, ["k"], ["t", "id"], ["v", "id"], [1, -1], bucket=bucket)
+        assert sorted(buck.select(*cols).collect()) == want
+    named = shift_rows(df.withColumn("b", F.floor(F.col("t") / 50)), ["k"], ["t", "id"], ["v", "id"], [1, -1], bucket="b")
+    assert sorted(named.select(*cols).collect()) == want and "b" in named.columns
