@@ -33,8 +33,11 @@ def cohort_means(df: DataFrame, unit: Sequence[str], time: str, y: str, cohort:
 
 def att_gt(df: DataFrame, unit: Sequence[str], time: str, y: str, cohort: str, balanced: bool = True) -> DataFrame:
     """(g, t, base_t, att, n_treated, n_control) for every treated cohort g and period t with a base."""
+    from panelcraft.session import cut_lineage
+
     d = balance(df, unit, time) if balanced else df
-    cm = cohort_means(d, unit, time, y, cohort)
+    # the (cohort, period) table is read four times below: compute it from the panel ONCE
+    cm = cut_lineage(cohort_means(d, unit, time, y, cohort))
     treated = cm.where(F.col("g") > 0)
     ctrl = cm.where(F.col("g") == 0).select(F.col("t"), F.col("m").alias("mc"), F.col("n").alias("nc"))
     cells = treated.withColumn("b", F.when(F.col("t") >= F.col("g"), F.col("g") - 1).otherwise(F.col("t") - 1))
@@ -80,7 +83,11 @@ def _cell_rows(df: DataFrame, unit: str, time: str, y: str, cohort: str, covaria
     d = (df.select(unit, time, y, cohort, *covariates)
          .withColumn("__G", F.coalesce(F.col(cohort), F.lit(0)).cast("int"))
          .dropna(subset=[y, *covariates]))
-    d = balance(d, [unit], time)
+    from panelcraft.session import cut_lineage
+
+    # the balanced estimation sample is read by the period/cohort lookups, the unit list and the two
+    # outcome joins: write it once (reliable checkpoint) instead of re-deriving it from the source
+    d = cut_lineage(balance(d, [unit], time))
     periods = sorted(r[0] for r in d.select(time).distinct().collect())
     cohorts = sorted(r[0] for r in d.select("__G").distinct().collect() if r[0] and r[0] > 0)
     cells = []

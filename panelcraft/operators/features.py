@@ -54,13 +54,14 @@ def treatment_cohorts(df: DataFrame, unit: Sequence[str], time: str, event: str,
 
 def add_event_time(df: DataFrame, unit: Sequence[str], time: str, event: str,
                    treat_col: str = "treatment_time", out: str = "event_time") -> DataFrame:
-    """G1 = A6 + J11 + P16: treatment period per unit joined back, event time = time - treatment.
+    """G1 = A6 + J11 + P16: first event period of the unit on every row, event time = time - treatment.
 
-    The cohort table has one row per treated unit; AQE broadcasts it when its runtime size is small.
+    On a panel (unique (unit, time) cells, at most #periods rows per unit) this is a per-unit window
+    ``min(time) filter (event = 1)``: the same partitioning as the lag/difference windows before it, and
+    no second pass over the panel's source for a join back (``treatment_cohorts`` is the table form).
     """
-    cohorts = treatment_cohorts(df, unit, time, event, treat_col)
-    return (df.join(cohorts, on=list(unit), how="left")
-            .withColumn(out, F.col(time) - F.col(treat_col)))
+    first = F.min(F.when(F.col(event) == 1, F.col(time))).over(Window.partitionBy(*unit))
+    return df.withColumn(treat_col, first).withColumn(out, F.col(time) - F.col(treat_col))
 
 
 def add_event_dummies(df: DataFrame, event_time: str = "event_time", treat_col: str = "treatment_time",
