@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from panelcraft.functions.clean import indicator, rate_per
 from panelcraft.functions.partitioning import spread
-from panelcraft.session import persisted
+from panelcraft.session import cut_lineage, persisted
 from panelcraft.operators.cases import existence_flags, flagged_sums
 from panelcraft.operators.panel import key_qa, left_join_sources, missing_rates, time_bounds_expr, time_grid
 
@@ -422,10 +422,12 @@ SELECT n_nationkey, year, round(revenue, 2) AS revenue, imputed FROM (
 """)
 def q_base_period_impute(spark, d):
     from panelcraft.operators.intervals import impute_from_base, ratio_to_base
-    on = orders_by_nation(spark, d)
-    loaded = on.where(F.col("year") >= IMPUTE_BASE).groupBy("n_nationkey", "year").agg(
-        F.sum("o_totalprice").alias("revenue"))
-    nat = on.groupBy("year").agg(F.sum("o_totalprice").alias("nat_rev"))
+    # one pass over the cases: (unit, period) totals, written once; loaded cells, national totals and
+    # the base value all derive from this small table
+    cells = cut_lineage(orders_by_nation(spark, d).groupBy("n_nationkey", "year").agg(
+        F.sum("o_totalprice").alias("revenue")))
+    loaded = cells.where(F.col("year") >= IMPUTE_BASE)
+    nat = cells.groupBy("year").agg(F.sum("revenue").alias("nat_rev"))
     ratios = ratio_to_base(nat, "year", "nat_rev", IMPUTE_BASE)
     out = impute_from_base(loaded, nation_year_grid(spark, d), ["n_nationkey"], "year", "revenue", ratios,
                            IMPUTE_BASE)
@@ -887,7 +889,9 @@ def feature_panel(spark, d) -> DataFrame:
     p = nation_year_covariates(spark, d)
     p = add_lags(p, ["n_nationkey"], "year", ["mean_price", "n_orders"], [1])
     g = panel_grid(spark, d).select("n_nationkey", "year", "urgent_big_avg")
-    return p.join(g, on=["n_nationkey", "year"], how="left")
+    # a (unit, period) panel read by every fit / statistic of the prediction steps: written once to the
+    # shared checkpoint folder, so the source tables are scanned once per query
+    return cut_lineage(p.join(g, on=["n_nationkey", "year"], how="left"))
 
 
 FEATURE_SQL = f"""
@@ -1127,10 +1131,12 @@ SELECT coverage_flag, CAST(count(*) AS BIGINT) AS n FROM f GROUP BY 1
 """)
 def q_coverage_flags(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.year("o_orderdate").alias("year"))
-    lo, hi = time_bounds_expr(o, "year")
+    # the (unit, period) cells with orders: one pass over orders; the period bounds and the units with
+    # any order derive from this table (#units x #periods), not from further scans
+    seen = cut_lineage(o.groupBy("c_custkey", "year").agg(F.lit(True).alias("obs")))
+    lo, hi = time_bounds_expr(seen, "year")
     grid = time_grid(table(spark, d, "customer").select("c_custkey"), "year", lo, hi)
-    seen = o.groupBy("c_custkey", "year").agg(F.lit(True).alias("obs"))
-    known = o.select("c_custkey").distinct().withColumn("known", F.lit(True))
+    known = seen.select("c_custkey").distinct().withColumn("known", F.lit(True))
     f = grid.join(seen, on=["c_custkey", "year"], how="left").join(known, on="c_custkey", how="left")
     flag = (F.when(F.col("obs"), "observed").when(F.col("known"), "missing_no_unit_data")
             .otherwise("missing_no_code"))
