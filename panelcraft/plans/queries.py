@@ -355,12 +355,13 @@ SERIES_TYPES = ["view", "click", "purchase"]
     "SELECT user_id, day, " + ", ".join(f"round({t}_value, 2) AS {t}_value" for t in SERIES_TYPES),
     "FROM s_view FULL OUTER JOIN s_click USING (user_id, day) FULL OUTER JOIN s_purchase USING (user_id, day)"]))
 def q_series_outer(spark, d):
-    from panelcraft.operators.series import outer_merge
-    e = table(spark, d, "events").select("user_id", F.to_date("ts").alias("day"), "event_type", "value")
-    frames = [e.where(F.col("event_type") == t).groupBy("user_id", "day").agg(F.sum("value").alias(f"{t}_value"))
-              for t in SERIES_TYPES]
-    m = outer_merge(frames, ["user_id", "day"])
-    return m.select("user_id", "day", *[r(f"{t}_value").alias(f"{t}_value") for t in SERIES_TYPES])
+    from panelcraft.operators.series import long_to_wide
+    # the three series live in one long table: the full outer merge on (user, day) is one pivot with the
+    # known series names (one scan, one shuffle); ``outer_merge`` is for series from separate sources
+    e = (table(spark, d, "events").where(F.col("event_type").isin(SERIES_TYPES))
+         .select("user_id", F.to_date("ts").alias("day"), "event_type", "value"))
+    m = long_to_wide(e, ["user_id", "day"], "event_type", "value", SERIES_TYPES, agg="sum")
+    return m.select("user_id", "day", *[r(t).alias(f"{t}_value") for t in SERIES_TYPES])
 
 
 # ---------------------------------------------------------------------------------------------
@@ -1089,7 +1090,8 @@ SELECT * FROM (SELECT 'largest_increase' AS grp, n_nationkey, round(delta, 6) AS
                ORDER BY delta DESC, n_nationkey LIMIT 5)
 """)
 def q_top_movers(spark, d):
-    c = change_table(spark, d).select("n_nationkey", "delta")
+    # both top-5 lists read the per-unit change table (#units rows): written once, not derived twice
+    c = cut_lineage(change_table(spark, d).select("n_nationkey", "delta"))
     low = c.orderBy(F.asc("delta"), "n_nationkey").limit(5).select(F.lit("largest_decrease").alias("grp"), "n_nationkey", "delta")
     high = c.orderBy(F.desc("delta"), "n_nationkey").limit(5).select(F.lit("largest_increase").alias("grp"), "n_nationkey", "delta")
     return low.unionByName(high).select("grp", "n_nationkey", r("delta", 6).alias("delta"))
