@@ -106,6 +106,7 @@ def _shift_one(df: DataFrame, part: list, order: Sequence, cols: list, offsets:
                           for k in offsets for c in cols}})
     key = F.struct(*_cols(order))
     row = F.struct(*[F.col(c) for c in cols])
+    # per-bucket first/last rows: a column-pruned scan aggregated map-side to one row per bucket
     ends = df if not made else df.withColumn(b, bucket)
     ends = ends.groupBy(*part, b).agg(F.min_by(row, key).alias("__sh_head"), F.max_by(row, key).alias("__sh_tail"))
     w_b = Window.partitionBy(*part).orderBy(b)
