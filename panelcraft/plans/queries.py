@@ -740,12 +740,20 @@ N_DRAWS = 100
 PLACEBO_SEED = 42
 
 
-def placebo_draws(spark, d) -> DataFrame:
+def placebo_draws(spark, d, panel: DataFrame | None = None) -> DataFrame:
+    """``panel``: an already persisted treated panel to reuse (e.g. the event study's); else built here."""
     from panelcraft.operators.regression import hash_assignments, placebo_coefficients
-    with persisted(treated_panel(spark, d)) as p:
+
+    def draws(p):
         treated = p.where(F.col("treatment_year").isNotNull()).select("n_nationkey")
         a = hash_assignments(treated, "n_nationkey", p.select("year"), "year", N_DRAWS, PLACEBO_SEED)
-        c = placebo_coefficients(p, "mean_price", [], "n_nationkey", "year", a)  # computed eagerly
+        return placebo_coefficients(p, "mean_price", [], "n_nationkey", "year", a)  # computed eagerly
+
+    if panel is not None:
+        c = draws(panel)
+    else:
+        with persisted(treated_panel(spark, d)) as p:
+            c = draws(p)
     return c.select("draw", r("coef").alias("coef"))
 
 
@@ -789,10 +797,11 @@ def q_placebo_hist(spark, d):
 def q_causal_summary(spark, d):
     """G6 + A13: nobs, R^2, pre-trend p and placebo mean / sample sd of one outcome."""
     from panelcraft.operators.regression import event_study
+    # one persisted panel for both steps (a left join on unique (unit, year) cells adds the covariate only)
     with persisted(treated_covariate_panel(spark, d)) as p:
         _, s = event_study(p, "mean_price", ["urgent_share"], ["n_nationkey"], "year", "event_time", "treatment_year")
-    pl = placebo_draws(spark, d).agg(F.avg("coef").alias("placebo_mean"),
-                                     F.stddev_samp("coef").alias("placebo_std")).first()
+        draws = placebo_draws(spark, d, panel=p)
+    pl = draws.agg(F.avg("coef").alias("placebo_mean"), F.stddev_samp("coef").alias("placebo_std")).first()
     return spark.createDataFrame([("mean_price", s["nobs"], s["r2"], s["pretrend_pvalue"], pl["placebo_mean"],
                                    pl["placebo_std"])],
                                  "outcome string, nobs double, r2 double, pretrend_pvalue double, "
