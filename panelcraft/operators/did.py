@@ -89,7 +89,10 @@ def _cell_rows(df: DataFrame, unit: str, time: str, y: str, cohort: str, covaria
     # outcome joins: write it once (reliable checkpoint) instead of re-deriving it from the source
     d = cut_lineage(balance(d, [unit], time))
     periods = sorted(r[0] for r in d.select(time).distinct().collect())
-    cohorts = sorted(r[0] for r in d.select("__G").distinct().collect() if r[0] and r[0] > 0)
+    # units per cohort (0 = never treated), one small aggregate: the cohorts, and the cell sizes that
+    # give each logit its intercept-only starting point
+    sizes = {r[0]: r[1] for r in d.select(unit, "__G").distinct().groupBy("__G").count().collect()}
+    cohorts = sorted(g for g in sizes if g and g > 0)
     cells = []
     for g in cohorts:
         for t in periods:
@@ -97,7 +100,7 @@ def _cell_rows(df: DataFrame, unit: str, time: str, y: str, cohort: str, covaria
             if b in periods and t != b:
                 cells.append((len(cells), g, t, b))
     if not cells:  # no treated cohort with a base period: nothing to estimate
-        return None, []
+        return None, [], {}
     cell_df = spark.createDataFrame(cells, "cell int, g int, t int, b int")  # #cohorts x #periods rows
     units = d.select(unit, "__G").distinct()
     # treated units join their own cohort's cells; never-treated units join every cell
@@ -113,7 +116,7 @@ def _cell_rows(df: DataFrame, unit: str, time: str, y: str, cohort: str, covaria
     rows = (cu.join(yt, on=[unit, "t"]).join(yb, on=[unit, "b"])
             .select("cell", unit, "D", (F.col("__yt") - F.col("__yb")).alias("dy"),
                     F.lit(1.0).alias("__x_c"), *[f"__x{i}" for i in range(len(covariates))]))
-    return rows, cells
+    return rows, cells, {c: (sizes[g], sizes.get(0, 0)) for c, g, t, b in cells}
 
 
 def _per_cell_sums(rows: DataFrame, exprs: dict) -> dict:
@@ -137,7 +140,7 @@ def att_gt_dr(df: DataFrame, unit: str, time: str, y: str, cohort: str, covariat
     import numpy as np
 
     spark = df.sparkSession
-    rows, cells = _cell_rows(df, unit, time, y, cohort, covariates)
+    rows, cells, sizes = _cell_rows(df, unit, time, y, cohort, covariates)
     if not cells:
         empty = spark.createDataFrame([], "g int, t int, base_t int, att double, se double, n_treated bigint, "
                                           "n_control bigint")
@@ -153,7 +156,13 @@ def att_gt_dr(df: DataFrame, unit: str, time: str, y: str, cohort: str, covariat
             return sum((F.col(arr_col)[i] * F.col(x) for i, x in enumerate(xs)), F.lit(0.0))
 
         # --- propensity score: Newton-Raphson per cell
-        beta = {c[0]: np.zeros(k) for c in cells}
+        # start at the intercept-only solution logit(n_treated / n); Newton then needs fewer passes
+        beta = {}
+        for c in (cell[0] for cell in cells):
+            n1, n0 = sizes[c]
+            beta[c] = np.zeros(k)
+            if n1 > 0 and n0 > 0:
+                beta[c][0] = np.log(n1 / n0)
         for _ in range(max_iter):
             j = rows.join(F.broadcast(param_table("__b", beta)), on="cell")
             p = 1.0 / (1.0 + F.exp(-dot("__b")))
