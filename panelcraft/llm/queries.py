@@ -5,17 +5,29 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcraft.llm import bpe, line_dedup, mixing, quality, token_files
+from panelcraft.llm import ann, bpe, line_dedup, mixing, ngram_join, quality, token_files, toxicity
 from panelcraft.llm.store import Scratch, documents
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(documents(spark, sf_dir))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(documents(spark, sf_dir))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -30,5 +42,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_source_mixing, op6_line_dedup, op7_token_files, op9_quality_rules)}
-ORACLE_SQL = {"op3_source_mixing": mixing.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (
+    op1_byte_bpe, op2_ngram_jaccard_join, op3_source_mixing, op4_toxicity, op5_nearest_neighbours, op6_line_dedup,
+    op7_token_files, op9_quality_rules)}
+ORACLE_SQL = {"op3_source_mixing": mixing.ORACLE_SQL, "op5_nearest_neighbours": ann.ORACLE_SQL,
+              "op6_line_dedup": line_dedup.ORACLE_SQL}
