@@ -1,5 +1,51 @@
-"""placeholder"""
-STAGES = []
+"""The training-data pipeline: five stages over ``documents``, each written as Parquet and read again by the next."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from panelcraft.llm import bpe, line_dedup, mixing, ngram_join, quality
+from panelcraft.llm.store import Scratch, documents
+
+#: Mixing draws by a hash and joins by exact sets of shingles: SQL cannot express every stage.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality.keep_good(docs)
+
+
+def line_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of three-line windows go; a document that loses every line goes."""
+    cleaned = line_dedup.dedup_lines(docs)
+    return cleaned.where("n_lines > n_removed OR n_lines = 0").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of links stays."""
+    return ngram_join.one_of_each(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out towards the weights of their sources."""
+    return mixing.mix(docs)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and the text that the ids decode to."""
+    return bpe.with_ids(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", line_windows), ("n-gram Jaccard join", near_duplicates),
+          ("mixing sources to target weights", source_mixing), ("byte-level BPE", byte_bpe)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scratch = documents(spark, sf_dir), Scratch(spark, "pipeline")
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{i}")
+        if i:
+            scratch.drop(f"stage-{i - 1}")
+    return STAGES[-1][1](spark, docs, sf_dir)

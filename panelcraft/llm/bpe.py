@@ -277,17 +277,23 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
     return Tokenizer(path, pattern)
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (array of int), of every whole text of ``docs``."""
+def with_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids (array of int), decoded (the text that the ids give) of every whole text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path, pattern)
-        for batch in batches:
-            packed = own.encode_many([t or "" for t in batch.column("text").to_pylist()])
-            ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), ids], names=["doc_id", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+        for whole in batches:
+            for at in range(0, len(whole), GROUP_ROWS):
+                batch = whole.slice(at, GROUP_ROWS)
+                packed = own.encode_many([t or "" for t in batch.column("text").to_pylist()])
+                n = np.array([len(p) // 4 for p in packed], dtype=np.int64)
+                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(n), ids, pa.array([own.decode(p).decode() for p in packed], pa.string())],
+                    names=["doc_id", "n_tokens", "ids", "decoded"])
+
+    return (docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+            .mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string"))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:

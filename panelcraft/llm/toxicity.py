@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from panelcraft.llm import words as W
 
 HASH_BITS = 22
-MAX_TRAIN_ROWS = 8_000
+MAX_TRAIN_ROWS = 16_000
 FOLDS = 5
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 0.1
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 2.0, 0.1
 EPOCHS = 6
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -94,8 +94,8 @@ def _fit_sample(table: pa.Table) -> pa.Table:
             owner, slot = (pairs >> np.uint64(HASH_BITS)).astype(np.int64), pairs & np.uint64((1 << HASH_BITS) - 1)
             edges = np.searchsorted(owner, np.arange(len(part) + 1))
             for i in range(len(part)):
-                own = slot[edges[i]:edges[i + 1]].astype(np.int64)
-                rows.append((np.append(own, 1 << HASH_BITS), labels[at + i]))
+                own = slot[edges[i]:edges[i + 1]].astype(np.int32)
+                rows.append((np.append(own, np.int32(1 << HASH_BITS)), labels[at + i]))
             at += len(part)
     slot, weight = fit(rows)
     return pa.table({"slot": pa.array(slot, pa.int64()), "weight": pa.array(weight, pa.float64())})
