@@ -83,8 +83,11 @@ def mix_table(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed documents: each as often as it is taken, with its own columns."""
     names = docs.columns
-    mixed = with_copies(docs.select(*names)).where("copies > 0")
-    return mixed.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
+    used = ("doc_id", "source", "text")
+    rest = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in names if c not in used)).alias("row")
+    mixed = with_copies(docs.select(*used, rest)).where("copies > 0")
+    mixed = mixed.select(*used, "row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return mixed.select(*(F.col(c) if c in used else F.col(f"row.`{c}`").alias(c) for c in names))
 
 
 ORACLE_SQL = r"""

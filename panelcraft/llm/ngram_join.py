@@ -130,12 +130,14 @@ def _ask_first(bits: int):
                 for k, bucket in enumerate(own.tolist()):
                     a, b = edges[k], edges[k + 1]
                     row(bucket, 0, packed[a:b].tobytes(), refs[a:b].tobytes())
-                spread = int(d1[0] >> np.uint64(64 - bits)) if len(d1) else 0
+                # what only passes through is dealt evenly, copies of one text too
+                deal = (W.mix(d1 + W.BASE * np.arange(len(n), dtype=np.uint64) + np.uint64(len(data)))
+                        >> np.uint64(64 - bits)).astype(np.int64)
                 if len(live):
-                    row(spread, 1, b"", _bytes(live, 5).tobytes(), times.astype("<u4").tobytes())
+                    row(int(deal[0]), 1, b"", _bytes(live, 5).tobytes(), times.astype("<u4").tobytes())
                 ids = part.column("doc_id").to_pylist()
                 for i in range(len(n)):
-                    for key, value in zip(out, (int(d1[i] >> np.uint64(64 - bits)), 2, None, None, None, ids[i], int(n[i]),
+                    for key, value in zip(out, (int(deal[i]), 2, None, None, None, ids[i], int(n[i]),
                                                 int(d1[i].view(np.int64)), int(d2[i].view(np.int64)))):
                         out[key].append(value)
                 yield pa.RecordBatch.from_arrays(
@@ -392,5 +394,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = Scratch(docs.sparkSession, "ngram-keep").save(ngram_components(docs), "found")
     keep = found.where("doc_id = component_id").groupBy("doc_id").count()
     again = keep.where("count > 1").isEmpty()
-    staying = docs.join(keep.select(F.col("doc_id").alias("keep_id")), F.col("doc_id") == F.col("keep_id"), "left_semi")
+    staying = docs.join(keep, docs["doc_id"] == keep["doc_id"], "left_semi")
     return (staying if again else staying.dropDuplicates(["doc_id"])).union(docs.where("doc_id IS NULL"))
