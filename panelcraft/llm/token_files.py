@@ -15,6 +15,7 @@ other in the order of their texts' hashes; further columns are ignored; an empty
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +33,10 @@ WRITE_OPTIONS = {
     "parquet.enable.dictionary#before": "false",
 }
 MEMO_SIZE = 300_000   # words whose ids are kept, in each of two generations
-GROUP_ROWS = 512
+GROUP_ROWS = 1024
+WORD_END = "</w>"     # fixed value: the mark of the vocabulary's word ends
+#: Letters whose lower case is one letter, and at most one mark.
+PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:]?)").fullmatch
 
 
 class WordTokenizer:
@@ -41,6 +45,9 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -58,15 +65,39 @@ class WordTokenizer:
     def _learn(self, new: set[str]) -> None:
         if len(self.memo) + len(new) > MEMO_SIZE:
             self.older, self.memo = self.memo, {}
-        unseen = []
-        for word in new:
-            if (packed := self.older.get(word)) is None:
-                unseen.append(word)
-            else:
-                self.memo[word] = packed
-        encoded = self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False)
-        for word, e in zip(unseen, encoded):
-            self.memo[word] = np.array(e.ids, dtype="<i4").tobytes()
+        # letters and one mark after them are two pieces of the tokenizer, and letters lose their case
+        parts = {word: (m.group(1).lower(), m.group(2)) for word in new if (m := PLAIN(word))}
+        self._encode([w for w in {base for base, _ in parts.values()} if self._known(w) is None], self._joined)
+        self._encode([w for w in new.difference(parts) | {mark for _, mark in parts.values() if mark}
+                      if self._known(w) is None], self._single)
+        for word, (base, mark) in parts.items():
+            self.memo[word] = self._known(base) + (self._known(mark) if mark else b"")
+        for word in new.difference(parts):
+            self.memo[word] = self._known(word)
+
+    def _known(self, word: str) -> bytes | None:
+        return self.memo.get(word) or self.older.get(word)
+
+    def _encode(self, unseen: list[str], how) -> None:
+        self.memo.update(zip(unseen, how(unseen)))
+
+    def _single(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<i4").tobytes()
+                for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Words of letters, many to a text: each ends with the one id that ends a word."""
+        groups = [words[i:i + 256] for i in range(0, len(words), 256)]
+        out = []
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<i4")
+            cut = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(cut) != len(group):
+                out += self._single(group)
+                continue
+            packed, edges = ids.tobytes(), [0, *(4 * cut).tolist()]
+            out += [packed[a:b] for a, b in zip(edges, edges[1:])]
+        return out
 
 
 def _split(text: str) -> list[str]:

@@ -75,3 +75,12 @@ def test_token_files(spark, docs, none, rows):
     empty = Scratch(spark, "test-token-files").path("none")
     token_files.write_token_files(none, empty, own, 2)
     assert token_files.with_crc(token_files.read_token_files(spark, empty)).count() == 0
+
+
+def test_words_equal_whole_texts():
+    own, library = token_files.WordTokenizer(P.path("word_bpe_49k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    library.encode_special_tokens = True
+    rng, texts = random.Random(8), []
+    for _ in range(400):
+        texts.append("".join(rng.choice([*ALPHABET, "Straße,", "ÀÉ.", "don't.", "abc!", "thE", "x:"]) for _ in range(rng.randint(0, 30))))
+    assert [ids(p) for p in own.encode_many(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
