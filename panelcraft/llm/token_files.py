@@ -76,7 +76,8 @@ class WordTokenizer:
             self.memo[word] = self._known(word)
 
     def _known(self, word: str) -> bytes | None:
-        return self.memo.get(word) or self.older.get(word)
+        packed = self.memo.get(word)
+        return self.older.get(word) if packed is None else packed
 
     def _encode(self, unseen: list[str], how) -> None:
         self.memo.update(zip(unseen, how(unseen)))
