@@ -103,10 +103,9 @@ class WordTokenizer:
 
 def _split(text: str) -> list[str]:
     """Words between ASCII white space (``str.split()`` would cut at further characters)."""
-    return text.translate(_BLANK).split(" ")
-
-
-_BLANK = {c: " " for c in range(9, 14)}
+    for c in "\t\n\v\f\r":
+        text = text.replace(c, " ")
+    return text.split(" ")
 
 
 @functools.cache
