@@ -35,12 +35,17 @@ def att_gt(df: DataFrame, unit: Sequence[str], time: str, y: str, cohort: str, b
     """(g, t, base_t, att, n_treated, n_control) for every treated cohort g and period t with a base."""
     from panelcraft.session import cut_lineage
 
+    df = df.where(F.col(y).isNotNull())  # complete cases first: a unit with a gap is not balanced
     d = balance(df, unit, time) if balanced else df
     # the (cohort, period) table is read four times below: compute it from the panel ONCE
     cm = cut_lineage(cohort_means(d, unit, time, y, cohort))
     treated = cm.where(F.col("g") > 0)
     ctrl = cm.where(F.col("g") == 0).select(F.col("t"), F.col("m").alias("mc"), F.col("n").alias("nc"))
-    cells = treated.withColumn("b", F.when(F.col("t") >= F.col("g"), F.col("g") - 1).otherwise(F.col("t") - 1))
+    # base: the last observed period before treatment, or the observed period before t (one row per cohort and period)
+    own = Window.partitionBy("g")
+    cells = treated.withColumn("b", F.when(
+        F.col("t") >= F.col("g"), F.max(F.when(F.col("t") < F.col("g"), F.col("t"))).over(own))
+        .otherwise(F.lag("t").over(own.orderBy("t"))))
     base_t = treated.select(F.col("g"), F.col("t").alias("b"), F.col("m").alias("mb"))
     base_c = ctrl.select(F.col("t").alias("b"), F.col("mc").alias("mcb"))
     return (cells.join(base_t, on=["g", "b"], how="inner")

@@ -82,6 +82,6 @@ def run_status(spark: SparkSession, step: str, fn: Callable[[], object]) -> tupl
         res = fn()
         return res, spark.createDataFrame([(step, "ok", None)], "step string, status string, message string")
     except Exception as e:  # noqa: BLE001 - the status row is the report of the failure
-        msg = f"{type(e).__name__}: {e}".splitlines()[0][:500]
-        tb = traceback.format_exc(limit=2).splitlines()[-1][:200]
+        msg = f"{type(e).__name__}: {e}".splitlines()[0]
+        tb = traceback.format_exc(limit=2).splitlines()[-1]
         return None, spark.createDataFrame([(step, "failed", f"{msg} | {tb}")], "step string, status string, message string")

@@ -137,8 +137,9 @@ def mean_pool(df: DataFrame, group: Sequence[str], vec: str, mask: Column | None
                   F.greatest(F.sum("__m"), F.lit(1e-9))).alias(out)))
 
 
-def encode_batches(df: DataFrame, text: str, encoder: Callable, dims: int, out: str = "embedding") -> DataFrame:
-    """T5 hook: ``encoder(list[str]) -> array-like (n, dims)`` applied per Arrow batch via ``mapInPandas``.
+def encode_batches(df: DataFrame, text: str, encoder: Callable, out: str = "embedding") -> DataFrame:
+    """T5 hook: ``encoder(list[str]) -> array-like (n, width)`` applied per Arrow batch via ``mapInPandas``; vectors keep
+    the encoder's width, and unequal widths in a batch raise.
 
     The caller provides the model (e.g. a locally available ONNX or tokenizer pipeline); the engine only
     distributes the batches.
@@ -152,7 +153,9 @@ def encode_batches(df: DataFrame, text: str, encoder: Callable, dims: int, out:
         for pdf in it:
             vecs = encoder(pdf[text].fillna("").astype(str).tolist())
             pdf = pdf.copy()
-            pdf[out] = [list(map(float, v))[:dims] for v in vecs]
+            pdf[out] = [list(map(float, v)) for v in vecs]
+            if pdf[out].map(len).nunique() > 1:
+                raise ValueError("the encoder returned vectors of unequal widths")
             yield pdf
 
     return df.mapInPandas(run, schema=schema)

@@ -136,15 +136,19 @@ def text_embeddings(grid: DataFrame, events: DataFrame, keys: Sequence[str], tex
     receives the encoder name and the dimension (S7 writes it with ``write_json_meta``)."""
     if encoder is not None:
         from panelcraft.operators.text import encode_batches, text_panel
+        from panelcraft.session import cut_lineage
         try:
             tp = text_panel(grid, events, list(keys), text, order, default)
-            out = encode_batches(tp, "policy_text", encoder, dims)
-            out.limit(1).collect()  # surface a broken encoder here, before the fallback decision
+            out = cut_lineage(encode_batches(tp, "policy_text", encoder))  # every row is encoded before the decision
+            widths = [r[0] for r in out.select(F.size("embedding")).distinct().limit(2).collect()]
+            if len(widths) > 1:
+                raise ValueError("the encoder returned vectors of unequal widths")
             if meta is not None:
-                meta.update({"encoder": getattr(encoder, "__name__", "custom"), "n_dims": dims})
+                meta.update({"encoder": getattr(encoder, "__name__", "custom"), "n_dims": widths[0] if widths else 0})
             return out
-        except Exception:  # noqa: BLE001 - any encoder failure selects the built-in fallback (T6)
-            pass
+        except Exception as e:  # noqa: BLE001 - any encoder failure selects the built-in fallback (T6)
+            if meta is not None:
+                meta["encoder_error"] = f"{type(e).__name__}: {e}"
     if meta is not None:
         meta.update({"encoder": "tfidf_svd_fallback"})
     return _tfidf_svd_embeddings(grid, events, keys, text, order, default, max_features, dims, meta)
@@ -168,5 +172,6 @@ def _tfidf_svd_embeddings(grid, events, keys, text, order, default, max_features
 def predict(panel: DataFrame, features_: Sequence[str], target: str, keys: Sequence[str], time: str, task: str,
             train, val, test, models: dict | None = None):
     from panelcraft.operators.predict import model_ladder, split_with_fallback
+    panel = panel.where(F.col(target).isNotNull())  # rows without a target have no say in the split
     s = split_with_fallback(panel, time, train, val, test)
     return model_ladder(s, features_, target, keys, task, models=models)

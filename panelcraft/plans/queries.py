@@ -345,7 +345,7 @@ def q_annual_mean_series(spark, d):
     return a.select("n_nationkey", "year", r("mean_of_months", 6).alias("mean_of_months"))
 
 
-SERIES_TYPES = ["view", "click", "purchase"]
+SERIES_TYPES = ["view", "click", "purchase", "signup", "error"]
 
 
 @register("series_outer", "\n".join([
@@ -353,7 +353,7 @@ SERIES_TYPES = ["view", "click", "purchase"]
         f"s_{t} AS (SELECT user_id, CAST(ts AS DATE) AS day, sum(value) AS {t}_value FROM events "
         f"WHERE event_type = '{t}' GROUP BY 1, 2)" for t in SERIES_TYPES),
     "SELECT user_id, day, " + ", ".join(f"round({t}_value, 2) AS {t}_value" for t in SERIES_TYPES),
-    "FROM s_view FULL OUTER JOIN s_click USING (user_id, day) FULL OUTER JOIN s_purchase USING (user_id, day)"]))
+    "FROM s_view " + " ".join(f"FULL OUTER JOIN s_{t} USING (user_id, day)" for t in SERIES_TYPES[1:])]))
 def q_series_outer(spark, d):
     from panelcraft.operators.series import long_to_wide
     # the three series live in one long table: the full outer merge on (user, day) is one pivot with the
@@ -375,7 +375,7 @@ WITH iv AS (
          CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice END AS v
   FROM orders),
 pts AS (SELECT c_custkey, c_acctbal, CAST(y AS INT) AS year, make_date(CAST(y AS INT), 1, 1) AS p
-        FROM customer, range(1996, 1999) t(y)),
+        FROM customer, (SELECT unnest(range(min(year(o_orderdate)), max(year(o_orderdate)) + 1)) AS y FROM orders)),
 hits AS (SELECT c_custkey, year, v, 1 AS hit,
                 row_number() OVER (PARTITION BY c_custkey, year ORDER BY s, o_orderkey) AS rn
          FROM pts JOIN iv ON iv.o_custkey = pts.c_custkey AND iv.s <= pts.p AND pts.p <= iv.e)
@@ -393,7 +393,8 @@ def q_interval_lookup(spark, d):
     iv = o.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", F.to_date("o_orderdate").alias("s"),
                   F.to_date("o_orderdate_lead1").alias("e"),
                   F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("v"))
-    pts = time_grid(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "year", 1996, 1998) \
+    years = table(spark, d, "orders").select(F.year("o_orderdate").alias("year"))
+    pts = time_grid(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "year", *time_bounds_expr(years, "year")) \
         .withColumn("p", jan_first("year"))
     res = point_in_interval(pts, iv, ["c_custkey"], "p", "s", "e", "v", out="value",
                             tiebreak=["o_orderkey"], default="c_acctbal")
@@ -754,7 +755,7 @@ def placebo_draws(spark, d, panel: DataFrame | None = None) -> DataFrame:
     else:
         with persisted(treated_panel(spark, d)) as p:
             c = draws(p)
-    return c.select("draw", r("coef").alias("coef"))
+    return c.select("draw", "coef")
 
 
 PLACEBO_SQL = f"""
@@ -773,24 +774,24 @@ m AS (SELECT draw,
                + avg(y) OVER (PARTITION BY draw) AS yy,
              d - avg(d) OVER (PARTITION BY draw, n_nationkey) - avg(d) OVER (PARTITION BY draw, year)
                + avg(d) OVER (PARTITION BY draw) AS dd FROM x)
-SELECT draw, round(sum(dd * yy) / sum(dd * dd), 2) AS coef FROM m GROUP BY draw
+SELECT draw, sum(dd * yy) / sum(dd * dd) AS coef FROM m GROUP BY draw
 """
 
 
-@register("placebo_distribution", PLACEBO_SQL)
+@register("placebo_distribution", f"SELECT draw, round(coef, 2) AS coef FROM ({PLACEBO_SQL})")
 def q_placebo_distribution(spark, d):
-    return placebo_draws(spark, d)
+    return placebo_draws(spark, d).select("draw", r("coef").alias("coef"))
 
 
 @register("placebo_hist", f"""
 WITH c AS ({PLACEBO_SQL}), mm AS (SELECT min(coef) AS lo, max(coef) AS hi FROM c)
 SELECT CAST(CASE WHEN hi = lo THEN 1 ELSE least(floor((coef - lo) / (hi - lo) * 20.0::DOUBLE) + 1, 20) END AS INT) AS bin,
-       CAST(count(*) AS BIGINT) AS n, lo, hi
-FROM c, mm GROUP BY 1, lo, hi
+       CAST(count(*) AS BIGINT) AS n, round(lo, 4) AS lo, round(hi, 4) AS hi
+FROM c, mm GROUP BY 1, mm.lo, mm.hi
 """)
 def q_placebo_hist(spark, d):
     from panelcraft.operators.regression import histogram
-    return histogram(placebo_draws(spark, d), "coef", 20)
+    return histogram(placebo_draws(spark, d), "coef", 20).select("bin", "n", r("lo", 4).alias("lo"), r("hi", 4).alias("hi"))
 
 
 @register("causal_summary")

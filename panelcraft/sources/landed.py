@@ -44,7 +44,7 @@ def zip_csv_members(spark: SparkSession, path: str, member_suffix: str, columns:
                 with zipfile.ZipFile(io.BytesIO(bytes(content))) as zf:
                     member = next((m for m in zf.namelist() if m.lower().endswith(suffix)), None)
                     if member is None:
-                        continue
+                        raise FileNotFoundError(f"{name} has no member that ends with {member_suffix}")
                     raw = zf.read(member)
                 try:
                     text = raw.decode("utf-8")

@@ -105,3 +105,16 @@ def test_dynamic_dr_se_includes_weight_estimation(spark, sim):
         se = np.sqrt((inf ** 2).sum()) / n_all
         assert abs(dyn[e]["att"] - att_e) < 1e-10
         assert abs(dyn[e]["se"] - se) < 1e-8, (e, dyn[e]["se"], se)
+
+
+def test_att_gt_uses_complete_units_and_observed_periods(spark):
+    """True effect 5 on a biennial panel; a unit with a missing outcome drops out instead of tilting the means."""
+    from panelcraft.operators.did import att_gt
+    rows = []
+    for u in range(8):
+        for t in (2001, 2003, 2005, 2007):
+            y = 10.0 * u + (t - 2001) + (5.0 if u < 4 and t >= 2005 else 0.0)
+            rows.append((u, t, None if (u, t) in {(0, 2003), (7, 2007)} else y, 2005 if u < 4 else None))
+    got = att_gt(spark.createDataFrame(rows, "u long, t int, y double, g int"), ["u"], "t", "y", "g").collect()
+    assert {(r["t"], r["base_t"]): round(r["att"], 9) for r in got} == {
+        (2003, 2001): 0.0, (2005, 2003): 5.0, (2007, 2003): 5.0}
