@@ -15,6 +15,7 @@ other in the order of their texts' hashes; further columns are ignored; an empty
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -41,6 +42,7 @@ PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:]?)").fullmatc
 
 class WordTokenizer:
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
