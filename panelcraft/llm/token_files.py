@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,11 +34,13 @@ WRITE_OPTIONS = {
     "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false",
     "parquet.enable.dictionary#before": "false",
 }
-MEMO_SIZE = 300_000   # words whose ids are kept, in each of two generations
+MEMO_SIZE = 500_000   # words whose ids are kept, in each of two generations
 GROUP_ROWS = 1024
 WORD_END = "</w>"     # fixed value: the mark of the vocabulary's word ends
-#: Letters whose lower case is one letter, and at most one mark.
-PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:]?)").fullmatch
+#: Letters whose lower case is one letter, and marks after them (no apostrophe, which may start a piece).
+LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+STEM_AND_MARKS = f"^(?P<stem>[{LETTERS}]+)(?P<marks>[.,!?;:#$%&*|<>]*)$"
+STEM = re.compile(f"[{LETTERS}]+").fullmatch
 
 
 class WordTokenizer:
@@ -55,34 +58,41 @@ class WordTokenizer:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        group = [[w for w in _split(t) if w] for t in texts]
-        found = [list(map(self.memo.get, words)) for words in group]
-        gaps = [[i for i, packed in enumerate(row) if packed is None] for row in found]
-        self._learn({words[i] for words, gap in zip(group, gaps) for i in gap})
-        for row, words, gap in zip(found, group, gaps):
-            for i in gap:
-                row[i] = self.memo[words[i]]
-        return [b"".join(row) for row in found]
-
-    def _learn(self, new: set[str]) -> None:
-        if len(self.memo) + len(new) > MEMO_SIZE:
+        ids, edges = self.encode_array(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the edges of each text's ids."""
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = words.flatten().dictionary_encode()
+        # letters and the marks after them are two pieces of the tokenizer, and letters lose their case
+        parts = pc.extract_regex(coded.dictionary, STEM_AND_MARKS)
+        stems = pc.coalesce(pc.utf8_lower(pc.struct_field(parts, "stem")), coded.dictionary)
+        marks = pc.fill_null(pc.struct_field(parts, "marks"), "")
+        unique = pc.binary_join_element_wise(self._packed(stems), self._packed(marks), pa.scalar(b"", pa.large_binary()))
+        # taken from the dictionary, the packed ids of the words stand in one buffer
+        packed = unique.take(coded.indices)
+        edges = np.concatenate([[0], np.cumsum(pc.binary_length(packed).to_numpy(zero_copy_only=False) // 4, dtype=np.int64)])
+        ids = np.frombuffer(packed.buffers()[2] or b"", dtype="<i4", count=int(edges[-1]))
+        return ids, edges[words.offsets.to_numpy() - words.offsets[0].as_py()]
+
+    def _packed(self, words: pa.Array) -> pa.Array:
+        """The ids of each word, packed."""
+        coded = words.dictionary_encode()
+        unique = coded.dictionary.to_pylist()
+        found = list(map(self.memo.get, unique))
+        gaps = [i for i, packed in enumerate(found) if packed is None]
+        if len(self.memo) + len(gaps) > MEMO_SIZE:
             self.older, self.memo = self.memo, {}
-        # letters and one mark after them are two pieces of the tokenizer, and letters lose their case
-        parts = {word: (m.group(1).lower(), m.group(2)) for word in new if (m := PLAIN(word))}
-        self._encode([w for w in {base for base, _ in parts.values()} if self._known(w) is None], self._joined)
-        self._encode([w for w in new.difference(parts) | {mark for _, mark in parts.values() if mark}
-                      if self._known(w) is None], self._single)
-        for word, (base, mark) in parts.items():
-            self.memo[word] = self._known(base) + (self._known(mark) if mark else b"")
-        for word in new.difference(parts):
-            self.memo[word] = self._known(word)
-
-    def _known(self, word: str) -> bytes | None:
-        packed = self.memo.get(word)
-        return self.older.get(word) if packed is None else packed
-
-    def _encode(self, unseen: list[str], how) -> None:
-        self.memo.update(zip(unseen, how(unseen)))
+        for how, plain in ((self._joined, True), (self._single, False)):
+            own = [i for i in gaps if (STEM(unique[i]) is not None) == plain]
+            new = [i for i in own if unique[i] not in self.older]
+            for i in own:
+                found[i] = self.older.get(unique[i])
+            for i, packed in zip(new, how([unique[i] for i in new])):
+                found[i] = packed
+            self.memo.update((unique[i], found[i]) for i in own)
+        return pa.array(found, pa.large_binary()).take(coded.indices)
 
     def _single(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<i4").tobytes()
@@ -103,13 +113,6 @@ class WordTokenizer:
         return out
 
 
-def _split(text: str) -> list[str]:
-    """Words between ASCII white space (``str.split()`` would cut at further characters)."""
-    for c in "\t\n\v\f\r":
-        text = text.replace(c, " ")
-    return text.split(" ")
-
-
 @functools.cache
 def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
@@ -118,15 +121,14 @@ def word_tokenizer(path: str) -> WordTokenizer:
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, before = word_tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype="<i4").tobytes()
         for whole in batches:
             for at in range(0, len(whole), GROUP_ROWS):
                 batch = whole.slice(at, GROUP_ROWS)
-                packed = [p + end for p in own.encode_many([t or "" for t in batch.column("text").to_pylist()])]
-                n = np.array([len(p) // 4 for p in packed], dtype=np.int64)
-                ends = np.concatenate([[0], np.cumsum(n)])
-                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)),
-                                               pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
+                values, edges = own.encode_array(batch.column("text"))
+                values = np.insert(values, edges[1:], end_id)
+                ends = edges + np.arange(len(edges))
+                n = np.diff(ends)
+                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(n), part, dtype=np.int32)), batch.column("doc_id"),
                      pa.array(before + ends[:-1]), pa.array(n), ids],
