@@ -34,8 +34,8 @@ WRITE_OPTIONS = {
     "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false",
     "parquet.enable.dictionary#before": "false",
 }
-MEMO_SIZE = 500_000   # words whose ids are kept, in each of two generations
-GROUP_ROWS = 1024
+MEMO_SIZE = 250_000   # words whose ids are kept, in each of two generations
+GROUP_ROWS = 512
 WORD_END = "</w>"     # fixed value: the mark of the vocabulary's word ends
 #: Letters whose lower case is one letter, and marks after them (no apostrophe, which may start a piece).
 LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
