@@ -295,7 +295,7 @@ def att_dynamic_dr(df: DataFrame, unit: str, time: str, y: str, cohort: str, cov
     spark = df.sparkSession
     table, infl = att_gt_dr(df, unit, time, y, cohort, covariates, with_influence=True)
     if infl is None:
-        return spark.createDataFrame([], "event_time int, att double, se double, crit_val double")
+        return spark.createDataFrame([], "event_time int, att double, se double, se_boot double, crit_val double")
     cells = table.withColumn("event_time", (F.col("t") - F.col("g")).cast("int"))
     n_total = infl.select(unit).distinct().count()
     w = Window.partitionBy("event_time")

@@ -152,7 +152,8 @@ def model_ladder(df: DataFrame, features: Sequence[str], target: str, keys: Sequ
              "y_true": F.lit(None).cast("double"), "y_pred": F.lit(None).cast("double")})
     train = data.where(F.col(split) == "train")
     pp = fit_preprocess(train, features, scale=True)
-    sigma = train.agg(F.stddev_pop(target)).first()[0] or 1.0
+    center, sigma = train.agg(F.avg(target), F.stddev_pop(target)).first()
+    sigma = sigma or 1.0
     evals, preds = [], []
     for name, spec in models.items():
         scaled = spec["scale"]
@@ -165,17 +166,19 @@ def model_ladder(df: DataFrame, features: Sequence[str], target: str, keys: Sequ
             tr = tr.withColumn("__ys", F.col(target) / F.lit(sigma))
             m = elastic_net("__x", "__ys", sigma_y=sigma).fit(tr)
             scored = m.transform(prepared).withColumn("__pred", F.col("prediction") * F.lit(sigma))
+        elif kind == "fm":  # gradient steps of a fixed size need a target of unit scale
+            tr = tr.withColumn("__ys", (F.col(target) - F.lit(center)) / F.lit(sigma))
+            m = FMRegressor(featuresCol="__x", labelCol="__ys", factorSize=8, seed=seed, maxIter=spec.get("max_iter", 200),
+                            stepSize=0.05, tol=1e-6, solver="adamW").fit(tr)
+            scored = m.transform(prepared).withColumn("__pred", F.col("prediction") * F.lit(sigma) + F.lit(center))
         else:
             if kind == "rf":
                 est = RandomForestRegressor(featuresCol="__x", labelCol=target, numTrees=spec["n_trees"],
                                             maxDepth=spec["max_depth"], minInstancesPerNode=2,
                                             featureSubsetStrategy="all", seed=seed)
-            elif kind == "gbt":
+            else:
                 est = GBTRegressor(featuresCol="__x", labelCol=target, maxDepth=6, maxIter=spec["max_iter"],
                                    stepSize=0.1, minInstancesPerNode=20, seed=seed)
-            else:
-                est = FMRegressor(featuresCol="__x", labelCol=target, factorSize=8, seed=seed, maxIter=50,
-                                  stepSize=0.1, solver="adamW")
             scored = est.fit(tr).transform(prepared).withColumn("__pred", F.col("prediction"))
         scored = scored.select(*keys, split, F.col(target).alias("y_true"), F.col("__pred").alias("y_pred")).cache()
         met = {r[split]: r for r in regression_metrics(scored.where(F.col(split) != "train"), "y_true", "y_pred",

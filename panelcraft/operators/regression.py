@@ -274,7 +274,7 @@ def hash_assignments(treated: DataFrame, unit: str, periods: DataFrame, time: st
 def hash_index_expr(draw, unit, seed: int = 42, integral_unit: bool = True):
     """Integer mixing of (seed, draw, unit) with 64-bit wrap-free arithmetic (values stay < 2^62), so
     the draws can be reproduced in any SQL engine; units that are not integers are hashed first."""
-    u = unit.cast("bigint") if integral_unit else F.pmod(F.xxhash64(unit.cast("string")), F.lit(2147483647))
+    u = F.pmod(unit.cast("bigint") if integral_unit else F.xxhash64(unit.cast("string")), F.lit(2147483647))
     return F.pmod(F.lit(seed) * F.lit(1000003) + (draw.cast("bigint") + F.lit(1)) * F.lit(2654435761)
                   + u * F.lit(40503), F.lit(2147483647))
 

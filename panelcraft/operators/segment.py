@@ -100,10 +100,10 @@ def block_fields(blocks: DataFrame, part: Sequence[str], pos: str, token: str,
                       F.coalesce(F.col("n_dates_found"), F.lit(0)).cast("int").alias("n_dates_found"))
 
 
-def current_values(fields: DataFrame) -> DataFrame:
-    """blocks with at least one date -> (name, code, as_of, value)."""
+def current_values(fields: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """blocks with at least one date -> (``keep``, name, code, as_of, value)."""
     return fields.where(F.col("n_dates_found") >= 1).select(
-        F.col("block_name").alias("unit_name"), F.col("block_code").alias("unit"),
+        *keep, F.col("block_name").alias("unit_name"), F.col("block_code").alias("unit"),
         F.col("date_1").alias("as_of"), F.col("amount").alias("value"))
 
 

@@ -36,12 +36,13 @@ def parse_policy_pages(value_pages: DataFrame, interval_pages: DataFrame, names:
     with a missing value stays missing; units/years without an interval get the current value (N8/N9).
     """
     cur = current_values(block_fields(segment_blocks(line_tokens(value_pages, page, text), [page], "pos", "token",
-                                                     names), [page], "pos", "token"))
+                                                     names), [page], "pos", "token"), [page, "block_no"])
     ivs = interval_values(block_fields(segment_blocks(line_tokens(interval_pages, page, text), [page], "pos",
                                                       "token", names), [page], "pos", "token"))
     units = names.select(F.col("code").alias("unit"), F.col("name").alias("unit_name"))
     grid = time_grid(units, "year", first, last).withColumn("__p", jan_first("year"))
-    cur1 = cur.groupBy("unit").agg(F.first("value").alias("__default"))
+    # a unit of several blocks keeps the last one
+    cur1 = cur.groupBy("unit").agg(F.max_by("value", F.struct(page, "block_no")).alias("__default"))
     pts = grid.join(cur1, on="unit", how="left")
     res = point_in_interval(pts, ivs, ["unit"], "__p", "start_dt", "end_dt", "value", out=value_col,
                             tiebreak=["end_dt"], default="__default")

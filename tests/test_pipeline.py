@@ -91,3 +91,12 @@ def test_text_embeddings_and_predict(spark):
     r = ev_.first()
     assert r["n_train"] == 120 and r["n_val"] == 40 and r["n_test"] == 40
     assert pred.count() == 40
+
+
+def test_the_last_block_of_a_unit_gives_its_current_value(spark):
+    names = spark.createDataFrame([("Ruritania", "RU")], "name string, code string")
+    body = "\n".join(["Ruritania", "RU", "1/1/2020", "$0.30", "Ruritania", "RU", "1/1/2021", "$0.70"])
+    pages = spark.createDataFrame([("p1", body)], "page_id string, text string")
+    none = spark.createDataFrame([], "page_id string, text string")
+    got = {r["year"]: r["value"] for r in parse_policy_pages(pages, none, names, 2019, 2020).collect()}
+    assert got == {2019: 0.7, 2020: 0.7}

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from panelcraft.operators.predict import elastic_net, quantile_split, regression_metrics, split_with_fallback
+from panelcraft.operators.predict import elastic_net, model_ladder, quantile_split, regression_metrics, split_with_fallback
 
 
 def _cd_enet(X, y, alpha, l1, iters=20000):
@@ -50,3 +50,16 @@ def test_split_fallback_and_metrics(spark):
     e = np.array([-0.5, 0, 1.0])
     assert abs(m["mae"] - np.abs(e).mean()) < 1e-12 and abs(m["rmse"] - np.sqrt((e ** 2).mean())) < 1e-12
     assert abs(m["r2"] - (1 - (e ** 2).sum() / 2.0)) < 1e-12
+
+
+def test_factorisation_rung_beats_the_mean_far_from_zero(spark):
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(600, 3))
+    y = 250_000 + 18_000 * (X[:, 0] - 0.5 * X[:, 1] + 0.4 * X[:, 0] * X[:, 2]) + rng.normal(size=600) * 1_000
+    rows = [(i, *map(float, x), float(t), "train" if i < 400 else "val" if i < 500 else "test")
+            for i, (x, t) in enumerate(zip(X, y))]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, y double, split string")
+    ev, pred = model_ladder(df, ["a", "b", "c"], "y", ["id"], "planted", models={"FM": {"scale": True, "kind": "fm"}})
+    got = ev.first()
+    assert got["val_r2"] > 0.8 and got["test_r2"] > 0.8
+    assert pred.count() == 100
