@@ -1002,10 +1002,10 @@ def q_best_per_group(spark, d):
 
 @register("model_ladder")
 def q_model_ladder(spark, d):
-    from panelcraft.operators.predict import default_models, model_ladder, time_split
+    from panelcraft.operators.predict import model_ladder, time_split
     p = time_split(feature_panel(spark, d), "year", TRAIN, VAL, TEST)
     ev, _ = model_ladder(p, ["mean_price_lag1", "n_orders_lag1", "urgent_share"], "mean_price",
-                         ["n_nationkey", "year"], "nation_price", models=default_models(n_trees=20, gbt_iter=10))
+                         ["n_nationkey", "year"], "nation_price")
     return ev
 
 

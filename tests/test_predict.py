@@ -63,3 +63,31 @@ def test_factorisation_rung_beats_the_mean_far_from_zero(spark):
     got = ev.first()
     assert got["val_r2"] > 0.8 and got["test_r2"] > 0.8
     assert pred.count() == 100
+
+
+def test_ladder_fits_the_reference_sizes(spark, monkeypatch):
+    from pyspark.ml import regression
+
+    from conftest import SF_SMALL
+    from panelcraft.plans.queries import QUERIES
+
+    class Stop(Exception):
+        pass
+
+    built = {}
+
+    class Forest:
+        def __init__(self, **kw):
+            built["forest"] = kw
+
+        def fit(self, train):  # what is fitted is known now; the others are not reached
+            from panelcraft.operators import predict
+            built["rounds"] = predict.default_models()["GBTRegressor"]["max_iter"]
+            raise Stop
+
+    monkeypatch.setattr(regression, "RandomForestRegressor", Forest)
+    try:
+        QUERIES["model_ladder"](spark, SF_SMALL)
+    except Stop:
+        pass
+    assert (built["forest"]["numTrees"], built["forest"]["maxDepth"], built["rounds"]) == (400, 30, 100)
