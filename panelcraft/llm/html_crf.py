@@ -30,6 +30,8 @@ N_PAGES = 400
 PART = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden|aria-label)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 RAW = frozenset("script style title textarea noscript template svg iframe object math select".split())
+#: Searched in the page itself: lower-casing some letters moves the offsets.
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark meter nobr progress q rp rt "
                    "ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -67,7 +69,7 @@ def leaf_blocks(page: str) -> list[Block]:
         links[0] -= sum(tag == "a" for tag, _ in stack[i:])
         del stack[i:]
 
-    at, lower = 0, None
+    at = 0
     while at < len(page):
         m = PART.search(page, at)
         text = page[at:m.start() if m else len(page)]
@@ -91,9 +93,8 @@ def leaf_blocks(page: str) -> list[Block]:
                     break  # a stray inline end does not close a block
             continue
         if tag in RAW:
-            lower = page.lower() if lower is None or len(lower) != len(page) else lower
-            end = lower.find(f"</{tag}", at)
-            close_at = lower.find(">", end) if end >= 0 else -1
+            end = RAW_END[tag].search(page, at)
+            close_at = page.find(">", end.end()) if end else -1
             at = close_at + 1 if close_at >= 0 else len(page)
             continue
         if tag == "br":

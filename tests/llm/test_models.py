@@ -168,3 +168,10 @@ def test_contexts_find_unseen_identifiers(spark):
     at = texts[20].index("lost7")
     assert got[20]["n_email"] == 0 and got[20]["spans"] == f"email:{at}:{at + len('lost7@localhost')}"
     assert got[21]["spans"] == ""
+
+
+def test_raw_elements_end_where_the_page_says():
+    texts = lambda page: [b.text for b in html_crf.leaf_blocks(page)]
+    assert texts("<title>İİİ</title><p>abc</p><style>İ</STYLE >de<script>'</scripts>İ'</Script>f") == ["abc", "def"]
+    assert texts("<title>İzmir</title><style>x</style><p>İ</p><p>y") == ["İ", "y"]
+    assert texts("a<script>İ</ſcript>b") == ["a"]
