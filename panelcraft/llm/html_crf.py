@@ -8,7 +8,8 @@ tables hold no labels, so these pages are put together here from labelled parts
 Every page is extracted in one task, without a shuffle.
 
 Defined results: null and empty pages have an empty text; unclosed and stray tags are repaired the way browsers do for
-paragraphs, list items and cells; repeated rows are extracted one by one; further columns are ignored.
+paragraphs, list items and cells; text of svg, select, template, iframe and noscript is not shown, and one of these that is
+never closed ends with the element around it at the latest; repeated rows are extracted one by one; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +30,22 @@ EPOCHS, RATE, DECAY = 12, 0.5, 1e-4
 N_PAGES = 400
 PART = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden|aria-label)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-RAW = frozenset("script style title textarea noscript template svg iframe object math select".split())
+RAW = frozenset("script style title textarea".split())
+#: Elements whose text is not shown; tags inside do not end the block they stand in.
+UNSEEN = frozenset("svg select template iframe noscript".split())
+#: Blocks that cannot stand in these: an open one ended without its end tag.
+UNCLOSED = frozenset("svg select".split())
+BREAKS_OUT = frozenset("article aside blockquote body center dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header li main menu nav ol p pre "
+                       "section table ul".split())
+#: These do not hold their own kind: one without an end tag before the next of its kind has no content.
+NEXT_OF_KIND = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])", re.I | re.A) for tag in ("iframe", "noscript")}
 #: Searched in the page itself: lower-casing some letters moves the offsets.
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark meter nobr progress q rp rt "
-                   "ruby s samp small span strike strong sub sup time tt u var wbr".split())
+                   "ruby s samp small span strike strong sub sup time tt u var wbr object math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror "
+                   "mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction semantics "
+                   "annotation annotation-xml".split()) | UNSEEN
 #: A start tag closes these open elements, up to the nearest of the second set.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -55,6 +66,7 @@ def leaf_blocks(page: str) -> list[Block]:
     stack: list[tuple[str, str]] = []  # tag, and the feature words of the element
     held: list[str] = []
     links: list[int] = [0, 0]          # open links, characters inside links
+    unseen: list[int] = []             # place in the stack of the outermost open element whose text is not shown
 
     def flush() -> None:
         text = " ".join("".join(held).split())
@@ -64,8 +76,10 @@ def leaf_blocks(page: str) -> list[Block]:
         links[1] = 0
 
     def close(i: int) -> None:
-        if any(tag not in INLINE for tag, _ in stack[i:]):
+        if any(tag not in INLINE for tag, _ in stack[i:unseen[0] if unseen else None]):
             flush()
+        if unseen and i <= unseen[0]:
+            unseen.clear()
         links[0] -= sum(tag == "a" for tag, _ in stack[i:])
         del stack[i:]
 
@@ -73,7 +87,7 @@ def leaf_blocks(page: str) -> list[Block]:
     while at < len(page):
         m = PART.search(page, at)
         text = page[at:m.start() if m else len(page)]
-        if text:
+        if text and not unseen:
             text = html.unescape(text)
             held.append(text)
             if links[0]:
@@ -89,10 +103,13 @@ def leaf_blocks(page: str) -> list[Block]:
                 if stack[i][0] == tag:
                     close(i)
                     break
-                if tag in INLINE and stack[i][0] not in INLINE:
+                if tag in INLINE and stack[i][0] not in INLINE and not (unseen and i > unseen[0]):
                     break  # a stray inline end does not close a block
             continue
-        if tag in RAW:
+        ended = m.group(3).endswith("/")
+        if unseen and tag in BREAKS_OUT and stack[unseen[0]][0] in UNCLOSED and all(t != "foreignobject" for t, _ in stack[unseen[0]:]):
+            close(unseen[0])
+        if tag in RAW and not (ended and any(t == "svg" for t, _ in stack)):
             end = RAW_END[tag].search(page, at)
             close_at = page.find(">", end.end()) if end else -1
             at = close_at + 1 if close_at >= 0 else len(page)
@@ -100,16 +117,21 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag == "br":
             held.append(" ")
             continue
+        if tag in NEXT_OF_KIND and not ((follows := NEXT_OF_KIND[tag].search(page, at)) and follows.group(1)):
+            continue
         if tag not in INLINE:
-            flush()
+            if not unseen:
+                flush()
             ends, stops = CLOSES.get(tag, ((), ()))
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, unseen[0] if unseen else -1, -1):
                 if stack[i][0] in ends or stack[i][0] == "p" and tag not in KEEPS_P:
                     close(i)
                     break
                 if stack[i][0] in stops or ends == () and stack[i][0] not in INLINE:
                     break
-        if tag not in VOID and not m.group(3).endswith("/"):
+        if tag not in VOID and not ended:
+            if tag in UNSEEN and not unseen:
+                unseen.append(len(stack))
             stack.append((tag, element_features(tag, m.group(3))))
             links[0] += tag == "a"
     flush()

@@ -175,3 +175,17 @@ def test_raw_elements_end_where_the_page_says():
     assert texts("<title>İİİ</title><p>abc</p><style>İ</STYLE >de<script>'</scripts>İ'</Script>f") == ["abc", "def"]
     assert texts("<title>İzmir</title><style>x</style><p>İ</p><p>y") == ["İ", "y"]
     assert texts("a<script>İ</ſcript>b") == ["a"]
+
+
+def test_unclosed_and_selfclosing_elements_keep_the_page():
+    texts = lambda page: [b.text for b in html_crf.leaf_blocks(page)]
+    assert texts("<p>a <svg width=1 /> b</p><p>c</p>") == ["a b", "c"]
+    assert texts("<p>a <svg><title/><g><p0>x</p0><text>x</g></svg> b</p><p>c") == ["a b", "c"]
+    assert texts("<p>a <svg><path/><text>x<p>c</p><p>d") == ["a", "c", "d"]
+    assert texts("<div>a<select><option>x<option>y</select>b</div>c") == ["ab", "c"]
+    assert texts("<div>a<select><option>x</div><p>b<p>c") == ["a", "b", "c"]
+    assert texts("<div>a<select><option>x<p>b</p>c</div>d") == ["a", "b", "c", "d"]
+    assert texts("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b") == ["a x=1 b"]
+    assert texts("<p>a <object data=x>in</object> b<p>c <object data=y> d<p>e") == ["a in b", "c d", "e"]
+    assert texts("<p>a<iframe src=x/><p>b<iframe src=y><p>no</p></iframe> c<noscript><div>no</div></noscript>") == ["a", "b c"]
+    assert texts("<p>a<template><div><p>no</p></div><template>no</template>no</template> b<svg><foreignObject><div>no</div></svg>c") == ["a bc"]
