@@ -9,7 +9,8 @@ Every word (a run without ASCII white space) is encoded by the tokenizers librar
 white space, so its ids are those of the words, one after the other; ids of frequent words are kept.
 
 Defined results: null and empty texts hold the end id alone; a null doc_id sorts first; repeated doc_ids follow each
-other in the order of their texts' hashes; further columns are ignored; an empty table gives no rows.
+other in the order of their texts' hashes; the strings of special tokens in a text have these tokens' ids with ``special_ids``,
+as with an unchanged tokenizer, and are ordinary text without; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,12 +45,13 @@ STEM = re.compile(f"[{LETTERS}]+").fullmatch
 
 
 class WordTokenizer:
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_ids: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # the library's own default is special_ids; else the strings of special tokens in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special_ids
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
@@ -114,13 +116,13 @@ class WordTokenizer:
 
 
 @functools.cache
-def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def word_tokenizer(path: str, special_ids: bool) -> WordTokenizer:
+    return WordTokenizer(path, special_ids)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, special_ids: bool = False) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, before = word_tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
+        own, part, before = word_tokenizer(tokenizer_path, special_ids), TaskContext.get().partitionId(), 0
         for whole in batches:
             for at in range(0, len(whole), GROUP_ROWS):
                 batch = whole.slice(at, GROUP_ROWS)

@@ -84,3 +84,19 @@ def test_words_equal_whole_texts():
     for _ in range(400):
         texts.append("".join(rng.choice([*ALPHABET, "Straße,", "ÀÉ.", "don't.", "abc!", "thE", "x:"]) for _ in range(rng.randint(0, 30))))
     assert [ids(p) for p in own.encode_many(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_query_equals_the_unchanged_library(spark, tmp_path):
+    from panelcraft.llm.queries import op7_token_files
+
+    library, rng = Tokenizer.from_file(P.path("word_bpe_49k.json")), random.Random(4)
+    assert library.encode("a <|endoftext|> b", add_special_tokens=False).ids == [320, 49407, 321]
+    parts = [*ALPHABET, "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", "abc!", "x<|endoftext|>", "don't."]
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b", None, ""]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(300)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    start = 0
+    for r in op7_token_files(spark, str(tmp_path)).orderBy("doc_id").collect():
+        x = np.array(library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids + [2], dtype="<u4")
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(x), zlib.crc32(x.tobytes()))
+        start += len(x)
