@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcraft.llm import (ann, bpe, divergence, html_crf, line_dedup, mixing, ngram_join, pii, quality, token_files,
-                            toxicity)
+from panelcraft.llm import (ann, bpe, divergence, html_crf, line_dedup, mixing, ngram_join, pii, prefix_trie,
+                            quality, token_files, toxicity)
 from panelcraft.llm.store import Scratch, documents
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(documents(spark, sf_dir))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sequences = prefix_trie.turn_sequences(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return prefix_trie.prefix_trie(prefix_trie.branches(sequences))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(documents(spark, sf_dir))
 
@@ -59,6 +64,7 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_byte_bpe, op2_ngram_jaccard_join, op3_source_mixing, op4_toxicity, op5_nearest_neighbours, op6_line_dedup,
     op7_token_files, op8_html_extraction, op9_quality_rules, op10_personal_data,
-    op12_source_divergence)}
+    op11_conversation_trie, op12_source_divergence)}
 ORACLE_SQL = {"op3_source_mixing": mixing.ORACLE_SQL, "op5_nearest_neighbours": ann.ORACLE_SQL,
-              "op6_line_dedup": line_dedup.ORACLE_SQL, "op12_source_divergence": divergence.ORACLE_SQL}
+              "op6_line_dedup": line_dedup.ORACLE_SQL, "op11_conversation_trie": prefix_trie.ORACLE_SQL,
+              "op12_source_divergence": divergence.ORACLE_SQL}
