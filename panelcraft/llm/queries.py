@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from panelcraft.llm import (ann, bpe, divergence, html_crf, line_dedup, mixing, ngram_join, pii, prefix_trie,
-                            quality, token_files, toxicity)
+                            quality, suffix_dedup, token_files, toxicity)
 from panelcraft.llm.store import Scratch, documents
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,10 +61,14 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(documents(spark, sf_dir))
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_byte_bpe, op2_ngram_jaccard_join, op3_source_mixing, op4_toxicity, op5_nearest_neighbours, op6_line_dedup,
     op7_token_files, op8_html_extraction, op9_quality_rules, op10_personal_data,
-    op11_conversation_trie, op12_source_divergence)}
+    op11_conversation_trie, op12_source_divergence, op13_suffix_array_dedup)}
 ORACLE_SQL = {"op3_source_mixing": mixing.ORACLE_SQL, "op5_nearest_neighbours": ann.ORACLE_SQL,
               "op6_line_dedup": line_dedup.ORACLE_SQL, "op11_conversation_trie": prefix_trie.ORACLE_SQL,
               "op12_source_divergence": divergence.ORACLE_SQL}
