@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcraft.llm import words as W
 from panelcraft.llm.store import Scratch
 
 SEPARATORS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -41,34 +42,22 @@ COUNTS = "lang string, source string, term string, n long, docs long"
 NAMES = ["lang", "source", "term", "n", "docs"]
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        done = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, done + CHUNK_BYTES, side="right")))
-        yield batch.slice(at, to - at)
-        at = to
-
-
-def chunk_counts(chunk: pa.RecordBatch) -> pa.Table:
-    """lang, source, term, n, docs of one chunk; each group also has a row with a null term and no counts."""
-    words = pc.split_pattern_regex(pc.ascii_lower(chunk.column("text").cast(pa.large_string())), SEPARATORS)
+def chunk_counts(lang: pa.Array, source: pa.Array, text: pa.Array) -> pa.Table:
+    """lang, source, term, n, docs of some documents; each group also has a row with a null term and no counts."""
+    words = pc.split_pattern_regex(pc.ascii_lower(text), SEPARATORS)
     rows, terms = pc.list_parent_indices(words), pc.list_flatten(words)
     filled = pc.greater(pc.binary_length(terms), 0)
     rows, terms = rows.filter(filled), terms.filter(filled).dictionary_encode()
-    if isinstance(terms, pa.ChunkedArray):
-        terms = terms.combine_chunks()
     per_doc = (pa.table({"row": rows, "code": terms.indices}).group_by(["row", "code"], use_threads=False)
                .aggregate([([], "count_all")]))
-    lang, source = (chunk.column(c).dictionary_encode() for c in ("lang", "source"))
+    groups = pa.table({"lang": lang, "source": source})
+    lang, source = lang.dictionary_encode(), source.dictionary_encode()
     counts = (pa.table({"l": lang.indices.take(per_doc["row"]), "s": source.indices.take(per_doc["row"]),
                         "code": per_doc["code"], "k": per_doc["count_all"]})
               .group_by(["l", "s", "code"], use_threads=False).aggregate([("k", "sum"), ([], "count_all")]))
     found = pa.table([lang.dictionary.take(counts["l"]), source.dictionary.take(counts["s"]),
                       terms.dictionary.take(counts["code"]).cast(pa.string()), counts["k_sum"], counts["count_all"]], NAMES)
-    groups = (pa.table({"lang": chunk.column("lang"), "source": chunk.column("source")})
-              .group_by(["lang", "source"], use_threads=False).aggregate([]))
+    groups = groups.group_by(["lang", "source"], use_threads=False).aggregate([])
     zero = pa.array(np.zeros(groups.num_rows, dtype=np.int64))
     return pa.concat_tables([found, pa.table([groups["lang"], groups["source"],
                                               pa.nulls(groups.num_rows, pa.string()), zero, zero], NAMES)])
@@ -83,8 +72,12 @@ def _merge(tables: list[pa.Table]) -> pa.Table:
 def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, rows = [], 0
     for batch in batches:
-        for chunk in _chunks(batch):
-            held.append(chunk_counts(chunk))
+        for part, data, offsets in W.text_chunks(batch, "text", CHUNK_BYTES):
+            # arrays of their own: ``ascii_lower`` of a slice of a large_string array garbles its texts
+            every = pa.array(np.arange(part.num_rows))
+            text = pa.Array.from_buffers(pa.large_string(), part.num_rows,
+                                         [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(data)])
+            held.append(chunk_counts(part.column("lang").take(every), part.column("source").take(every), text))
             rows += held[-1].num_rows
             if rows > HELD_ROWS:
                 held = [_merge(held)]
@@ -96,11 +89,15 @@ def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield from _merge(held).combine_chunks().to_batches(max_chunksize=100_000)
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), docs; a row with a null term for every group."""
+def kept_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """lang, source, term, n (occurrences), n_lang (in the whole language) of the terms that at least ``min_docs`` documents
+    of a language hold, and a row with a null term for every group.  One shuffle, of the tasks' merged counts."""
     texts = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    return (texts.mapInArrow(_partial_counts, COUNTS).groupBy("lang", "source", "term")
-            .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    counts = (texts.mapInArrow(_partial_counts, COUNTS).repartition("lang", "term").groupBy("lang", "source", "term")
+              .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    term = Window.partitionBy("lang", "term")
+    return (counts.withColumns({"n_lang": F.sum("n").over(term), "docs": F.sum("docs").over(term)})
+            .where((F.col("docs") >= min_docs) | F.col("term").isNull()).drop("docs"))
 
 
 def share(count: Column, n: Column, v: Column) -> Column:
@@ -148,17 +145,13 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_T
                shard_terms: int = SHARD_TERMS) -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value, rank."""
     scratch = Scratch(docs.sparkSession, "divergence")
-    counts = scratch.save(term_counts(docs), "counts")
-    kept = scratch.save(counts.where("term IS NOT NULL").groupBy("lang", "term")
-                        .agg(F.sum("n").alias("n_lang"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
-                        .select("lang", "term", "n_lang"), "kept")
-    cells = scratch.save(counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "n_lang"), "cells")
-    langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n_lang").alias("n_all_lang"))
-    groups = scratch.save(
-        counts.where("term IS NULL").select("lang", "source")
-        .join(cells.groupBy("lang", "source").agg(F.sum("n").alias("n_all")), ["lang", "source"], "left")
-        .join(langs, "lang", "left").select(
-            "lang", "source", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_all", "v", "n_all_lang"))), "groups")
+    counts = scratch.save(kept_counts(docs, min_docs), "counts")
+    cells = counts.where("term IS NOT NULL")
+    langs = (cells.groupBy("lang", "term").agg(F.max("n_lang").alias("n_lang"))
+             .groupBy("lang").agg(F.count("*").alias("v"), F.sum("n_lang").alias("n_all_lang")))
+    sizes = counts.groupBy("lang", "source").agg(F.sum("n").alias("n_all"))
+    groups = scratch.save(sizes.join(langs, "lang", "left").select(
+        "lang", "source", "n_all", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("v", "n_all_lang"))), "groups")
 
     sized = cells.join(_bounded(groups), ["lang", "source"])
     shards = F.ceil(F.col("v") / shard_terms).cast("long")
