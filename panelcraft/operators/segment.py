@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcraft.functions.clean import DATE_MDY_FULL, DOLLAR_PATTERN, TABLE_RULE_PATTERN, normalize_name, parse_mdy
 from panelcraft.functions.ordered import running_totals, shift_rows
-from panelcraft.functions.partitioning import spread
+from panelcraft.functions.partitioning import bounded_broadcast, spread
+from panelcraft.session import cut_lineage
 
 # Fixed values of the reference's page formats (markers of the timeline page).
 LINE_SPLIT = r"\r\n|\r|\n"
@@ -47,29 +48,44 @@ def segment_blocks(tokens: DataFrame, part: Sequence[str], pos: str, token: str,
                    bucket: Column | None = None, with_heads: bool = True) -> DataFrame:
     """Block number per token (1, 2, ...); tokens before the first block start are dropped.
 
-    ``names`` is the dimension (name, code), bounded by the unit dictionary, so it is broadcast: a block
-    starts at token i when token i is a name and token i+1 its code.  The start name/code are kept as
-    ``block_name``/``block_code`` on every token; ``with_heads=False`` skips that join and keeps the
-    start flag ``__start`` for callers that aggregate per block anyway (block_name = min_by(token, pos)).
+    A block can start at token i when token i is a name and token i+1 its code; the search for the next start resumes at
+    i+2, so a start pair inside a block's opening pair opens nothing.  In a run of adjacent possible starts these are
+    the first, third, fifth ...: the parity of the place in the run decides, no row-by-row scan does.
+
+    ``names`` is the dimension (name, code); it is broadcast when its counted size allows.  The start name/code are
+    kept as ``block_name``/``block_code`` on every token; ``with_heads=False`` leaves them out for callers that aggregate
+    per block anyway (block_name = min_by(token, pos)).  Without ``bucket`` everything comes from one shuffle and sort;
+    with it the tokens are written once and a huge document is spread over its buckets.
     """
     part = list(part)
-    if bucket is not None:  # one bucket column for both scans: they share the (part, bucket) partitioning
-        tokens = tokens.withColumn("__seg_b", bucket)
-        bucket = "__seg_b"
-    t = shift_rows(tokens, part, [pos], [token], [-1], bucket=bucket,
-                   suffix=lambda c, k: "__next")
-    dim = names.select(F.col(name_col).alias(token), F.col(code_col).alias("__code"))
-    t = t.join(F.broadcast(dim), on=token, how="left")
-    t = t.withColumn("__start", F.coalesce(F.col("__next") == F.col("__code"), F.lit(False)).cast("int"))
-    t = running_totals(t, part, [pos], {block: F.col("__start")}, bucket=bucket)
-    t = t.where(F.col(block) > 0)
-    if bucket is not None:
-        t = t.drop(bucket)
+    dim = bounded_broadcast(names.select(F.col(name_col).alias(token), F.col(code_col).alias("__code")))
+    start = F.coalesce(F.col("__next") == F.col("__code"), F.lit(False))
+    if bucket is None:
+        w = Window.partitionBy(*part).orderBy(pos)
+        so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+        t = tokens.withColumn("__next", F.lead(token).over(w)).join(dim, on=token, how="left").withColumn("__s", start)
+        t = t.withColumns({"__before": F.lag("__s", 1, False).over(w), "__i": F.row_number().over(w)})
+        t = t.withColumn("__run", F.max(F.when(F.col("__s") & ~F.col("__before"), F.col("__i"))).over(so_far))
+        t = t.withColumn("__start", F.col("__s") & ((F.col("__i") - F.col("__run")) % 2 == 0))
+        heads = {} if not with_heads else {
+            "block_name": F.last(F.when(F.col("__start"), F.col(token)), ignorenulls=True).over(so_far),
+            "block_code": F.last(F.when(F.col("__start"), F.col("__next")), ignorenulls=True).over(so_far)}
+        t = t.withColumns({block: F.sum(F.col("__start").cast("int")).over(so_far), **heads}).where(F.col(block) > 0)
+        return t.select(*tokens.columns, block, *heads)
+
+    b = "__seg_b"  # one bucket column for all scans: they share the (part, bucket) partitioning
+    t = shift_rows(cut_lineage(tokens.withColumn(b, bucket)), part, [pos], [token], [-1], bucket=b, suffix=lambda c, k: "__next")
+    t = t.join(dim, on=token, how="left").withColumn("__s", start)
+    # a run of possible starts has the number of other tokens before it in common
+    t = running_totals(t, part, [pos], {"__others": (~F.col("__s")).cast("int")}, bucket=b)
+    place = F.row_number().over(Window.partitionBy(*part, "__others").orderBy(pos))
+    t = t.withColumn("__start", F.col("__s") & (place % 2 == F.when(F.col("__others") == 0, 1).otherwise(0)))
+    t = cut_lineage(t.select(*tokens.columns, b, "__next", "__start"))
+    t = running_totals(t, part, [pos], {block: F.col("__start").cast("int")}, bucket=b).where(F.col(block) > 0)
     if not with_heads:
-        return t.drop("__next", "__code")
-    heads = (t.where(F.col("__start") == 1)
-             .select(*part, block, F.col(token).alias("block_name"), F.col("__next").alias("block_code")))
-    return t.drop("__next", "__code", "__start").join(heads, on=[*part, block], how="inner")
+        return t.select(*tokens.columns, block)
+    heads = t.where("__start").select(*part, block, F.col(token).alias("block_name"), F.col("__next").alias("block_code"))
+    return t.select(*tokens.columns, block).join(heads, on=[*part, block], how="inner")
 
 
 def block_fields(blocks: DataFrame, part: Sequence[str], pos: str, token: str,

@@ -538,14 +538,20 @@ def q_event_text_agg(spark, d):
 # ---------------------------------------------------------------------------------------------
 
 # block-start dimension: (line value, value that must follow it)
-TURN_STARTS = [("user", "assistant"), ("system", "user")]
+TURN_STARTS = [("user", "assistant"), ("system", "user"), ("assistant", "user")]
 
 
 @register("block_segments", """
-WITH c AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM conversations),
-f AS (SELECT *, CASE WHEN (role = 'user' AND next_role = 'assistant') OR (role = 'system' AND next_role = 'user')
-                     THEN 1 ELSE 0 END AS st FROM c),
-b AS (SELECT *, sum(st) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS block_no FROM f)
+WITH RECURSIVE c AS (
+  SELECT *, lead(role) OVER w AS next_role, row_number() OVER w AS i FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+f AS (SELECT *, (role = 'user' AND next_role = 'assistant') OR (role = 'system' AND next_role = 'user')
+             OR (role = 'assistant' AND next_role = 'user') AS can_start FROM c),
+walk(conv_id, i, started) AS (
+  SELECT conv_id, i, coalesce(can_start, false) FROM f WHERE i = 1
+  UNION ALL
+  SELECT f.conv_id, f.i, coalesce(f.can_start, false) AND NOT walk.started FROM walk JOIN f ON f.conv_id = walk.conv_id AND f.i = walk.i + 1),
+b AS (SELECT f.*, sum(CASE WHEN started THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i) AS block_no
+      FROM f JOIN walk USING (conv_id, i))
 SELECT conv_id, CAST(block_no AS BIGINT) AS block_no, arg_min(role, turn) AS block_name,
        min(turn) AS first_turn, max(turn) AS last_turn, CAST(count(*) AS BIGINT) AS n_turns,
        CAST(sum(length(text)) AS BIGINT) AS n_chars
@@ -553,18 +559,63 @@ FROM b WHERE block_no > 0 GROUP BY conv_id, block_no
 """)
 def q_block_segments(spark, d):
     from panelcraft.operators.segment import segment_blocks
-    conv = table(spark, d, "conversations")
+    conv = table(spark, d, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n_chars"))
     names = spark.createDataFrame(TURN_STARTS, "name string, code string")
     b = segment_blocks(conv, ["conv_id"], "turn", "role", names, bucket=F.floor(F.col("turn") / 4096),
                        with_heads=False)
     # the block's name is its first token: a partial aggregate, no join back to the block heads
     return b.groupBy("conv_id", "block_no").agg(
         F.min_by("role", "turn").alias("block_name"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"),
-        F.count(F.lit(1)).alias("n_turns"), F.sum(F.length("text")).cast("bigint").alias("n_chars")) \
+        F.count(F.lit(1)).alias("n_turns"), F.sum("n_chars").cast("bigint").alias("n_chars")) \
         .select("conv_id", F.col("block_no").cast("bigint").alias("block_no"), "block_name", "first_turn",
                 "last_turn", "n_turns", "n_chars")
 
 
+# ---------------------------------------------------------------------------------------------
+# S11-S13 -- HTML tables: a page per market segment is written from the tables and read back
+# ---------------------------------------------------------------------------------------------
+
+def segment_pages(spark, d) -> DataFrame:
+    """(page_id, c_mktsegment, html): customers by nation with the region as a cell over its nations' rows, a header of two
+    rows, and cells without end tags."""
+    nation = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = (table(spark, d, "customer").groupBy("c_mktsegment", F.col("c_nationkey").alias("n_nationkey"))
+         .agg(F.count_if(F.col("c_acctbal") >= 0).alias("n_pos"), F.count_if(F.col("c_acctbal") < 0).alias("n_neg"),
+              F.sum("c_acctbal").alias("balance")))
+    td = lambda x: F.concat(F.lit("<td>"), x)
+    row = F.concat(td(F.col("n_name")), *(td(F.col(x).cast("string")) for x in ("n_pos", "n_neg")),
+                   td(F.format_number("balance", 2)), td((F.col("n_pos") + F.col("n_neg")).cast("string")))
+    regions = (c.join(nation, "n_nationkey").groupBy("c_mktsegment", "r_name")
+               .agg(F.array_sort(F.collect_list(row)).alias("rows")))
+    body = F.concat(F.lit("<tr><th rowspan="), F.size("rows").cast("string"), F.lit(">"), F.col("r_name"),
+                    F.array_join("rows", "<tr>"))
+    head = ("<p>by segment</p><table class=x><thead><tr><th rowspan=2>Region<th rowspan='2'>Nation &amp; State<th colspan=3>TOTAL by sign"
+            "<th rowspan=2>All<br>TOTAL<tr><th>positive<th>negative<th>balance</thead><tbody>")
+    tail = "</table><table><tr><td>another</table>"
+    return (regions.groupBy("c_mktsegment").agg(F.array_join(F.array_sort(F.collect_list(body)), "").alias("body"))
+            .select(F.xxhash64("c_mktsegment").alias("page_id"), "c_mktsegment",
+                    F.concat(F.lit(head), "body", F.lit(tail)).alias("html")))
+
+
+@register("html_table", """
+SELECT c_mktsegment, n_name, CAST(count(*) AS BIGINT) AS n_customers, round(sum(c_acctbal), 2) AS balance, r_name AS region
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+GROUP BY c_mktsegment, n_name, r_name
+""")
+def q_html_table(spark, d):
+    from panelcraft.functions.clean import clean_numeric
+    from panelcraft.sources.landed import html_first_table_cells, table_key_values
+    pages = cut_lineage(segment_pages(spark, d))
+    cells = cut_lineage(html_first_table_cells(pages, "page_id", "html"))
+    read = table_key_values(cells)
+    for value_like in ("BALANCE", "REGION"):
+        more = table_key_values(cells, value_like=value_like)
+        read = read.join(more.select("page", "row", F.col("value_text").alias(value_like)), ["page", "row"])
+    return (read.join(pages.select(F.col("page_id").alias("page"), "c_mktsegment"), "page")
+            .select("c_mktsegment", F.col("key_text").alias("n_name"), F.col("value_text").cast("bigint").alias("n_customers"),
+                    r(clean_numeric("BALANCE")).alias("balance"), F.col("REGION").alias("region")))
+
+
 # ---------------------------------------------------------------------------------------------
 # S14 -- clean line tokens of whole documents
 # ---------------------------------------------------------------------------------------------

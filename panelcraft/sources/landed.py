@@ -6,8 +6,8 @@ Python runs only where a format has no Spark reader (zip members, HTML tables),
 
 from __future__ import annotations
 
-import hashlib  # noqa: F401  (documented alternative; Spark's sha2 is used)
 import io
+import re
 import zipfile
 from collections.abc import Sequence
 from html.parser import HTMLParser
@@ -15,7 +15,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from panelcraft.functions.partitioning import spread
 
@@ -89,45 +89,127 @@ def series_files(spark: SparkSession, path_glob: str, name_pattern: str,
 # ------------------------------------------------------------------------------------------------
 
 
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534  # fixed values of the HTML standard: larger spans count as these
+
+
+def _span(value: str | None, most: int) -> int:
+    digits = re.match(r"\s*\+?(\d+)", value or "")
+    return min(int(digits.group(1)), most) if digits else 1
+
+
 class _FirstTable(HTMLParser):
+    """Cells of the first table.  End tags are optional: a cell ends at the next cell, row, row group or table end.
+    A table inside a cell belongs to the cell's text."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.depth = 0
         self.done = False
-        self.rows: list[list[tuple[str, bool]]] = []
+        self.hidden = 0
+        self.group = "tbody"
+        self.rows: list[tuple[str, int, list[tuple[str, bool, int, int]]]] = []  # group, its number, cells
+        self.groups = 0
+        self.in_row = False
         self.cell: list[str] | None = None
-        self.header = False
+        self.about: tuple[bool, int, int] = (False, 1, 1)
+
+    def _end_cell(self):
+        if self.cell is not None:
+            self.rows[-1][2].append((" ".join("".join(self.cell).split()), *self.about))
+            self.cell = None
+
+    def _begin_group(self, name):
+        self._end_cell()
+        self.in_row, self.group = False, name
+        self.groups += 1
+
+    def _begin_row(self):
+        self._end_cell()
+        self.rows.append((self.group, self.groups, []))
+        self.in_row = True
 
     def handle_starttag(self, tag, attrs):
         if self.done:
             return
         if tag == "table":
             self.depth += 1
-        elif self.depth == 1 and tag == "tr":
-            self.rows.append([])
-        elif self.depth == 1 and tag in ("td", "th"):
-            self.cell, self.header = [], tag == "th"
+        elif tag in ("script", "style"):
+            self.hidden += 1
+        elif self.depth != 1:
+            return
+        elif tag in ("thead", "tbody", "tfoot"):
+            self._begin_group(tag)
+        elif tag == "tr":
+            self._begin_row()
+        elif tag in ("td", "th"):
+            if not self.in_row:
+                self._begin_row()
+            self._end_cell()
+            at = dict(attrs)
+            self.cell = []
+            self.about = (tag == "th", max(1, _span(at.get("colspan"), MAX_COLSPAN)), _span(at.get("rowspan"), MAX_ROWSPAN))
+        elif tag == "br" and self.cell is not None:
+            self.cell.append(" ")
 
     def handle_endtag(self, tag):
         if self.done:
             return
-        if tag in ("td", "th") and self.cell is not None and self.depth == 1:
-            if not self.rows:
-                self.rows.append([])
-            self.rows[-1].append((" ".join("".join(self.cell).split()), self.header))
-            self.cell = None
-        elif tag == "table":
+        if tag in ("script", "style"):
+            self.hidden = max(0, self.hidden - 1)
+        elif tag == "table" and self.depth:
             self.depth -= 1
             if self.depth == 0:
+                self._end_cell()
                 self.done = True
+        elif self.depth != 1:
+            return
+        elif tag in ("td", "th"):
+            self._end_cell()
+        elif tag == "tr":
+            self._end_cell()
+            self.in_row = False
+        elif tag in ("thead", "tbody", "tfoot"):
+            self._begin_group("tbody")
 
     def handle_data(self, data):
-        if self.cell is not None and self.depth == 1:
+        if self.cell is not None and not self.hidden:
             self.cell.append(data)
 
+    def grid(self) -> list[tuple[int, int, str, bool]]:
+        """(row, column, text, is_header) of every slot that a cell occupies.  Header rows are those of ``thead``, or
+        without one the first rows that hold ``th`` only.  A cell reaches down to the end of its row group at most."""
+        self._end_cell()
+        rows = sorted((r for r in self.rows if r[2]), key=lambda r: ("thead", "tbody", "tfoot").index(r[0]))
+        n_head = sum(g == "thead" for g, _, _ in rows)
+        if not n_head:
+            while n_head < len(rows) and all(th for _, th, _, _ in rows[n_head][2]):
+                n_head += 1
+        out, below = [], {}  # column -> (rows still covered, text)
+        for r, (_, group, cells) in enumerate(rows):
+            if r and (group != rows[r - 1][1] or r == n_head):
+                below = {}
+            c, taken, todo = 0, {}, list(cells)
+            while todo or c in below or any(x > c for x in below):
+                if c in below:
+                    left, text = below[c]
+                    taken[c] = (left - 1, text)
+                    out.append((r, c, text, r < n_head))
+                    c += 1
+                elif todo:
+                    text, _, across, down = todo.pop(0)
+                    for k in range(c, c + across):
+                        taken[k] = ((down or MAX_ROWSPAN) - 1, text)
+                        out.append((r, k, text, r < n_head))
+                    c += across
+                else:
+                    c += 1
+            below = {k: v for k, v in taken.items() if v[0] > 0}
+        return out
+
 
 def html_first_table_cells(pages: DataFrame, page: str, html: str) -> DataFrame:
-    """Cells (page, row, col, text, is_header) of the first ``<table>`` of every page."""
+    """(page, row, col, text, is_header) of every slot of the first ``<table>`` of every page; a cell that spans rows
+    or columns fills each slot that it covers.  A page without a table has no rows."""
     schema = "page long, row int, col int, text string, is_header boolean"
 
     def parse(it):
@@ -136,21 +218,23 @@ def html_first_table_cells(pages: DataFrame, page: str, html: str) -> DataFrame:
             for pid, doc in zip(pdf[page], pdf[html]):
                 p = _FirstTable()
                 p.feed(doc or "")
-                for r, cells in enumerate(p.rows):
-                    for c, (txt, hdr) in enumerate(cells):
-                        recs.append((int(pid), r, c, txt, hdr))
+                p.close()
+                recs += [(pid, *slot) for slot in p.grid()]
             yield pd.DataFrame(recs, columns=["page", "row", "col", "text", "is_header"])
 
     return spread(pages.select(F.col(page).cast("long").alias(page), F.col(html))).mapInPandas(parse, schema=schema)
 
 
-def flatten_header(cells: DataFrame, header_rows: int = 1) -> DataFrame:
-    """One name per (page, col): the header rows' texts joined with ``_``, ``Unnamed`` parts dropped."""
-    h = cells.where(F.col("row") < header_rows)
-    parts = F.array_sort(F.collect_list(F.struct("row", "text")))
-    names = F.filter(F.transform(parts, lambda x: x["text"]),
-                     lambda t: (t != "") & ~t.startswith("Unnamed"))
-    return h.groupBy("page", "col").agg(F.array_join(names, "_").alias("name"))
+def flatten_header(cells: DataFrame, header_rows: int | None = None) -> DataFrame:
+    """One name per (page, col): the texts of the header rows joined with ``_``, empty parts and those that hold
+    ``Unnamed`` dropped; without any part, or without header rows, the name is ``col``.  ``header_rows`` sets the
+    number of header rows by hand, else the cells tell."""
+    head = F.col("is_header") if header_rows is None else F.col("row") < header_rows
+    part = head & (F.col("text") != "") & ~F.contains("text", F.lit("Unnamed"))
+    parts = F.array_sort(F.collect_list(F.when(part, F.struct("row", "text"))))
+    name = F.array_join(F.transform(parts, lambda x: x["text"]), "_")
+    return (cells.groupBy("page", "col").agg(name.alias("name"))
+            .withColumn("name", F.when(F.col("name") == "", "col").otherwise(F.col("name"))))
 
 
 def pick_columns(names: DataFrame, key_like: str = "STATE", value_like: str = "TOTAL") -> DataFrame:
@@ -162,11 +246,11 @@ def pick_columns(names: DataFrame, key_like: str = "STATE", value_like: str = "T
         F.coalesce(F.max(F.when(up.contains(value_like), F.col("col"))), F.max("col")).alias("value_col"))
 
 
-def table_key_values(cells: DataFrame, header_rows: int = 1, key_like: str = "STATE",
+def table_key_values(cells: DataFrame, header_rows: int | None = None, key_like: str = "STATE",
                      value_like: str = "TOTAL") -> DataFrame:
     """S11-S13 together: (page, row, key_text, value_text) of the body rows of each page's first table."""
     picks = pick_columns(flatten_header(cells, header_rows), key_like, value_like)
-    body = cells.where(F.col("row") >= header_rows).join(picks, on="page")
+    body = cells.where(~F.col("is_header") if header_rows is None else F.col("row") >= header_rows).join(picks, on="page")
     return body.groupBy("page", "row").agg(
         F.max(F.when(F.col("col") == F.col("key_col"), F.col("text"))).alias("key_text"),
         F.max(F.when(F.col("col") == F.col("value_col"), F.col("text"))).alias("value_text"))
@@ -207,7 +291,7 @@ def file_manifest(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     prefix = root.rstrip("/") + "/"
     rel = F.regexp_replace(F.col("path"), r"^file:", "")
-    return files.select(F.regexp_replace(rel, "^" + _re_escape(prefix), "").alias("path"),
+    return files.select(F.regexp_replace(rel, "^" + re.escape(prefix), "").alias("path"),
                         F.col("length").alias("bytes"), F.sha2(F.col("content"), 256).alias("sha256"))
 
 
@@ -220,11 +304,3 @@ def content_manifest(df: DataFrame, key: str, content: str) -> DataFrame:
 def append_manifest_rows(rows: DataFrame, path: str) -> None:
     """Append rows to a manifest table."""
     rows.write.mode("append").parquet(path)
-
-
-def _re_escape(s: str) -> str:
-    import re
-    return re.escape(s)
-
-
-_ = (LongType,)

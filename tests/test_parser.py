@@ -97,3 +97,32 @@ def test_timeline_events(spark):
     ev = timeline_events(pages, "page_id", "text", _names(spark), "topic", 2003, 2023).orderBy("part_no").collect()
     assert [(r["unit"], r["year"], r["change_text"]) for r in ev] == [
         ("AL", 2005, "Sunday sales allowed"), ("BL", 2007, "Policy change")]
+
+
+def test_search_resumes_after_the_opening_pair(spark):
+    names = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "C")], "name string, code string")
+    texts = {1: "x A B C y A B z", 2: "A B C C C C x", 3: "B C C C C C C C", 4: "C", 5: "A", 6: "x y"}
+
+    def greedy(tokens):
+        starts, i, code = [], 0, dict([("A", "B"), ("B", "C"), ("C", "C")])
+        while i < len(tokens) - 1:
+            if code.get(tokens[i]) == tokens[i + 1]:
+                starts.append(i)
+                i += 2
+            else:
+                i += 1
+        return starts
+
+    rows = [(p, i, t) for p, text in texts.items() for i, t in enumerate(text.split())]
+    tokens = spark.createDataFrame(rows, "page_id long, pos int, token string")
+    for bucket in (None, F.floor(F.col("pos") / 2), F.floor(F.col("pos") / 100)):
+        blocks = segment_blocks(tokens, ["page_id"], "pos", "token", names, bucket=bucket)
+        got = {}
+        for b in blocks.collect():
+            got.setdefault((b["page_id"], b["block_no"], b["block_name"], b["block_code"]), []).append(b["pos"])
+        want = {}
+        for p, text in texts.items():
+            t = text.split()
+            for k, i in enumerate(starts := greedy(t)):
+                want[p, k + 1, t[i], t[i + 1]] = list(range(i, starts[k + 1] if k + 1 < len(starts) else len(t)))
+        assert {k: sorted(v) for k, v in got.items()} == want
