@@ -71,4 +71,4 @@ QUERIES = {f.__name__: f for f in (
     op11_conversation_trie, op12_source_divergence, op13_suffix_array_dedup)}
 ORACLE_SQL = {"op3_source_mixing": mixing.ORACLE_SQL, "op5_nearest_neighbours": ann.ORACLE_SQL,
               "op6_line_dedup": line_dedup.ORACLE_SQL, "op11_conversation_trie": prefix_trie.ORACLE_SQL,
-              "op12_source_divergence": divergence.ORACLE_SQL}
+              "op12_source_divergence": divergence.ORACLE_SQL, "op13_suffix_array_dedup": suffix_dedup.ORACLE_SQL}

@@ -426,3 +426,28 @@ def remove_repeats(docs: DataFrame, part_runs: int = PART_RUNS, shard_bytes: int
     done = judged.where("text IS NULL").select(*columns)
     left = judged.where("text IS NOT NULL").select("k1", "k2", "doc_id", "n_bytes", "text", "spans").join(more, ["k1", "k2"], "left")
     return done.unionByName(left.mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+
+
+ORACLE_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+places AS (
+  SELECT row, unnest(range(len(h) // 2 - 199)) AS p, h FROM docs),
+windows AS (
+  SELECT row, p, md5_number(substr(h, 2 * p + 1, 400)) AS w FROM places),
+found AS (
+  SELECT row, p FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)),
+marked AS (
+  SELECT row, p, CASE WHEN p <= lag(p) OVER (PARTITION BY row ORDER BY p) + 200 THEN 0 ELSE 1 END AS new FROM found),
+spans AS (
+  SELECT row, min(p) AS lo, max(p) + 200 AS hi FROM (SELECT *, sum(new) OVER (PARTITION BY row ORDER BY p) AS span FROM marked)
+  GROUP BY row, span),
+gaps AS (
+  SELECT row, coalesce(lag(hi) OVER (PARTITION BY row ORDER BY lo), 0) AS lo, lo AS hi FROM spans
+  UNION ALL SELECT d.row, coalesce((SELECT max(hi) FROM spans s WHERE s.row = d.row), 0), len(h) // 2 FROM docs d),
+kept AS (
+  SELECT row, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) AS h FROM gaps JOIN docs USING (row) GROUP BY row)
+SELECT d.doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce((SELECT sum(hi - lo) FROM spans s WHERE s.row = d.row), 0)::BIGINT AS n_removed,
+  (SELECT count(*) FROM spans s WHERE s.row = d.row)::BIGINT AS n_spans, sha256(unhex(k.h)) AS kept_sha256
+FROM docs d JOIN kept k ON d.row = k.row
+"""
