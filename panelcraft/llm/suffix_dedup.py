@@ -388,10 +388,11 @@ def remove_repeats(docs: DataFrame, part_runs: int = PART_RUNS, shard_bytes: int
     found = scratch.save(keyed.select("k1", "k2", "text").mapInArrow(_find_runs, RUNS), "runs")
 
     # 2: anchors of several runs, and among these the ones whose runs differ
+    # written first: both sides of the join are then plain shuffles, and a hot anchor's runs can be split over tasks
     shared = (found.groupBy("a").agg(F.count("*").alias("k"), F.min("d").alias("d1"), F.max("d").alias("d2"),
                                       F.max("again").alias("again"))
               .where("k > 1 OR again").select("a", ((F.col("d1") != F.col("d2")) | F.col("again")).alias("mixed")))
-    live = scratch.save(found.drop("again").join(shared, "a"), "live")
+    live = scratch.save(found.drop("again").join(scratch.save(shared, "shared"), "a"), "live")
     place = F.struct("k1", "k2", "at")
     kinds = scratch.save(live.where("mixed").groupBy("a", "d").agg(F.count("*").alias("copies"), F.min(place).alias("first")), "kinds")
     many = (kinds.groupBy("a").agg(F.count("*").alias("k")).where(F.col("k") > part_runs)
