@@ -137,6 +137,14 @@ def mean_pool(df: DataFrame, group: Sequence[str], vec: str, mask: Column | None
                   F.greatest(F.sum("__m"), F.lit(1e-9))).alias(out)))
 
 
+def pooled_vectors(df: DataFrame, group: Sequence[str], vec: str, mask: Column | None = None,
+                   out: str = "pooled") -> DataFrame:
+    """T4 as one array per group, ready to join to a panel: the long form's partial sums are put in order of dimension."""
+    long = mean_pool(df, group, vec, mask, "__p")
+    return long.groupBy(*group).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("dim", "__p"))), lambda x: x["__p"]).alias(out))
+
+
 def encode_batches(df: DataFrame, text: str, encoder: Callable, out: str = "embedding") -> DataFrame:
     """T5 hook: ``encoder(list[str]) -> array-like (n, width)`` applied per Arrow batch via ``mapInPandas``; vectors keep
     the encoder's width, and unequal widths in a batch raise.

@@ -20,6 +20,7 @@ from panelcraft.functions.partitioning import spread
 from panelcraft.session import cut_lineage, persisted
 from panelcraft.operators.cases import existence_flags, flagged_sums
 from panelcraft.operators.panel import key_qa, left_join_sources, missing_rates, time_bounds_expr, time_grid
+from panelcraft.plans.solve_sql import inverse_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -1060,6 +1061,76 @@ def q_model_ladder(spark, d):
     return ev
 
 
+# ---------------------------------------------------------------------------------------------
+# J3, M11, M9, M10 -- vectors joined to the panel as features of a closed-form rung, with its predictions
+# ---------------------------------------------------------------------------------------------
+
+RIDGE = {"Ridge": {"scale": True, "kind": "ridge", "alpha": 1.0}}
+
+
+def vector_predictions(spark, d) -> tuple[DataFrame, DataFrame]:
+    from panelcraft.operators.text import pooled_vectors
+    from panelcraft.plans.pipeline import predict
+    e = table(spark, d, "embeddings").where("label <> 3").select(
+        (F.col("vec_id") % 25).cast("int").alias("n_nationkey"),
+        (F.expr("1995 + (vec_id div 25) % 7")).cast("int").alias("year"), "embedding")
+    return predict(feature_panel(spark, d), FEATURES, "mean_price", ["n_nationkey", "year"], "year", "nation_price",
+                   TRAIN, VAL, TEST, models=RIDGE, vectors=pooled_vectors(e, ["n_nationkey", "year"], "embedding", out="emb"))
+
+
+VECTOR_RIDGE_SQL = f"""
+WITH RECURSIVE panel AS (
+  SELECT *, CASE WHEN {_TRAIN_PRED} THEN 'train' WHEN year BETWEEN {VAL[0]} AND {VAL[1]} THEN 'val' ELSE 'test' END AS split
+  FROM ({FEATURE_SQL}) WHERE mean_price IS NOT NULL AND year BETWEEN {TRAIN[0]} AND {TEST[1]}),
+e AS (
+  SELECT CAST(vec_id % 25 AS INT) AS n_nationkey, CAST(1995 + (vec_id // 25) % 7 AS INT) AS year, unnest(embedding) AS v,
+         unnest(range(len(embedding))) AS dim FROM embeddings WHERE label <> 3),
+pooled AS (SELECT n_nationkey, year, dim, sum(CAST(v AS DOUBLE)) / count(*) AS v FROM e GROUP BY ALL),
+long AS (
+  {" UNION ALL ".join(f"SELECT n_nationkey, year, split, {i} AS f, CAST({c} AS DOUBLE) AS v FROM panel" for i, c in enumerate(FEATURES))}
+  UNION ALL
+  SELECT n_nationkey, year, split, {len(FEATURES)} + dim, pooled.v
+  FROM panel CROSS JOIN (SELECT DISTINCT dim FROM e) LEFT JOIN pooled USING (n_nationkey, year, dim)),
+med AS (
+  SELECT f, m, row_number() OVER (ORDER BY f) AS i FROM (SELECT f, median(v) AS m FROM long WHERE split = 'train' GROUP BY f) WHERE m IS NOT NULL),
+filled AS (SELECT n_nationkey, year, split, i, coalesce(v, m) AS v FROM long JOIN med USING (f)),
+st AS (SELECT i, avg(v) AS m, stddev_pop(v) AS s FROM filled WHERE split = 'train' GROUP BY i),
+z AS (SELECT n_nationkey, year, split, i, (v - m) / CASE WHEN s = 0 THEN 1 ELSE s END AS z FROM filled JOIN st USING (i)),
+centre AS (SELECT avg(mean_price) AS y0, count(*) AS n FROM panel WHERE split = 'train'),
+matrix AS (
+  SELECT a.i, b.i AS j, sum(a.z * b.z) + CASE WHEN a.i = b.i THEN any_value(n) ELSE 0 END AS v
+  FROM z a JOIN z b ON a.n_nationkey = b.n_nationkey AND a.year = b.year, centre WHERE a.split = 'train' GROUP BY a.i, b.i),
+rhs AS (SELECT i, sum(z * (mean_price - y0)) AS v FROM z JOIN panel USING (n_nationkey, year), centre WHERE z.split = 'train' GROUP BY i),
+{inverse_sql("inv", "matrix")},
+w AS (SELECT inv.i, sum(inv.v * rhs.v) AS w FROM inv JOIN rhs ON inv.j = rhs.i GROUP BY inv.i),
+p AS (SELECT n_nationkey, year, any_value(z.split) AS split, any_value(y0) + sum(w * z) AS y_pred FROM z JOIN w USING (i), centre GROUP BY n_nationkey, year),
+scored AS (SELECT p.*, mean_price AS y_true FROM p JOIN panel USING (n_nationkey, year))
+"""
+
+
+@register("vector_ladder", VECTOR_RIDGE_SQL + """,
+m AS (
+  SELECT split, avg(abs(y_true - y_pred)) AS mae, sqrt(avg((y_true - y_pred) ** 2)) AS rmse,
+         1 - sum((y_true - y_pred) ** 2) / (var_pop(y_true) * count(*)) AS r2, count(*) AS n FROM scored GROUP BY split)
+SELECT 'nation_price' AS task, 'Ridge' AS model, round(v.mae, 4) AS val_mae, round(v.rmse, 4) AS val_rmse, round(v.r2, 6) AS val_r2,
+       round(t.mae, 4) AS test_mae, round(t.rmse, 4) AS test_rmse, round(t.r2, 6) AS test_r2, t0.n AS n_train, v.n AS n_val, t.n AS n_test
+FROM m v, m t, m t0 WHERE v.split = 'val' AND t.split = 'test' AND t0.split = 'train'
+""")
+def q_vector_ladder(spark, d):
+    ev, _ = vector_predictions(spark, d)
+    places = {c: (6 if c.endswith("r2") else 4) for c in ev.columns if c.startswith(("val_", "test_"))}
+    return ev.select(*[r(c, places[c]).alias(c) if c in places else F.col(c) for c in ev.columns])
+
+
+@register("model_predictions", VECTOR_RIDGE_SQL + """
+SELECT n_nationkey, year, 'nation_price' AS task, 'Ridge' AS model, round(y_true, 4) AS y_true, round(y_pred, 4) AS y_pred
+FROM scored WHERE split = 'test'
+""")
+def q_model_predictions(spark, d):
+    _, pred = vector_predictions(spark, d)
+    return pred.withColumns({"y_true": r("y_true", 4), "y_pred": r("y_pred", 4)})
+
+
 # ---------------------------------------------------------------------------------------------
 # T2 -- TF-IDF vocabulary of whole documents; T4 -- masked mean pooling; T3 -- SVD projection
 # ---------------------------------------------------------------------------------------------
