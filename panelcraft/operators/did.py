@@ -1,4 +1,4 @@
-"""Group-time average treatment effects (G8 without covariates, P25) and their dynamic aggregation.
+"""Group-time average treatment effects (G8, P25) and their dynamic aggregation.
 
 ATT(g, t) compares the change of the mean outcome of cohort g (units first treated at g) with that of
 the never-treated units, between t and a base period b: b = g - 1 for t >= g, b = t - 1 before
@@ -11,10 +11,15 @@ that small table (#cohorts x #periods rows).  Units not observed in every period
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcraft.functions.partial import partial_sums
+from panelcraft.session import cut_lineage
+
 
 def balance(df: DataFrame, unit: Sequence[str], time: str) -> DataFrame:
     """Keep only units observed in every period of the panel (left semi join to the complete units)."""
@@ -33,8 +38,6 @@ def cohort_means(df: DataFrame, unit: Sequence[str], time: str, y: str, cohort:
 
 def att_gt(df: DataFrame, unit: Sequence[str], time: str, y: str, cohort: str, balanced: bool = True) -> DataFrame:
     """(g, t, base_t, att, n_treated, n_control) for every treated cohort g and period t with a base."""
-    from panelcraft.session import cut_lineage
-
     df = df.where(F.col(y).isNotNull())  # complete cases first: a unit with a gap is not balanced
     d = balance(df, unit, time) if balanced else df
     # the (cohort, period) table is read four times below: compute it from the panel ONCE
@@ -80,257 +83,268 @@ def simple_2x2(df: DataFrame, unit: Sequence[str], time: str, y: str, treated: s
 # doubly robust ATT(g, t) with covariates
 # ------------------------------------------------------------------------------------------------
 
-
-def _cell_rows(df: DataFrame, unit: str, time: str, y: str, cohort: str, covariates: Sequence[str]):
-    """(cell g/t/b, unit, D, dy, x_1..x_k): every treated-cohort and never-treated unit of every cell,
-    with the outcome change between t and the base b and the covariates at the base period."""
-    spark = df.sparkSession
-    d = (df.select(unit, time, y, cohort, *covariates)
-         .withColumn("__G", F.coalesce(F.col(cohort), F.lit(0)).cast("int"))
-         .dropna(subset=[y, *covariates]))
-    from panelcraft.session import cut_lineage
-
-    # the balanced estimation sample is read by the period/cohort lookups, the unit list and the two
-    # outcome joins: write it once (reliable checkpoint) instead of re-deriving it from the source
-    d = cut_lineage(balance(d, [unit], time))
-    periods = sorted(r[0] for r in d.select(time).distinct().collect())
-    # units per cohort (0 = never treated), one small aggregate: the cohorts, and the cell sizes that
-    # give each logit its intercept-only starting point
-    sizes = {r[0]: r[1] for r in d.select(unit, "__G").distinct().groupBy("__G").count().collect()}
-    cohorts = sorted(g for g in sizes if g and g > 0)
+# Mammen's two-point multiplier weights (mean 0, variance 1): fixed values of the bootstrap.
+_SQ5 = 5 ** 0.5
+MAMMEN_LOW, MAMMEN_HIGH = (1 - _SQ5) / 2, (1 + _SQ5) / 2
+MAMMEN_P_LOW = (_SQ5 + 1) / (2 * _SQ5)
+NORMAL_IQR = 1.3489795003921634  # interquartile range of the standard normal
+BOOT_UNITS = 1024  # units whose weights of all draws are held at once
+
+
+def unit_arrays(df: DataFrame, unit: str, time: str, y: str, cohort: str, covariates: Sequence[str]) -> tuple[DataFrame, list]:
+    """((unit, g, z, seed), periods): one row per unit observed in every period, with z = (y, covariates) of period after
+    period; g = 0 is never treated.  Rows with a missing outcome or covariate go first.  One shuffle of the panel, written
+    once: everything after reads these rows only."""
+    d = (df.select(F.col(unit).alias("unit"), F.col(time).alias("t"), F.coalesce(F.col(cohort), F.lit(0)).cast("int").alias("g"),
+                   *[F.col(c).cast("double").alias(f"z{i}") for i, c in enumerate([y, *covariates])])
+         .dropna(subset=["t", *[f"z{i}" for i in range(len(covariates) + 1)]]))
+    z = F.array(*[f"z{i}" for i in range(len(covariates) + 1)])
+    rows = cut_lineage(d.groupBy("unit").agg(F.max("g").alias("g"), F.array_sort(F.collect_list(F.struct("t", z.alias("z")))).alias("r")))
+    periods = sorted(r[0] for r in rows.select(F.explode(F.transform("r", lambda x: x["t"])).alias("t")).distinct().collect())
+    complete = (F.size("r") == len(periods)) & (F.size(F.array_distinct(F.transform("r", lambda x: x["t"]))) == len(periods))
+    return (rows.where(complete).select("unit", "g", F.flatten(F.transform("r", lambda x: x["z"])).alias("z"),
+                                        F.xxhash64(F.col("unit").cast("string")).alias("seed")), periods)
+
+
+@dataclass
+class DoublyRobust:
+    """A fitted estimator: ``cells`` (g, t index, base index) and everything that a unit's influence value needs."""
+    periods: list
+    cells: list[tuple[int, int, int]]
+    sizes: dict[int, int]
+    k: int
+    beta: dict[tuple[int, int], np.ndarray]
+    gamma: dict[tuple[int, int], np.ndarray]
+    consts: np.ndarray
+    att: np.ndarray
+    converged: dict[tuple[int, int], bool]
+
+    def n(self, cell: int) -> int:
+        return self.sizes[self.cells[cell][0]] + self.sizes[0]
+
+
+def _batch(batch, n_periods: int) -> tuple[np.ndarray, np.ndarray]:
+    g = batch.column("g").to_numpy()
+    return g, batch.column("z").flatten().to_numpy().reshape(len(g), n_periods, -1)
+
+
+def _design(z: np.ndarray, b: int) -> np.ndarray:
+    return np.concatenate([np.ones((len(z), 1)), z[:, b, 1:]], axis=1)
+
+
+def _logistic(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(x @ beta, -700, 700)))
+
+
+def _cell_terms(fit: DoublyRobust, g_of: np.ndarray, z: np.ndarray, c: int) -> tuple[np.ndarray, ...]:
+    """Of one cell: the units' places, design, D, propensity, control weight and residual change."""
+    g, t, b = fit.cells[c]
+    own = np.flatnonzero((g_of == g) | (g_of == 0))
+    x, d = _design(z[own], b), (g_of[own] == g).astype(float)
+    p = np.minimum(_logistic(x, fit.beta[g, b]), 1 - 1e-16)
+    r = z[own, t, 0] - z[own, b, 0] - x @ fit.gamma[b, t]
+    return own, x, d, p, p * (1 - d) / (1 - p), r
+
+
+def fit_doubly_robust(df: DataFrame, unit: str, time: str, y: str, cohort: str, covariates: Sequence[str],
+                      max_iter: int = 25, tol: float = 1e-10) -> tuple[DataFrame, DoublyRobust | None]:
+    """Propensity scores and outcome regressions of all cells from passes over one array row per unit.
+
+    A pass adds up a fixed number of sums per cell in numpy, batch by batch; a control unit's row serves all cells as it
+    stands, it is not repeated per cell.  Cells with the same cohort and base share the logit, cells with the same base and
+    period the regression on the controls.  Returns the unit rows and the fit; no fit without a treated cohort that has a
+    base period, or without anybody to compare with."""
+    rows, periods = unit_arrays(df, unit, time, y, cohort, covariates)
+    sizes = {r["g"]: r["count"] for r in rows.groupBy("g").count().collect()}
+    n_periods, k = len(periods), len(covariates) + 1
     cells = []
-    for g in cohorts:
-        for t in periods:
-            b = g - 1 if t >= g else t - 1
-            if b in periods and t != b:
-                cells.append((len(cells), g, t, b))
-    if not cells:  # no treated cohort with a base period: nothing to estimate
-        return None, [], {}
-    cell_df = spark.createDataFrame(cells, "cell int, g int, t int, b int")  # #cohorts x #periods rows
-    units = d.select(unit, "__G").distinct()
-    # treated units join their own cohort's cells; never-treated units join every cell
-    tr = units.where(F.col("__G") > 0).join(F.broadcast(cell_df), F.col("__G") == F.col("g"))
-    # (a generator over the #cohorts x #periods cell list, not a join)
-    all_cells = F.array(*[F.struct(F.lit(c).alias("cell"), F.lit(g).alias("g"), F.lit(t).alias("t"),
-                                   F.lit(b).alias("b")) for c, g, t, b in cells])
-    nv = units.where(F.col("__G") == 0).withColumn("__c", F.explode(all_cells)).select(unit, "__G", "__c.*")
-    cu = tr.unionByName(nv).withColumn("D", (F.col("__G") > 0).cast("double"))
-    yt = d.select(unit, F.col(time).alias("t"), F.col(y).alias("__yt"))
-    yb = d.select(unit, F.col(time).alias("b"), F.col(y).alias("__yb"),
-                  *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(covariates)])
-    rows = (cu.join(yt, on=[unit, "t"]).join(yb, on=[unit, "b"])
-            .select("cell", unit, "D", (F.col("__yt") - F.col("__yb")).alias("dy"),
-                    F.lit(1.0).alias("__x_c"), *[f"__x{i}" for i in range(len(covariates))]))
-    return rows, cells, {c: (sizes[g], sizes.get(0, 0)) for c, g, t, b in cells}
-
-
-def _per_cell_sums(rows: DataFrame, exprs: dict) -> dict:
-    out = {}
-    for r in rows.groupBy("cell").agg(*[e.alias(k) for k, e in exprs.items()]).collect():
-        out[r["cell"]] = r
-    return out
+    for g in sorted(x for x in sizes if x > 0):
+        before = [i for i, t in enumerate(periods) if t < g]
+        for i, t in enumerate(periods):
+            base = before[-1] if t >= g and before else i - 1
+            if before and base >= 0:
+                cells.append((g, i, base))
+    if not cells or not sizes.get(0):
+        return rows, None
+    pairs = sorted({(g, b) for g, _, b in cells})
+    changes = sorted({(b, t) for _, t, b in cells})
+
+    # outcome regressions on the controls
+    def regressions(batch):
+        g_of, z = _batch(batch, n_periods)
+        z = z[g_of == 0]
+        out = []
+        for b in sorted({b for b, _ in changes}):
+            x = _design(z, b)
+            out.append((x.T @ x).ravel())
+            out += [x.T @ (z[:, t, 0] - z[:, b, 0]) for bb, t in changes if bb == b]
+        return np.concatenate(out)
+
+    bases = sorted({b for b, _ in changes})
+    sums, at = partial_sums(rows.select("g", "z"), len(bases) * k * k + len(changes) * k, regressions), 0
+    gamma, xx_inv = {}, {}
+    for b in bases:
+        xx = sums[at:at + k * k].reshape(k, k)
+        at += k * k
+        xx_inv[b] = np.linalg.pinv(xx)
+        for bb, t in changes:
+            if bb == b:
+                gamma[b, t] = np.linalg.lstsq(xx, sums[at:at + k], rcond=None)[0]
+                at += k
+
+    # logits by Newton's method, from the intercept-only solution
+    beta = {(g, b): np.r_[np.log(sizes[g] / sizes[0]), np.zeros(k - 1)] for g, b in pairs}
+    converged = dict.fromkeys(pairs, False)
+
+    def scores(batch):
+        g_of, z = _batch(batch, n_periods)
+        out = []
+        for g, b in pairs:
+            own = (g_of == g) | (g_of == 0)
+            x = _design(z[own], b)
+            p = _logistic(x, beta[g, b])
+            out += [x.T @ ((g_of[own] == g) - p), ((x * (p * (1 - p))[:, None]).T @ x).ravel()]
+        return np.concatenate(out)
+
+    for _ in range(max_iter):
+        sums = partial_sums(rows.select("g", "z"), len(pairs) * k * (k + 1), scores).reshape(len(pairs), k * (k + 1))
+        steps = {}
+        for pair, s in zip(pairs, sums):
+            steps[pair] = np.linalg.lstsq(s[k:].reshape(k, k), s[:k], rcond=None)[0]
+        beta = {pair: beta[pair] + steps[pair] for pair in pairs}
+        converged = {pair: bool(np.abs(steps[pair]).max() < tol) for pair in pairs}
+        if all(converged.values()):
+            break
+
+    # weighted means, and the constants of the influence function
+    fit = DoublyRobust(periods, cells, sizes, k, beta, gamma, np.zeros(0), np.zeros(0), converged)
+
+    def means(batch):
+        g_of, z = _batch(batch, n_periods)
+        out = []
+        for c in range(len(cells)):
+            _, x, d, p, wc, r = _cell_terms(fit, g_of, z, c)
+            out += [[wc.sum(), (d * r).sum(), (wc * r).sum()], x.T @ d, x.T @ wc, x.T @ (wc * r),
+                    ((x * (p * (1 - p))[:, None]).T @ x).ravel()]
+        return np.concatenate(out)
+
+    width = 3 + 3 * k + k * k
+    sums = partial_sums(rows.select("g", "z"), len(cells) * width, means).reshape(len(cells), width)
+    consts, att = [], []
+    for c, ((g, t, b), s) in enumerate(zip(cells, sums)):
+        n = fit.n(c)
+        swc, st, sc = s[:3]
+        m1, m3, m2, h = s[3:3 + k], s[3 + k:3 + 2 * k], s[3 + 2 * k:3 + 3 * k], s[3 + 3 * k:].reshape(k, k)
+        eta_t, eta_c = st / sizes[g], (sc / swc if swc else 0.0)
+        att.append(eta_t - eta_c)
+        # the sums are per unit (m / n); the inverses are of sums / n, so the n's cancel
+        consts.append(np.concatenate([[eta_t, eta_c, sizes[g] / n, swc / n], xx_inv[b] @ m1, xx_inv[b] @ m3,
+                                      np.linalg.pinv(h) @ (m2 - eta_c * m3)]))
+    fit.consts, fit.att = np.array(consts), np.array(att)
+    return rows, fit
+
+
+def _influence(fit: DoublyRobust, g_of: np.ndarray, z: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, D, influence values) of one cell's units."""
+    own, x, d, p, wc, r = _cell_terms(fit, g_of, z, c)
+    q, k = fit.consts[c], fit.k
+    ols, ps = (1 - d) * r, d - p
+    treated = (d * (r - q[0]) - ols * (x @ q[4:4 + k])) / q[2]
+    control = (wc * (r - q[1]) + ps * (x @ q[4 + 2 * k:]) - ols * (x @ q[4 + k:4 + 2 * k])) / (q[3] or np.inf)
+    return own, d, treated - control
+
+
+DR_SCHEMA = ("g int, t int, base_t int, att double, se double, n_treated bigint, n_control bigint, converged boolean")
 
 
 def att_gt_dr(df: DataFrame, unit: str, time: str, y: str, cohort: str, covariates: Sequence[str],
-              max_iter: int = 50, tol: float = 1e-10, with_influence: bool = False):
+              max_iter: int = 25, tol: float = 1e-10) -> DataFrame:
     """Doubly robust ATT(g, t) (Sant'Anna and Zhao 2020, panel case): never-treated controls, varying
-    base period, covariates at the base period, propensity score by logit, outcome regression of the
-    change on the controls; standard errors from the influence function.
+    base period (the last observed one before treatment, or before t), covariates at the base period, propensity score by
+    logit, outcome regression of the change on the controls; standard errors from the influence function.
 
-    Every fit is a per-cell sum over units: Newton steps of the logit are ``groupBy(cell)`` aggregates of
-    the gradient and Hessian, the outcome regression one aggregate of x x' and x dy, the estimate and
-    its influence function two more.  Only (#cells x k x k) numbers reach the driver.
-    Output: (g, t, base_t, att, se, n_treated, n_control).
+    Output: (g, t, base_t, att, se, n_treated, n_control, converged); ``converged`` is false where Newton's steps did not
+    fall below ``tol`` within ``max_iter`` (the covariates separate a cohort from the controls): such a cell has no
+    finite logit, its estimate rests on weights at the edge.
     """
-    import numpy as np
-
     spark = df.sparkSession
-    rows, cells, sizes = _cell_rows(df, unit, time, y, cohort, covariates)
-    if not cells:
-        empty = spark.createDataFrame([], "g int, t int, base_t int, att double, se double, n_treated bigint, "
-                                          "n_control bigint")
-        return (empty, None) if with_influence else empty
-    xs = ["__x_c", *[f"__x{i}" for i in range(len(covariates))]]
-    k = len(xs)
-    rows = rows.persist()
-    try:
-        def param_table(name, vals):
-            return spark.createDataFrame([(c, [float(v) for v in vals[c]]) for c in vals], f"cell int, {name} array<double>")
-
-        def dot(arr_col):
-            return sum((F.col(arr_col)[i] * F.col(x) for i, x in enumerate(xs)), F.lit(0.0))
-
-        # --- propensity score: Newton-Raphson per cell
-        # start at the intercept-only solution logit(n_treated / n); Newton then needs fewer passes
-        beta = {}
-        for c in (cell[0] for cell in cells):
-            n1, n0 = sizes[c]
-            beta[c] = np.zeros(k)
-            if n1 > 0 and n0 > 0:
-                beta[c][0] = np.log(n1 / n0)
-        for _ in range(max_iter):
-            j = rows.join(F.broadcast(param_table("__b", beta)), on="cell")
-            p = 1.0 / (1.0 + F.exp(-dot("__b")))
-            sums = _per_cell_sums(j.withColumn("__p", p), {
-                **{f"g{a}": F.sum((F.col("D") - F.col("__p")) * F.col(xa)) for a, xa in enumerate(xs)},
-                **{f"h{a}_{b}": F.sum(F.col("__p") * (1 - F.col("__p")) * F.col(xa) * F.col(xb))
-                   for a, xa in enumerate(xs) for b, xb in enumerate(xs) if b >= a}})
-            step_max = 0.0
-            for c in beta:
-                s = sums[c]
-                grad = np.array([s[f"g{a}"] for a in range(k)])
-                h = np.zeros((k, k))
-                for a in range(k):
-                    for b in range(a, k):
-                        h[a, b] = h[b, a] = s[f"h{a}_{b}"]
-                step = np.linalg.lstsq(h, grad, rcond=None)[0]
-                beta[c] = beta[c] + step
-                step_max = max(step_max, float(np.abs(step).max()))
-            if step_max < tol:
-                break
-        # --- outcome regression on controls, and the Hessian of the logit at the solution
-        j = rows.join(F.broadcast(param_table("__b", beta)), on="cell")
-        p = F.least(1.0 / (1.0 + F.exp(-dot("__b"))), F.lit(1 - 1e-16))
-        j = j.withColumn("__p", p)
-        ctl = 1 - F.col("D")
-        s2 = _per_cell_sums(j, {
-            "n": F.count(F.lit(1)), "n1": F.sum("D"),
-            **{f"xx{a}_{b}": F.sum(ctl * F.col(xa) * F.col(xb)) for a, xa in enumerate(xs) for b, xb in enumerate(xs) if b >= a},
-            **{f"xy{a}": F.sum(ctl * F.col(xa) * F.col("dy")) for a, xa in enumerate(xs)},
-            **{f"h{a}_{b}": F.sum(F.col("__p") * (1 - F.col("__p")) * F.col(xa) * F.col(xb))
-               for a, xa in enumerate(xs) for b, xb in enumerate(xs) if b >= a}})
-        gamma, xpx_inv, hess_inv = {}, {}, {}
-        for c in beta:
-            s = s2[c]
-            xx, hh = np.zeros((k, k)), np.zeros((k, k))
-            for a in range(k):
-                for b in range(a, k):
-                    xx[a, b] = xx[b, a] = s[f"xx{a}_{b}"]
-                    hh[a, b] = hh[b, a] = s[f"h{a}_{b}"]
-            xy = np.array([s[f"xy{a}"] for a in range(k)])
-            gamma[c] = np.linalg.lstsq(xx, xy, rcond=None)[0]
-            n = s["n"]
-            xpx_inv[c] = np.linalg.pinv(xx / n)
-            hess_inv[c] = np.linalg.pinv(hh / n)
-        # --- estimate: weights and residual means per cell
-        j = j.join(F.broadcast(param_table("__gm", gamma)), on="cell")
-        j = (j.withColumn("__m", dot("__gm")).withColumn("__r", F.col("dy") - F.col("__m"))
-             .withColumn("__wt", F.col("D")).withColumn("__wc", F.col("__p") * (1 - F.col("D")) / (1 - F.col("__p"))))
-        s3 = _per_cell_sums(j, {
-            "swt": F.sum("__wt"), "swc": F.sum("__wc"), "st": F.sum(F.col("__wt") * F.col("__r")),
-            "sc": F.sum(F.col("__wc") * F.col("__r")), "n": F.count(F.lit(1)),
-            **{f"m1_{a}": F.sum(F.col("__wt") * F.col(xa)) for a, xa in enumerate(xs)},
-            **{f"m3_{a}": F.sum(F.col("__wc") * F.col(xa)) for a, xa in enumerate(xs)}})
-        eta_t = {c: s3[c]["st"] / s3[c]["swt"] for c in beta}
-        eta_c = {c: s3[c]["sc"] / s3[c]["swc"] for c in beta}
-        s4 = _per_cell_sums(j.join(F.broadcast(spark.createDataFrame([(c, float(eta_c[c])) for c in beta],
-                                                                     "cell int, __ec double")), on="cell"), {
-            **{f"m2_{a}": F.sum(F.col("__wc") * (F.col("__r") - F.col("__ec")) * F.col(xa)) for a, xa in enumerate(xs)}})
-        # --- influence function per unit: linear in the unit's own terms with per-cell constants
-        consts = {}
-        for c in beta:
-            n = s3[c]["n"]
-            m1 = np.array([s3[c][f"m1_{a}"] for a in range(k)]) / n
-            m2 = np.array([s4[c][f"m2_{a}"] for a in range(k)]) / n
-            m3 = np.array([s3[c][f"m3_{a}"] for a in range(k)]) / n
-            a_ols_t = xpx_inv[c] @ m1        # wols rep . M1
-            a_ols_c = xpx_inv[c] @ m3        # wols rep . M3
-            a_ps = hess_inv[c] @ m2          # ps rep . M2
-            consts[c] = [eta_t[c], eta_c[c], s3[c]["swt"] / n, s3[c]["swc"] / n, *a_ols_t, *a_ols_c, *a_ps]
-        ct = spark.createDataFrame([(c, [float(v) for v in consts[c]]) for c in consts], "cell int, __k array<double>")
-        j = j.join(F.broadcast(ct), on="cell")
-        K = F.col("__k")
-
-        def lin(offset):
-            return sum((K[offset + i] * F.col(x) for i, x in enumerate(xs)), F.lit(0.0))
-
-        ols_score = (1 - F.col("D")) * F.col("__r")      # wols.eX = w (1-D) (dy - m) x
-        ps_score = F.col("D") - F.col("__p")             # score.ps = (D - p) x
-        inf_t = ((F.col("__wt") * F.col("__r") - F.col("__wt") * K[0]) - ols_score * lin(4)) / K[2]
-        inf_c = ((F.col("__wc") * F.col("__r") - F.col("__wc") * K[1]) + ps_score * lin(4 + 2 * k)
-                 - ols_score * lin(4 + k)) / K[3]
-        inf = (inf_t - inf_c).alias("__if")
-        if_rows = j.select("cell", unit, "D", inf)
-        res = (if_rows.groupBy("cell")
-               .agg(F.stddev_samp("__if").alias("__sd"), F.count(F.lit(1)).alias("__n")).collect())
-        se = {r["cell"]: (r["__sd"] / np.sqrt(r["__n"]) if r["__sd"] is not None else None) for r in res}
-        out = [(g, t, b, float(eta_t[c] - eta_c[c]), None if se.get(c) is None else float(se[c]),
-                int(round(s2[c]["n1"])), int(s2[c]["n"] - round(s2[c]["n1"]))) for c, g, t, b in cells]
-        table = spark.createDataFrame(out, "g int, t int, base_t int, att double, se double, n_treated bigint, "
-                                           "n_control bigint")
-        if with_influence:
-            # cut the lineage of the per-unit influence values (reliable checkpoint, shared folder)
-            from panelcraft.session import cut_lineage
-            cell_map = spark.createDataFrame(cells, "cell int, g int, t int, b int")
-            return table, cut_lineage(if_rows.join(F.broadcast(cell_map), on="cell"))
-    finally:
-        rows.unpersist()
-    return table
-
-
-# Mammen's two-point multiplier weights (mean 0, variance 1): fixed values of the bootstrap.
-_SQ5 = 5 ** 0.5
-MAMMEN_LOW, MAMMEN_HIGH = (1 - _SQ5) / 2, (1 + _SQ5) / 2
-MAMMEN_P_LOW = (_SQ5 + 1) / (2 * _SQ5)
+    rows, fit = fit_doubly_robust(df, unit, time, y, cohort, covariates, max_iter, tol)
+    if fit is None:
+        return spark.createDataFrame([], DR_SCHEMA)
+    n_periods, n_cells = len(fit.periods), len(fit.cells)
+
+    def squares(batch):
+        g_of, z = _batch(batch, n_periods)
+        values = [_influence(fit, g_of, z, c)[2] for c in range(n_cells)]
+        return np.array([[v.sum(), (v * v).sum()] for v in values]).ravel()
+
+    sums = partial_sums(rows.select("g", "z"), 2 * n_cells, squares).reshape(n_cells, 2)
+    out = []
+    for c, ((g, t, b), (s, ss)) in enumerate(zip(fit.cells, sums)):
+        n = fit.n(c)
+        se = float(np.sqrt(max(ss - s * s / n, 0.0) / (n - 1) / n)) if n > 1 else None
+        out.append((g, int(fit.periods[t]), int(fit.periods[b]), float(fit.att[c]), se, fit.sizes[g], fit.sizes[0],
+                    fit.converged[g, b]))
+    return spark.createDataFrame(out, DR_SCHEMA)
+
+
+def _mammen(seeds: np.ndarray, seed: int, draws: int) -> np.ndarray:
+    """(unit, draw) multiplier weights from a hash of (seed, unit, draw)."""
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    steps = (np.arange(1, draws + 1, dtype=np.uint64) + np.uint64(seed % (1 << 32)) * np.uint64(1_000_003)) * odd
+    x = seeds.astype(np.int64).view(np.uint64)[:, None] + steps
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    low = (x >> np.uint64(11)).astype(np.float64) / float(1 << 53) < MAMMEN_P_LOW
+    return np.where(low, MAMMEN_LOW, MAMMEN_HIGH)
 
 
 def att_dynamic_dr(df: DataFrame, unit: str, time: str, y: str, cohort: str, covariates: Sequence[str],
                    n_boot: int = 999, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """Event-time aggregation of the doubly robust ATT(g, t): (event_time, att, se, crit_val).
-
-    att(e) = sum_g w_g ATT(g, g+e) / sum_g w_g with w_g the cohort size.  Per-unit influence values of
-    every cell are rescaled to the full sample and combined per unit (one aggregation keyed on
-    (unit, e)); the weights are estimated too (w_g = p_g / S_e, p_g = n_g / N, S_e = sum over the
-    cohorts at e), whose influence term reduces to 1{unit in cohort g} (ATT(g, g+e) - att(e)) / S_e for
-    the treated units of a cell and 0 otherwise; se(e) = sqrt(sum_i IF_i(e)^2) / N.  The uniform band's
-    critical value comes from a multiplier bootstrap: Mammen weights v_ib drawn by hashing (seed, unit,
-    b), bootstrap draws att*_b(e) = sum_i v_ib IF_i(e) / N as one aggregation keyed on (b, e);
-    crit_val = (1 - alpha) quantile of max_e |att*_b(e)| / se_b(e), se_b from the interquartile range.
-    Bootstrap work is #units x #event times x n_boot rows, generated per unit (no join).
+    """Event-time aggregation of the doubly robust ATT(g, t): (event_time, att, se, se_boot, crit_val).
+
+    att(e) = sum_g w_g ATT(g, g+e) / sum_g w_g with w_g the cohort size.  A unit's influence values of
+    every cell are rescaled to the full sample and combined in its row; the weights are estimated too
+    (w_g = p_g / S_e, p_g = n_g / N, S_e = sum over the cohorts at e), whose influence term reduces to
+    1{unit in cohort g} (ATT(g, g+e) - att(e)) / S_e for the treated units of a cell and 0 otherwise;
+    se(e) = sqrt(sum_i IF_i(e)^2) / N.  The uniform band's critical value comes from a multiplier
+    bootstrap with Mammen weights v_ib hashed from (seed, unit, b): the draws att*_b(e) = sum_i v_ib
+    IF_i(e) / N are one matrix product per batch of units, (draws x units) times (units x event times),
+    summed over the batches; crit_val = (1 - alpha) quantile of max_e |att*_b(e)| / se_b(e), se_b from the
+    interquartile range.  Nothing is replicated per draw, and n_boot x #event times numbers leave a task.
     """
-    import math
-
-    import numpy as np
-
     spark = df.sparkSession
-    table, infl = att_gt_dr(df, unit, time, y, cohort, covariates, with_influence=True)
-    if infl is None:
-        return spark.createDataFrame([], "event_time int, att double, se double, se_boot double, crit_val double")
-    cells = table.withColumn("event_time", (F.col("t") - F.col("g")).cast("int"))
-    n_total = infl.select(unit).distinct().count()
-    w = Window.partitionBy("event_time")
-    cw = (cells.withColumn("__w", F.col("n_treated") / F.sum("n_treated").over(w))  # #cells rows only
-          .withColumn("__scale", F.col("__w") * F.lit(float(n_total)) / (F.col("n_treated") + F.col("n_control")))
-          .withColumn("__att_e", F.sum(F.col("__w") * F.col("att")).over(w))
-          .withColumn("__wif", (F.col("att") - F.col("__att_e")) * F.lit(float(n_total)) / F.sum("n_treated").over(w)))
-    agg = cw.groupBy("event_time").agg(F.sum(F.col("__w") * F.col("att")).alias("att"))
-    per_unit = (infl.join(F.broadcast(cw.select("g", "t", "event_time", "__scale", "__wif")), on=["g", "t"])
-                .groupBy(unit, "event_time")
-                .agg(F.sum(F.col("__if") * F.col("__scale") + F.col("D") * F.col("__wif")).alias("__ife")))
-    per_unit = per_unit.persist()
-    try:
-        se = {r["event_time"]: math.sqrt(r["s"]) / n_total for r in
-              per_unit.groupBy("event_time").agg(F.sum(F.col("__ife") * F.col("__ife")).alias("s")).collect()}
-        # multiplier bootstrap: one weight per (unit, draw), shared by all event times of the unit
-        u = F.xxhash64(F.lit(seed), F.col(unit).cast("string"), F.col("__b"))
-        unif = (F.pmod(u, F.lit(1_000_003)).cast("double") + 0.5) / F.lit(1_000_003.0)
-        v = F.when(unif < F.lit(MAMMEN_P_LOW), F.lit(MAMMEN_LOW)).otherwise(F.lit(MAMMEN_HIGH))
-        boot = (per_unit.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-                .groupBy("__b", "event_time").agg((F.sum(v * F.col("__ife")) / F.lit(float(n_total))).alias("d")))
-        draws = boot.collect()  # n_boot x #event times numbers
-    finally:
-        per_unit.unpersist()
-    es = sorted(se)
-    idx = {e: i for i, e in enumerate(es)}
-    mat = np.zeros((n_boot, len(es)))
-    for r in draws:
-        mat[r["__b"], idx[r["event_time"]]] = r["d"]
-    q75, q25 = np.quantile(mat, 0.75, axis=0), np.quantile(mat, 0.25, axis=0)
-    z = 1.3489795003921634  # interquartile range of the standard normal
-    se_b = (q75 - q25) / z
+    schema = "event_time int, att double, se double, se_boot double, crit_val double"
+    rows, fit = fit_doubly_robust(df, unit, time, y, cohort, covariates)
+    if fit is None:
+        return spark.createDataFrame([], schema)
+    n_periods, n_all = len(fit.periods), sum(fit.sizes.values())
+    events = np.array([int(fit.periods[t]) - g for g, t, _ in fit.cells])
+    treated = np.array([fit.sizes[g] for g, _, _ in fit.cells], dtype=float)
+    es = np.unique(events)
+    place = np.searchsorted(es, events)
+    total = np.bincount(place, weights=treated)
+    att = np.bincount(place, weights=treated * fit.att) / total
+    scale = treated / total[place] * n_all / np.array([fit.n(c) for c in range(len(events))])
+    weight = (fit.att - att[place]) * n_all / total[place]
+    width = len(es)
+
+    def draws(batch):
+        g_of, z = _batch(batch, n_periods)
+        seeds = batch.column("seed").to_numpy()
+        inf = np.zeros((len(g_of), width))
+        for c in range(len(events)):
+            own, d, values = _influence(fit, g_of, z, c)
+            inf[own, place[c]] += values * scale[c] + d * weight[c]
+        out = np.zeros((n_boot, width))
+        for a in range(0, len(g_of), BOOT_UNITS):
+            out += _mammen(seeds[a:a + BOOT_UNITS], seed, n_boot).T @ inf[a:a + BOOT_UNITS]
+        return np.concatenate([(inf * inf).sum(axis=0), out.ravel()])
+
+    sums = partial_sums(rows.select("g", "z", "seed"), width * (n_boot + 1), draws)
+    se, boot = np.sqrt(sums[:width]) / n_all, sums[width:].reshape(n_boot, width) / n_all
+    high, low = np.quantile(boot, 0.75, axis=0), np.quantile(boot, 0.25, axis=0)
+    se_b = (high - low) / NORMAL_IQR
     ok = se_b > 1e-12
-    crit = float(np.quantile(np.max(np.abs(mat[:, ok]) / se_b[ok], axis=1), 1 - alpha)) if ok.any() else float("nan")
-    se_df = spark.createDataFrame([(e, float(se[e]), float(se_b[idx[e]])) for e in es],
-                                  "event_time int, se double, se_boot double")
-    return agg.join(se_df, on="event_time").withColumn("crit_val", F.lit(crit)).select(
-        "event_time", "att", "se", "se_boot", "crit_val")
+    crit = float(np.quantile(np.max(np.abs(boot[:, ok]) / se_b[ok], axis=1), 1 - alpha)) if ok.any() else float("nan")
+    return spark.createDataFrame([(int(e), float(a), float(s), float(b), crit) for e, a, s, b in zip(es, att, se, se_b)], schema)

@@ -92,10 +92,11 @@ def features(panel: DataFrame, unit: Sequence[str], time: str, treatment_value:
 
 
 def causal(feat: DataFrame, unit: str, time: str, event: str, outcomes: Sequence[str], covariates: Sequence[str],
-           n_draws: int = 100, seed: int = 42) -> dict[str, DataFrame]:
+           n_draws: int = 100, seed: int = 42, n_boot: int = 999) -> dict[str, DataFrame]:
     """Event study + placebo per outcome (rows with a missing outcome/covariate dropped first), summary
-    table and ATT(g, t) per outcome."""
-    from panelcraft.operators.did import att_dynamic, att_gt
+    table, and per outcome the doubly robust effects by event time given the covariates, with standard errors and the
+    critical value of the uniform band (``att_dynamic``)."""
+    from panelcraft.operators.did import att_dynamic_dr
     from panelcraft.operators.features import add_event_time
     from panelcraft.operators.regression import event_study, hash_assignments, placebo_coefficients
 
@@ -111,8 +112,8 @@ def causal(feat: DataFrame, unit: str, time: str, event: str, outcomes: Sequence
         st = pl.agg(F.avg("coef").alias("m"), F.stddev_samp("coef").alias("s")).first()
         events.append(table)
         summaries.append((y, s["nobs"], s["r2"], s["pretrend_pvalue"], st["m"], st["s"]))
-        a = att_gt(sub, [unit], time, y, "treatment_time")
-        atts.append(att_dynamic(a).withColumn("outcome", F.lit(y)))
+        dyn = att_dynamic_dr(sub, unit, time, y, "treatment_time", covariates, n_boot=n_boot, seed=seed)
+        atts.append(dyn.withColumn("outcome", F.lit(y)))
     ev = events[0]
     for t in events[1:]:
         ev = ev.unionByName(t)
@@ -171,8 +172,14 @@ def _tfidf_svd_embeddings(grid, events, keys, text, order, default, max_features
 
 
 def predict(panel: DataFrame, features_: Sequence[str], target: str, keys: Sequence[str], time: str, task: str,
-            train, val, test, models: dict | None = None):
-    from panelcraft.operators.predict import model_ladder, split_with_fallback
+            train, val, test, models: dict | None = None, vectors: DataFrame | None = None):
+    """Entry 3's second half.  ``vectors`` is a table of the keys and one array column, e.g. from ``text_embeddings``:
+    it is joined to the panel (J3), and its entries are features beside the scalar ones (M11)."""
+    from panelcraft.operators.predict import join_vectors, model_ladder, split_with_fallback
     panel = panel.where(F.col(target).isNotNull())  # rows without a target have no say in the split
+    arrays = []
+    if vectors is not None:
+        arrays = [f.name for f in vectors.schema.fields if f.dataType.typeName() == "array"]
+        panel = join_vectors(panel, vectors.select(*keys, *arrays), keys)
     s = split_with_fallback(panel, time, train, val, test)
-    return model_ladder(s, features_, target, keys, task, models=models)
+    return model_ladder(s, features_, target, keys, task, models=models, vectors=arrays)
