@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelcraft.functions.partitioning import bounded_broadcast
+
 
 def existence_flags(detail: DataFrame, case_key: Sequence[str], flags: Mapping[str, Column]) -> DataFrame:
     """Per case key, whether ANY detail row satisfies each predicate (NULL predicate = false).
@@ -62,12 +64,17 @@ def _is_fractional(df: DataFrame, c: Column) -> bool:
         return False
 
 
-def code_in_period_range(code: str, period: str, thresholds: DataFrame) -> tuple[DataFrame, Column]:
-    """P12 with a (period_from, period_to, lo, hi) table instead of one fixed range (H2).
+def thresholds_by_period(thresholds: DataFrame, period: str, first: str = "period_from", last: str = "period_to") -> DataFrame:
+    """A table of coding rules (first, last, lo, hi) as one row per period, so that it joins on the period by equality
+    instead of by a range; where rules overlap the one that begins last holds."""
+    per = thresholds.withColumn(period, F.explode(F.sequence(F.col(first).cast("int"), F.col(last).cast("int"))))
+    rest = [c for c in thresholds.columns if c not in (first, last)]
+    return per.groupBy(period).agg(F.max_by(F.struct(*rest), F.struct(first, last)).alias("__r")).select(period, "__r.*")
 
-    Returns the thresholds table (to be joined on the period by the caller; it has one row per coding
-    period, so its size is bounded by the number of coding changes) and the predicate.
-    """
-    pred = (F.col(code) >= F.col("lo")) & (F.col(code) <= F.col("hi")) & \
-        (F.col(period) >= F.col("period_from")) & (F.col(period) <= F.col("period_to"))
-    return thresholds, pred
+
+def flags_by_period(detail: DataFrame, case_key: Sequence[str], code: str, period: str, thresholds: DataFrame,
+                    flag: str, lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """J9 with P12: per case key, whether any detail row's code lies in the range of its period.  ``thresholds`` is unique
+    on the period (see :func:`thresholds_by_period`), one row per period; a period without a rule flags nothing."""
+    joined = detail.join(bounded_broadcast(thresholds.select(period, F.col(lo).alias("__lo"), F.col(hi).alias("__hi"))), period)
+    return existence_flags(joined, case_key, {flag: F.col(code).between(F.col("__lo"), F.col("__hi"))})

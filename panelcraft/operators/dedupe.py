@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelcraft.functions.clean import normalize_name
+
 
 def _ord(xs) -> Column:
     return F.struct(*[F.col(x) if isinstance(x, str) else x for x in xs])
@@ -42,11 +44,45 @@ def priority_score(col: str, priorities: Mapping[str, int], default: int = 0) ->
     return expr.otherwise(F.lit(default)) if expr is not None else F.lit(default)
 
 
-def consolidate_sources(df: DataFrame, keys: Sequence[str], source_col: str, priorities: Mapping[str, int],
-                        tiebreak: Sequence = (), score_col: str = "priority") -> DataFrame:
-    """Per key the row of the highest-priority source (then the largest ``tiebreak``)."""
-    scored = df.withColumn(score_col, priority_score(source_col, priorities))
-    return keep_last(scored, keys, [score_col, *tiebreak])
+def rule_score(rules: Sequence[tuple[int, Mapping[str, object]]], default: int = 0) -> Column:
+    """P23 over several columns: the score of the first rule whose {column: value} all hold; NULL equals nothing."""
+    expr = None
+    for score, values in rules:
+        hit = F.lit(True)
+        for c, v in values.items():
+            hit = hit & F.coalesce(F.col(c) == F.lit(v), F.lit(False))
+        expr = F.when(hit, F.lit(score)) if expr is None else expr.when(hit, F.lit(score))
+    return expr.otherwise(F.lit(default)) if expr is not None else F.lit(default)
+
+
+def consolidate_sources(df: DataFrame, keys: Sequence[str], source_col: str | None,
+                        priorities: Mapping[str, int] | Sequence[tuple[int, Mapping[str, object]]],
+                        tiebreak: Sequence = (), score_col: str = "priority", default: int = 0) -> DataFrame:
+    """Per key the row of the highest priority (then the largest ``tiebreak``).  ``priorities`` maps the values of
+    ``source_col`` to scores, or lists rules over several columns (:func:`rule_score`)."""
+    score = (priority_score(source_col, priorities, default) if isinstance(priorities, Mapping)
+             else rule_score(priorities, default))
+    return keep_last(df.withColumn(score_col, score), keys, [score_col, *tiebreak])
+
+
+def inverse_lookup(dim: DataFrame, name: str, entries: DataFrame, entry_name: str, code: str,
+                   aliases: DataFrame | None = None, out: str = "code", count: str | None = None) -> DataFrame:
+    """Every member of ``dim`` with the shortest ``code`` (then the smallest) among the entries that bear its name, NULL
+    without one.  Names are compared normalised (P3), and ``aliases`` (alias, canonical name) resolve other spellings.
+    The entries are aggregated per name first, so a name on a third of them costs a row a task."""
+    key = normalize_name(F.col(entry_name))
+    e = entries.where(F.col(code).isNotNull()).select(key.alias("__n"), F.col(code).alias("__c"))
+    per_name = e.groupBy("__n").agg(F.min_by("__c", F.struct(F.length(F.col("__c").cast("string")), "__c")).alias("__c"),
+                                    F.count(F.lit(1)).alias("__k"))
+    if aliases is not None:
+        al = aliases.toDF("__n", "__canon").select(normalize_name(F.col("__n")).alias("__n"), normalize_name(F.col("__canon")).alias("__canon"))
+        per_name = (per_name.join(al.distinct(), "__n", "left").withColumn("__n", F.coalesce("__canon", "__n"))
+                    .groupBy("__n").agg(F.min_by("__c", F.struct(F.length(F.col("__c").cast("string")), "__c")).alias("__c"),
+                                        F.sum("__k").alias("__k")))
+    res = dim.withColumn("__n", normalize_name(F.col(name))).join(per_name, "__n", "left").withColumn(out, F.col("__c"))
+    if count:
+        res = res.withColumn(count, F.coalesce("__k", F.lit(0)).cast("bigint"))
+    return res.drop("__n", "__c", "__k")
 
 
 def first_last_non_null(df: DataFrame, unit: Sequence[str], time: str, value: str,

@@ -2,32 +2,33 @@
 
 ``point_in_interval`` is the reference's 51 x 21 Python loop, as a join.  A pure range join would plan as
 a nested loop; with the unit key it becomes an equi-join with a residual.  To keep one unit with very
-many intervals from landing in one task, intervals are also exploded to the time buckets they cover and
-the bucket joins the key: the residual then only compares rows of one (unit, bucket).
+many intervals from landing in one task, an interval is filed under the day blocks of its own length's scale: an interval of
+at most 2^l days covers one or two blocks of 2^l days, and a point looks into its block on every scale in use.  A unit's
+short intervals so spread over its days, a long one costs two rows, and the residual only compares rows of one
+(unit, scale, block).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BucketFn = Callable[[Column], Column]
+def day_scale(start: Column, end: Column) -> Column:
+    """The smallest l with 2^l days at least as long as the interval, its last day included."""
+    days = F.datediff(end, start)
+    return F.when(days <= 0, 0).otherwise(F.length(F.bin(days)))
 
 
-def year_bucket(c: Column) -> Column:
-    return F.year(c)
-
-
-def month_bucket(c: Column) -> Column:
-    return F.year(c) * 12 + F.month(c) - 1
+def day_block(day: Column, scale: Column) -> Column:
+    return F.call_function("shiftright", F.unix_date(day.cast("date")), scale)
 
 
 def point_in_interval(points: DataFrame, intervals: DataFrame, unit: Sequence[str], point: str,
                       start: str, end: str, value: str, out: str = "value",
                       tiebreak: Sequence[str] = (), default: str | Column | None = None,
-                      bucket: BucketFn | None = year_bucket, matched_col: str | None = "matched") -> DataFrame:
+                      matched_col: str | None = "matched") -> DataFrame:
     """For every point row, the value of the first interval (by start, then ``tiebreak``) with
     ``start <= point <= end`` of the same unit.
 
@@ -39,14 +40,13 @@ def point_in_interval(points: DataFrame, intervals: DataFrame, unit: Sequence[st
     iv = intervals.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) <= F.col(end)))
     order_key = F.struct(F.col(start), *[F.col(t) for t in tiebreak])
     iv = iv.select(*unit, F.col(start).alias("__s"), F.col(end).alias("__e"),
-                   F.col(value).alias("__v"), order_key.alias("__ord"))
+                   F.col(value).alias("__v"), order_key.alias("__ord"), day_scale(F.col(start), F.col(end)).alias("__l"))
+    scales = sorted(r[0] for r in iv.select("__l").distinct().collect())  # about 20: the bits of a number of days
+    iv = iv.withColumn("__b", F.explode(F.sequence(day_block(F.col("__s"), F.col("__l")), day_block(F.col("__e"), F.col("__l")))))
     keys = points.select(*unit, F.col(point).alias("__p")).distinct()
-    cond_cols = unit
-    if bucket is not None:
-        iv = iv.withColumn("__b", F.explode(F.sequence(bucket(F.col("__s")), bucket(F.col("__e")))))
-        keys = keys.withColumn("__b", bucket(F.col("__p")))
-        cond_cols = [*unit, "__b"]
-    hits = (keys.join(iv, on=cond_cols, how="inner")
+    keys = (keys.withColumn("__l", F.explode(F.array(*[F.lit(x) for x in scales]).cast("array<int>")))
+            .withColumn("__b", day_block(F.col("__p"), F.col("__l"))))
+    hits = (keys.join(iv, on=[*unit, "__l", "__b"], how="inner")
             .where((F.col("__s") <= F.col("__p")) & (F.col("__p") <= F.col("__e")))
             .groupBy(*unit, "__p")
             .agg(F.min_by("__v", "__ord").alias("__v"))

@@ -58,6 +58,18 @@ def left_join_sources(base: DataFrame, keys: Sequence[str], sources: Sequence[Da
     return out
 
 
+def coverage_flags(grid: DataFrame, unit: Sequence[str], time: str, values: DataFrame, value_cols: Sequence[str],
+                   known_units: DataFrame, out: str = "coverage_flag",
+                   flags: tuple[str, str, str] = ("observed", "missing_no_unit_data", "missing_no_code")) -> DataFrame:
+    """Every grid row with ``value_cols`` and why they are there or missing: observed (any value), a known unit without
+    data in that period, or a unit that the source does not know.  ``values`` is unique on (unit, time)."""
+    unit = list(unit)
+    known = known_units.select(*unit).distinct().withColumn("__known", F.lit(True))
+    j = grid.join(values.select(*unit, time, *value_cols), [*unit, time], "left").join(known, unit, "left")
+    observed = F.coalesce(*[F.col(c).cast("string") for c in value_cols]).isNotNull()
+    return j.withColumn(out, F.when(observed, flags[0]).when(F.col("__known"), flags[1]).otherwise(flags[2])).drop("__known")
+
+
 def missing_rates(df: DataFrame, cols: Sequence[str] | None = None,
                   name_col: str = "column", rate_col: str = "missing_rate") -> DataFrame:
     """Share of NULL (or NaN) per column, one pass, returned in long form (column, rate)."""

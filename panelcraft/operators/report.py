@@ -61,12 +61,12 @@ def mean_post_effect(coefs: DataFrame, event_time: str = "event_time", coef: str
 def scenarios(latest: DataFrame, value: str, effect: float | None, scenario_table: Sequence[tuple[str, float]],
               out: str = "projected") -> DataFrame:
     """``max(0, latest + effect * sign(change))`` for every unit and scenario (scenarios are a
-    generated array per unit row, not a join)."""
+    generated array per unit row, not a join).  A missing effect (None or NaN) counts as 0; a missing value stays so."""
     arr = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(float(c)).alias("change")) for n, c in scenario_table])
     s = latest.withColumn("__s", F.explode(arr)).select("*", "__s.*").drop("__s")
-    eff = F.lit(None).cast("double") if effect is None else F.lit(float(effect))
-    return s.withColumn(out, F.when(eff.isNotNull(),
-                                    F.greatest(F.lit(0.0), F.col(value) + eff * F.signum(F.col("change")))))
+    eff = F.lit(0.0 if effect is None or effect != effect else float(effect))
+    projected = F.greatest(F.lit(0.0), F.col(value) + eff * F.signum(F.col("change")))
+    return s.withColumn(out, F.when(F.col(value).isNotNull(), projected))
 
 
 def event_plot_data(coefs: DataFrame) -> DataFrame:

@@ -51,12 +51,13 @@ def parse_policy_pages(value_pages: DataFrame, interval_pages: DataFrame, names:
 
 def policy_event_counts(timeline_pages: DataFrame, names: DataFrame, topics: Mapping[str, str], first: int,
                         last: int, page: str = "page_id", text: str = "text", topic_col: str = "topic",
-                        dedupe: bool = False) -> tuple[DataFrame, DataFrame]:
-    """F1 events of all topic pages and A5 per-topic counts on the unit x year grid.
+                        dedupe: bool = False, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """F1 events of all topic pages and A5 per-topic counts on the unit x year grid.  ``aliases`` (alias, name) resolve
+    other spellings of a unit's name (P3).
 
     ``dedupe=True`` counts each (topic, unit, date) once; the default keeps the reference's repeated
     rows (H1)."""
-    ev = timeline_events(timeline_pages, page, text, names, topic_col, first, last)
+    ev = timeline_events(timeline_pages, page, text, names, topic_col, first, last, aliases=aliases)
     if dedupe:
         ev = ev.dropDuplicates(["topic_key", "unit", "effective_date"])
     grid = time_grid(names.select(F.col("code").alias("unit")), "year", first, last)

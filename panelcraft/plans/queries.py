@@ -391,9 +391,9 @@ def q_interval_lookup(spark, d):
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus", "o_totalprice")
     o = shift_rows(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], ["o_orderdate"], [-1],
                    bucket=F.year("o_orderdate"))
-    iv = o.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", F.to_date("o_orderdate").alias("s"),
-                  F.to_date("o_orderdate_lead1").alias("e"),
-                  F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("v"))
+    iv = cut_lineage(o.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", F.to_date("o_orderdate").alias("s"),
+                              F.to_date("o_orderdate_lead1").alias("e"),
+                              F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("v")))
     years = table(spark, d, "orders").select(F.year("o_orderdate").alias("year"))
     pts = time_grid(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "year", *time_bounds_expr(years, "year")) \
         .withColumn("p", jan_first("year"))
@@ -509,6 +509,79 @@ def q_topic_counts_pivot(spark, d):
                                 {"1-URGENT": "n_urgent", "2-HIGH": "n_high"})
 
 
+# ---------------------------------------------------------------------------------------------
+# W5, P23 -- priority by source AND flag; J14, P3 -- names matched to codes; P12 -- ranges by period
+# ---------------------------------------------------------------------------------------------
+
+FLAG_RULES = [(3, {"event_type": "purchase", "flag": "observed"}), (2, {"event_type": "click"})]
+
+
+@register("source_flag_priority", """
+WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, event_id, ts,
+                  CASE WHEN value >= 50 THEN 'observed' ELSE 'missing' END AS flag FROM events),
+s AS (SELECT *, CASE WHEN event_type = 'purchase' AND flag = 'observed' THEN 3 WHEN event_type = 'click' THEN 2 ELSE 1 END AS priority FROM e)
+SELECT user_id, day, event_type, flag, event_id, priority FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY priority DESC, ts DESC, event_id DESC) AS rn FROM s) WHERE rn = 1
+""")
+def q_source_flag_priority(spark, d):
+    from panelcraft.operators.dedupe import consolidate_sources
+    e = table(spark, d, "events").select("user_id", F.to_date("ts").alias("day"), "event_type", "event_id", "ts",
+                                         F.when(F.col("value") >= 50, "observed").otherwise("missing").alias("flag"))
+    out = consolidate_sources(e, ["user_id", "day"], None, FLAG_RULES, tiebreak=["ts", "event_id"], default=1)
+    return out.select("user_id", "day", "event_type", "flag", "event_id", "priority")
+
+
+@register("name_lookup", """
+WITH e AS (
+  SELECT c_custkey, n_nationkey, 'L' || c_custkey AS code, CASE c_custkey % 4
+    WHEN 0 THEN n_name WHEN 1 THEN chr(160) || replace(n_name, '_', '  ') || ' ' WHEN 2 THEN 'N-' || n_nationkey ELSE 'other ' || n_name END AS name
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
+m AS (
+  SELECT n_nationkey, code FROM e WHERE c_custkey % 4 IN (0, 1) OR (c_custkey % 4 = 2 AND n_nationkey % 2 = 0)),
+best AS (
+  SELECT n_nationkey, arg_min(code, length(code) * 1000000000 + CAST(substr(code, 2) AS BIGINT)) AS location_code, count(*) AS k FROM m GROUP BY 1)
+SELECT n_nationkey, replace(n_name, '_', ' ') AS n_name, location_code, CAST(coalesce(k, 0) AS BIGINT) AS n_entries
+FROM nation LEFT JOIN best USING (n_nationkey)
+""")
+def q_name_lookup(spark, d):
+    from panelcraft.operators.dedupe import inverse_lookup
+    nation = table(spark, d, "nation").select("n_nationkey", "n_name")
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")).join(nation, "n_nationkey")
+    turn = F.col("c_custkey") % 4
+    spelled = (F.when(turn == 0, F.col("n_name"))
+               .when(turn == 1, F.concat(F.lit("\u00a0"), F.replace("n_name", F.lit("_"), F.lit("  ")), F.lit(" ")))
+               .when(turn == 2, F.concat(F.lit("N-"), F.col("n_nationkey").cast("string")))
+               .otherwise(F.concat(F.lit("other "), F.col("n_name"))))
+    entries = c.select(spelled.alias("name"), F.concat(F.lit("L"), F.col("c_custkey").cast("string")).alias("location_code"))
+    plain = F.replace("n_name", F.lit("_"), F.lit(" "))
+    aliases = nation.where("n_nationkey % 2 = 0").select(F.concat(F.lit("N-"), F.col("n_nationkey").cast("string")), plain).toDF("a", "n")
+    aliases = aliases.unionByName(nation.select(F.col("n_name").alias("a"), plain.alias("n")))
+    return inverse_lookup(nation.withColumn("n_name", plain), "n_name", entries, "name", "location_code", aliases,
+                          out="location_code", count="n_entries")
+
+
+# the coding of a quantity as "bulk" changes with the year of shipping; the last rule to begin holds
+BULK_RULES = [(1992, 1994, 40, 50), (1995, 1996, 45, 48), (1996, 1999, 30, 35)]
+
+
+@register("flagged_by_period", f"""
+WITH rules AS (SELECT * FROM (VALUES {", ".join(map(str, BULK_RULES))}) r(a, z, lo, hi)),
+per AS (SELECT y AS year, arg_max(lo, a) AS lo, arg_max(hi, a) AS hi FROM range(1992, 2000) t(y) JOIN rules ON y BETWEEN a AND z GROUP BY y),
+f AS (SELECT DISTINCT l_orderkey FROM lineitem JOIN per ON year(l_shipdate) = per.year WHERE l_quantity BETWEEN lo AND hi)
+SELECT n_nationkey, o.year, CAST(count(*) AS BIGINT) AS n_orders, round(sum(o_totalprice), 2) AS revenue,
+       round(coalesce(sum(CASE WHEN f.l_orderkey IS NOT NULL THEN o_totalprice END), 0), 2) AS revenue_bulk
+FROM ({ORDERS_NATION_SQL}) o LEFT JOIN f ON f.l_orderkey = o.o_orderkey GROUP BY n_nationkey, o.year
+""")
+def q_flagged_by_period(spark, d):
+    from panelcraft.operators.cases import flags_by_period, thresholds_by_period
+    rules = spark.createDataFrame(BULK_RULES, "period_from int, period_to int, lo int, hi int")
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity", F.year("l_shipdate").alias("ship_year"))
+    flags = flags_by_period(li, ["o_orderkey"], "l_quantity", "ship_year", thresholds_by_period(rules, "ship_year"), "has_bulk")
+    out = flagged_sums(orders_by_nation(spark, d), ["o_orderkey"], ["n_nationkey", "year"], "o_totalprice", flags, ["has_bulk"],
+                       total_name="revenue", out_names={"has_bulk": "revenue_bulk"}, count_name="n_orders")
+    return out.select("n_nationkey", "year", "n_orders", r("revenue").alias("revenue"), r("revenue_bulk").alias("revenue_bulk"))
+
+
 # ---------------------------------------------------------------------------------------------
 # T1, A9, P21 -- ordered text aggregation onto a (unit, time) grid with a default text
 # ---------------------------------------------------------------------------------------------
@@ -768,8 +841,66 @@ def treated_covariate_panel(spark, d) -> DataFrame:
     return treated_panel(spark, d).join(cov, on=["n_nationkey", "year"], how="left")
 
 
-@register("event_study")
-def q_event_study(spark, d):
+_EVENT_COLS = [_evt_name(k) for k in EVENT_TERMS]
+_LEADS = [EVENT_TERMS.index(k) + 1 for k in (-5, -4, -3, -2)]
+
+# ordinary least squares on event dummies, the covariate and dummies of every unit and every period but the first; scores
+# summed by unit; the normal and F tails by Simpson's rule (2,000 steps) and a finite beta integral
+EVENT_STUDY_BASE_SQL = f"""
+p AS (
+  SELECT t.n_nationkey AS u, t.year AS t, t.event_time, t.treatment_year, mean_price AS y, urgent_share AS x
+  FROM ({TREATED_SQL}) t JOIN (SELECT n_nationkey, year, urgent_share FROM ({COVARIATES_SQL})) c
+    ON t.n_nationkey = c.n_nationkey AND t.year = c.year WHERE mean_price IS NOT NULL AND urgent_share IS NOT NULL),
+entries AS (
+  SELECT u, t, j, 1.0::DOUBLE AS v FROM p JOIN (VALUES {", ".join(f"({i + 1}, {k})" for i, k in enumerate(EVENT_TERMS))}) e(j, k)
+    ON p.event_time = e.k AND treatment_year IS NOT NULL
+  UNION ALL SELECT u, t, {len(EVENT_TERMS) + 1}, x FROM p
+  UNION ALL SELECT u, t, {len(EVENT_TERMS) + 1} + dense_rank() OVER (ORDER BY u), 1 FROM p
+  UNION ALL SELECT u, t, 1000 + dense_rank() OVER (ORDER BY t), 1 FROM p QUALIFY dense_rank() OVER (ORDER BY t) > 1),
+ids AS (SELECT j, row_number() OVER (ORDER BY j) AS i FROM (SELECT DISTINCT j FROM entries)),
+design AS (SELECT u, t, i, v FROM entries JOIN ids USING (j)),
+matrix AS (
+  SELECT a.i, b.i AS j, coalesce(sum(x.v * z.v), 0) AS v FROM ids a CROSS JOIN ids b
+  LEFT JOIN (design x JOIN design z ON x.u = z.u AND x.t = z.t) ON x.i = a.i AND z.i = b.i GROUP BY a.i, b.i),
+{inverse_sql("inv", "matrix")},
+xy AS (SELECT i, sum(v * y) AS v FROM design JOIN p USING (u, t) GROUP BY i),
+b AS (SELECT inv.i, sum(inv.v * xy.v) AS b FROM inv JOIN xy ON inv.j = xy.i GROUP BY inv.i),
+res AS (SELECT p.u, p.t, any_value(y) AS y, any_value(y) - sum(v * b) AS e FROM p JOIN design USING (u, t) JOIN b USING (i) GROUP BY p.u, p.t),
+size AS (SELECT count(*) AS n, count(DISTINCT u) AS g, (SELECT count(*) FROM ids) AS k, 1 - sum(e * e) / (var_pop(y) * count(*)) AS r2 FROM res),
+score AS (SELECT u, i, sum(v * e) AS s FROM design JOIN res USING (u, t) GROUP BY u, i),
+half AS (SELECT u, inv.i, sum(inv.v * s) AS w FROM inv JOIN score ON inv.j = score.i GROUP BY u, inv.i),
+cov AS (
+  SELECT a.i, c.i AS j, any_value((g / (g - 1.0)) * ((n - 1.0) / (n - k))) * sum(a.w * c.w) AS v
+  FROM half a JOIN half c USING (u), size GROUP BY a.i, c.i),
+lead_cov AS (
+  SELECT dense_rank() OVER (ORDER BY i) AS i, dense_rank() OVER (ORDER BY j) AS j, v FROM cov
+  WHERE i IN ({", ".join(map(str, _LEADS))}) AND j IN ({", ".join(map(str, _LEADS))})),
+{inverse_sql("lead_inv", "lead_cov")},
+wald AS (
+  SELECT sum(x.b * v * z.b) / count(DISTINCT x.i) AS f, count(DISTINCT x.i) AS q FROM lead_inv
+  JOIN (SELECT row_number() OVER (ORDER BY i) AS i, b FROM b WHERE i IN ({", ".join(map(str, _LEADS))})) x ON x.i = lead_inv.i
+  JOIN (SELECT row_number() OVER (ORDER BY i) AS i, b FROM b WHERE i IN ({", ".join(map(str, _LEADS))})) z ON z.i = lead_inv.j),
+beta AS (SELECT (g - 1) / 2.0 AS a, q / 2.0 AS c, (g - 1) / (g - 1 + q * f) AS top FROM wald, size),
+pretrend AS (
+  SELECT sum(CASE WHEN s IN (0, 2000) THEN 1 WHEN s % 2 = 1 THEN 4 ELSE 2 END * pow(top * s / 2000.0, a - 1) * pow(1 - top * s / 2000.0, c - 1))
+    * any_value(top) / 6000.0 * exp(any_value(lgamma(a + c) - lgamma(a) - lgamma(c))) AS p
+  FROM beta, range(2001) r(s)),
+terms AS (
+  SELECT term, event_time, b AS coef, sqrt(v) AS se FROM
+    (VALUES {", ".join(f"({i + 1}, '{_evt_name(k)}', {k})" for i, k in enumerate(EVENT_TERMS))}) e(i, term, event_time)
+  JOIN b USING (i) JOIN cov ON cov.i = e.i AND cov.j = e.i),
+tails AS (
+  SELECT term, 1 - 2 * any_value(abs(coef / se)) / 6000.0 * sum(CASE WHEN s IN (0, 2000) THEN 1 WHEN s % 2 = 1 THEN 4 ELSE 2 END
+    * exp(-0.5 * pow(coef / se * s / 2000.0, 2))) / sqrt(2 * pi()) AS p FROM terms, range(2001) r(s) GROUP BY term)
+"""
+EVENT_STUDY_SQL = f"""
+WITH RECURSIVE {EVENT_STUDY_BASE_SQL}
+SELECT 'mean_price' AS outcome, term, event_time, coef, se, coef - 1.959963984540054 * se AS ci_low, coef + 1.959963984540054 * se AS ci_high,
+       tails.p AS p_value, pretrend.p AS pretrend_pvalue FROM terms JOIN tails USING (term), pretrend
+"""
+
+
+def event_study_table(spark, d) -> DataFrame:
     from panelcraft.operators.regression import event_study
     with persisted(treated_covariate_panel(spark, d)) as p:
         table, _ = event_study(p, "mean_price", ["urgent_share"], ["n_nationkey"], "year",
@@ -777,12 +908,24 @@ def q_event_study(spark, d):
         return spark.createDataFrame(table.collect(), table.schema)  # small result, computed while cached
 
 
-@register("event_plot_data")
+@register("event_study", f"""
+SELECT outcome, term, event_time, round(coef, 3) AS coef, round(se, 3) AS se, round(ci_low, 3) AS ci_low, round(ci_high, 3) AS ci_high,
+       round(p_value, 6) AS p_value, round(pretrend_pvalue, 6) AS pretrend_pvalue FROM ({EVENT_STUDY_SQL})
+""")
+def q_event_study(spark, d):
+    t = event_study_table(spark, d)
+    return t.select("outcome", "term", "event_time", *[r(c, 3).alias(c) for c in ("coef", "se", "ci_low", "ci_high")],
+                    *[r(c, 6).alias(c) for c in ("p_value", "pretrend_pvalue")])
+
+
+@register("event_plot_data", f"""
+SELECT event_time, round(coef, 3) AS coef, round(coef - ci_low, 3) AS err_low, round(ci_high - coef, 3) AS err_high FROM ({EVENT_STUDY_SQL})
+""")
 def q_event_plot_data(spark, d):
     """Error-bar data of the event study (coef, lower and upper bar lengths)."""
-    t = q_event_study(spark, d)
-    return t.select("event_time", "coef", (F.col("coef") - F.col("ci_low")).alias("err_low"),
-                    (F.col("ci_high") - F.col("coef")).alias("err_high"))
+    from panelcraft.operators.report import event_plot_data
+    t = event_plot_data(event_study_table(spark, d))
+    return t.select("event_time", *[r(c, 3).alias(c) for c in ("coef", "err_low", "err_high")])
 
 
 # ---------------------------------------------------------------------------------------------
@@ -793,14 +936,14 @@ N_DRAWS = 100
 PLACEBO_SEED = 42
 
 
-def placebo_draws(spark, d, panel: DataFrame | None = None) -> DataFrame:
+def placebo_draws(spark, d, panel: DataFrame | None = None, covariates: tuple[str, ...] = ()) -> DataFrame:
     """``panel``: an already persisted treated panel to reuse (e.g. the event study's); else built here."""
     from panelcraft.operators.regression import hash_assignments, placebo_coefficients
 
     def draws(p):
         treated = p.where(F.col("treatment_year").isNotNull()).select("n_nationkey")
         a = hash_assignments(treated, "n_nationkey", p.select("year"), "year", N_DRAWS, PLACEBO_SEED)
-        return placebo_coefficients(p, "mean_price", [], "n_nationkey", "year", a)  # computed eagerly
+        return placebo_coefficients(p, "mean_price", list(covariates), "n_nationkey", "year", a)  # computed eagerly
 
     if panel is not None:
         c = draws(panel)
@@ -846,19 +989,35 @@ def q_placebo_hist(spark, d):
     return histogram(placebo_draws(spark, d), "coef", 20).select("bin", "n", r("lo", 4).alias("lo"), r("hi", 4).alias("hi"))
 
 
-@register("causal_summary")
+@register("causal_summary", f"""
+WITH RECURSIVE {EVENT_STUDY_BASE_SQL},
+tr AS (SELECT DISTINCT u FROM p WHERE treatment_year IS NOT NULL),
+yrs AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS pi FROM (SELECT DISTINCT t FROM p)),
+a AS (
+  SELECT CAST(draw AS BIGINT) AS draw, tr.u, yrs.t AS g FROM tr CROSS JOIN range({N_DRAWS}) r(draw) JOIN yrs
+  ON yrs.pi = (({PLACEBO_SEED} * 1000003 + (CAST(draw AS BIGINT) + 1) * 2654435761 + CAST(tr.u AS BIGINT) * 40503) % 2147483647) % (SELECT count(*) FROM yrs)),
+post AS (
+  SELECT r.draw, p.u, p.t, p.y, p.x, CASE WHEN a.g IS NOT NULL AND p.t >= a.g THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS d
+  FROM p CROSS JOIN range({N_DRAWS}) r(draw) LEFT JOIN a ON a.draw = r.draw AND a.u = p.u),
+within AS (
+  SELECT draw, {", ".join(f"{c} - avg({c}) OVER (PARTITION BY draw, u) - avg({c}) OVER (PARTITION BY draw, t) + avg({c}) OVER (PARTITION BY draw) AS {c}{c}" for c in "yxd")}
+  FROM post),
+coefs AS (
+  SELECT draw, (sum(dd * yy) - sum(dd * xx) * sum(xx * yy) / sum(xx * xx)) / (sum(dd * dd) - sum(dd * xx) * sum(dd * xx) / sum(xx * xx)) AS coef
+  FROM within GROUP BY draw)
+SELECT 'mean_price' AS outcome, CAST(any_value(n) AS DOUBLE) AS nobs, round(any_value(r2), 6) AS r2, round(any_value(pretrend.p), 6) AS pretrend_pvalue,
+  round(avg(coef), 2) AS placebo_mean, round(stddev_samp(coef), 2) AS placebo_std FROM coefs, size, pretrend
+""")
 def q_causal_summary(spark, d):
-    """G6 + A13: nobs, R^2, pre-trend p and placebo mean / sample sd of one outcome."""
+    """G6 + A13: nobs, R^2, pre-trend p and placebo mean / sample sd of one outcome, the covariate in both regressions."""
     from panelcraft.operators.regression import event_study
     # one persisted panel for both steps (a left join on unique (unit, year) cells adds the covariate only)
     with persisted(treated_covariate_panel(spark, d)) as p:
         _, s = event_study(p, "mean_price", ["urgent_share"], ["n_nationkey"], "year", "event_time", "treatment_year")
-        draws = placebo_draws(spark, d, panel=p)
-    pl = draws.agg(F.avg("coef").alias("placebo_mean"), F.stddev_samp("coef").alias("placebo_std")).first()
-    return spark.createDataFrame([("mean_price", s["nobs"], s["r2"], s["pretrend_pvalue"], pl["placebo_mean"],
-                                   pl["placebo_std"])],
-                                 "outcome string, nobs double, r2 double, pretrend_pvalue double, "
-                                 "placebo_mean double, placebo_std double")
+        draws = placebo_draws(spark, d, panel=p, covariates=("urgent_share",))
+    return draws.agg(F.avg("coef").alias("m"), F.stddev_samp("coef").alias("sd")).select(
+        F.lit("mean_price").alias("outcome"), F.lit(s["nobs"]).alias("nobs"), r(F.lit(s["r2"]), 6).alias("r2"),
+        r(F.lit(s["pretrend_pvalue"]), 6).alias("pretrend_pvalue"), r("m").alias("placebo_mean"), r("sd").alias("placebo_std"))
 
 
 # ---------------------------------------------------------------------------------------------
@@ -1222,11 +1381,10 @@ SELECT * FROM (SELECT 'largest_increase' AS grp, n_nationkey, round(delta, 6) AS
                ORDER BY delta DESC, n_nationkey LIMIT 5)
 """)
 def q_top_movers(spark, d):
+    from panelcraft.operators.report import top_and_bottom
     # both top-5 lists read the per-unit change table (#units rows): written once, not derived twice
     c = cut_lineage(change_table(spark, d).select("n_nationkey", "delta"))
-    low = c.orderBy(F.asc("delta"), "n_nationkey").limit(5).select(F.lit("largest_decrease").alias("grp"), "n_nationkey", "delta")
-    high = c.orderBy(F.desc("delta"), "n_nationkey").limit(5).select(F.lit("largest_increase").alias("grp"), "n_nationkey", "delta")
-    return low.unionByName(high).select("grp", "n_nationkey", r("delta", 6).alias("delta"))
+    return top_and_bottom(c, "delta", ["n_nationkey"], 5).select("grp", "n_nationkey", r("delta", 6).alias("delta"))
 
 
 # ---------------------------------------------------------------------------------------------
@@ -1243,13 +1401,10 @@ SELECT metric, value FROM (
   UNION ALL SELECT 'n_observed_urgent_big_avg', CAST(count(urgent_big_avg) AS BIGINT) FROM p)
 """)
 def q_coverage_stats(spark, d):
-    p = panel_grid(spark, d)
-    wide = p.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
-                 F.count_distinct("n_nationkey").cast("bigint").alias("n_units"),
-                 F.min("year").cast("bigint").alias("first_year"), F.max("year").cast("bigint").alias("last_year"),
-                 F.count("urgent_big_avg").cast("bigint").alias("n_observed_urgent_big_avg"))
-    names = ["n_rows", "n_units", "first_year", "last_year", "n_observed_urgent_big_avg"]
-    return wide.selectExpr(f"stack({len(names)}, " + ", ".join(f"'{n}', {n}" for n in names) + ") as (metric, value)")
+    from panelcraft.operators.report import coverage_long
+    return coverage_long(panel_grid(spark, d), ["n_nationkey"], "year", ["urgent_big_avg"]).select(
+        F.when(F.col("metric") == "first_period", "first_year").when(F.col("metric") == "last_period", "last_year")
+        .otherwise(F.col("metric")).alias("metric"), F.col("value").cast("bigint").alias("value"))
 
 
 @register("coverage_flags", """
@@ -1264,17 +1419,15 @@ f AS (SELECT CASE WHEN o.n IS NOT NULL THEN 'observed'
 SELECT coverage_flag, CAST(count(*) AS BIGINT) AS n FROM f GROUP BY 1
 """)
 def q_coverage_flags(spark, d):
+    from panelcraft.operators.panel import coverage_flags
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.year("o_orderdate").alias("year"))
     # the (unit, period) cells with orders: one pass over orders; the period bounds and the units with
     # any order derive from this table (#units x #periods), not from further scans
-    seen = cut_lineage(o.groupBy("c_custkey", "year").agg(F.lit(True).alias("obs")))
+    seen = cut_lineage(o.groupBy("c_custkey", "year").agg(F.count(F.lit(1)).alias("n_orders")))
     lo, hi = time_bounds_expr(seen, "year")
     grid = time_grid(table(spark, d, "customer").select("c_custkey"), "year", lo, hi)
-    known = seen.select("c_custkey").distinct().withColumn("known", F.lit(True))
-    f = grid.join(seen, on=["c_custkey", "year"], how="left").join(known, on="c_custkey", how="left")
-    flag = (F.when(F.col("obs"), "observed").when(F.col("known"), "missing_no_unit_data")
-            .otherwise("missing_no_code"))
-    return f.groupBy(flag.alias("coverage_flag")).agg(F.count(F.lit(1)).alias("n"))
+    f = coverage_flags(grid, ["c_custkey"], "year", seen, ["n_orders"], seen)
+    return f.groupBy("coverage_flag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("unit_series", f"""
@@ -1292,26 +1445,21 @@ SCENARIOS = [("raise", 1), ("hold", 0), ("cut", -1)]
 
 
 @register("scenario", f"""
-WITH p AS ({PRICES_SQL}),
-latest AS (SELECT n_nationkey, max(year) AS latest_year, arg_max(mean_price, year) AS latest FROM p GROUP BY 1),
-eff AS (SELECT sum(att * n_treated) / sum(n_treated) AS effect FROM ({ATT_SQL}) WHERE t >= g),
+WITH latest AS (SELECT n_nationkey, max(year) AS latest_year, arg_max(mean_price, year) AS latest FROM ({PRICES_SQL}) GROUP BY 1),
+eff AS (SELECT coalesce(avg(coef), 0.0::DOUBLE) AS effect FROM ({EVENT_STUDY_SQL}) WHERE event_time >= 0),
 s AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {v})" for n, v in SCENARIOS)}) v(scenario, direction))
 SELECT n_nationkey, scenario, latest_year, round(latest, 4) AS latest,
-       round(CASE WHEN effect IS NOT NULL THEN greatest(0.0::DOUBLE, latest + effect * sign(direction)) END, 4)
-         AS projected
+       round(greatest(0.0::DOUBLE, latest + effect * sign(direction)), 3) AS projected
 FROM latest, eff, s
 """)
 def q_scenario(spark, d):
+    """The mean coefficient after the event, by the sign of the change, on every unit's latest value."""
     from panelcraft.operators.dedupe import latest_per_unit
+    from panelcraft.operators.report import mean_post_effect, scenarios
     latest = latest_per_unit(nation_year_prices(spark, d), ["n_nationkey"], "year", ["mean_price"])
-    a = att_table(spark, d).where(F.col("t") >= F.col("g"))
-    effect = a.agg((F.sum(F.col("att") * F.col("n_treated")) / F.sum("n_treated")).alias("e")).first()["e"]
-    eff = F.lit(None).cast("double") if effect is None else F.lit(float(effect))
-    scen = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(v).alias("direction")) for n, v in SCENARIOS])
-    s = latest.withColumn("__s", F.explode(scen)).select("n_nationkey", "year", "mean_price", "__s.*")
-    proj = F.when(eff.isNotNull(), F.greatest(F.lit(0.0), F.col("mean_price") + eff * F.signum(F.col("direction"))))
+    s = scenarios(latest, "mean_price", mean_post_effect(event_study_table(spark, d)), SCENARIOS)
     return s.select("n_nationkey", "scenario", F.col("year").alias("latest_year"),
-                    r("mean_price", 4).alias("latest"), r(proj, 4).alias("projected"))
+                    r("mean_price", 4).alias("latest"), r("projected", 3).alias("projected"))
 
 
 # ---------------------------------------------------------------------------------------------

@@ -1,8 +1,11 @@
 """Point-in-interval lookup: first match by start, matched-but-NULL is kept, default only without match."""
 
 import datetime as dt
+import random
 
-from panelcraft.operators.intervals import impute_from_base, point_in_interval, ratio_to_base
+from pyspark.sql import functions as F
+
+from panelcraft.operators.intervals import day_block, day_scale, impute_from_base, point_in_interval, ratio_to_base
 
 
 def _d(y, m=1, d=1):
@@ -26,10 +29,30 @@ def test_point_in_interval_semantics(spark):
     assert res[("CA", 2021)] == (0.3, False)
     assert res[("CA", 2004)] == (0.20, True)
     assert res[("NV", 2004)] == (0.7, False)
-    no_bucket = {(r["unit"], r["year"]): (r["value"], r["matched"]) for r in
-                 point_in_interval(pts, iv, ["unit"], "p", "s", "e", "v", tiebreak=["k"], default="dflt",
-                                   bucket=None).collect()}
-    assert no_bucket == res
+
+
+def test_intervals_of_all_lengths_and_a_hot_unit(spark):
+    rng = random.Random(4)
+    day = lambda n: dt.date(1990, 1, 1) + dt.timedelta(days=n)
+    ivs = []
+    for k in range(1500):
+        start = rng.randint(-4000, 6000)
+        length = rng.choice([0, 0, 1, 2, 3, 7, 8, 31, 365, 1024, 5000])
+        ivs.append(("hot" if rng.random() < 0.9 else rng.choice("abc"), day(start), day(start + length), k if k % 7 else None, k))
+    ivs += [("a", day(5), day(4), 1, 9001), ("a", None, day(4), 1, 9002), ("a", day(4), None, 1, 9003)]
+    pts = [(u, i, day(n)) for u in ("hot", "a", "b", "z") for i, n in enumerate(range(-4100, 12000, 37))]
+    got = {(r["unit"], r["i"]): (r["value"], r["matched"]) for r in point_in_interval(
+        spark.createDataFrame(pts, "unit string, i int, p date"), spark.createDataFrame(ivs, "unit string, s date, e date, v int, k int"),
+        ["unit"], "p", "s", "e", "v", tiebreak=["k"]).collect()}
+    for u, i, p in pts:
+        hits = sorted((s, k, v) for unit, s, e, v, k in ivs if unit == u and s and e and s <= p <= e)
+        assert got[u, i] == ((hits[0][2], True) if hits else (None, False))
+    # the hot unit's rows lie in many (scale, block) groups, and none costs more than two rows
+    iv = spark.createDataFrame(ivs, "unit string, s date, e date, v int, k int").where("s <= e")
+    level = day_scale(F.col("s"), F.col("e"))
+    blocks = iv.withColumn("n", day_block(F.col("e"), level) - day_block(F.col("s"), level) + 1).withColumn("l", level)
+    assert blocks.agg(F.max("n")).first()[0] <= 2
+    assert blocks.where("unit = 'hot'").select("l", day_block(F.col("s"), level)).distinct().count() > 300
 
 
 def test_base_period_imputation(spark):
