@@ -10,9 +10,9 @@ Only p x p matrices reach the driver.  The data passes are:
 3. for clustered standard errors: per-cluster score sums ``X_g'u_g`` (``groupBy(cluster)``), then
    the Gram of the score table.
 
-Unit effects are absorbed exactly by the within transformation (Frisch-Waugh-Lovell), so the design
-never holds unit dummies; period effects are dummy columns (periods are few).  Columns are
-equilibrated by their Gram diagonal before solving, and a rank check drops collinear columns.
+Unit and period effects are absorbed by the within transformation (Frisch-Waugh-Lovell; alternating demeaning
+where the panel is not balanced), so the design holds no dummies.  Columns are equilibrated by their Gram
+diagonal before solving, and a rank check drops collinear columns.
 """
 
 from __future__ import annotations
@@ -25,79 +25,52 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcraft.functions.partial import partial_sums
 from panelcraft.functions.stats import Z_975, f_sf, normal_two_sided_p
+from panelcraft.session import cut_lineage
 
 # ------------------------------------------------------------------------------------------------
 # Gram aggregation
 # ------------------------------------------------------------------------------------------------
 
 
-# Up to this many distinct products (p <= 9) the Gram is a single JVM aggregate (no Python worker);
-# wider designs use partial Grams per Arrow batch (BLAS) summed by position -- measured faster for
-# ~170 products (a wide generated aggregate costs more to compile than it saves).
-SQL_GRAM_MAX_TERMS = 45
+def _flat(batch, cols: Sequence[str]) -> np.ndarray:
+    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in cols])
+
+
+def _from_triangle(flat: np.ndarray, p: int) -> np.ndarray:
+    g = np.zeros((p, p))
+    g[np.triu_indices(p)] = flat
+    return g + np.triu(g, 1).T
 
 
 def gram(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    """Sum over rows of x x' for the listed numeric columns (rows with a NULL must be removed first).
+    """Sum over rows of x x' for the listed numeric columns; rows with a NULL or NaN in any of them do not count.
 
-    One pass with map-side combine either way; only the p x p result reaches the driver.
-    """
+    One pass, a partial Gram per task; only p (p + 1) / 2 numbers leave a task."""
     cols = list(cols)
-    p = len(cols)
-    iu = np.triu_indices(p)
-    if len(iu[0]) <= SQL_GRAM_MAX_TERMS:
-        x = [F.col(c).cast("double") for c in cols]
-        row = df.agg(*[F.sum(x[i] * x[j]) for i, j in zip(*iu)]).first()
-        g = np.zeros((p, p))
-        g[iu] = [0.0 if v is None else float(v) for v in row]
-        return g + np.triu(g, 1).T
-
-    def partial(it):
-        acc = np.zeros((p, p))
-        seen = False
-        for pdf in it:
-            if len(pdf):
-                x = pdf[cols].to_numpy(dtype=np.float64)
-                acc += x.T @ x
-                seen = True
-        if seen:
-            yield pd.DataFrame({"g": [acc[iu].tolist()]})
-
-    parts = df.select(*[F.col(c).cast("double") for c in cols]).mapInPandas(partial, "g array<double>")
-    summed = (parts.select(F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
-              .collect())
-    flat = np.zeros(len(iu[0]))
-    for row in summed:
-        flat[row["i"]] = row["v"]
-    g = np.zeros((p, p))
-    g[iu] = flat
-    return g + np.triu(g, 1).T
+    iu = np.triu_indices(len(cols))
+
+    def add(batch):
+        x = _flat(batch, cols)
+        return (x.T @ x)[iu]
+
+    values = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    whole = values.dropna().where(" AND ".join(f"NOT isnan(c{i})" for i in range(len(cols)))) if cols else values
+    cols = whole.columns
+    return _from_triangle(partial_sums(whole, len(iu[0]), add), len(cols))
 
 
 def array_gram(df: DataFrame, vec: str, dims: int) -> np.ndarray:
-    """Gram of an ``array<float|double>`` column (e.g. embeddings), same two-phase aggregation."""
+    """Gram of an ``array<float|double>`` column (e.g. embeddings); rows without an array do not count."""
     iu = np.triu_indices(dims)
 
-    def partial(it):
-        acc = np.zeros((dims, dims))
-        seen = False
-        for pdf in it:
-            if len(pdf):
-                x = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
-                acc += x.T @ x
-                seen = True
-        if seen:
-            yield pd.DataFrame({"g": [acc[iu].tolist()]})
-
-    parts = df.select(vec).mapInPandas(partial, "g array<double>")
-    summed = parts.select(F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
-    flat = np.zeros(len(iu[0]))
-    for row in summed:
-        flat[row["i"]] = row["v"]
-    g = np.zeros((dims, dims))
-    g[iu] = flat
-    return g + np.triu(g, 1).T
+    def add(batch):
+        x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+        return (x.T @ x)[iu]
+
+    arrays = df.where(F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>").alias("v"))
+    return _from_triangle(partial_sums(arrays, len(iu[0]), add), dims)
 
 
 # ------------------------------------------------------------------------------------------------
@@ -114,6 +87,46 @@ def demean_by_unit(df: DataFrame, unit: Sequence[str], cols: Sequence[str], suff
         *[f"__m_{c}" for c in cols])
 
 
+def demean_two_way(df: DataFrame, unit: Sequence[str], time: str, cols: Sequence[str], tol: float = 1e-11,
+                   max_sweeps: int = 1000) -> DataFrame:
+    """Residuals of ``cols`` on unit and period effects by alternating demeaning: unit means and period means are taken
+    off in turn until a sweep would move no value by more than ``tol`` times its column's range.
+
+    A balanced panel is done after one sweep, a second one sees it.  A sweep is two aggregations with map-side combine,
+    joined back, and is written to the shared checkpoint folder; neither the number of periods nor their list enters the
+    plan or the driver.  Rows must be free of NULLs in ``cols``."""
+    unit, cols = list(unit), list(cols)
+    rest = [c for c in df.columns if c not in cols]
+    spread = df.agg(*[(F.max(c) - F.min(c)).alias(c) for c in cols]).first()
+    for _ in range(max_sweeps):
+        df = demean_by_unit(demean_by_unit(df, unit, cols), [time], cols)
+        df = cut_lineage(df.select(*rest, *cols))
+        # the period means are 0 now; the unit means are what the next sweep would take off
+        means = df.groupBy(*unit).agg(*[F.avg(c).alias(c) for c in cols])
+        left = means.agg(*[F.max(F.abs(c)).alias(c) for c in cols]).first()
+        if all((left[c] or 0.0) <= tol * (spread[c] or 0.0) for c in cols):
+            return df
+    raise RuntimeError(f"alternating demeaning did not settle in {max_sweeps} sweeps")
+
+
+def connected_parts(df: DataFrame, unit: Sequence[str], time: str) -> int:
+    """Connected parts of the graph of units and periods: so many of the unit and period dummies depend on the others.
+    One where any unit is observed in every period; else the smallest period of a unit's periods is spread until it stays."""
+    unit = list(unit)
+    cells = df.select(*unit, time).distinct()
+    most = cells.groupBy(*unit).count().agg(F.max("count")).first()[0]
+    if most is None or most == cells.select(time).distinct().count():
+        return 0 if most is None else 1
+    cells = cut_lineage(cells)
+    label = cut_lineage(cells.select(time).distinct().withColumn("__l", F.col(time)))
+    while True:
+        per_unit = cells.join(label, time).groupBy(*unit).agg(F.min("__l").alias("__u"))
+        spread = cut_lineage(cells.join(per_unit, unit).groupBy(time).agg(F.min("__u").alias("__n")).join(label, time))
+        if spread.where("__n < __l").isEmpty():
+            return label.select("__l").distinct().count()
+        label = spread.select(time, F.col("__n").alias("__l"))
+
+
 def period_dummies(df: DataFrame, time: str, periods: Sequence[int], prefix: str = "__t_") -> tuple[DataFrame, list[str]]:
     """Dummy columns for every period except the first (the baseline)."""
     names = [f"{prefix}{p}" for p in periods[1:]]
@@ -166,51 +179,45 @@ def fit_twfe(df: DataFrame, y: str, x: Sequence[str], unit: Sequence[str], time:
              cluster: Sequence[str] | None = None, absorb_time: bool = True) -> FitResult:
     """OLS of ``y`` on ``x`` + unit effects (+ period effects) with cluster-robust covariance.
 
-    ``V = G/(G-1) (n-1)/(n-k) B^-1 M B^-1`` with ``k`` = rank of the full dummy design (absorbed units
-    count).  Rows with a missing ``y`` or regressor are dropped first (P13).  ``cluster`` defaults to the
-    unit; clusters must nest units (scores of the within model then equal those of the dummy model).
+    ``V = G/(G-1) (n-1)/(n-k) B^-1 M B^-1`` with ``k`` = rank of the full dummy design (absorbed units and
+    periods count).  Rows with a missing ``y`` or regressor are dropped first (P13).  ``cluster`` defaults to the
+    unit.  Both kinds of effects are taken off y and x (Frisch-Waugh-Lovell), so the design holds no dummies, however
+    many units and periods there are; coefficients and scores equal those of the dummy design.
     """
     unit, x = list(unit), list(x)
     cluster = list(cluster or unit)
     keep = list(dict.fromkeys(unit + cluster + ([time] if time else [])))
-    d = (df.select(*keep, y, *x).dropna(subset=[y, *x])
-         .withColumn(y, F.col(y).cast("double")).withColumn("__yraw", F.col(y)))
-    d = d.persist()  # the estimation sample is read by the period scan and the demeaning pass
-    terms = list(x)
+    values = {c: f"__c{i}" for i, c in enumerate([*x, y])}
+    d = df.select(*keep, *[F.col(c).cast("double").alias(v) for c, v in values.items()]).dropna(subset=list(values.values()))
+    d = cut_lineage(d)  # the estimation sample: read by the sweeps and the totals
+    stats = d.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*[F.col(u) for u in unit]).alias("g_units"),
+                  F.count_distinct(*[F.col(c) for c in cluster]).alias("g"),
+                  (F.var_pop(values[y]) * F.count(F.lit(1))).alias("sst")).first()
+    cols = [values[c] for c in x]
     if absorb_time and time:
-        periods = [r[0] for r in d.select(time).distinct().orderBy(time).collect()]
-        d2, tcols = period_dummies(d, time, periods)
-        cols = terms + tcols
+        dm = demean_two_way(d, unit, time, list(values.values()))
+        n_periods = d.select(time).distinct().count()
+        absorbed = int(stats["g_units"]) + n_periods - connected_parts(d, unit, time)
     else:
-        d2, cols = d, terms
-    dm = demean_by_unit(d2, unit, [*cols, y], suffix="").persist()
-    try:
-        stats = dm.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*[F.col(u) for u in unit]).alias("g_units"),
-                       F.count_distinct(*[F.col(c) for c in cluster]).alias("g"),
-                       F.sum("__yraw").alias("sy"), F.sum(F.col("__yraw") * F.col("__yraw")).alias("syy")).first()
-        totals = stats
-        g_all = gram(dm, [*cols, y])
-        p = len(cols)
-        xtx, xty, yty = g_all[:p, :p], g_all[:p, p], g_all[p, p]
-        b, inv, rank = _solve(xtx, xty)
-        ssr = float(yty - 2 * b @ xty + b @ xtx @ b)
-        n = int(stats["n"])
-        sst = float(totals["syy"] - totals["sy"] ** 2 / n)
-        k = rank + int(stats["g_units"])
-        # cluster scores
-        u = F.col(y) - sum((F.lit(float(bi)) * F.col(c) for bi, c in zip(b, cols)), F.lit(0.0))
-        scores = dm.withColumn("__u", u).groupBy(*cluster).agg(
-            *[F.sum(F.col(c) * F.col("__u")).alias(f"__s{i}") for i, c in enumerate(cols)])
-        meat = gram(scores, [f"__s{i}" for i in range(p)])
-    finally:
-        dm.unpersist()
-        d.unpersist()
+        dm, absorbed = cut_lineage(demean_by_unit(d, unit, list(values.values()))), int(stats["g_units"])
+    p = len(cols)
+    g_all = gram(dm, [*cols, values[y]])
+    xtx, xty, yty = g_all[:p, :p], g_all[:p, p], g_all[p, p]
+    # a column that the effects explain is zero but for rounding: it must not look like a regressor
+    raw = gram(d, cols)
+    xtx = np.where(np.outer(*[np.diag(xtx) <= 1e-20 * np.diag(raw)] * 2), 0.0, xtx)
+    b, inv, rank = _solve(xtx, xty)
+    ssr = float(yty - 2 * b @ xty + b @ xtx @ b)
+    n, k = int(stats["n"]), rank + absorbed
+    u = F.col(values[y]) - sum((F.lit(float(bi)) * F.col(c) for bi, c in zip(b, cols)), F.lit(0.0))
+    scores = dm.withColumn("__u", u).groupBy(*cluster).agg(
+        *[F.sum(F.col(c) * F.col("__u")).alias(f"__s{i}") for i, c in enumerate(cols)])
+    meat = gram(scores, [f"__s{i}" for i in range(p)])
     g = int(stats["g"])
     scale = (g / (g - 1.0)) * ((n - 1.0) / (n - k)) if g > 1 and n > k else float("nan")
     cov = scale * inv @ meat @ inv
-    sel = list(range(len(terms)))
-    return FitResult(terms, b[sel], cov[np.ix_(sel, sel)], n, int(stats["g_units"]), g, rank, k,
-                     1.0 - ssr / sst if sst > 0 else float("nan"), ssr)
+    sst = float(stats["sst"] or 0.0)
+    return FitResult(x, b, cov, n, int(stats["g_units"]), g, rank, k, 1.0 - ssr / sst if sst > 0 else float("nan"), ssr)
 
 
 def coefficient_table(spark: SparkSession, fit: FitResult, outcome: str, decode=None) -> DataFrame:

@@ -5,8 +5,8 @@ import pandas as pd
 import pytest
 
 from panelcraft.functions.stats import f_sf
-from panelcraft.operators.regression import (event_study, fit_twfe, hash_assignments, numpy_rng_assignments,
-                                             placebo_coefficients, svd_project)
+from panelcraft.operators.regression import (connected_parts, demean_by_unit, event_study, fit_twfe, gram, hash_assignments,
+                                             numpy_rng_assignments, placebo_coefficients, svd_project)
 
 
 def _panel(seed=0, units=12, years=range(2000, 2012), drop=0.1):
@@ -63,6 +63,52 @@ def test_twfe_matches_dummy_ols_unbalanced(spark):
     assert fit.nobs == len(pdf)
 
 
+def test_twfe_with_ten_thousand_periods(spark):
+    rng = np.random.default_rng(9)
+    periods, units = 10_000, 3
+    u, t = np.divmod(np.arange(units * periods), periods)
+    keep = rng.random(len(u)) < 0.8
+    u, t = u[keep], t[keep]
+    x = rng.normal(size=(len(u), 2)) + u[:, None] + np.sin(t)[:, None]
+    y = x @ np.array([0.7, -1.2]) + u + np.cos(t) + rng.normal(size=len(u))
+    df = spark.createDataFrame(pd.DataFrame({"u": u, "t": t, "a": x[:, 0], "b": x[:, 1], "y": y}))
+    fit = fit_twfe(df, "y", ["a", "b"], ["u"], "t")
+
+    def within_period(v):
+        return v - (np.bincount(t, v, periods) / np.maximum(np.bincount(t, minlength=periods), 1))[t]
+
+    Z = np.column_stack([within_period(v) for v in (x[:, 0], x[:, 1], *(1.0 * (u == k) for k in (1, 2)))])
+    want = np.linalg.lstsq(Z, within_period(y), rcond=None)[0]
+    assert np.allclose(fit.coef, want[:2], atol=1e-8)
+    assert fit.k == 2 + units + len(np.unique(t)) - 1 and fit.nobs == len(u)
+    # neither dummies nor the list of periods are in the plan of a sweep
+    plan = demean_by_unit(df, ["t"], ["y"])._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 5_000
+
+
+def test_twfe_of_parts_that_share_no_period_and_of_explained_columns(spark):
+    pdf = _panel(seed=11, units=6, years=range(2000, 2010), drop=0.2)
+    pdf["year"] += (pdf.unit % 2) * 100  # two parts that share no year
+    pdf["const_in_unit"] = pdf.unit * 1.5
+    df = spark.createDataFrame(pdf[["unit", "year", "x1", "const_in_unit", "y"]])
+    assert connected_parts(df, ["unit"], "year") == 2
+    fit = fit_twfe(df, "y", ["x1", "const_in_unit"], ["unit"], "year")
+    b, V, r2 = _ols_dummies(pdf, "y", ["x1"])
+    assert abs(fit.coef[0] - b[0]) < 1e-8 and abs(fit.cov[0, 0] - V[0, 0]) < 1e-10 and abs(fit.r2 - r2) < 1e-9
+    assert fit.coef[1] == 0 and fit.k == 1 + 6 + pdf.year.nunique() - 2
+
+
+def test_gram_leaves_out_rows_with_a_missing_value(spark):
+    rng = np.random.default_rng(2)
+    for p in (2, 12):  # the same rule for narrow and wide designs
+        X = rng.normal(size=(40, p))
+        rows = [[None if (i, j) in {(3, 0), (7, 1)} else float("nan") if (i, j) == (9, 0) else float(X[i, j]) for j in range(p)] for i in range(40)]
+        names = [f"x.{j}" if j == 0 else f"x{j}" for j in range(p)]
+        df = spark.createDataFrame(rows, ", ".join(f"`{n}` double" for n in names)).toDF(*[f"x{j}" for j in range(p)])
+        keep = np.delete(np.arange(40), [3, 7, 9])
+        assert np.allclose(gram(df, df.columns), X[keep].T @ X[keep])
+
+
 def test_event_study_pretrend_f(spark):
     pdf = _panel(seed=3, units=15)
     df = spark.createDataFrame(pdf.rename(columns={"g": "treatment_time"}).assign(
