@@ -16,8 +16,8 @@ are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
+import heapq
 import re
 import struct
 from collections.abc import Iterator
@@ -27,13 +27,18 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from panelcraft.llm import words as W
+
 LEAF_CHARS = 2048   # a span of text that is split in one go
-LEAF_BYTES = 32     # a span of a piece that is merged in one go
+SHORT_BYTES = 32    # pieces up to this are merged many at once
+LEAF_BYTES = 256    # a span of a piece that is merged in one go
+SCAN_BYTES = 64     # a window whose best pair is looked for by a scan
 LEAF_IDS = 8192     # ids that are decoded in one go
 LOOKAHEAD = 3       # characters after a piece that can have had a say in its end
 GROUP_ROWS = 1024     # texts whose ids are held at once
 SPAN_CHARS = 1 << 21  # characters of a text whose pieces are held at once
-MEMO_SIZE = 250_000   # pieces whose ids are kept, in each of two generations
+MEMO_BYTES = 12 << 20  # of the pieces whose ids are kept, in each of two generations
+ENTRY_BYTES = 200      # that a piece and its ids take beside their own bytes
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Unicode White_Space, as the tokenizer's pattern language has it.
 WHITE = "\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -148,9 +153,11 @@ class Vocabulary:
         return out
 
     def merge(self, data: bytes) -> list[int]:
-        """Lowest rank first, leftmost of equals: for short spans."""
+        """Lowest rank first, leftmost of equals; a heap of the pairs and linked neighbours keep long windows n log n."""
         get = self.ranks.get
-        parts = [data[i:i + 1] for i in range(len(data))]
+        parts: list = [data[i:i + 1] for i in range(len(data))]
+        if len(parts) > SCAN_BYTES:
+            return self._merge_long(parts)
         pair = [get(a + b, _NONE) for a, b in zip(parts, parts[1:])]
         while pair:
             best = min(pair)
@@ -165,11 +172,39 @@ class Vocabulary:
                 pair[i] = get(parts[i] + parts[i + 1], _NONE)
         return [self.ranks[p] for p in parts]
 
+    def _merge_long(self, parts: list) -> list[int]:
+        get, n = self.ranks.get, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pair = [get(a + b, _NONE) for a, b in zip(parts, parts[1:])] + [_NONE]
+        heap = [r * n + i for i, r in enumerate(pair) if r != _NONE]  # lowest rank, then leftmost
+        heapq.heapify(heap)
+        while heap:
+            best, i = divmod(heapq.heappop(heap), n)
+            if pair[i] != best:  # has changed since
+                continue
+            j = after[i]
+            parts[i] += parts[j]
+            parts[j], pair[j] = None, _NONE
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                rank = pair[i] = get(parts[i] + parts[k], _NONE)
+                if rank != _NONE:
+                    heapq.heappush(heap, rank * n + i)
+            else:
+                pair[i] = _NONE
+            if (h := before[i]) >= 0:
+                rank = pair[h] = get(parts[h] + parts[i], _NONE)
+                if rank != _NONE:
+                    heapq.heappush(heap, rank * n + h)
+        return [self.ranks[p] for p in parts if p is not None]
+
     def encode(self, data: bytes) -> list[int]:
-        """Halves, joined at the seam."""
+        """Halves, joined at the seam.  The first is as long as a power of two, like many tokens of repeated characters:
+        their seams settle at once."""
         if len(data) <= LEAF_BYTES:
             return self.merge(data)
-        mid = len(data) // 2
+        mid = 1 << ((len(data) - 1).bit_length() - 1)
         return self.join(self.encode(data[:mid]), self.encode(data[mid:]))
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -198,11 +233,14 @@ class Tokenizer:
         self.splitter = Splitter(pattern)
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def _learn(self, new: set[str]) -> None:
         ranks = self.vocabulary.ranks
-        if len(self.memo) + len(new) > MEMO_SIZE:
-            self.older, self.memo = self.memo, {}
+        size = sum(map(len, new)) * 2 + ENTRY_BYTES * len(new)
+        if self.held + size > MEMO_BYTES:
+            self.older, self.memo, self.held = self.memo, {}, 0
+        self.held += size
         short = []
         for piece in new:
             if (packed := self.older.get(piece)) is not None:
@@ -211,7 +249,7 @@ class Tokenizer:
             data = piece.encode()
             if data in ranks:  # a whole piece that is a token is that token
                 self.memo[piece] = struct.pack("<I", ranks[data])
-            elif len(data) <= LEAF_BYTES:
+            elif len(data) <= SHORT_BYTES:
                 short.append((piece, data))
             else:
                 ids = self.vocabulary.encode(data)
@@ -271,10 +309,9 @@ class Tokenizer:
         return self.vocabulary.decode(np.frombuffer(packed, dtype="<u4").tolist())
 
 
-@functools.cache
 def tokenizer(path: str, pattern: str) -> Tokenizer:
-    """One per Python worker: its memos serve all tasks of the worker."""
-    return Tokenizer(path, pattern)
+    """One per Python worker: its memos serve all tasks of this operator in the worker."""
+    return W.keep(("bpe", path, pattern), lambda: Tokenizer(path, pattern))
 
 
 def with_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -15,7 +15,6 @@ as with an unchanged tokenizer, and are ordinary text without; further columns a
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import zlib
@@ -28,6 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelcraft.llm import words as W
+
 FILE_SCHEMA = "part int, doc_id long, before long, n_tokens long, ids array<int>"
 WRITE_OPTIONS = {
     "compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": str(32 << 20),
@@ -35,7 +36,8 @@ WRITE_OPTIONS = {
     "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false",
     "parquet.enable.dictionary#before": "false",
 }
-MEMO_SIZE = 250_000   # words whose ids are kept, in each of two generations
+MEMO_BYTES = 24 << 20  # of the words whose ids are kept, in each of two generations
+ENTRY_BYTES = 200      # that a word and its ids take beside their own bytes
 GROUP_ROWS = 512
 WORD_END = "</w>"     # fixed value: the mark of the vocabulary's word ends
 #: Letters whose lower case is one letter, and marks after them (no apostrophe, which may start a piece).
@@ -57,6 +59,7 @@ class WordTokenizer:
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
@@ -84,8 +87,10 @@ class WordTokenizer:
         unique = coded.dictionary.to_pylist()
         found = list(map(self.memo.get, unique))
         gaps = [i for i, packed in enumerate(found) if packed is None]
-        if len(self.memo) + len(gaps) > MEMO_SIZE:
-            self.older, self.memo = self.memo, {}
+        size = sum(len(unique[i]) for i in gaps) * 2 + ENTRY_BYTES * len(gaps)
+        if self.held + size > MEMO_BYTES:
+            self.older, self.memo, self.held = self.memo, {}, 0
+        self.held += size
         for how, plain in ((self._joined, True), (self._single, False)):
             own = [i for i in gaps if (STEM(unique[i]) is not None) == plain]
             new = [i for i in own if unique[i] not in self.older]
@@ -115,9 +120,8 @@ class WordTokenizer:
         return out
 
 
-@functools.cache
 def word_tokenizer(path: str, special_ids: bool) -> WordTokenizer:
-    return WordTokenizer(path, special_ids)
+    return W.keep(("words", path, special_ids), lambda: WordTokenizer(path, special_ids))
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, special_ids: bool = False) -> None:
@@ -138,7 +142,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                 before += int(ends[-1])
 
     (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-     .repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+     .repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
      .mapInArrow(run, FILE_SCHEMA).write.mode("overwrite").options(**WRITE_OPTIONS).parquet(path))
 
 

@@ -1,30 +1,56 @@
 """Words, word hashes and shingles of whole Arrow text columns, as numpy arrays.
 
 A word is a run of bytes other than ASCII white space (``[^\\x20\\x09-\\x0D]+``); A-Z are lower-cased before
-hashing when asked for.  Texts are handled in chunks of a few MB, so a task's memory depends on the chunk
-and on its largest single text, not on the size of a batch.
+hashing when asked for.  Texts are handled in chunks of about 1 MB, so a task's memory depends on the chunk
+and on its largest single text, not on the size of a batch.  Spark uses Python workers again for later stages: an
+operator that keeps memos hands them to ``keep``, and the next operator of another kind drops them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+HASH_BYTES = 1 << 18  # bytes that one running sum covers; the tables of powers are as long
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_KEPT: dict[tuple, object] = {}
+
+
+def keep(key: tuple, make: Callable[[], object]) -> object:
+    """``make()`` once per worker, until an operator of another kind drops it."""
+    if key not in _KEPT:
+        drop_kept(key[0])
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def drop_kept(but: str = "") -> None:
+    """Forget what other operators keep in this worker and give the memory back to the system."""
+    gone = [k for k in _KEPT if k[0] != but]
+    for k in gone:
+        del _KEPT[k]
+    if gone:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library: it gives memory back by itself
+            pass
 
 
 def text_chunks(batch: pa.RecordBatch, column: str, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple]:
     """(rows, bytes, offsets) of slices of ``batch`` whose texts hold at most ``max_bytes`` (or one row).
     A null text counts as empty."""
+    drop_kept()
     texts = pc.fill_null(batch.column(column), "").cast(pa.large_string())
     if not len(texts):
         return
@@ -56,11 +82,12 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, rows
 
 
-def _powers(n: int, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get(int(base), ((),))[0]) < n:
+def _powers(base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``base`` and of its inverse, for the positions of one running sum."""
+    if int(base) not in _POWERS:
         made = []
         for step in (base, np.uint64(pow(int(base), -1, 1 << 64))):
-            steps = np.full(max(n, CHUNK_BYTES + 1), step, dtype=np.uint64)
+            steps = np.full(HASH_BYTES + 1, step, dtype=np.uint64)
             steps[0] = 1
             made.append(np.multiply.accumulate(steps))
         _POWERS[int(base)] = (made[0], made[1])
@@ -78,11 +105,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = BASE) -> np.ndarray:
-    """64-bit hash of each byte span, from one running polynomial sum over the chunk."""
-    up, down = _powers(len(data) + 1, base)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=total[1:])
-    value = (total[ends] - total[starts]) * down[starts]
+    """64-bit hash of each byte span (in order of their starts), from running polynomial sums over blocks of the chunk;
+    a span that reaches into further blocks goes on from block to block."""
+    up, down = _powers(base)
+    value = np.zeros(len(starts), dtype=np.uint64)
+    going = np.zeros(0, dtype=np.int64)
+    for lo in range(0, len(data), HASH_BYTES):
+        block = data[lo:lo + HASH_BYTES]
+        hi = lo + len(block)
+        a, b = np.searchsorted(starts, [lo, hi])
+        if a == b and not len(going):
+            continue
+        total = np.zeros(len(block) + 1, dtype=np.uint64)
+        np.cumsum((block.astype(np.uint64) + np.uint64(1)) * up[:len(block)], out=total[1:])
+        for i in going.tolist():
+            more = int(total[min(int(ends[i]), hi) - lo]) * pow(int(base), lo - int(starts[i]), 1 << 64)
+            value[i] = np.uint64((int(value[i]) + more) % (1 << 64))
+        own, until = starts[a:b] - lo, np.minimum(ends[a:b], hi) - lo
+        value[a:b] = (total[until] - total[own]) * down[own]
+        going = np.concatenate([going[ends[going] > hi], a + np.flatnonzero(ends[a:b] > hi)])
     return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 

@@ -5,11 +5,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from panelcraft.llm import bpe, token_files
+from panelcraft.llm import bpe, token_files, words
 from panelcraft.llm.store import Scratch
 
 PATH = P.path("byte_bpe_50k.tiktoken")
@@ -100,3 +101,39 @@ def test_query_equals_the_unchanged_library(spark, tmp_path):
         x = np.array(library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids + [2], dtype="<u4")
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(x), zlib.crc32(x.tobytes()))
         start += len(x)
+
+
+@pytest.mark.parametrize("text", ["=" * 5001, "a" * 9000, "abc" * 3001, "的一是不了" * 1700, "hello" * 1801 + "!" * 4000 + "x"])
+def test_long_runs_without_a_space_equal_the_library(text, library):
+    own = bpe.tokenizer(PATH, P.PATTERN)
+    packed = own.encode(text)
+    assert ids(packed) == library.encode_ordinary(text) and own.decode(packed).decode() == text
+
+
+def test_memos_are_bounded_and_change_nothing(monkeypatch, library):
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 4000)
+    own = bpe.Tokenizer(PATH, P.PATTERN)
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(60)) for _ in range(40)]
+    for text in texts:
+        assert ids(own.encode(text)) == library.encode_ordinary(text)
+        assert len(own.memo) < 100
+
+
+def test_one_operators_memos_go_when_another_begins():
+    kept = bpe.tokenizer(PATH, P.PATTERN)
+    assert bpe.tokenizer(PATH, P.PATTERN) is kept
+    list(words.text_chunks(pa.RecordBatch.from_arrays([pa.array(["x"])], names=["text"]), "text"))
+    assert bpe.tokenizer(PATH, P.PATTERN) is not kept
+
+
+def test_span_hashes_go_on_from_block_to_block(monkeypatch):
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 256, 5000).astype(np.uint8)
+    cuts = np.sort(rng.choice(5001, 60, replace=False))
+    starts, ends = cuts[:-1], cuts[1:]
+    whole = words.span_hashes(data, starts, ends)
+    for block in (7, 64, 999):
+        monkeypatch.setattr(words, "HASH_BYTES", block)
+        monkeypatch.setattr(words, "_POWERS", {})
+        assert np.array_equal(words.span_hashes(data, starts, ends), whole)
