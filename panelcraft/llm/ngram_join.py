@@ -18,7 +18,8 @@ Sets with equal tokens are one class from the start.  Tokens travel packed, in a
 number of buckets follows the number of tokens.
 
 Defined results: a text without words (or null) has an empty set, links with nothing and is its own component;
-rows with equal doc_id and text get the same result; a null doc_id links with nothing and has a null
+rows with equal doc_id and text get the same result; rows with equal doc_id and different texts are documents of
+their own, each in the component of its own text; a null doc_id links with nothing and has a null
 component; further columns are ignored; an empty table gives no rows.
 """
 
@@ -44,7 +45,7 @@ TOKENS_A_BUCKET = 400_000
 MIN_BUCKETS = 256
 REF = np.uint64((1 << 40) - 1)     # classes are told apart by 40 bits in the first filter: a filter only
 MAX_BROADCAST_IDS = 2_000_000
-MEMBERS = "doc_id long, n long, d1 long, d2 long"
+MEMBERS = "doc_id long, h long, n long, d1 long, d2 long"
 
 
 def need(n: np.ndarray) -> np.ndarray:
@@ -94,7 +95,7 @@ def _by_bucket(tokens: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, n
 
 # ---------------------------------------------------------------------------------------------- filter 1
 
-ASKS = "bucket long, kind int, tokens binary, refs binary, counts binary, doc_id long, n long, d1 long, d2 long"
+ASKS = "bucket long, kind int, tokens binary, refs binary, counts binary, doc_id long, h long, n long, d1 long, d2 long"
 
 
 def _ask_first(bits: int):
@@ -122,7 +123,7 @@ def _ask_first(bits: int):
                 out = {name.split()[0]: [] for name in ASKS.split(", ")}
 
                 def row(bucket, kind, a=b"", b=b"", c=b""):
-                    for key, value in zip(out, (bucket, kind, a, b, c, None, None, None, None)):
+                    for key, value in zip(out, (bucket, kind, a, b, c, None, None, None, None, None)):
                         out[key].append(value)
 
                 order, own, edges = _by_bucket(sent, bits)
@@ -135,15 +136,15 @@ def _ask_first(bits: int):
                         >> np.uint64(64 - bits)).astype(np.int64)
                 if len(live):
                     row(int(deal[0]), 1, b"", _bytes(live, 5).tobytes(), times.astype("<u4").tobytes())
-                ids = part.column("doc_id").to_pylist()
+                ids, texts = part.column("doc_id").to_pylist(), part.column("h").to_pylist()
                 for i in range(len(n)):
-                    for key, value in zip(out, (int(deal[i]), 2, None, None, None, ids[i], int(n[i]),
+                    for key, value in zip(out, (int(deal[i]), 2, None, None, None, ids[i], texts[i], int(n[i]),
                                                 int(d1[i].view(np.int64)), int(d2[i].view(np.int64)))):
                         out[key].append(value)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out["bucket"], pa.int64()), pa.array(out["kind"], pa.int32()),
                      *(pa.array(out[k], pa.binary()) for k in ("tokens", "refs", "counts")),
-                     *(pa.array(out[k], pa.int64()) for k in ("doc_id", "n", "d1", "d2"))], names=list(out))
+                     *(pa.array(out[k], pa.int64()) for k in ("doc_id", "h", "n", "d1", "d2"))], names=list(out))
     return run
 
 
@@ -170,7 +171,7 @@ def _settle_first(table: pa.Table) -> pa.Table:
     return pa.table({
         "ref": pa.concat_arrays([pa.array(who.astype(np.int64)), pa.nulls(len(members), pa.int64())]),
         "live": pa.concat_arrays([pa.array(times.astype(np.int64)), pa.nulls(len(members), pa.int64())]),
-        **{c: pa.concat_arrays([empty, *members.column(c).chunks]) for c in ("doc_id", "n", "d1", "d2")}})
+        **{c: pa.concat_arrays([empty, *members.column(c).chunks]) for c in ("doc_id", "h", "n", "d1", "d2")}})
 
 
 def _buckets(total: int) -> int:
@@ -179,14 +180,15 @@ def _buckets(total: int) -> int:
 
 
 def first_filter(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(members: a row per row of ``docs``; classes that may have a partner: n, d1, d2, doc_id of one member)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """(members: a row per row of ``docs``, with a hash h of its text; classes that may have a partner: n, d1, d2, the
+    smallest doc_id of their members)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = _buckets(chars // 20)
     settled = scratch.save(
         texts.mapInArrow(_ask_first(bits), ASKS).groupBy("bucket")
         .applyInArrow(_settle_first, "ref long, live long, " + MEMBERS), "first")
-    members = settled.where("n IS NOT NULL").select("doc_id", "n", "d1", "d2")
+    members = settled.where("n IS NOT NULL").select("doc_id", "h", "n", "d1", "d2")
     live = settled.where("ref IS NOT NULL").groupBy("ref").agg(F.sum("live").alias("live"))
     t, e = THRESHOLD, EXTRA
     least = F.expr(f"1 + (-((-n * {t.numerator}) div {t.denominator}) * {e.numerator}) div {e.denominator}")
@@ -202,20 +204,18 @@ CHUNKS = "chunk long, doc_ids binary, sizes binary, tokens binary"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole sets of the classes, packed a chunk a row."""
+    """Whole sets of the classes, packed a chunk a row; from here on a class goes by its node number, as ``doc_id``."""
     from pyspark import TaskContext
 
     chunk = TaskContext.get().partitionId() << 32
     for batch in batches:
         for part, data, offsets in W.text_chunks(batch, "text"):
             tokens, rows, first, n, d1, _ = _sets(data, offsets)
-            ids = part.column("doc_id").to_numpy()
-            # the row that was meant, once
-            good = d1.view(np.int64) == part.column("d1").to_numpy()
-            _, one = np.unique(ids, return_index=True)
+            ids = part.column("node").to_numpy()
+            # a row of the class that was meant, once: other rows may have the same doc_id
+            good = np.flatnonzero(d1.view(np.int64) == part.column("d1").to_numpy())
             keep = np.zeros(len(ids), dtype=bool)
-            keep[one] = True
-            keep &= good
+            keep[good[np.unique(ids[good], return_index=True)[1]]] = True
             yield pa.RecordBatch.from_arrays(
                 [pa.array([chunk]), pa.array([ids[keep].astype("<i8").tobytes()], pa.binary()),
                  pa.array([n[keep].astype("<i8").tobytes()], pa.binary()),
@@ -357,18 +357,19 @@ def cross_pairs(postings: DataFrame, roots: DataFrame) -> DataFrame:
             .select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct())
 
 
-def ngram_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, of every row of ``docs``."""
+def _components(docs: DataFrame) -> DataFrame:
+    """Of every row of ``docs``: doc_id, h, n, d1, d2, root (of linked classes, else null) and component_id."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     members, classes = first_filter(docs, scratch)
-    classes = scratch.save(classes, "classes")
+    # classes are numbered as they are written: a doc_id may stand for several, where its rows differ
+    classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     left = classes.agg(F.count("*").alias("k"), F.sum("n").alias("tokens")).first()
     bits = _buckets(left["tokens"] or 0)
-    ids = classes.select(F.col("doc_id").alias("id"), "d1")
+    ids = classes.select(F.col("doc_id").alias("id"), "node", "d1")
     ids = F.broadcast(ids) if left["k"] <= MAX_BROADCAST_IDS else ids
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.join(ids, F.col("doc_id") == F.col("id")).select("doc_id", "text", "d1")
+    texts = texts.join(ids, F.col("doc_id") == F.col("id")).select("node", "text", "d1")
     chunks = scratch.save(texts.mapInArrow(_chunks, CHUNKS), "chunks")
     answers = (chunks.mapInArrow(_ask_second(bits), "bucket long, chunk long, tokens binary, counts binary")
                .groupBy("bucket").applyInArrow(_settle_second, "chunk long, tokens binary, counts binary"))
@@ -380,19 +381,32 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     more = scratch.save(prove(scratch.save(cross_pairs(postings, roots), "cross-pairs"), sets), "cross-links")
     if not more.isEmpty():
         roots = components(near.union(more), scratch, "all")
-    named = (members.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id")))
-    named = (named.join(roots, named.class_id == roots.node, "left")
-             .select("n", "d1", "d2", F.coalesce("root", "class_id").alias("component")))
+    linked_classes = classes.join(roots, "node")
+    least = linked_classes.groupBy("root").agg(F.min("doc_id").alias("component"))
+    named = linked_classes.join(least, "root").select("n", "d1", "d2", "root", "component")
+    own = members.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id"))
+    named = (own.join(named, ["n", "d1", "d2"], "left")
+             .select("n", "d1", "d2", "root", F.coalesce("component", "class_id").alias("component")))
     return (members.join(named, ["n", "d1", "d2"], "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
+            .select("doc_id", "h", "n", "d1", "d2", F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("root"),
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
 
 
+def ngram_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, of every row of ``docs``."""
+    return _components(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest doc_id of their component, with all columns; a repeated row stays once, rows
-    without a doc_id stay."""
-    found = Scratch(docs.sparkSession, "ngram-keep").save(ngram_components(docs), "found")
-    keep = found.where("doc_id = component_id").groupBy("doc_id").count()
-    again = keep.where("count > 1").isEmpty()
-    staying = docs.join(keep, docs["doc_id"] == keep["doc_id"], "left_semi")
-    return (staying if again else staying.dropDuplicates(["doc_id"])).union(docs.where("doc_id IS NULL"))
+    """Of every component one of the documents with its smallest doc_id, with all columns; a repeated row stays once, rows
+    without a doc_id stay, and unlinked rows with the same doc_id and different texts all stay."""
+    found = Scratch(docs.sparkSession, "ngram-keep").save(_components(docs).where("doc_id = component_id"), "found")
+    # a component is its root, an unlinked class its digests, an empty set its document
+    group = ["doc_id", "root", *(F.when(F.col("root").isNull(), F.col(c)).alias(f"g_{c}") for c in ("n", "d1", "d2"))]
+    keep = found.groupBy(*group).agg(F.min("h").alias("h"), F.count("*").alias("k"))
+    keep = keep.groupBy(F.col("doc_id").alias("keep_id"), F.col("h").alias("keep_h")).agg(F.max("k").alias("k"))
+    alone = keep.where("k > 1").isEmpty()
+    with_h = docs.withColumn("__h", F.xxhash64("text"))
+    staying = with_h.join(keep, (F.col("doc_id") == F.col("keep_id")) & (F.col("__h") == F.col("keep_h")), "left_semi")
+    staying = staying if alone else staying.dropDuplicates(["doc_id", "__h"])
+    return staying.select(*docs.columns).union(docs.where("doc_id IS NULL"))

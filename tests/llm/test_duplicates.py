@@ -61,6 +61,30 @@ def test_components_of_links_equal_brute_force(spark):
     assert sorted(map(tuple, got.collect()), key=str) == brute_components(rows)
 
 
+def test_repeated_ids_with_different_texts_lose_no_link(spark):
+    rng = random.Random(12)
+    vocab = [f"v{i}" for i in range(500)]
+
+    def text(like=None):
+        words = like.split() if like else rng.choices(vocab, k=60)
+        if like:
+            words[3] = "changed"
+        return " ".join(words)
+
+    a, b, c, far = text(), text(), text(), text()
+    rows = [(1, a), (1, b), (2, text(a)), (3, text(b)), (4, c), (4, text(c)), (5, far), (5, "short one"), (5, far), (9, text(far)), (6, "")]
+    want = {(1, a): 1, (1, b): 1, (2, text(a)): 1, (3, text(b)): 1, (4, c): 4, (4, text(c)): 4, (5, far): 5, (5, "short one"): 5,
+            (9, text(far)): 5, (6, ""): 6}
+    for order in (rows, rows[::-1], [rows[1], rows[0], *rows[2:]]):
+        for parts in (1, 4):
+            df = spark.createDataFrame(order, "doc_id long, text string").repartition(parts)
+            got = [(r["doc_id"], r["component_id"]) for r in ngram_join.ngram_components(df).collect()]
+            assert Counter(got) == Counter((i, want[i, t]) for i, t in order)
+            kept = Counter(map(tuple, ngram_join.one_of_each(df).collect()))
+            one_c = [r for r in kept if r[0] == 4]
+            assert len(one_c) == 1 and kept == Counter([(1, a), (1, b), one_c[0], (5, far), (5, "short one"), (6, "")])
+
+
 def test_join_on_edge_cases(docs, none, rows):
     got = sorted(map(tuple, ngram_join.ngram_components(docs).collect()), key=str)
     assert got == brute_components([(r[0], r[1]) for r in rows])
