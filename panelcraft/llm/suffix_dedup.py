@@ -41,6 +41,7 @@ REACH = WINDOW - GRAM + 1     # grams in a window, and the most windows of a run
 BLOCK = 1 << 19               # bytes of text that are hashed at once
 PART_RUNS = 4096              # different runs of one anchor in one shard
 SHARD_BYTES = 2 << 20
+HELD_BYTES = 4 << 20          # of judged documents that are sent on at once
 SLICE_WINDOWS = 1 << 20       # fingerprints that meet in one task
 MAX_BROADCAST_ANCHORS = 50_000
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -168,31 +169,35 @@ def _kept(text: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[int, int, str]:
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents whose runs are all decided get their result; the others keep their text and send their segments."""
-    schema = None
+    schema = _judged_schema()
     for batch in batches:
+        rows, held = [], 0
+        columns = [batch.column(c) for c in ("doc_id", "k1", "k2", "text", "marks")]
+        ids = [c.to_pylist() for c in columns[:3]]
+        edges, marks = columns[4].offsets.to_numpy(), columns[4].values
+        fields = {c: marks.field(c).to_numpy(zero_copy_only=False) for c in ("at", "n", "a", "copies", "rep", "part", "parts")}
         for r in range(batch.num_rows):
-            row = {c: batch.column(c)[r] for c in batch.schema.names}
-            text = row["text"].as_py() or b""
-            marks = row["marks"].values
-            out = {"doc_id": row["doc_id"].as_py(), "k1": row["k1"].as_py(), "k2": row["k2"].as_py(), "n_bytes": len(text)}
-            if marks is None or not len(marks):
-                n_removed, n_spans, sha = _kept(text, *(np.zeros(0, dtype=np.int64),) * 2)
-                out |= {"n_removed": n_removed, "n_spans": n_spans, "kept_sha256": sha}
+            text = columns[3][r].as_py() or b""
+            out = {"doc_id": ids[0][r], "k1": ids[1][r], "k2": ids[2][r], "n_bytes": len(text)}
+            own = slice(edges[r], edges[r + 1])
+            at, n, whole = fields["at"][own], fields["n"][own], fields["copies"][own] > 1
+            lo, hi = merged(at[whole], at[whole] + n[whole] + WINDOW - 1)
+            if whole.all():  # a document without marks too
+                out["n_removed"], out["n_spans"], out["kept_sha256"] = _kept(text, lo, hi)
             else:
-                at, n, a, copies, rep, part, parts = (marks.field(c).to_numpy(zero_copy_only=False)
-                                                      for c in ("at", "n", "a", "copies", "rep", "part", "parts"))
-                whole = copies > 1
-                lo, hi = merged(at[whole], at[whole] + n[whole] + WINDOW - 1)
-                if whole.all():
-                    n_removed, n_spans, sha = _kept(text, lo, hi)
-                    out |= {"n_removed": n_removed, "n_spans": n_spans, "kept_sha256": sha}
-                else:
-                    out |= {"text": text, "spans": [{"lo": x, "hi": y} for x, y in zip(lo.tolist(), hi.tolist())]}
-                out["segments"] = [{"at": int(at[i]), "a": int(a[i]), "single": not whole[i], "part": int(part[i]),
-                                    "parts": int(parts[i]), "bytes": text[at[i]:at[i] + n[i] + WINDOW - 1]}
-                                   for i in np.flatnonzero(rep)]
-            schema = schema or _judged_schema()
-            yield pa.RecordBatch.from_pylist([out], schema=schema)
+                out |= {"text": text, "spans": [{"lo": x, "hi": y} for x, y in zip(lo.tolist(), hi.tolist())]}
+            reps = np.flatnonzero(fields["rep"][own])
+            if len(reps):
+                out["segments"] = [{"at": int(at[i]), "a": int(a), "single": not whole[i], "part": int(p), "parts": int(m),
+                                    "bytes": text[at[i]:at[i] + n[i] + WINDOW - 1]}
+                                   for i, a, p, m in zip(reps.tolist(), *(fields[c][own][reps] for c in ("a", "part", "parts")))]
+            rows.append(out)
+            held += len(text)
+            if held > HELD_BYTES:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def _judged_schema() -> pa.Schema:
