@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -400,30 +401,69 @@ def svd_project(df: DataFrame, vec: str, dims: int, k: int | None = None, out: s
     return df.withColumn(out, project(F.col(vec))), sv
 
 
-def sparse_svd_project(rows: DataFrame, doc: str, index: str, weight: str, n_cols: int, k: int,
-                       out: str = "embedding") -> tuple[DataFrame, np.ndarray]:
-    """T3 for sparse rows (doc, column index, weight), e.g. TF-IDF: truncated, uncentred SVD with
-    ``RowMatrix.computeSVD`` (distributed: Gram by tree aggregation for narrow matrices, ARPACK with
-    distributed products otherwise), then the projection ``X V`` as a join of the sparse entries with the
-    broadcast loadings (n_cols x k rows, bounded by the vocabulary size) and one aggregation per doc."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    grouped = rows.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(index, weight))).alias("__e"))
-    vecs = grouped.select("__e").rdd.map(
-        lambda r: Vectors.sparse(n_cols, [int(e[0]) for e in r[0]], [float(e[1]) for e in r[0]]))
-    svd = RowMatrix(vecs, numCols=n_cols).computeSVD(k, computeU=False)
-    v = svd.V.toArray()
+SPARSE_BLOCK = 256  # rows that are laid out densely at once
+
+
+def _sparse_blocks(batch, p: int):
+    """Dense blocks of the rows of a batch of sparse ML vectors (column ``v``)."""
+    v = batch.column("v")
+    v = v.storage if hasattr(v, "storage") else v
+    indices, values = v.field("indices"), v.field("values")
+    edges, cols, x = indices.offsets.to_numpy(), indices.values.to_numpy(), values.values.to_numpy()
+    if not np.array_equal(edges, values.offsets.to_numpy()):
+        raise ValueError("the vectors must be sparse")
+    for at in range(0, len(v), SPARSE_BLOCK):
+        n = min(SPARSE_BLOCK, len(v) - at)
+        block = np.zeros((n, p))
+        lo, hi = edges[at], edges[at + n]
+        block[np.repeat(np.arange(n), np.diff(edges[at:at + n + 1])), cols[lo:hi]] = x[lo:hi]
+        yield block
+
+
+def sparse_gram(df: DataFrame, vec: str, p: int) -> np.ndarray:
+    """Gram of a column of sparse ML vectors of width ``p``: one pass, a partial Gram per task, added up row by row."""
+    def run(batches):
+        total, seen = np.zeros((p, p)), False
+        for batch in batches:
+            for block in _sparse_blocks(batch, p):
+                total += block.T @ block
+                seen = True
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(p)), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "v"])
+
+    def add(table):
+        rows = table.column("v").combine_chunks()
+        total = rows.flatten().to_numpy().reshape(-1, p).sum(axis=0)
+        return pa.table({"i": table.column("i").slice(0, 1), "v": pa.array([total], pa.list_(pa.float64()))})
+
+    parts = df.select(F.col(vec).alias("v")).mapInArrow(run, "i long, v array<double>")
+    g = np.zeros((p, p))
+    for row in parts.groupBy("i").applyInArrow(add, "i long, v array<double>").collect():
+        g[row["i"]] = row["v"]
+    return g
+
+
+def sparse_svd_project(df: DataFrame, vec: str, n_cols: int, k: int, out: str = "embedding") -> tuple[DataFrame, np.ndarray]:
+    """T3 for sparse ML vectors, e.g. TF-IDF: truncated, uncentred SVD from the Gram (n_cols is bounded by the
+    vocabulary), and the projection ``X V`` inside each row's task with the broadcast loadings.  Signs are fixed as in
+    :func:`svd_project`; without a row, or with fewer directions than ``k``, the rest is 0."""
+    spark = df.sparkSession
+    w, v = np.linalg.eigh(sparse_gram(df, vec, n_cols))
+    order = np.argsort(w)[::-1][:k]
+    w, v = np.clip(w[order], 0, None), v[:, order]
     flip = np.sign(v[np.abs(v).argmax(axis=0), range(v.shape[1])])
     v = v * np.where(flip == 0, 1, flip)
-    spark = rows.sparkSession
-    loadings = spark.createDataFrame(
-        [(int(i), int(j), float(v[i, j])) for i in range(v.shape[0]) for j in range(v.shape[1]) if v[i, j] != 0.0],
-        f"{index} int, __comp int, __load double")
-    proj = (rows.join(F.broadcast(loadings), on=index, how="inner")
-            .groupBy(doc, "__comp").agg(F.sum(F.col(weight) * F.col("__load")).alias("__x"))
-            .groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("__comp", "__x"))).alias("__m")))
-    kk = v.shape[1]
-    proj = proj.select(doc, F.transform(F.sequence(F.lit(0), F.lit(kk - 1)),
-                                        lambda j: F.coalesce(F.element_at("__m", j), F.lit(0.0))).alias(out))
-    return proj, np.asarray(svd.s.toArray())
+    v[:, w <= 1e-12 * max(w.max(initial=0.0), 1e-300)] = 0.0
+    loadings = spark.sparkContext.broadcast(v)  # n_cols x k
+    rest = [c for c in df.columns if c != vec]
+
+    def run(batches):
+        for batch in batches:
+            x = [block @ loadings.value for block in _sparse_blocks(batch, n_cols)]
+            x = np.concatenate(x) if x else np.zeros((0, v.shape[1]))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(list(x), pa.list_(pa.float64()))], names=["row", out])
+
+    packed = df.select(F.struct(*rest).alias("row"), F.col(vec).alias("v"))
+    kind = packed.schema["row"].dataType.simpleString()
+    projected = packed.mapInArrow(run, f"row {kind}, {out} array<double>")
+    return projected.select(*[F.col(f"row.`{c}`").alias(c) for c in rest], out), np.sqrt(w)

@@ -1,9 +1,9 @@
 """Text panels and text embeddings.
 
 * ``text_panel``: ordered concatenation of event texts per (unit, time) on the full grid with a default.
-* ``tfidf``: tokens ``[\\p{L}\\p{N}_]{2,}`` (lower case), 1..n-grams of consecutive tokens, vocabulary =
+* ``tfidf_vectors``: tokens ``[\\p{L}\\p{N}_]{2,}`` (lower case), 1..n-grams of consecutive tokens, vocabulary =
   top-k terms by corpus frequency (ties by term), idf = ln((1+n)/(1+df)) + 1, L2-normalised rows,
-  as a sparse long table (doc, term_index, weight) -- nothing per document leaves the executors.
+  as a sparse vector in each row -- nothing per document leaves the executors.
 * ``mean_pool``: mask-weighted mean of vectors per group, per dimension.
 * ``encode_batches``: a caller's encoder applied per Arrow batch (T5 hook).
 The SVD projection (T3) lives in ``operators.regression`` next to the Gram aggregation it uses.
@@ -13,10 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcraft.functions.partitioning import spread
+from panelcraft.session import cut_lineage
 
 # Fixed values matching the reference's vectoriser: a token is a run of 2+ word characters,
 # n-grams join consecutive tokens with one blank, the separator of aggregated texts is " ; ".
@@ -105,22 +107,29 @@ def tfidf_vocabulary(df: DataFrame, doc: str, text: str, max_features: int, ngra
     return top.withColumn("term_index", (F.row_number().over(w) - 1).cast("int"))
 
 
-def tfidf(df: DataFrame, doc: str, text: str, max_features: int = 2048, ngram_max: int = 2,
-          n_docs: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Sparse TF-IDF rows (doc, term_index, weight) and the vocabulary with idf.
-
-    The vocabulary has at most ``max_features`` rows (a proven bound), so it is broadcast.
-    """
-    tok = tokens(df, doc, text, ngram_max)
-    vocab = tfidf_vocabulary(df, doc, text, max_features, ngram_max)
-    n = n_docs if n_docs is not None else df.select(doc).count()
-    vocab = vocab.withColumn("idf", F.log((F.lit(1.0) + F.lit(float(n))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
-    counts = (tok.join(F.broadcast(vocab.select("term", "term_index", "idf")), on="term", how="inner")
-              .groupBy(doc, "term_index", "idf").agg(F.count(F.lit(1)).alias("cnt")))
-    raw = counts.withColumn("w", F.col("cnt") * F.col("idf"))
-    norm = raw.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("__n"))
-    rows = (raw.join(norm, on=doc).select(doc, "term_index", (F.col("w") / F.col("__n")).alias("weight")))
-    return rows, vocab
+def tfidf_vectors(df: DataFrame, text: str, max_features: int = 2048, ngram_max: int = 2, out: str = "tfidf",
+                  n_docs: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``df`` with its L2-normalised TF-IDF rows as sparse ML vectors, and the vocabulary with idf.
+
+    The vocabulary has at most ``max_features`` rows (a proven bound); its terms are counted inside each row by Spark's
+    own ``CountVectorizerModel``, weighted and normalised there (JVM): no (document, term) pairs are shuffled, and a row
+    needs no key.  A row without a known term has an empty vector; a NULL text counts as empty."""
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import Vectors
+
+    filled = df.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
+    n = n_docs if n_docs is not None else df.count()
+    vocab = cut_lineage(tfidf_vocabulary(filled, "__text", "__text", max_features, ngram_max).withColumn(
+        "idf", F.log((F.lit(1.0) + F.lit(float(n))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)))
+    terms = vocab.orderBy("term_index").collect()
+    grams = with_grams(spread(filled), "__text", "__g", ngram_max)
+    if not terms:
+        empty = F.udf(lambda: Vectors.sparse(1, [], []), VectorUDT())
+        return grams.drop("__g", "__text").withColumn(out, empty()), vocab
+    counter = CountVectorizerModel.from_vocabulary([r["term"] for r in terms], inputCol="__g", outputCol="__n")
+    scale = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in terms]), inputCol="__n", outputCol="__w")
+    weighed = Normalizer(p=2.0, inputCol="__w", outputCol=out).transform(scale.transform(counter.transform(grams)))
+    return weighed.drop("__g", "__text", "__n", "__w"), vocab
 
 
 def mean_pool(df: DataFrame, group: Sequence[str], vec: str, mask: Column | None = None,

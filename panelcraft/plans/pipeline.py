@@ -159,17 +159,16 @@ def text_embeddings(grid: DataFrame, events: DataFrame, keys: Sequence[str], tex
 
 def _tfidf_svd_embeddings(grid, events, keys, text, order, default, max_features, dims, meta) -> DataFrame:
     from panelcraft.operators.regression import sparse_svd_project
-    from panelcraft.operators.text import text_panel, tfidf
+    from panelcraft.operators.text import text_panel, tfidf_vectors
+    from panelcraft.session import cut_lineage
 
-    keys = list(keys)
-    tp = text_panel(grid, events, keys, text, order, default).withColumn("__doc", F.xxhash64(*keys))
-    rows, vocab = tfidf(tp, "__doc", "policy_text", max_features)
+    tp = cut_lineage(text_panel(grid, events, list(keys), text, order, default))  # read by the vocabulary and the counts
+    rows, vocab = tfidf_vectors(tp, "policy_text", max_features)
     p = vocab.count()
     k = min(dims, max(2, p - 1))
     if meta is not None:
         meta["n_dims"] = k
-    proj, _ = sparse_svd_project(rows, "__doc", "term_index", "weight", p, k)
-    return tp.join(proj, on="__doc", how="left").drop("__doc")
+    return sparse_svd_project(rows, "tfidf", max(p, 1), k)[0]
 
 
 def predict(panel: DataFrame, features_: Sequence[str], target: str, keys: Sequence[str], time: str, task: str,

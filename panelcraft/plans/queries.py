@@ -1317,6 +1317,26 @@ def q_tfidf_terms(spark, d):
                     r(F.log((F.lit(1.0) + F.lit(float(n))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0), 6).alias("idf"))
 
 
+@register("tfidf_weights", rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}') AS toks FROM documents),
+g AS (SELECT doc_id, unnest(toks) AS term FROM t
+      UNION ALL
+      SELECT doc_id, unnest(list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1])) FROM t),
+vocab AS (
+  SELECT term, df, ln(CAST(1 + (SELECT count(*) FROM documents) AS DOUBLE) / CAST(1 + df AS DOUBLE)) + 1 AS idf FROM (
+    SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM g GROUP BY term ORDER BY tf DESC, term LIMIT {{TOP_TERMS}})),
+w AS (SELECT doc_id, term, count(*) * any_value(idf) AS w FROM g JOIN vocab USING (term) GROUP BY doc_id, term)
+SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w
+""".replace("{TOP_TERMS}", str(TOP_TERMS)))
+def q_tfidf_weights(spark, d):
+    from pyspark.ml.functions import vector_to_array
+
+    from panelcraft.operators.text import tfidf_vectors
+    rows, vocab = tfidf_vectors(table(spark, d, "documents").select("doc_id", "text"), "text", TOP_TERMS)
+    long = rows.select("doc_id", F.posexplode(vector_to_array("tfidf")).alias("term_index", "weight")).where("weight > 0")
+    return long.join(vocab.select("term_index", "term"), "term_index").select("doc_id", "term", r("weight", 6).alias("weight"))
+
+
 @register("mean_pool", """
 WITH e AS (SELECT label, embedding,
                   CASE WHEN list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) > 0

@@ -1,12 +1,17 @@
 """Distributed fixed-effects regression, cluster-robust covariance, placebo and SVD vs numpy brute force."""
 
+import re
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from panelcraft.functions.stats import f_sf
 from panelcraft.operators.regression import (connected_parts, demean_by_unit, event_study, fit_twfe, gram, hash_assignments,
-                                             numpy_rng_assignments, placebo_coefficients, svd_project)
+                                             numpy_rng_assignments, placebo_coefficients, sparse_svd_project, svd_project)
+from panelcraft.operators.text import tfidf_vectors
 
 
 def _panel(seed=0, units=12, years=range(2000, 2012), drop=0.1):
@@ -172,3 +177,38 @@ def test_svd_projection_matches_numpy(spark):
     ref = U[:, :4] * S[:4]
     for j in range(4):  # signs are arbitrary
         assert min(np.abs(P[:, j] - ref[:, j]).max(), np.abs(P[:, j] + ref[:, j]).max()) < 1e-8
+
+
+def test_tfidf_vectors_and_their_sparse_svd(spark):
+    texts = ["Beer tax raised again, beer tax", "sunday sales allowed", "Sunday SALES of beer", "", None, "tax on wine and beer", "a b c", "wine tax wine"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("tfidf_", F.lit("clash"))
+    rows, vocab = tfidf_vectors(df, "text", max_features=9)
+    got = {r["id"]: r["tfidf"].toArray() for r in rows.collect()}
+    grams = []
+    for t in texts:
+        w = re.findall(r"\w{2,}", (t or "").lower())
+        grams.append(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+    tf = Counter(g for doc in grams for g in doc)
+    terms = sorted(sorted(tf, key=lambda g: (-tf[g], g))[:9])
+    assert [r["term"] for r in vocab.orderBy("term_index").collect()] == terms
+    X = np.array([[doc.count(t) * (np.log((1 + len(texts)) / (1 + sum(t in d for d in grams))) + 1) for t in terms] for doc in grams])
+    norm = np.linalg.norm(X, axis=1, keepdims=True)
+    X = X / np.where(norm == 0, 1, norm)
+    assert np.allclose(np.array([got[i] for i in range(len(texts))]), X)
+    proj, sv = sparse_svd_project(rows, "tfidf", 9, 3)
+    assert proj.columns == ["id", "text", "tfidf_", "embedding"]
+    U, S, _ = np.linalg.svd(X, full_matrices=False)
+    assert np.allclose(sv, S[:3])
+    P = np.array([r["embedding"] for r in proj.orderBy("id").collect()])
+    for j in range(3):
+        ref = U[:, j] * S[j]
+        assert min(np.abs(P[:, j] - ref).max(), np.abs(P[:, j] + ref).max()) < 1e-8
+    # no shuffle between the text and its vector
+    assert "Exchange hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tfidf_without_a_known_term(spark):
+    rows, vocab = tfidf_vectors(spark.createDataFrame([(1, ""), (2, None)], "id int, text string"), "text", 5)
+    assert vocab.count() == 0
+    proj, _ = sparse_svd_project(rows, "tfidf", 1, 2)
+    assert sorted(r["id"] for r in proj.collect()) == [1, 2]
