@@ -18,6 +18,7 @@ import functools
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 SCHEMA = "page_id long, url string, text string, n_chars long"
 EPOCHS, RATE, DECAY = 12, 0.5, 1e-4
 N_PAGES = 400
-PART = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag up to its end.  A quote opens a value only after "=", and one that is never closed is part of its value.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+)|[^=>])*+)>")
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden|aria-label)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 RAW = frozenset("script style title textarea".split())
 #: Elements whose text is not shown; tags inside do not end the block they stand in.
@@ -53,17 +55,65 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 KEEPS_P = INLINE | VOID - {"hr"}
 
 
+Path = tuple[frozenset[str], str]  # feature words of all ancestors, and of the nearest one that is a block
+
+
 class Block:
     __slots__ = ("path", "text", "linked")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int):
+    def __init__(self, path: Path, text: str, linked: int):
         self.path, self.text, self.linked = path, text, linked
 
 
+def markup(page: str) -> Iterator[tuple[str, str, str, str]]:
+    """(text before, "" or "/", tag or "", attributes) of every piece of markup, and the rest of the text at last; the
+    receiver may send the place to go on from.  A "<" without a ">" after it is text, as one before no letter is."""
+    at = text_from = 0
+    closed = True     # so far every tag has its end outside of quotes
+    while (lt := page.find("<", at)) >= 0:
+        nxt = page[lt + 1:lt + 2]
+        if nxt == "!" or nxt == "?":
+            if page.startswith("<!--", lt):
+                # <!--> and <!---> are complete
+                empty = 1 if page.startswith(">", lt + 4) else 2 if page.startswith("->", lt + 4) else 0
+                ends = [e for e in (page.find("-->", lt + 4), page.find("--!>", lt + 4)) if e >= 0] if not empty else []
+                end = lt + 4 + empty if empty else min(ends) + (3 if page.startswith("-->", min(ends)) else 4) if ends else len(page)
+            else:
+                end = page.find(">", lt) + 1 or len(page)
+            out = (page[text_from:lt], "", "", "")
+        else:
+            m = TAG.match(page, lt) if closed else None
+            if m:
+                end, out = m.end(), (page[text_from:lt], m.group(1), m.group(2).lower(), m.group(3))
+            elif not nxt.isascii() or not (nxt.isalpha() or nxt == "/" and page[lt + 2:lt + 3].isalpha()):
+                at = lt + 1
+                continue
+            else:
+                gt = page.find(">", lt)
+                if gt < 0:
+                    break
+                # a quote swallows the end of this tag: from here on the next ">" ends a tag
+                closed = False
+                name = re.match(r"</?([a-zA-Z][^\s/><]*+)", page[lt:gt])
+                if not name:
+                    at = lt + 1
+                    continue
+                end, out = gt + 1, (page[text_from:lt], "/" if nxt == "/" else "", name.group(1).lower(), page[lt + name.end():gt])
+        at = text_from = (yield out, end) or end
+    yield (page[text_from:], "", "", ""), len(page)
+
+
+@functools.lru_cache(maxsize=50_000)
+def _inside(words: frozenset[str], feature: str) -> frozenset[str]:
+    new = feature.split(" ")
+    return words if words.issuperset(new) else words.union(new)
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The leaf blocks in page order; white space inside a block is one space."""
     blocks: list[Block] = []
-    stack: list[tuple[str, str]] = []  # tag, and the feature words of the element
+    stack: list[tuple[str, Path]] = []
+    opened: Counter[str] = Counter()
     held: list[str] = []
     links: list[int] = [0, 0]          # open links, characters inside links
     unseen: list[int] = []             # place in the stack of the outermost open element whose text is not shown
@@ -72,7 +122,7 @@ def leaf_blocks(page: str) -> list[Block]:
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            blocks.append(Block(tuple(f for _, f in stack), text, links[1]))
+            blocks.append(Block(stack[-1][1] if stack else NOWHERE, text, links[1]))
         links[1] = 0
 
     def close(i: int) -> None:
@@ -81,24 +131,26 @@ def leaf_blocks(page: str) -> list[Block]:
         if unseen and i <= unseen[0]:
             unseen.clear()
         links[0] -= sum(tag == "a" for tag, _ in stack[i:])
+        opened.subtract(tag for tag, _ in stack[i:])
         del stack[i:]
 
-    at = 0
-    while at < len(page):
-        m = PART.search(page, at)
-        text = page[at:m.start() if m else len(page)]
+    pieces, at = markup(page), None
+    while True:
+        try:
+            (text, closing, tag, attributes), end = pieces.send(at)
+        except StopIteration:
+            break
+        at = None
         if text and not unseen:
             text = html.unescape(text)
             held.append(text)
             if links[0]:
                 links[1] += len(text.strip())
-        if not m:
-            break
-        at = m.end()
-        tag = (m.group(2) or "").lower()
         if not tag:
             continue
-        if m.group(1):
+        if closing:
+            if not opened[tag]:
+                continue
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     close(i)
@@ -106,18 +158,18 @@ def leaf_blocks(page: str) -> list[Block]:
                 if tag in INLINE and stack[i][0] not in INLINE and not (unseen and i > unseen[0]):
                     break  # a stray inline end does not close a block
             continue
-        ended = m.group(3).endswith("/")
-        if unseen and tag in BREAKS_OUT and stack[unseen[0]][0] in UNCLOSED and all(t != "foreignobject" for t, _ in stack[unseen[0]:]):
+        ended = attributes.endswith("/")
+        if unseen and tag in BREAKS_OUT and stack[unseen[0]][0] in UNCLOSED and not opened["foreignobject"]:
             close(unseen[0])
-        if tag in RAW and not (ended and any(t == "svg" for t, _ in stack)):
-            end = RAW_END[tag].search(page, at)
-            close_at = page.find(">", end.end()) if end else -1
+        if tag in RAW and not (ended and opened["svg"]):
+            raw_end = RAW_END[tag].search(page, end)
+            close_at = page.find(">", raw_end.end()) if raw_end else -1
             at = close_at + 1 if close_at >= 0 else len(page)
             continue
         if tag == "br":
             held.append(" ")
             continue
-        if tag in NEXT_OF_KIND and not ((follows := NEXT_OF_KIND[tag].search(page, at)) and follows.group(1)):
+        if tag in NEXT_OF_KIND and not ((follows := NEXT_OF_KIND[tag].search(page, end)) and follows.group(1)):
             continue
         if tag not in INLINE:
             if not unseen:
@@ -132,12 +184,18 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag not in VOID and not ended:
             if tag in UNSEEN and not unseen:
                 unseen.append(len(stack))
-            stack.append((tag, element_features(tag, m.group(3))))
+            feature = element_features(tag, attributes)
+            words, own = stack[-1][1] if stack else NOWHERE
+            stack.append((tag, (_inside(words, feature), own if tag in INLINE else feature)))
+            opened[tag] += 1
             links[0] += tag == "a"
     flush()
     return blocks
 
 
+NOWHERE: Path = (frozenset(), "")
+
+
 @functools.lru_cache(maxsize=20_000)
 def element_features(tag: str, attributes: str) -> str:
     """The tag and the words of its naming attributes."""
@@ -151,7 +209,7 @@ def element_features(tag: str, attributes: str) -> str:
             elif name in ("hidden", "aria-hidden"):
                 words += ["hidden"] * (value != "false")
             else:
-                words += [w for w in re.split(r"[^a-z]+", value) if w][:12]
+                words += [w for w in re.split(r"[^a-z]+", value) if w]
     return " ".join(words)
 
 
@@ -161,10 +219,8 @@ def text_features(b: Block) -> tuple[str, ...]:
 
 
 @functools.lru_cache(maxsize=50_000)
-def path_features(path: tuple[str, ...]) -> tuple[str, ...]:
-    found = {w for f in path for w in f.split(" ")}
-    last = next((f for f in reversed(path) if f.split(" ")[0][1:-1] not in INLINE), "")
-    return tuple(sorted(found)) + tuple(f"own:{w}" for w in last.split(" "))
+def path_features(path: Path) -> tuple[str, ...]:
+    return tuple(sorted(path[0])) + tuple(f"own:{w}" for w in path[1].split(" "))
 
 
 def features(blocks: list[Block]) -> list[list[str]]:
@@ -178,6 +234,7 @@ MAIN_PARTS = (
     "<ol><li>{s}<li>{t}</ol>", "<blockquote>{s}</blockquote>", "<blockquote><p>{s}</p></blockquote>", "<pre>{t}</pre>", "<p><b>{t}</b> {s}</p>",
     "<p><a href=x>{t}</a> {s}</p>", "<table><tr><th>{t}</th><td>{t}</td></tr></table>", "<figure><figcaption>{t}</figcaption></figure>",
     "<div>{s}</div>", "<section><h2>{t}</h2><p>{s}</p></section>", "<p>{t}</p>", "<dl><dt>{t}</dt><dd>{s}</dd></dl>", "<p><b>{s}<br><p>{s}</p>",
+    "<table><thead><tr><th>{t}<th>{t}<tbody><tr><td>{t}<td>{s}</table>",
 )
 MAIN_FRAMES = (
     "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<div class=\"content\">{}</div>",
@@ -194,11 +251,14 @@ OTHER_FRAMES = (
     "<div class=\"{w}\">{}</div>", "<div id=\"{w}\">{}</div>", "<section class=\"{w}\">{}</section>", "<ul class=\"{w}\">{}</ul>", "<div class=\"site-{w}\">{}</div>",
     "<div class=\"{w}-box\">{}</div>", "<aside class=\"{w}\">{}</aside>", "<section id=\"{w}\">{}</section>", "<div role=\"{w}\">{}</div>",
     "<ol class=\"{w}\">{}</ol>", "<div hidden>{}</div>", "<div class=\"{w}\">{}</div>", "<footer class=\"{w}\">{}</footer>", "<nav class=\"{w}\">{}</nav>",
+    "<table class=\"{w}\"><tr><td>{}</table>", "<table id=\"{w}\"><tbody><tr><td>{}</td></tr></tbody></table>",
+    "<div class=\"{w}\"><table><tr><td>{}</td></tr></table></div>", "<table><tr><td class=\"{w}\">{}</td></tr></table>",
 )
 OTHER_PARTS = (
     "<ul><li><a href=x>{t}</a></li><li><a href=y>{t}</a></li></ul>", "{s}", "<p>{s}</p>", "<p>{s}</p><p>{s}</p>", "<a href=x>{t}</a>", "&copy; {t} &middot; {s}",
     "<h3>{t}</h3><p>{s}</p>", "<li>{s}</li>", "<label>{t}</label><input name=q><button>{t}</button>", "<h2>{t}</h2><ul><li><a href=x>{t}</a></li></ul>",
     "<div>{t}</div>", "<article><p>{s}</p></article>", "<div class=\"body\"><p>{s}</p></div>", "<p>{t}</p>", "<span>{t}</span>", "<h1>{t}</h1>",
+    "<table><tr><td>{t}</td><td><a href=x>{t}</a></td></tr></table>", "<table><tr><th>{t}<td>{s}</table>",
 )
 
 
@@ -251,7 +311,7 @@ class Field:
         self.names: dict[str, int] = {}
         self.emit = np.zeros((0, 2))
         self.move = np.zeros((2, 2))
-        self.kept: dict[tuple[str, ...], tuple[float, float]] = {}
+        self.kept: dict[tuple, tuple[float, float]] = {}
 
     def _sum(self, row: tuple[str, ...]) -> tuple[float, float]:
         return tuple(self.emit[[self.names[w] for w in row if w in self.names]].sum(axis=0).tolist())

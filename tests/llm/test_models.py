@@ -1,6 +1,8 @@
 import hashlib
+import html.parser
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -192,8 +194,7 @@ def test_unclosed_and_selfclosing_elements_keep_the_page():
     assert texts("<p>a<template><div><p>no</p></div><template>no</template>no</template> b<svg><foreignObject><div>no</div></svg>c") == ["a bc"]
 
 
-@pytest.mark.parametrize("tables", [False, pytest.param(True, marks=pytest.mark.xfail(
-    strict=True, reason="the training pages hold tables in main text only: other text in layout tables is taken for main text"))])
+@pytest.mark.parametrize("tables", [False, True])
 def test_main_text_in_frames_absent_from_the_training_pages(monkeypatch, tables):
     field = html_crf.trained()
     main = ("<main><section class=\"chapter\">{}</section></main>", "<article class=\"news-item\"><section>{}</section></article>",
@@ -210,3 +211,110 @@ def test_main_text_in_frames_absent_from_the_training_pages(monkeypatch, tables)
         total += len(labels)
         wrong += sum(a != b for a, b in zip(found, labels))
     assert total > 2000 and wrong <= 0.02 * total, (wrong, total)
+
+
+def test_no_character_is_lost_to_quotes_comments_and_open_tags():
+    texts = lambda page: [b.text for b in html_crf.leaf_blocks(page)]
+    assert texts("<p title=don't>Hello world.</p><p>It's here.</p><p>tail</p>") == ["Hello world.", "It's here.", "tail"]
+    assert texts('<p data-x=a"b>Text one</p><p data-x=c"d>Text two') == ["Text one", "Text two"]
+    assert texts('<p title="a > b">x</p><p title = \'c > "d\'>y') == ["x", "y"]
+    assert texts("<p>a<!-->b</p><p>c<!--->d<!-- > -- > --!>e<!--x-->f") == ["ab", "cdef"]
+    assert texts("<p>1 < 2 <3 e <- f</p><?php x ?><!doctype html>g</ h <a") == ["1 < 2 <3 e <- f", "g</ h <a"]
+    assert texts('<p title="never closed>one</p><p>two</p>') == ["one", "two"]
+    words = " ".join(f"w{chr(97 + i)}" for i in range(12))
+    assert "comments" in html_crf.element_features("div", f' class="{words} comments"').split()
+
+
+@pytest.mark.parametrize("page", ["x <a" * 250_000, "<div>x" * 60_000, '<a b=">" ' * 100_000, "</section>" * 60_000 + "<div>" * 30_000
+                                  + "</section>" * 30_000, "<b><p>x" * 20_000, "<p class='" * 90_000, "text " * 200_000])
+def test_long_pages_take_linear_time(page):
+    began = time.process_time()
+    html_crf.main_text(page, html_crf.trained())
+    assert time.process_time() - began < 20 * len(page) / 1e6 + 1  # seconds for a page of 1 MB, on a slow machine
+
+
+class PlainArticle(html.parser.HTMLParser):
+    """The text of the article element by another parser: a block ends at any tag that is not inline."""
+    INLINE = {"a", "b", "i", "em", "strong", "span", "code", "sub", "sup", "small", "u"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.blocks, self.held = 0, [], []
+
+    def end_block(self):
+        if text := " ".join("".join(self.held).split()):
+            self.blocks.append(text)
+        self.held = []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        if tag == "br":
+            self.held.append(" ")
+        elif tag not in self.INLINE:
+            self.end_block()
+
+    def handle_endtag(self, tag):
+        if tag not in self.INLINE and tag != "br":
+            self.end_block()
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth:
+            self.held.append(data)
+
+
+def test_pages_equal_a_plain_extraction_of_their_article(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r for r in html_crf.extract(pages).collect()}
+    for r in pages.collect():
+        plain = PlainArticle()
+        plain.feed(r["html"])
+        plain.close()
+        assert got[r["page_id"]]["text"] == "\n\n".join(plain.blocks), r["page_id"]
+        assert got[r["page_id"]]["n_chars"] == len("\n\n".join(plain.blocks))
+
+
+def tokens_of(text):
+    return [(c["instance"], c["kind"]) for c in pii.candidates(text, pii.base_spans(text))]
+
+
+def test_candidates_of_any_length_and_in_groups():
+    assert tokens_of("account DE44 5001 0517 5407 3249 31, or 555 1234 (room 7)") == [
+        ("DE44 5001 0517 5407 3249", None), ("31", None), ("555 1234", None), ("7", None)]
+    assert tokens_of("no digits here, none") == [] and tokens_of("") == []
+    long = "x" * 300 + "1"
+    (got,) = pii.candidates(f"{'w' * 90} {long} {'é' * 70}", [])
+    assert got["instance"] == pii.known_by(long) and got["start"] == 91 and got["stop"] == 91 + 301
+    assert got["patterns"] == [f"< {pii.known_by('w' * 90)} a9", f"> {pii.known_by('é' * 70)} a9"]
+    # far blanks between a token and its context do not hide it
+    (got,) = pii.candidates("mail" + " " * 500 + "id77", [])
+    assert got["patterns"] == ["< mail a9"]
+    text = "write to a@b.cd now 4111 1111 1111 1111 end"
+    assert tokens_of(text) == [("a@b.cd", "email"), ("4111 1111 1111 1111", "card")]
+
+
+@pytest.mark.parametrize("text", ["中" * 1_000_000 + " 1", "a" * 1_000_000 + " x1", "a@" * 400_000, "@a.b" * 200_000, "1 " * 300_000, "9" * 1_000_000])
+def test_personal_data_of_long_texts_takes_linear_time(text):
+    began = time.process_time()
+    pii.candidates(text, pii.base_spans(text))
+    assert time.process_time() - began < 10
+
+
+def test_planted_identifiers_are_found_and_nothing_else(spark):
+    rng = random.Random(2)
+    vocab = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)] + ["12", "1999", "x7"]
+    contexts = [("please", "contact"), ("reach", "me", "at"), ("send", "mail", "to")]
+    rows, planted = [], {}
+    for i in range(900):
+        before, after = (" ".join(rng.choices(vocab, k=rng.randint(0, 30))) for _ in range(2))
+        if i % 5 < 3:
+            token = f"user{i}@host{i % 97}" + (".example.org" if i % 5 < 2 or i % 3 else "")
+            text = " ".join(filter(None, [before, *rng.choice(contexts), token]))
+            if not token.endswith("org"):
+                planted[i] = f"email:{len(text) - len(token)}:{len(text)}"
+            rows.append((i, f"{text} {after}"))
+        else:
+            rows.append((i, f"{before} {after}"))
+    got = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    added = {i: r["spans"] for i, r in got.items() if not r["n_email"] and r["spans"]}
+    assert len(planted) == 60 and added == planted
