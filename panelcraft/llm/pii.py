@@ -1,7 +1,8 @@
 """Personal data: base patterns, and identifiers found from the contexts of those.
 
 Base matches (email, ip, card, phone) are the seeds.  Every identifier-like token of a text (it holds a digit or an
-@) is an instance; the words around it, each with the token's shape, are its patterns.  On the graph of distinct
+@; neighbouring groups of capitals and digits are one token) is an instance; the words around it, each with the token's
+shape, are its patterns.  On the graph of distinct
 (pattern, instance) edges Spark scores patterns by the share of their instances that are known, and instances by their
 patterns, for ``ROUNDS`` rounds; a pattern counts only with ``MIN_SEEDS`` known instances and ``MIN_PATTERN`` of its
 instances known.  Instances that reach ``MIN_INSTANCE`` become spans wherever they stand outside the base spans.
@@ -9,12 +10,14 @@ instances known.  Instances that reach ``MIN_INSTANCE`` become spans wherever th
 The text is read once; what the graph needs of a document is written to the shared folder.  Frequent patterns are
 summed before the shuffle.
 
-Defined results: null and empty texts have no spans; repeated rows are handled one by one; further columns are ignored;
+Defined results: no length of a token, a word or a context is left out; words of digits only are tokens too; null and
+empty texts have no spans; repeated rows are handled one by one; further columns are ignored;
 an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -30,7 +33,7 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 MIN_SEEDS = 3
 MIN_PATTERN = 0.8
-MIN_INSTANCE = 0.9
+MIN_INSTANCE = 0.75
 # Each begins where the run of its characters begins, so a failed run is looked at once.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -38,11 +41,12 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
-BEFORE = re.compile(r"([^\x20\x09-\x0D]{1,40})[\x20\x09-\x0D]+$")
-AFTER = re.compile(r"[\x20\x09-\x0D]+([^\x20\x09-\x0D]{1,40})")
+WORD = re.compile(r"[^\x20\x09-\x0D]++")
+HINT = re.compile(r"[0-9@]")
+#: A piece of an identifier that is written in groups: capitals and digits, no more than a group of an account number.
+GROUP = re.compile(r"[A-Z]{0,4}[0-9][0-9A-Z]{0,7}")
 EDGE = "()[]{}<>\"',;:!?."
-MAX_TOKEN = 200  # characters: longer runs are no identifiers, whatever their context
+LONG_WORD = 64  # longer words stand in patterns and in the graph as a hash of the whole word
 CANDIDATE = "struct<instance: string, kind: string, start: int, stop: int, patterns: array<string>>"
 BASE = ("row long, doc_id long, spans array<struct<kind: string, start: int, stop: int>>, "
         f"candidates array<{CANDIDATE}>")
@@ -60,12 +64,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Leftmost, non-overlapping matches of each kind that hold, by kind and start."""
     out = []
     if "@" in text:
-        free = 0
+        free = 0  # no local part begins before it
         for m in DOMAIN.finditer(text):
-            start = free + len(text[free:m.start()].rstrip(LOCAL))
+            start = m.start()
+            while start > free and text[start - 1] in LOCAL:
+                start -= 1
             if start < m.start():
                 out.append(("email", start, m.end()))
                 free = m.end()
+            else:  # what stands before this @ is no local part of it, nor of a later one
+                free = m.start()
     if not DIGIT.search(text):
         return out
     for m in IP.finditer(text):
@@ -89,38 +97,54 @@ def shape(token: str) -> str:
     return "".join(c for i, c in enumerate(kinds) if i == 0 or c != kinds[i - 1])
 
 
+def known_by(word: str) -> str:
+    """A word as it stands in patterns and in the graph: long ones by a hash, so that a row of the graph stays small."""
+    return word if len(word) <= LONG_WORD else "#" + hashlib.sha256(word.encode()).hexdigest()
+
+
 def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """Identifier-like tokens with their patterns; a base span is a candidate as a whole."""
-    found = [(text[a:b], kind, a, b) for kind, a, b in spans]
-    taken = sorted((a, b) for _, a, b in spans)
+    """Identifier-like tokens with their patterns; a base span is a candidate as a whole.
+
+    A token is a word with a digit or an @, without the marks at its edges; neighbouring words that are groups of capitals
+    and digits, one blank apart, are one token together (account numbers, numbers in blocks).  Words without a digit or @
+    and words that overlap a base span are never candidates."""
+    if "@" not in text and not DIGIT.search(text):
+        return []
+    words = [m.span() for m in WORD.finditer(text)]
+    found = []  # start, stop, kind, first word, last word
     at = 0
-    if "@" in text or DIGIT.search(text):
-        for m in TOKEN.finditer(text):
-            token = m.group()
-            if len(token) > MAX_TOKEN:
-                continue
-            start = m.start() + len(token) - len(token.lstrip(EDGE))
-            token = token.strip(EDGE)
-            while at < len(taken) and taken[at][1] <= start:
-                at += 1
-            if len(token) < 6 or at < len(taken) and taken[at][0] < start + len(token):
-                continue
-            found.append((token, None, start, start + len(token)))
+    for kind, a, b in spans:
+        found.append((a, b, kind, bisect.bisect_right(words, (a, len(text))) - 1, bisect.bisect_left(words, (b, 0)) - 1))
+    taken = sorted((a, b) for _, a, b in spans)
+    i = 0
+    while i < len(words):
+        first, (a, b) = i, words[i]
+        i += 1
+        if not HINT.search(text, a, b):
+            continue
+        last = first
+        if GROUP.fullmatch(text, a, b):
+            while i < len(words) and words[i][0] == b + 1 and text[b] == " " and GROUP.fullmatch(text, *words[i]):
+                b, last, i = words[i][1], i, i + 1
+        token = text[a:b]
+        a += len(token) - len(token.lstrip(EDGE))
+        b = a + len(token.strip(EDGE))
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
+        if a < b and not (at < len(taken) and taken[at][0] < b):
+            found.append((a, b, None, first, last))
     out = []
-    for token, kind, start, stop in found:
-        own = shape(token)
-        before = BEFORE.search(text, max(0, start - 120), start)
-        after = AFTER.match(text, stop)
+    word = lambda k: known_by(text[words[k][0]:words[k][1]].lower())
+    for a, b, kind, first, last in found:
+        own = known_by(shape(text[a:b]))
         patterns = []
-        if before:
-            word = before.group(1).lower()
-            patterns.append(f"< {word} {own}")
-            second = BEFORE.search(text, max(0, before.start(1) - 120), before.start(1))
-            if second:
-                patterns.append(f"<< {second.group(1).lower()} {word}")
-        if after:
-            patterns.append(f"> {after.group(1).lower()} {own}")
-        out.append({"instance": token, "kind": kind, "start": start, "stop": stop, "patterns": patterns})
+        if first:
+            patterns.append(f"< {word(first - 1)} {own}")
+            if first > 1:
+                patterns.append(f"<< {word(first - 2)} {word(first - 1)}")
+        if last + 1 < len(words):
+            patterns.append(f"> {word(last + 1)} {own}")
+        out.append({"instance": known_by(text[a:b]), "kind": kind, "start": a, "stop": b, "patterns": patterns})
     return out
 
 
