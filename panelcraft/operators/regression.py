@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcraft.functions.partial import partial_sums
+from panelcraft.functions.partitioning import bounded_broadcast
 from panelcraft.functions.stats import Z_975, f_sf, normal_two_sided_p
 from panelcraft.session import cut_lineage
 
@@ -276,7 +277,7 @@ def hash_assignments(treated: DataFrame, unit: str, periods: DataFrame, time: st
     a = (treated.select(unit).distinct()
          .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
          .withColumn("__pi", F.pmod(hash_index_expr(F.col("draw"), F.col(unit), seed, integral), F.lit(n_p))))
-    return a.join(F.broadcast(idx_periods), on="__pi").select("draw", unit, F.col(time).alias("placebo_time"))
+    return a.join(bounded_broadcast(idx_periods), on="__pi").select("draw", unit, F.col(time).alias("placebo_time"))
 
 
 def hash_index_expr(draw, unit, seed: int = 42, integral_unit: bool = True):

@@ -53,6 +53,47 @@ def unit_change(df: DataFrame, unit: Sequence[str], time: str, value: str) -> Da
             .withColumn("delta", F.col("latest") - F.col("early")))
 
 
+def change_between_ends(df: DataFrame, unit: Sequence[str], time: str, value: str, base: str = "rate_base",
+                        latest: str = "rate_latest", delta: str = "delta") -> DataFrame:
+    """R2/J7 for the map: the units with a row in the panel's first AND last period, and the change between these two
+    values (missing where one of them is).  One aggregation; the two periods are one row fetched before it."""
+    lo, hi = df.agg(F.min(time), F.max(time)).first()
+    t = F.col(time)
+    ends = (df.where((t == F.lit(lo)) | (t == F.lit(hi))).groupBy(*unit)
+            .agg(F.max(F.when(t == F.lit(lo), F.col(value))).alias(base), F.max(F.when(t == F.lit(hi), F.col(value))).alias(latest),
+                 F.bool_or(t == F.lit(lo)).alias("__a"), F.bool_or(t == F.lit(hi)).alias("__z")))
+    return ends.where("__a AND __z").drop("__a", "__z").withColumn(delta, F.col(latest) - F.col(base))
+
+
+def counts_by(df: DataFrame, cols: Sequence[str], out: str = "rows") -> DataFrame:
+    """Rows per combination of columns, e.g. (source, flag); combinations with a missing part are left out."""
+    return df.dropna(subset=list(cols)).groupBy(*cols).agg(F.count(F.lit(1)).alias(out))
+
+
+def report_tables(panel: DataFrame, waves: DataFrame, coefs: DataFrame, summary: DataFrame, evals: DataFrame, unit: str, time: str,
+                  rate: str, wave_value: str, wave_source: str = "source", wave_flag: str = "coverage_flag",
+                  outcome: str | None = None) -> dict[str, DataFrame]:
+    """The six tables of the long report: coverage, causal (summary), event (of ``outcome``, else of all), models,
+    state_change (five largest falls and rises of a unit's first and last known rate) and wave_coverage."""
+    n = F.col("n_rows").cast("string")
+    main = panel.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(unit).alias("n_units"), F.min(time).alias("lo"), F.max(time).alias("hi"))
+    wave = waves.agg(F.count(F.lit(1)).alias("n_rows"), F.count(wave_value).alias("n_obs"))
+    pairs = lambda *rows: F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in rows]))
+    span = F.concat_ws("-", F.col("lo").cast("string"), F.col("hi").cast("string"))
+    coverage = (main.select(pairs(("rows", n), ("units", F.col("n_units").cast("string")), ("periods", span)).alias("r"))
+                .unionByName(wave.select(pairs(("wave_rows", n), ("wave_observations", F.col("n_obs").cast("string"))).alias("r"))).select("r.*"))
+    event = coefs if outcome is None else coefs.where(F.col("outcome") == outcome)
+    ends = top_and_bottom(unit_change(panel, [unit], time, rate), "delta", [unit], 5, ("most_improved", "most_worsened"))
+    return {
+        "coverage": coverage,
+        "causal": summary.select("outcome", "nobs", "r2", "pretrend_pvalue", "placebo_mean", "placebo_std"),
+        "event": event.select("event_time", "coef", "ci_low", "ci_high", "p_value").orderBy("event_time"),
+        "models": evals.select("task", "model", "test_rmse", "test_mae", "test_r2").orderBy("task", "test_rmse", "model"),
+        "state_change": ends.select("grp", unit, "early", "latest", "delta"),
+        "wave_coverage": counts_by(waves, [wave_source, wave_flag]),
+    }
+
+
 def mean_post_effect(coefs: DataFrame, event_time: str = "event_time", coef: str = "coef") -> float | None:
     """Mean coefficient over event times >= 0 (one scalar)."""
     return coefs.where(F.col(event_time) >= 0).agg(F.avg(coef)).first()[0]

@@ -92,6 +92,15 @@ def features(panel: DataFrame, unit: Sequence[str], time: str, treatment_value:
     return add_lags(p, unit, time, lag_cols, lags)
 
 
+def wave_features(waves: DataFrame, panel: DataFrame, unit: Sequence[str], time: str, context: Sequence[str],
+                  lag_cols: Sequence[str]) -> DataFrame:
+    """A wave panel (fewer periods than the main one) with the main panel's ``context`` columns of the same cell, and
+    each unit's value of the wave before."""
+    from panelcraft.operators.features import add_lags
+    joined = left_join_sources(waves, [*unit, time], [panel.select(*unit, time, *context)])
+    return add_lags(joined, list(unit), time, list(lag_cols), [1])
+
+
 def causal(feat: DataFrame, unit: str, time: str, event: str, outcomes: Sequence[str], covariates: Sequence[str],
            n_draws: int = 100, seed: int = 42, n_boot: int = 999) -> dict[str, DataFrame]:
     """Event study + placebo per outcome (rows with a missing outcome/covariate dropped first), summary

@@ -47,14 +47,15 @@ def r(c, n: int = 2) -> Column:
 # shared building blocks
 # ---------------------------------------------------------------------------------------------
 
-def orders_by_nation(spark: SparkSession, d: str) -> DataFrame:
-    """Orders with the customer's nation and the order year (the case table of most queries)."""
+def orders_by_nation(spark: SparkSession, d: str, nation: int | None = None) -> DataFrame:
+    """Orders with the customer's nation and the order year (the case table of most queries); ``nation`` is a filter that
+    reaches the scan of the customers."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority",
                                          "o_orderstatus", "o_orderdate",
                                          F.year("o_orderdate").alias("year"))
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"),
                                            F.col("c_nationkey").alias("n_nationkey"))
-    return o.join(c, on="o_custkey", how="inner")
+    return o.join(c if nation is None else c.where(F.col("n_nationkey") == nation), on="o_custkey", how="inner")
 
 
 def nation_year_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -111,8 +112,8 @@ def q_case_flag_totals(spark, d):
 # P1, J1, P6, N10 -- grid with three left-joined sources
 # ---------------------------------------------------------------------------------------------
 
-def panel_grid(spark, d) -> DataFrame:
-    on = orders_by_nation(spark, d)
+def panel_grid(spark, d, nation: int | None = None) -> DataFrame:
+    on = orders_by_nation(spark, d, nation)
     # two measures of the same (nation, year) key from one pass: the filtered average is conditional
     # (NULL where no order qualifies, exactly like a left-joined source without that key)
     big_urgent = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 480000)
@@ -122,9 +123,12 @@ def panel_grid(spark, d) -> DataFrame:
     li = table(spark, d, "lineitem").select("l_suppkey", F.year("l_shipdate").alias("year"))
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"),
                                            F.col("s_nationkey").alias("n_nationkey"))
+    s = s if nation is None else s.where(F.col("n_nationkey") == nation)
     src_ship = li.join(s, on="l_suppkey").groupBy("n_nationkey", "year").agg(
         F.count(F.lit(1)).alias("n_shipped"))
-    return left_join_sources(nation_year_grid(spark, d), ["n_nationkey", "year"],
+    grid = nation_year_grid(spark, d)
+    grid = grid if nation is None else grid.where(F.col("n_nationkey") == nation)
+    return left_join_sources(grid, ["n_nationkey", "year"],
                              [src_orders, src_ship], zero_fill_cols=["n_orders", "n_shipped"])
 
 
@@ -757,7 +761,9 @@ SELECT event_type, CAST(count(*) AS BIGINT) AS n_events, CAST(sum(k) AS BIGINT)
 FROM e GROUP BY event_type
 """)
 def q_json_pick(spark, d):
-    e = table(spark, d, "events").select("event_type", F.from_json("props", "k int")["k"].alias("k"))
+    from panelcraft.sources.landed import pick_from_json_array
+    picked = pick_from_json_array(F.concat(F.lit("["), "props", F.lit("]")), "struct<k:string>", lambda x: x["k"].isNotNull(), "k")
+    e = table(spark, d, "events").select("event_type", picked.cast("int").alias("k"))
     return e.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n_events"), F.sum("k").cast("bigint").alias("sum_k"),
         F.count_if(F.col("k") > 50).alias("n_k_over_50"), F.count("k").alias("n_with_k"))
@@ -1407,6 +1413,31 @@ def q_top_movers(spark, d):
     return top_and_bottom(c, "delta", ["n_nationkey"], 5).select("grp", "n_nationkey", r("delta", 6).alias("delta"))
 
 
+@register("change_between_ends", f"""
+WITH p AS ({PANEL_GRID_SQL}), e AS (SELECT min(year) AS lo, max(year) AS hi FROM p)
+SELECT a.n_nationkey, round(a.urgent_big_avg, 6) AS rate_base, round(z.urgent_big_avg, 6) AS rate_latest,
+       round(z.urgent_big_avg - a.urgent_big_avg, 6) AS delta
+FROM p a JOIN p z USING (n_nationkey), e WHERE a.year = e.lo AND z.year = e.hi
+""")
+def q_change_between_ends(spark, d):
+    from panelcraft.operators.report import change_between_ends
+    c = change_between_ends(cut_lineage(panel_grid(spark, d).select("n_nationkey", "year", "urgent_big_avg")), ["n_nationkey"], "year", "urgent_big_avg")
+    return c.select("n_nationkey", *[r(x, 6).alias(x) for x in ("rate_base", "rate_latest", "delta")])
+
+
+@register("wave_context", f"""
+WITH w AS (SELECT n_nationkey, year, round(max(o_totalprice), 2) AS top FROM ({ORDERS_NATION_SQL}) WHERE (year + n_nationkey) % 2 = 0 GROUP BY 1, 2)
+SELECT w.n_nationkey, w.year, w.top, p.n_orders, p.n_shipped, lag(w.top) OVER (PARTITION BY w.n_nationkey ORDER BY w.year) AS top_lag1
+FROM w LEFT JOIN ({PANEL_GRID_SQL}) p ON p.n_nationkey = w.n_nationkey AND p.year = w.year
+""")
+def q_wave_context(spark, d):
+    """Every second year is a wave; the panel's counts of the same cell and the value of the wave before."""
+    from panelcraft.plans.pipeline import wave_features
+    waves = (orders_by_nation(spark, d).where((F.col("year") + F.col("n_nationkey")) % 2 == 0)
+             .groupBy("n_nationkey", "year").agg(r(F.max("o_totalprice")).alias("top")))
+    return wave_features(waves, panel_grid(spark, d), ["n_nationkey"], "year", ["n_orders", "n_shipped"], ["top"])
+
+
 # ---------------------------------------------------------------------------------------------
 # A10 coverage stats, P22 + A4 coverage flags, R6 one unit's series, P26 + W6 scenarios
 # ---------------------------------------------------------------------------------------------
@@ -1455,9 +1486,10 @@ SELECT n_nationkey, year, n_orders, round(revenue, 2) AS revenue FROM ({PANEL_GR
 WHERE n_nationkey = (SELECT n_nationkey FROM nation WHERE n_name = 'NATION_7')
 """)
 def q_unit_series(spark, d):
-    """The time series of one unit, sorted (the sort is the feature of this report)."""
-    nat = table(spark, d, "nation").where(F.col("n_name") == "NATION_7").select("n_nationkey")
-    p = panel_grid(spark, d).join(nat, on="n_nationkey", how="left_semi")
+    """The time series of one unit, sorted (the sort is the feature of this report); only its customers and suppliers
+    are joined to the facts."""
+    key = table(spark, d, "nation").where(F.col("n_name") == "NATION_7").select("n_nationkey").first()
+    p = panel_grid(spark, d, -1 if key is None else key[0])
     return p.select("n_nationkey", "year", "n_orders", r("revenue").alias("revenue")).orderBy("year")
 
 

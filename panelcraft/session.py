@@ -8,6 +8,7 @@ read from the session; a default is set only when it is missing (local tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,7 +57,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):  # a local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (e.g. on the "
                                "distributed file system); a machine-local folder does not survive executor loss")
         current = tempfile.mkdtemp(prefix="panelcraft-ckpt-")  # local mode only (tests)

@@ -16,8 +16,9 @@ from pyspark.sql.utils import AnalysisException
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType | str, header: bool = True,
              **options) -> DataFrame:
-    """CSV with a header and an explicit schema."""
-    return spark.read.schema(schema).options(header=header, **options).csv(path)
+    """CSV with a header and an explicit schema; a quote inside a quoted field is doubled, as most writers do (Spark's own
+    default is a backslash)."""
+    return spark.read.schema(schema).options(**{"header": header, "escape": '"', **options}).csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
@@ -36,7 +37,7 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mo
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with header (a folder of part files, written in parallel)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(header=True, escape='"').csv(path)
 
 
 def write_json_meta(spark: SparkSession, meta: dict, path: str) -> None:
@@ -57,7 +58,7 @@ def read_first_available(spark: SparkSession, candidates: Sequence[tuple[str, st
     for path, fmt in candidates:
         try:
             reader = spark.read.schema(schema)
-            df = reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
+            df = reader.options(header=True, escape='"').csv(path) if fmt == "csv" else reader.format(fmt).load(path)
             df.limit(0).collect()  # resolves the path now, so a missing input is found here
             return df
         except AnalysisException as e:

@@ -6,6 +6,7 @@ Python runs only where a format has no Spark reader (zip members, HTML tables),
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import zipfile
@@ -287,12 +288,27 @@ def pick_from_json_array(json_col: Column, element_schema: str, predicate, value
 
 def file_manifest(spark: SparkSession, root: str) -> DataFrame:
     """Every file below ``root``: relative path, size, SHA-256 of the content (hashed in tasks).
-    (Spark's file listing skips zero-byte files, so those are not listed.)"""
+
+    Spark's file scan leaves out files without a byte; their paths come from the listing of the file system."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    prefix = root.rstrip("/") + "/"
-    rel = F.regexp_replace(F.col("path"), r"^file:", "")
-    return files.select(F.regexp_replace(rel, "^" + re.escape(prefix), "").alias("path"),
-                        F.col("length").alias("bytes"), F.sha2(F.col("content"), 256).alias("sha256"))
+    full = files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("length").alias("bytes"),
+                        F.sha2(F.col("content"), 256).alias("sha256"))
+    found = full.unionByName(_empty_files(spark, root))
+    top = "^" + re.escape(re.sub("^file:/*", "/", root).rstrip("/") + "/")
+    return found.withColumn("path", F.regexp_replace("path", top, ""))
+
+
+def _empty_files(spark: SparkSession, root: str) -> DataFrame:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    listed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    rows = []
+    while listed.hasNext():
+        status = listed.next()
+        name = status.getPath().getName()
+        if status.getLen() == 0 and not name.startswith(("_", ".")):  # the scan ignores these too
+            rows.append((re.sub("^file:/*", "/", status.getPath().toString()), 0, hashlib.sha256(b"").hexdigest()))
+    return spark.createDataFrame(rows, "path string, bytes bigint, sha256 string")
 
 
 def content_manifest(df: DataFrame, key: str, content: str) -> DataFrame:
