@@ -36,7 +36,7 @@ WRITE_OPTIONS = {
     "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false",
     "parquet.enable.dictionary#before": "false",
 }
-MEMO_BYTES = 24 << 20  # of the words whose ids are kept, in each of two generations
+MEMO_BYTES = 48 << 20  # of the words whose ids are kept, in each of two generations
 ENTRY_BYTES = 200      # that a word and its ids take beside their own bytes
 GROUP_ROWS = 512
 WORD_END = "</w>"     # fixed value: the mark of the vocabulary's word ends
