@@ -20,7 +20,7 @@ def exact_medians(df: DataFrame, key: str, value: str, accuracy: int = ACCURACY)
     v = df.where(F.col(value).isNotNull()).select(F.col(key), F.col(value).cast("double").alias("__v"))
     away = 2.0 / accuracy
     bracket = (v.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
-                                  F.percentile_approx("__v", [0.5 - away, 0.5 + away], accuracy).alias("__q"))
+                                  F.percentile_approx("__v", [max(0.0, 0.5 - away), min(1.0, 0.5 + away)], accuracy).alias("__q"))
                .select(key, "n", "__min", "__max", F.col("__q")[0].alias("__lo"), F.col("__q")[1].alias("__hi")))
     bracket = bounded_broadcast(bracket)
     at = v.join(bracket, key).groupBy(key).agg(
