@@ -10,7 +10,8 @@ A query block keeps ``QUERY_ROWS`` and a candidate block ``CANDIDATE_ROWS`` vect
 parameters; blocks are dealt by a hash of the id, so equal vectors and hot ids spread.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows with a null vec_id, take
-no part; only vectors of one length meet; rows with equal id and vector count once; a query with fewer than k
+no part; only vectors of one length meet; rows with equal id and vector count once; rows with equal id and different
+vectors are candidates each, and as queries they share one list, in which no row of their own id stands; a query with fewer than k
 candidates gets all of them; ties go to the smaller vec_id; an empty table gives no rows.
 """
 
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcraft.llm.store import Scratch
+
 K = 20
 QUERY_EVERY = 20
 QUERY_ROWS = 2048
@@ -148,7 +151,8 @@ def block_join(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFra
 
 
 def search(table: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame:
-    vectors = valid_vectors(table)
+    # read four times: by the counts and by the blocks of both sides
+    vectors = Scratch(table.sparkSession, "neighbours").save(valid_vectors(table), "vectors")
     return block_join(vectors.where(F.pmod("vec_id", F.lit(every)) == 0), vectors, k)
 
 

@@ -7,7 +7,8 @@ of the id) in one task; per-coordinate rates and the L1 term leave few weights,
 
 Defined results: a null or empty text scores the intercept; labels other than 0 and 1, and null ones, do not train; if a
 document is labelled twice, the larger label counts; with no labelled rows every score is 0.5 (predicted 1);
-a null doc_id is scored like any other row and counts as the text ''; repeated rows are scored one by one.
+a null doc_id is scored like any other row and counts as the text ''; repeated rows are scored one by one; of rows with
+equal doc_id and different texts the text with the smallest hash trains.
 """
 
 from __future__ import annotations
@@ -108,7 +109,8 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[int, float]:
              .withColumn("rank", F.xxhash64("id")))
     sample = known.orderBy("rank", "id").limit(MAX_TRAIN_ROWS)  # the documented bound
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .join(F.broadcast(sample), F.col("doc_id") == F.col("id")).dropDuplicates(["doc_id"])
+            .join(F.broadcast(sample), F.col("doc_id") == F.col("id")).groupBy("doc_id", "toxic", "rank")
+            .agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # rows with one id and different texts: always the same one
             .select("doc_id", "text", "toxic", "rank", F.lit(1).alias("one")))
     found = rows.groupBy("one").applyInArrow(_fit_sample, "slot long, weight double").collect()
     return {r["slot"]: r["weight"] for r in found}

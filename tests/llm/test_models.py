@@ -318,3 +318,51 @@ def test_planted_identifiers_are_found_and_nothing_else(spark):
     got = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     added = {i: r["spans"] for i, r in got.items() if not r["n_email"] and r["spans"]}
     assert len(planted) == 60 and added == planted
+
+
+def test_ftrl_equals_a_plain_one(monkeypatch):
+    """Per-coordinate FTRL-proximal (McMahan et al. 2013) with dictionaries, a coordinate at a time."""
+    monkeypatch.setattr(toxicity, "HASH_BITS", 6)
+    monkeypatch.setattr(toxicity, "L1", 0.4)
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(60):
+        slots = np.unique(rng.integers(0, 64, rng.integers(0, 9)))
+        rows.append((np.append(slots, 64).astype(np.int32), int(3 in slots or 7 in slots or rng.random() < 0.1)))
+    at, weights = toxicity.fit(rows)
+    z, n = dict.fromkeys(range(65), 0.0), dict.fromkeys(range(65), 0.0)
+
+    def weight(i):
+        if i != 64 and abs(z[i]) <= toxicity.L1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * toxicity.L1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(toxicity.EPOCHS):
+        for k in order.permutation(len(rows)):
+            slots, label = rows[k]
+            own = {int(i): weight(int(i)) for i in slots}
+            g = 1 / (1 + np.exp(-sum(own.values()))) - label
+            for i, w in own.items():
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA
+                z[i] += g - sigma * w
+                n[i] += g * g
+    want = {i: weight(i) for i in range(65) if i == 64 or abs(z[i]) > toxicity.L1}
+    assert dict(zip(at.tolist(), weights)).keys() == want.keys() and len(want) < 65
+    assert np.allclose(weights, [want[i] for i in at.tolist()])
+
+
+def test_one_id_with_two_texts_trains_the_same_whatever_the_order(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(["good", "fine", "nice"], k=8)) + (" bad" if i % 2 else "")) for i in range(40)]
+    rows += [(i, "other text bad bad") for i in range(10)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    got = [toxicity.train(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels)
+           for r, n in ((rows, 1), (rows[::-1], 4), (sorted(rows, key=str), 3))]
+    assert got[0] == got[1] == got[2] and got[0]
+
+
+def test_neighbours_of_an_id_with_two_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [5.0, 0.0]), (2, [0.0, 3.0]), (3, [1.0, 1.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3).orderBy("rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 5.0), (0, 2, 3.0), (0, 3, 1.0)]
