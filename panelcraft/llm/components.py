@@ -33,7 +33,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         right = up.select(F.col("a").alias("b"), F.col("p").alias("pb"))
         live = scratch.save(live.join(left, "a").join(right, "b").where("pa <> pb")
                             .select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), f"{name}-edges-{i}")
-        if live.isEmpty():
-            return scratch.save(roots, f"{name}-roots")
-        roots = scratch.save(roots, f"{name}-roots-{i}")
+        done = live.isEmpty()
+        roots = scratch.save(roots, f"{name}-roots" if done else f"{name}-roots-{i}")
+        scratch.drop(f"{name}-edges-{i - 1}", f"{name}-up-{i}", f"{name}-roots-{i - 1}")
+        if done:
+            scratch.drop(f"{name}-edges-{i}")
+            return roots
     raise RuntimeError("components did not settle")

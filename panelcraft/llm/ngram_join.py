@@ -381,6 +381,7 @@ def _components(docs: DataFrame) -> DataFrame:
     more = scratch.save(prove(scratch.save(cross_pairs(postings, roots), "cross-pairs"), sets), "cross-links")
     if not more.isEmpty():
         roots = components(near.union(more), scratch, "all")
+    scratch.drop("chunks", "postings", "hub-pairs", "cross-pairs")
     linked_classes = classes.join(roots, "node")
     least = linked_classes.groupBy("root").agg(F.min("doc_id").alias("component"))
     named = linked_classes.join(least, "root").select("n", "d1", "d2", "root", "component")

@@ -185,7 +185,10 @@ def grow(edges: DataFrame, scratch: Scratch) -> DataFrame:
                    .groupBy("instance").agg(F.max_by("kind", "trust").alias("known"), F.max("trust").alias("trust"))
                    .where(F.col("trust") >= MIN_INSTANCE).join(seeds.select("instance"), "instance", "left_anti"))
         known = scratch.save(seeds.unionByName(reached), f"known-{i}")
-    return known.join(seeds.select("instance"), "instance", "left_anti").select("instance", F.col("known").alias("kind"))
+    found = scratch.save(known.join(seeds.select("instance"), "instance", "left_anti")
+                         .select("instance", F.col("known").alias("kind")), "found")
+    scratch.drop("edges", *(f"known-{i}" for i in range(ROUNDS + 1)))
+    return found
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -247,6 +247,7 @@ def prefix_trie(sequences: DataFrame, max_sequences: int = MAX_SEQUENCES, max_tu
     turns = containers.agg(F.sum(F.size("seq") - F.col("depth") + 1)).first()[0] or 0
     shard = F.pmod(F.xxhash64("h1", "h2"), F.lit(turns // max_turns + 1)).alias("shard")
     swept = scratch.save(containers.select("*", shard).groupBy("shard").applyInArrow(_sweep, SWEPT_SCHEMA), "swept")
+    scratch.drop(*(f"{name}-{r}" for r in range(len(heads) + 1) for name in ("live", "big", "paths")))
 
     nodes = swept.select(*NODE)
     tops = swept.where("up1 IS NOT NULL").select("up1", "up2", "level", "n_leaves", "saved_tokens")

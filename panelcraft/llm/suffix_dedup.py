@@ -414,6 +414,7 @@ def remove_repeats(docs: DataFrame, part_runs: int = PART_RUNS, shard_bytes: int
              .agg(F.collect_set(F.struct("at", "n", "a", "copies", "rep", "part", "parts")).alias("marks")))
     judged = scratch.save(keyed.withColumn("text", F.col("text").cast("binary")).join(marks, ["k1", "k2"], "left")
                           .mapInArrow(_judge, JUDGED), "judged")
+    scratch.drop("runs", "shared", "live", "kinds", "many")
 
     # 3: suffix arrays over the shards
     segments = judged.select("k1", "k2", F.explode("segments").alias("s")).select("k1", "k2", "s.*")
