@@ -36,7 +36,7 @@ WRITE_OPTIONS = {
     "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false",
     "parquet.enable.dictionary#before": "false",
 }
-MEMO_BYTES = 48 << 20  # of the words whose ids are kept, in each of two generations
+MEMO_BYTES = 72 << 20  # of the words whose ids are kept, in each of two generations
 ENTRY_BYTES = 200      # that a word and its ids take beside their own bytes
 GROUP_ROWS = 512
 WORD_END = "</w>"     # fixed value: the mark of the vocabulary's word ends
@@ -86,19 +86,29 @@ class WordTokenizer:
         coded = words.dictionary_encode()
         unique = coded.dictionary.to_pylist()
         found = list(map(self.memo.get, unique))
-        gaps = [i for i, packed in enumerate(found) if packed is None]
-        size = sum(len(unique[i]) for i in gaps) * 2 + ENTRY_BYTES * len(gaps)
+        joined, single, size, older = [], [], 0, self.older.get
+        new: dict[str, bytes] = {}
+        for i, packed in enumerate(found):
+            if packed is None:
+                word = unique[i]
+                size += ENTRY_BYTES + 2 * len(word)
+                packed = older(word)
+                if packed is not None:
+                    found[i] = new[word] = packed
+                elif STEM(word) is not None:
+                    joined.append(i)
+                else:
+                    single.append(i)
+        for how, own in ((self._joined, joined), (self._single, single)):
+            words = [unique[i] for i in own]
+            learnt = how(words)
+            new.update(zip(words, learnt))
+            for i, packed in zip(own, learnt):
+                found[i] = packed
         if self.held + size > MEMO_BYTES:
             self.older, self.memo, self.held = self.memo, {}, 0
+        self.memo.update(new)
         self.held += size
-        for how, plain in ((self._joined, True), (self._single, False)):
-            own = [i for i in gaps if (STEM(unique[i]) is not None) == plain]
-            new = [i for i in own if unique[i] not in self.older]
-            for i in own:
-                found[i] = self.older.get(unique[i])
-            for i, packed in zip(new, how([unique[i] for i in new])):
-                found[i] = packed
-            self.memo.update((unique[i], found[i]) for i in own)
         return pa.array(found, pa.large_binary()).take(coded.indices)
 
     def _single(self, words: list[str]) -> list[bytes]:
