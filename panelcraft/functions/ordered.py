@@ -56,7 +56,8 @@ def running_totals(df: DataFrame, part: Sequence[str], order: Sequence, totals:
     w_b = Window.partitionBy(*part).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(*part, b, *[
         F.coalesce(F.sum(f"__s_{n}").over(w_b), F.lit(0)).alias(f"__o_{n}") for n in names])
-    d = d.join(offsets, on=[*part, b], how="inner")
+    # as many rows as there are buckets, up to the input's own number: never a broadcast, whatever the estimate
+    d = d.join(offsets.hint("merge"), on=[*part, b], how="inner")
     d = d.withColumns({n: F.col(f"__o_{n}") + F.col(f"__r_{n}") for n in names})
     drop = [*made, *tmp, *[f"__r_{n}" for n in names], *[f"__o_{n}" for n in names]]
     return d.drop(*drop)
@@ -111,7 +112,8 @@ def _shift_one(df: DataFrame, part: list, order: Sequence, cols: list, offsets:
     ends = ends.groupBy(*part, b).agg(F.min_by(row, key).alias("__sh_head"), F.max_by(row, key).alias("__sh_tail"))
     w_b = Window.partitionBy(*part).orderBy(b)
     edges = ends.select(*part, b, F.lag("__sh_tail").over(w_b).alias("__sh_prev"), F.lead("__sh_head").over(w_b).alias("__sh_next"))
-    d = d.join(edges, on=[*part, b], how="left")
+    # a broadcast of all buckets would go through the driver; the window has already dealt and sorted the rows for the merge
+    d = d.join(edges.hint("merge"), on=[*part, b], how="left")
     d = d.withColumns({suffix(c, k): (F.when(F.col("__sh_first"), F.col("__sh_prev")[c]) if k > 0
                                       else F.when(F.col("__sh_last"), F.col("__sh_next")[c])).otherwise(F.col(f"__sh_{c}_{k}"))
                        for k in offsets for c in cols})

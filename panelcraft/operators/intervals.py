@@ -46,7 +46,8 @@ def point_in_interval(points: DataFrame, intervals: DataFrame, unit: Sequence[st
     keys = points.select(*unit, F.col(point).alias("__p")).distinct()
     keys = (keys.withColumn("__l", F.explode(F.array(*[F.lit(x) for x in scales]).cast("array<int>")))
             .withColumn("__b", day_block(F.col("__p"), F.col("__l"))))
-    hits = (keys.join(iv, on=[*unit, "__l", "__b"], how="inner")
+    # Catalyst's estimate does not see how many rows an explode makes of one, so it would broadcast all points of a small table
+    hits = (keys.join(iv.hint("merge"), on=[*unit, "__l", "__b"], how="inner")
             .where((F.col("__s") <= F.col("__p")) & (F.col("__p") <= F.col("__e")))
             .groupBy(*unit, "__p")
             .agg(F.min_by("__v", "__ord").alias("__v"))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -66,3 +67,14 @@ def test_base_period_imputation(spark):
     assert out[("A", 2005)] == (5.0, 1) and out[("B", 2006)] == (15.0, 1)
     assert out[("A", 2008)] == (11.0, 0)
     assert ("B", 2008) not in out  # no ratio for 2008 -> stays missing
+
+
+def test_exploded_points_are_never_broadcast(spark):
+    # the estimate of the points does not see what explode makes of them, so small tables planned a broadcast of all of them
+    units = spark.range(50).select(F.col("id").alias("unit"))
+    pts = units.withColumn("p", F.explode(F.sequence(F.lit(_d(2000)), F.lit(_d(2000, 3)))))
+    iv = units.select("unit", F.lit(_d(2000, 1, 5)).alias("s"), F.lit(_d(2000, 2, 5)).alias("e"), F.col("unit").alias("v"))
+    res = point_in_interval(pts, iv, ["unit"], "p", "s", "e", "v")
+    assert res.where("matched").count() == 50 * 32
+    plan = res._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[[^\]]*__b#", plan) and not re.search(r"BroadcastHashJoin \[[^\]]*__b#", plan)

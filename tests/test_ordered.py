@@ -51,3 +51,14 @@ def test_shift_one_row_bucketed_equals_window(spark):
         assert sorted(buck.select(*cols).collect()) == want
     named = shift_rows(df.withColumn("b", F.floor(F.col("t") / 50)), ["k"], ["t", "id"], ["v", "id"], [1, -1], bucket="b")
     assert sorted(named.select(*cols).collect()) == want and "b" in named.columns
+
+
+def test_tables_of_buckets_are_never_broadcast(spark):
+    # there may be as many buckets as rows
+    df = spark.range(200).select((F.col("id") % 40).alias("k"), F.col("id").alias("t"))
+    bucket = F.floor(F.col("t") / 50)
+    for d in (shift_rows(df, ["k"], ["t"], ["t"], [-1], bucket=bucket),
+              running_totals(df, ["k"], ["t"], {"n": F.lit(1)}, bucket=bucket)):
+        assert d.count() == 200
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [k" in plan and "BroadcastHashJoin" not in plan
