@@ -147,10 +147,11 @@ def tfidf_vectors(df: DataFrame, text: str, max_features: int = 2048, ngram_max:
     vocab = cut_lineage(tfidf_vocabulary(filled, "__text", "__text", max_features, ngram_max).withColumn(
         "idf", F.log((F.lit(1.0) + F.lit(float(n))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)))
     terms = vocab.orderBy("term_index").collect()
-    grams = with_grams(spread(filled), "__text", "__g", ngram_max)
     if not terms:
         empty = F.udf(lambda: Vectors.sparse(1, [], []), VectorUDT())
-        return grams.drop("__g", "__text").withColumn(out, empty()), vocab
+        return spread(filled).drop("__text").withColumn(out, empty()), vocab
+    words = sorted({w for r in terms for w in r["term"].split(NGRAM_JOIN)})
+    grams = with_grams(spread(filled), "__text", "__g", ngram_max, words=words)
     counter = CountVectorizerModel.from_vocabulary([r["term"] for r in terms], inputCol="__g", outputCol="__n")
     scale = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in terms]), inputCol="__n", outputCol="__w")
     weighed = Normalizer(p=2.0, inputCol="__w", outputCol=out).transform(scale.transform(counter.transform(grams)))

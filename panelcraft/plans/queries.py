@@ -1335,11 +1335,10 @@ w AS (SELECT doc_id, term, count(*) * any_value(idf) AS w FROM g JOIN vocab USIN
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w
 """.replace("{TOP_TERMS}", str(TOP_TERMS)))
 def q_tfidf_weights(spark, d):
-    from pyspark.ml.functions import vector_to_array
-
     from panelcraft.operators.text import tfidf_vectors
     rows, vocab = tfidf_vectors(table(spark, d, "documents").select("doc_id", "text"), "text", TOP_TERMS)
-    long = rows.select("doc_id", F.posexplode(vector_to_array("tfidf")).alias("term_index", "weight")).where("weight > 0")
+    sparse = rows.select("doc_id", F.unwrap_udt("tfidf").alias("v"))
+    long = sparse.select("doc_id", F.inline_outer(F.arrays_zip("v.indices", "v.values")).alias("term_index", "weight")).where("weight > 0")
     return long.join(vocab.select("term_index", "term"), "term_index").select("doc_id", "term", r("weight", 6).alias("weight"))
 
 
